@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .cuckoo import ORACLE_OP7, op7_exact_dedup
+from .langid import op6_language_id
+from .packing import op8_best_fit_packing
+from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op4_sentencepiece,
+        op6_language_id,
         op7_exact_dedup,
+        op8_best_fit_packing,
     )
 }
 
