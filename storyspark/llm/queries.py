@@ -7,6 +7,7 @@ from .langid import op6_language_id
 from .packing import op8_best_fit_packing
 from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
+from .substrings import op10_substring_dedup
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +17,7 @@ QUERIES = {
         op6_language_id,
         op7_exact_dedup,
         op8_best_fit_packing,
+        op10_substring_dedup,
     )
 }
 
