@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .cuckoo import ORACLE_OP7, op7_exact_dedup
 from .langid import op6_language_id
+from .lmscore import op9_lm_scoring
 from .packing import op8_best_fit_packing
 from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
         op6_language_id,
         op7_exact_dedup,
         op8_best_fit_packing,
+        op9_lm_scoring,
         op10_substring_dedup,
     )
 }
