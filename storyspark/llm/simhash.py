@@ -11,10 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_text, materialize, table
+from .common import connected_components, id_text, materialize, partitions, table
 
 SEED = 42
 BLOCK = 1 << 16
@@ -75,10 +75,6 @@ def variants(fps: DataFrame, bits: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*one)).alias("x")).select("fp", "x.place", "x.rest")
 
 
-def close(a, b, bits: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-
-
 def forest(members: list[int], bits: int) -> list[tuple[int, int]]:
     """Edges that join what is linked among the members of one index bucket: at most one fewer than them."""
     fps = np.array(members, dtype=np.int64).view(np.uint64)
@@ -119,33 +115,18 @@ def hub_pairs(fps: DataFrame, bits: int) -> DataFrame:
 def linked_pairs(fps: DataFrame, bits: int = 2, bucket_limit: int = 1024) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints of column fp whose closure is that of all links.
 
-    A bucket of two or three is read off its minimum, maximum and exclusive or; one of up to
+    The index is dealt out once by (place, rest), and only buckets of two or more go on. One of up to
     bucket_limit is searched at once in memory; the members of a larger one are linked through
-    hub_pairs, which is exact at any size. No link between different fingerprints is lost.
+    hub_pairs, which is exact at any size. No link between different fingerprints is lost. A bucket's
+    rows are distinct fingerprints: copies, however many, are one row.
     """
-    index = variants(fps, bits)
-    buckets = (
-        index.groupBy("place", "rest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.expr("bit_xor(fp)").alias("x"))
-        .where("n > 1")
-    )
-    buckets = materialize(buckets, "buckets")
-    third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    few = buckets.where("n <= 3").withColumn("mid", F.when(F.col("n") == 3, third))
-    pairs = few.select(
-        F.explode(
-            F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))])
-        ).alias("p")
-    ).select("p.a", "p.b").where(close("a", "b", bits))
-    crowded = buckets.where("n > 3").select("place", "rest", "n")
-    if crowded.isEmpty():
-        return pairs.distinct()
-    many = index.join(crowded, ["place", "rest"])
-    bounded = many.where(F.col("n") <= bucket_limit).groupBy("place", "rest").agg(F.collect_list("fp").alias("members"))
-    pairs = pairs.unionByName(_forests(bounded, bits))
-    if not crowded.where(F.col("n") > bucket_limit).isEmpty():
-        pairs = pairs.unionByName(hub_pairs(many.where(F.col("n") > bucket_limit).select("fp").distinct(), bits))
-    return pairs.distinct()
+    spark = fps.sparkSession
+    index = variants(fps.repartition(partitions(spark), "fp"), bits).repartition(partitions(spark), "place", "rest")
+    bucket = Window.partitionBy("place", "rest")
+    shared = materialize(index.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets")
+    bounded = shared.where(F.col("n") <= bucket_limit).groupBy("place", "rest").agg(F.collect_list("fp").alias("members"))
+    large = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
+    return _forests(bounded, bits).unionByName(hub_pairs(large, bits)).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, bucket_limit: int = 1024) -> DataFrame:
