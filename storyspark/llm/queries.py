@@ -5,6 +5,7 @@ from __future__ import annotations
 from .cuckoo import ORACLE_OP7, op7_exact_dedup
 from .langid import op6_language_id
 from .lmscore import op9_lm_scoring
+from .mainhtml import op5_html_extraction
 from .packing import op8_best_fit_packing
 from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup,
         op4_sentencepiece,
+        op5_html_extraction,
         op6_language_id,
         op7_exact_dedup,
         op8_best_fit_packing,
