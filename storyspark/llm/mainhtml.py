@@ -36,6 +36,8 @@ FRAME_WORDS = re.compile(
 BODY_WORDS = re.compile(r"(?:^|[^a-z])(?:article\w*|post|entry|story|content|main|body|text)(?:$|[^a-z])")
 SPACE = re.compile(r"\s+")
 HEADING = re.compile("h[1-6]")
+#: A tag that the end of the page cuts off.
+UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_frame", "in_body", "heading")
 
@@ -46,6 +48,9 @@ LABELLED = (
     (85, 0.00, 9, 0.0, 64, 0.0, 0, 1, 0, 1), (64, 0.02, 85, 0.0, 3, 0.0, 0, 1, 0, 1), (3, 0.00, 64, 0.0, 41, 0.1, 0, 1, 0, 1),
     (1, 0.00, 41, 0.1, 12, 0.0, 0, 1, 0, 1), (12, 0.00, 1, 0.0, 6, 1.0, 0, 1, 0, 1), (2, 1.00, 30, 0.0, 25, 0.0, 0, 1, 0, 1),
     (41, 0.15, 3, 0.0, 1, 0.0, 0, 1, 0, 1), (150, 0.00, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (7, 0.00, 1, 1.0, 90, 0.0, 0, 1, 0, 1),
+    (1, 0.00, 5, 0.0, 1, 1.0, 0, 1, 0, 1), (2, 0.00, 1, 1.0, 2, 1.0, 0, 1, 0, 1), (1, 1.00, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
+    (3, 0.00, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 0.50, 9, 1.0, 9, 1.0, 0, 1, 0, 1), (6, 1.00, 38, 0.0, 8, 1.0, 0, 1, 0, 1),
+    (2, 0.00, 3, 1.0, 0, 0.0, 0, 1, 0, 1), (1, 0.00, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (5, 1.00, 0, 0.0, 40, 0.0, 0, 1, 0, 1),
     # headings of an article
     (9, 0.00, 1, 1.0, 85, 0.0, 0, 1, 1, 1), (4, 0.00, 60, 0.0, 33, 0.0, 0, 1, 1, 1), (8, 0.00, 6, 0.0, 8, 0.0, 0, 1, 1, 1),
     # menus, headers, footers, sidebars, notices, adverts and forms by the element or class that holds them
@@ -197,7 +202,7 @@ class BlockParser(HTMLParser):
 
 def text_blocks(page: str) -> list[Block]:
     parser = BlockParser()
-    parser.feed(page)
+    parser.feed(UNFINISHED.sub("", page))
     parser.close()
     parser._flush()
     return parser.blocks

@@ -6,6 +6,7 @@ from .cuckoo import ORACLE_OP7, op7_exact_dedup
 from .langid import op6_language_id
 from .lmscore import op9_lm_scoring
 from .mainhtml import op5_html_extraction
+from .minhash import op3_document_fingerprints
 from .packing import op8_best_fit_packing
 from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op3_document_fingerprints,
         op4_sentencepiece,
         op5_html_extraction,
         op6_language_id,
