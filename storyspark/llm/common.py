@@ -46,6 +46,13 @@ def id_text(values: list) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in values]
 
 
+def without_dropped(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """docs but for the doc_ids that verdict (doc_id, kept) drops in every row."""
+    gone = verdict.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone")), "dropped")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable in edges (u, v: bigint). Rows: node, component, for all but those smallest nodes.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, table
+from .common import id_text, materialize, table, without_dropped
 
 SLOTS = 4
 KICKS = 200
@@ -222,9 +222,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay of each group of equal texts; columns unchanged."""
-    gone = exact_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay of each group of equal texts; columns unchanged. A doc_id of which any
+    row stays keeps all its rows, and a row without a doc_id is never dropped."""
+    return without_dropped(docs, exact_duplicates(docs).select("doc_id", "kept"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_text, materialize, partitions, table
+from .common import connected_components, id_text, materialize, partitions, table, without_dropped
 
 SEED = 42
 BLOCK = 1 << 16
@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, bucket_limit
 
 
 def keep_one(docs: DataFrame, width: int = 5, bits: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group of near-duplicates; columns unchanged."""
-    found = near_duplicates(docs.select("doc_id", "text"), width, bits)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose doc_id is the smallest of its group of near-duplicates; columns unchanged.
+    A doc_id of which any row stays keeps all its rows, and a row without a doc_id is never dropped."""
+    found = near_duplicates(docs, width, bits)
+    return without_dropped(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
