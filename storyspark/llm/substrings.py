@@ -24,7 +24,7 @@ from .common import materialize, table
 
 K = 13
 #: Words of the corpus per shard of edges.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 SOURCE = np.dtype([("edge", "<u8"), ("doc", "<i8"), ("place", "<i4")])
 
 
@@ -63,6 +63,16 @@ class Edges:
         return first_of_each(found)
 
 
+    def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Indexes of the edges that stand in the block more than once or are among those of elsewhere."""
+        order = np.argsort(self.edge)
+        edge = self.edge[order]
+        same = edge[1:] == edge[:-1]
+        chosen = np.append(same, False) | np.append(False, same) if len(edge) else np.zeros(0, bool)
+        chosen[np.searchsorted(edge, np.unique(elsewhere))] = True  # each of them stands in the block
+        return np.sort(order[chosen])
+
+
 def first_of_each(found: np.ndarray) -> np.ndarray:
     found = found[np.lexsort((found["place"], found["doc"], found["edge"]))]
     return found[np.append(True, found["edge"][1:] != found["edge"][:-1])] if len(found) else found
@@ -70,7 +80,7 @@ def first_of_each(found: np.ndarray) -> np.ndarray:
 
 def _ask_representatives(k: int, shards: int):
     def work(row):
-        distinct, _, _ = Edges(row, k).representatives()
+        distinct = np.unique(Edges(row, k).least)
         order, cuts = dealt(distinct, shards)
         yield questions(row["block"], [(s, distinct[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
 
@@ -123,15 +133,17 @@ def _paths(k: int):
 
     def work(row):
         edges = Edges(row, k)
-        replies = [np.frombuffer(r, SOURCE) for r in by_shard(row["replies"]).values()]
-        sources = first_of_each(np.concatenate([edges.firsts(np.arange(len(edges.edge))), *replies]))
-        if not len(sources):
+        replies = np.concatenate([np.zeros(0, SOURCE), *(np.frombuffer(r, SOURCE) for r in by_shard(row["replies"]).values())])
+        own = edges.repeated(replies["edge"])
+        if not len(own):
             return
-        source = sources[np.searchsorted(sources["edge"], edges.edge)]
-        own = np.flatnonzero(source["doc"] < edges.doc)
+        sources = first_of_each(np.concatenate([edges.firsts(own), replies]))
+        source = sources[np.searchsorted(sources["edge"], edges.edge[own])]
+        later = source["doc"] < edges.doc[own]
+        source, own = source[later], own[later]
         if not len(own):
             return
-        source, at, local = source[own], edges.at[own], edges.local[own]
+        at, local = edges.at[own], edges.local[own]
         cut = (np.diff(at) != 1) | (np.diff(local) != 0) | (np.diff(source["doc"]) != 0) | (np.diff(source["place"]) != 1)
         first = np.append(0, np.flatnonzero(cut) + 1)
         n = np.diff(np.append(first, len(own)))
