@@ -11,11 +11,13 @@ from .packing import op8_best_fit_packing
 from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
 from .substrings import op10_substring_dedup
+from .tokencounts import op2_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_token_counts,
         op3_document_fingerprints,
         op4_sentencepiece,
         op5_html_extraction,
