@@ -1 +1,3 @@
-"""plans of the storyspark engine."""
+"""Registered queries over the story model; importing this package registers them all."""
+
+from . import aggregates, graphs, joins, records, search  # noqa: F401

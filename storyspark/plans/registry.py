@@ -29,7 +29,8 @@ def query(name: str, build: Callable[[Model], DataFrame], sql: str | None = None
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["corpus_totals"](spark, sf_dir)
+    """Three clauses, one a phrase, over every note."""
+    return QUERIES["qg_search"](spark, sf_dir)
 
 
 query(
