@@ -1,3 +1,3 @@
 """Registered queries over the story model; importing this package registers them all."""
 
-from . import aggregates, graphs, joins, records, search  # noqa: F401
+from . import aggregates, graphs, joins, ranking, records, search  # noqa: F401
