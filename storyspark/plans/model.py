@@ -143,7 +143,7 @@ def oracle(sql: str) -> str:
                     needed.append(t)
 
     need(sql)
-    ctes = [f"{t} AS ({re.sub(r'@MS\((\w+)\)', r'epoch_ms(\1)', MODEL[t]).replace('embedding[0]', 'embedding[1]')})" for t in needed]
+    ctes = [f"{t} AS ({re.sub(r'@MS\((\w+)\)', r'(epoch_us(\1) // 1000)', MODEL[t]).replace('embedding[0]', 'embedding[1]')})" for t in needed]
     if not ctes:
         return sql
     body = sql.strip()
