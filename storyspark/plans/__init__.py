@@ -1,3 +1,3 @@
 """Registered queries over the story model; importing this package registers them all."""
 
-from . import aggregates, graphs, joins, metrics, ranking, records, search, vectors  # noqa: F401
+from . import aggregates, graphs, history, joins, language, metrics, ranking, records, search, vectors  # noqa: F401
