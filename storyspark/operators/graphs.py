@@ -101,3 +101,22 @@ def nearest_set(nodes: DataFrame, value: str, depth: int, key: str = "id", paren
     for _ in range(depth):
         rows = rows.join(base, "up", "left").select("id", F.coalesce("value", "_v").alias("value"), F.when(F.col("value").isNull(), F.col("_up")).alias("up"))
     return rows.select("id", "value")
+
+
+def components(edges: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
+    """node and component: the least node each node of an edge reaches.
+
+    Rounds of joins that hang every node's neighbours below the least of them, then shorten the chains,
+    until nothing changes; each round is a grouped minimum and a join, written once."""
+    links = written(edges.where(F.col(source) != F.col(target)).select(F.greatest(source, target).alias("hi"), F.least(source, target).alias("lo")).distinct(), "links")
+    before = None
+    while (now := links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()) != before and now[0]:
+        before = now
+        both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
+        large = written(both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "large")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
+        links = written(small.where("hi <> lo").distinct(), "links")
+    own = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
+    return own.unionByName(own.select(F.col("component").alias("node"), "component").distinct())
