@@ -64,14 +64,19 @@ def frequency(text: Column, pattern: str) -> Column:
 
 
 def segment_mask(text: Column, pattern: str, segments: int = SEGMENTS) -> Column:
-    """Bit s is set where an occurrence begins in the s-th of equal segments of the text."""
-    n = F.length(text)
-    bits = []
-    for s in range(segments):
-        a, b = F.ceil(n * s / segments), F.ceil(n * (s + 1) / segments)
-        part = F.substring(text, (a + 1).cast("int"), (b - a + len(pattern) - 1).cast("int"))
-        bits.append(F.when((b > a) & F.contains(part, F.lit(pattern)), F.lit(1 << s)).otherwise(F.lit(0)).cast("bigint"))
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+    """Bit s is set where an occurrence begins in the s-th of equal segments of the text.
+
+    The text is cut before every occurrence (also overlapping ones) and the pieces' lengths add up to the
+    places, so the work is one pass over the text and a step per occurrence."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), zero.alias("mask"), F.length(text).cast("bigint").alias("n"))  # the length is taken once
+
+    def step(s, piece):
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(s["at"] * segments / s["n"]).cast("int"))
+        here = F.when(F.startswith(piece, F.lit(pattern)), bit).otherwise(zero)
+        return F.struct((s["at"] + F.length(piece)).alias("at"), s["mask"].bitwiseOR(here).alias("mask"), s["n"].alias("n"))
+
+    return F.aggregate(F.split(text, f"(?=\\Q{pattern}\\E)"), start, step, lambda s: s["mask"])
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -89,9 +94,9 @@ def length_normal(tf: Column, length: Column, mean: Column, b: float) -> Column:
 def statistics(docs: DataFrame, fields: list[str], clauses: list[Clause]) -> DataFrame:
     """One row: rows, mean length of each field and of all, and the document frequency of each gram."""
     wanted = list(dict.fromkeys(g for c in clauses for g in grams(c.pattern)))
-    has = lambda g: reduce(lambda x, y: x | y, [F.contains(F.lower(f), F.lit(g)) for f in fields])
+    has = lambda g: reduce(lambda x, y: x | y, [F.contains(F.col(f), F.lit(g)) for f in fields])
     length = lambda f: F.coalesce(F.length(f), F.lit(0))
-    return docs.agg(
+    return docs.select(*[F.lower(f).alias(f) for f in fields]).agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         *[(F.sum(length(f)) / F.count(F.lit(1))).alias(f"_mean_{f}") for f in fields],
         *[F.sum(F.when(has(g), 1).otherwise(0)).cast("double").alias(f"_df{i}") for i, g in enumerate(wanted)],

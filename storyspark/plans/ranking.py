@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as op
 from ..operators.search import saturate
+from ..sources.shared import written
 from .registry import query
 
 TERMS = ["the", "and", "tion"]
@@ -17,7 +18,8 @@ POST = f"""SELECT term, id, field, field_len, count(*) AS tf, bit_or(1::BIGINT <
 
 
 def posted(m, where="true"):
-    return op.index(m.messages.where(where), {"body": op.tokens("content"), "lead": F.slice(op.tokens("content"), 1, 8)})
+    """The index, written once for all that reads it."""
+    return written(op.index(m.messages.where(where), {"body": op.tokens("content"), "lead": F.slice(op.tokens("content"), 1, 8)}), "postings")
 
 
 def scores_sql(b=0.75, k1=1.2, lead=1.0, terms=T3, entropy=False) -> str:
