@@ -120,3 +120,21 @@ def components(edges: DataFrame, source: str = "source_id", target: str = "targe
         links = written(small.where("hi <> lo").distinct(), "links")
     own = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
     return own.unionByName(own.select(F.col("component").alias("node"), "component").distinct())
+
+
+def distances(edges: DataFrame, start, rounds: int, source: str = "source_id", target: str = "target_id", cost: str = "cost") -> DataFrame:
+    """node and distance: the cheapest undirected path from start of at most `rounds` edges.
+
+    Every round relaxes the edges of the nodes that the last one improved, by a join and a grouped minimum;
+    it ends early when nothing improves."""
+    both = edges.select(F.col(source).alias("node"), F.col(target).alias("_to"), cost).unionByName(edges.select(F.col(target).alias("node"), F.col(source).alias("_to"), cost))
+    both = written(both.groupBy("node", "_to").agg(F.min(cost).alias("_cost")), "relaxed")
+    known = front = edges.sparkSession.createDataFrame([(start, 0.0)], "node string, distance double")
+    for _ in range(rounds):
+        tried = front.join(both, "node").groupBy(F.col("_to").alias("node")).agg(F.min(F.col("distance") + F.col("_cost")).alias("new"))
+        better = tried.join(known, "node", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance") - 1e-12))
+        front = written(better.select("node", F.col("new").alias("distance")), "front")
+        if front.isEmpty():
+            break
+        known = written(known.join(front.select("node"), "node", "left_anti").unionByName(front), "known")
+    return known

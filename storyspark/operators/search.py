@@ -69,12 +69,13 @@ def segment_mask(text: Column, pattern: str, segments: int = SEGMENTS) -> Column
     The text is cut before every occurrence (also overlapping ones) and the pieces' lengths add up to the
     places, so the work is one pass over the text and a step per occurrence."""
     zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("at"), zero.alias("mask"), F.length(text).cast("bigint").alias("n"))  # the length is taken once
+    # every piece but the first begins with an occurrence; the length and the first are taken once
+    start = F.struct(zero.alias("at"), zero.alias("mask"), F.length(text).cast("bigint").alias("n"), F.startswith(text, F.lit(pattern)).alias("first"))
 
     def step(s, piece):
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(s["at"] * segments / s["n"]).cast("int"))
-        here = F.when(F.startswith(piece, F.lit(pattern)), bit).otherwise(zero)
-        return F.struct((s["at"] + F.length(piece)).alias("at"), s["mask"].bitwiseOR(here).alias("mask"), s["n"].alias("n"))
+        here = F.when((s["at"] > 0) | s["first"], bit).otherwise(zero)
+        return F.struct((s["at"] + F.length(piece)).alias("at"), s["mask"].bitwiseOR(here).alias("mask"), s["n"].alias("n"), s["first"].alias("first"))
 
     return F.aggregate(F.split(text, f"(?=\\Q{pattern}\\E)"), start, step, lambda s: s["mask"])
 

@@ -54,20 +54,20 @@ def grow(inst: Instance) -> tuple[frozenset[int], set[int]]:
     active = {i for i in range(inst.n) if i != inst.root and inst.prizes[i] > TINY}
     paid, forest, died = [0.0] * inst.n, [], []
     while active:
-        best = (float("inf"), 2, -1)
+        best = (float("inf"), 2, -1)  # at equal times a spent prize comes before a paid edge
         for k, (u, v, cost) in enumerate(inst.edges):
             a, b = group[u], group[v]
             rate = (a in active) + (b in active)
             if a != b and rate:
-                best = min(best, (max(0.0, cost - paid[u] - paid[v]) / rate, 0, k))
+                best = min(best, (max(0.0, cost - paid[u] - paid[v]) / rate, 1, k))
         for g in active:
-            best = min(best, (left[g], 1, g))
+            best = min(best, (left[g], 0, g))
         step, kind, what = best
         for g in active:
             left[g] -= step
             for i in members[g]:
                 paid[i] += step
-        if kind == 1:
+        if kind == 0:
             active.discard(what)
             died.append(set(members[what]))
             continue
@@ -144,21 +144,30 @@ def connect(inst: Instance, terminals: set[int]) -> frozenset[int]:
 
 
 def solve(inst: Instance, beta: float = 2.0, depth: int = 10) -> frozenset[int]:
-    """Edges of the cheapest tree or forest found."""
+    """Edges of the cheapest tree or forest found; none, where nothing is worth its edges."""
     if not inst.edges:
         return frozenset()
     grown, dead = grow(inst.scaled(beta) if depth else inst)
     if not depth:
         return grown
     alive = {i for i in range(inst.n) if i not in dead and inst.prizes[i] > TINY} | ({inst.root} if inst.root is not None else set())
-    found = [grown, connect(inst, alive)]
+    found = [grown, connect(inst, alive), frozenset()]
     if any(inst.prizes[i] > TINY for i in dead):
         found.append(solve(inst.without(dead), beta, depth - 1))
     return min(found, key=lambda s: (round(inst.price(s), 9), sorted(s)))
 
 
-def steiner(edges: DataFrame, prizes: DataFrame, root: str | None = None, beta: float = 2.0) -> DataFrame:
-    """component, source, target, cost of the edges worth their price.
+def grown_only(inst: Instance) -> frozenset[int]:
+    return grow(inst)[0]
+
+
+def joined_only(inst: Instance) -> frozenset[int]:
+    """The Steiner tree of all nodes with a prize."""
+    return connect(inst, {i for i, p in enumerate(inst.prizes) if p > TINY})
+
+
+def steiner(edges: DataFrame, prizes: DataFrame, root: str | None = None, solver=solve) -> DataFrame:
+    """component, source, target, cost of the edges worth their price, by solver(instance) of each component.
 
     edges: source, target, cost (undirected; of repeats the cheapest); prizes: id, prize. Components without
     a prize are left out before anything is solved."""
@@ -179,6 +188,6 @@ def steiner(edges: DataFrame, prizes: DataFrame, root: str | None = None, beta:
         for x, p in zip(gain["id"], gain["prize"], strict=True):
             prize[at[x]] += float(p)
         inst = Instance(len(ids), [(at[u], at[v], float(c)) for u, v, c in zip(own["source"], own["target"], own["cost"], strict=True)], prize, at.get(root))
-        return own.iloc[sorted(solve(inst, beta))][["component", "source", "target", "cost"]]
+        return own.iloc[sorted(solver(inst))][["component", "source", "target", "cost"]]
 
     return rows.groupBy("component").cogroup(worth.groupBy("component")).applyInPandas(run, schema)

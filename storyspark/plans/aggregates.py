@@ -164,3 +164,19 @@ query(
     "SELECT entity_id AS term, round(sum(-p * ln(p)), 6) AS entropy FROM (SELECT entity_id, 1 / (1 + exp(-least(n, 10))) AS p FROM mentions) GROUP BY entity_id",
 )
 query("agg_max_order", lambda m: op.next_order(m.notes.where("folder_id = 'src4'")), "SELECT coalesce(max(ord), 0) + 1000 AS next FROM notes WHERE folder_id = 'src4'")
+
+
+def built(m):
+    """Co-occurrence in sentences, its PMI, and what the edges know: one graph of pairs."""
+    own = op.pmi(op.pair_weights(sentence_pairs(m)), frequency(m)).select(F.concat(F.lit("p"), "a").alias("a"), F.concat(F.lit("p"), "b").alias("b"), "weight", "pmi")
+    known = m.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight", F.lit(None).cast("double").alias("pmi"))
+    return op.merged_weights(own.unionByName(known), "sum").where("weight >= 2")
+
+
+query(
+    "graph_build",
+    built,
+    f"""WITH w AS ({WEIGHTS}), f AS (SELECT entity_id, count(DISTINCT episode_id) AS n FROM sentence_mentions GROUP BY entity_id),
+        own AS (SELECT 'p' || a AS a, 'p' || b AS b, weight, round(ln(weight * (SELECT CAST(sum(weight) AS DOUBLE) FROM w) / (fa.n * fb.n)), 6) AS pmi FROM w JOIN f fa ON fa.entity_id = a JOIN f fb ON fb.entity_id = b)
+        SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(weight) AS BIGINT) AS weight, round(avg(pmi), 6) AS pmi FROM (SELECT * FROM own UNION ALL SELECT source_id, target_id, weight, NULL FROM edges) GROUP BY 1, 2 HAVING sum(weight) >= 2""",
+)

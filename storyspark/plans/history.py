@@ -137,7 +137,7 @@ def aliases_after(m):
     return m.aliases.unionByName(new.select("entity_id", "alias"))
 
 
-query("mut_alias", aliases_after, "SELECT entity_id, alias FROM aliases UNION ALL SELECT 'p1', 'Fresh'")
+query("mut_alias", aliases_after, "SELECT entity_id, alias FROM aliases UNION ALL SELECT * FROM (VALUES ('p1', 'Brand#17 1'), ('p1', 'Fresh')) v(e, a) WHERE lower(a) NOT IN (SELECT lower(alias) FROM aliases)")
 query("mut_mentions", lambda m: op.upserted(m.mentions.withColumn("at", F.lit(0)), df(m, [("p5", 3, 42, 1), ("p5", 4, 0, 1)], "entity_id string, note_id bigint, n bigint, at int"), ["entity_id", "note_id"], "at").where("n > 0 AND entity_id = 'p5'").select("note_id", "n"),
     "SELECT note_id, n FROM mentions WHERE entity_id = 'p5' AND note_id NOT IN (3, 4) UNION ALL SELECT 3, 42")
 query("mut_persist_scan", lambda m: m.sentence_mentions.where("note_id = 5").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).join(m.part.select(F.col("p_partkey").alias("entity_id"), "p_name"), "entity_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as op
 from ..operators import steiner
+from ..operators.graphs import distances
 from .registry import query
 
 CAL = op.Calendar([(30, None), (28, (4, 1, 100)), (31, None), (30, None), (31, None), (30, None), (31, None), (30, None), (31, None), (30, None), (31, None), (32, None)], 6, [(-10, -1, "BE"), (0, 3, "AE"), (4, None, "NE")])
@@ -42,3 +43,14 @@ def network(m):
 
 query("graph_pcst", lambda m: steiner.steiner(*network(m)))
 query("graph_pcst_cost", lambda m: steiner.steiner(*network(m)).groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("cost"), 6).alias("cost")))
+query("graph_ipcst", lambda m: steiner.steiner(*network(m), solver=lambda i: steiner.solve(i, beta=3.0, depth=4)).groupBy("component").agg(F.count(F.lit(1)).alias("edges")))
+query("graph_gw", lambda m: steiner.steiner(*network(m), solver=steiner.grown_only))
+query("graph_gw_prune", lambda m: steiner.steiner(*network(m), solver=steiner.grown_only).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+query("graph_mst_steiner", lambda m: steiner.steiner(*network(m), solver=steiner.joined_only).groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("cost"), 6).alias("cost")))
+COST = "round(greatest(0.01, 1.0 - confidence), 2)"
+query(
+    "graph_dijkstra",
+    lambda m: distances(m.edges.where("weight > 1").withColumn("cost", F.round(F.greatest(F.lit(0.01), 1 - F.col("confidence")), 2)), "p10", 4).withColumn("distance", F.round("distance", 6)),
+    f"""WITH RECURSIVE e AS (SELECT a, b, min(c) AS c FROM (SELECT source_id AS a, target_id AS b, {COST} AS c FROM edges WHERE weight > 1 UNION ALL SELECT target_id, source_id, {COST} FROM edges WHERE weight > 1) GROUP BY a, b),
+        walk(node, d, n) AS (SELECT 'p10', CAST(0.0 AS DOUBLE), 0 UNION SELECT b, round(d + c, 6), n + 1 FROM walk JOIN e ON a = node WHERE n < 4) SELECT node, min(d) AS distance FROM walk GROUP BY node""",
+)
