@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, bucket_limit
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, bits: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group of near-duplicates; columns unchanged.
     A doc_id of which any row stays keeps all its rows, and a row without a doc_id is never dropped."""
     found = near_duplicates(docs, width, bits)

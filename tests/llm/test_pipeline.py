@@ -45,8 +45,8 @@ def test_stages_match_brute_force(spark, tmp_path):
                 last[t.lower()] = i
             texts = {i: texts[i] for i in last.values()}
         elif name == "simhash_near_dedup":
-            prints = {i: slow_fingerprint(t, 5) for i, t in texts.items()}
-            roots = slow_components(sorted(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+            prints = {i: slow_fingerprint(t) for i, t in texts.items()}
+            roots = slow_components(sorted(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
             texts = {i: t for i, t in texts.items() if roots[i] == i}
         else:
             removed = {r[0]: (r[1], r[2]) for r in slow_substrings(list(texts.items()), 13)}
