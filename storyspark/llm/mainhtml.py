@@ -28,10 +28,10 @@ FRAME = frozenset("nav header footer aside form menu dialog search button select
 BODY = frozenset("article main".split())
 #: Words of class, id and role that name a page's frame, or what is not the article's own text.
 FRAME_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|"
-    r"subscri\w+|sign-?up|log-?in|search|nav\w*|menu|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar|"
-    r"related|recommend\w*|share|sharing|social|comments?|replies|reply|disqus|respond|discussion|pagination|pager|tags?|copyright|legal|"
-    r"complementary|contentinfo|alert\w*|skip-?link|sr-only|hidden)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|adsense|banner|sponsor\w*|promo\w*|consent|gdpr|notices?|modal|overlay|sign-?up|log-?in|search|nav\d*|menu|side|aside|"
+    r"widget|foot|header|topbar|toolbar|related|recommend\w*|share|sharing|social|repl(?:y|ies)|respond|discussion|pager|tags?|copyright|legal|"
+    r"complementary|contentinfo|alert\w*|skip-?link|sr-only|hidden|form)(?:$|[^a-z])"
+    r"|advert|cookie|newsletter|subscri[bp]|sidebar|breadcrumb|footer|masthead|navbar|navigation|pagination|popup|disqus|comment(?!ar|at)"
 )
 BODY_WORDS = re.compile(r"(?:^|[^a-z])(?:article\w*|post|entry|story|content|main|body|text)(?:$|[^a-z])")
 SPACE = re.compile(r"\s+")

@@ -28,6 +28,14 @@ def test_article_without_the_rest():
     assert main_text(FULL, TREE) == WANT
 
 
+def test_names_of_frames():
+    line = "word " * 40
+    for name in ("commentlist", "site-footer", "cookieBar", "left-sidebar", "ad-slot", "notice", "related-posts", "nav2", "post-comments"):
+        assert main_text(f'<article><p>{line}</p><div class="{name}"><p>{line}</p></div></article>', TREE) == line.strip(), name
+    for name in ("commentary", "shadow", "adventure", "story-body", "navy", "content"):
+        assert main_text(f'<article><div class="{name}"><p>{line}</p></div></article>', TREE) == line.strip(), name
+
+
 def test_page_without_article_element():
     line = "word " * 40
     page = f"<body><a href=x>Home</a> <a href=y>News</a><div>{line}</div><div>{line}</div><div><a>More</a> <a>links</a></div></body>"
