@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..sources import stores as op
-from ..sources.shared import shared_folder
+from ..sources.shared import new_place
 from . import guard
 from .registry import query
 
 
 def place(m, name):
-    import uuid
-
-    return f"{shared_folder(m.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_place(m.spark, name)
 
 
 def dumped(m, *names):
@@ -35,9 +33,9 @@ def scripted(m):
     return op.run_script(m.spark, "SELECT id, label FROM script_entities WHERE kind = :kind AND mentions > :least", {"kind": "PROMO", "least": 30})
 
 
-query("src_cozo_run", scripted, "SELECT id, label FROM entities WHERE kind = 'PROMO' AND mentions > 30")
-query("src_cozo_export", lambda m: dumped(m, "aliases")["aliases"], "SELECT entity_id, alias FROM aliases")
-query("src_cozo_import", lambda m: dumped(m, "networks")["networks"], "SELECT * FROM networks")
+query("src_graphdb_run", scripted, "SELECT id, label FROM entities WHERE kind = 'PROMO' AND mentions > 30")
+query("src_graphdb_export", lambda m: dumped(m, "aliases")["aliases"], "SELECT entity_id, alias FROM aliases")
+query("src_graphdb_import", lambda m: dumped(m, "networks")["networks"], "SELECT * FROM networks")
 
 
 def logged(m):

@@ -5,14 +5,13 @@ there, with its state and offsets in the folder that all executors share."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import new_place
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -27,7 +26,7 @@ def run(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Drive the stream over all that is there, then read what it wrote. In complete mode each batch takes
     the place of the one before; in append and update modes rows add up."""
     spark = stream.sparkSession
-    home = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    home = new_place(spark, name)
 
     def sink(batch: DataFrame, number: int) -> None:
         # a batch that is written again after a failure takes its own place
