@@ -64,3 +64,26 @@ def test_stages_match_brute_force(spark, tmp_path):
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, whole)) == sorted(map(key, packed))
     assert simhash.fingerprint(b"") == 0
+
+
+def test_stages_take_empty_and_null_rows(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, block int, extra string, ids string, kept boolean"
+    nothing = spark.createDataFrame([], schema)
+    odd = [(None, None, None, None, None, None, None, None, None), (1, None, None, None, None, 1, "x", "y", True), (2, "", "en", "s", 0, 1, "x", "y", True)]
+    odd += [(3, "only words here", None, None, None, 1, None, None, None)] * 2 + [(4, "ONLY words here", "en", "s", 15, 1, "x", "y", False), (5, "w " * 30000, "en", "s", 60000, 1, "x", "y", False)]
+    for rows in (nothing, spark.createDataFrame(odd, schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, rows, "")
+            assert got.columns == rows.columns, name
+            kept = got.collect()
+            assert {r.doc_id for r in kept} <= {r[0] for r in odd}
+            if name == "substring_dedup" and rows is not nothing:
+                assert len(kept) == len(odd)
+            if name == "exact_dedup" and rows is not nothing:
+                assert sorted(r.doc_id or 0 for r in kept) == [0, 2, 4, 5]
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == (0 if rows is nothing else len(odd) - 1 + packed_pieces(odd))
+
+
+def packed_pieces(rows):
+    """Pieces of the last row, which alone is cut."""
+    return -(-(len(packing.Encoder()(rows[-1][1])) + 1) // 1024)
