@@ -121,3 +121,29 @@ def chunks(docs: DataFrame, text: str, size: int = 1024, key: str = "id") -> Dat
             yield texts.map(lambda t: pieces(t or ""))
 
     return docs.select(key, F.posexplode(split(text)).alias("place", "chunk"))
+
+
+def diverse(df: DataFrame, query: list[float], k: int, share: float = 0.5, pool: int = 100, key: str = "id", v: str = "vec") -> DataFrame:
+    """key, place: k rows picked one by one from the pool nearest to query, each the best by
+    share x likeness to query - (1 - share) x greatest likeness to those picked. Only the pool is gathered."""
+    import numpy as np
+
+    found = nearest(df, query, pool, key, v).select(key, F.transform(v, lambda x: x.cast("double")).alias("_v"), (1 - F.col("distance")).alias("_near"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_near", key], ascending=[False, True]).reset_index(drop=True)
+        x = np.stack(rows["_v"].to_list())
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(norm == 0, 1, norm)
+        near, worst, out = rows["_near"].to_numpy(), np.zeros(len(rows)), []
+        while len(out) < min(k, len(rows)):
+            score = share * near - (1 - share) * worst
+            score[out] = -np.inf
+            best = int(np.argmax(np.round(score, 9)))
+            out.append(best)
+            like = x @ x[best]
+            worst = like if len(out) == 1 else np.maximum(worst, like)
+        return pd.DataFrame({key: rows[key].iloc[out], "place": range(1, len(out) + 1)})
+
+    return found.groupBy().applyInPandas(pick, f"{key} {kind}, place int")

@@ -82,3 +82,4 @@ query(
 query("vec_chunk", lambda m: op.chunks(m.notes, "content").select("id", "place", F.length("chunk").alias("n")))
 query("vec_mention_evidence", lambda m: m.mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("notes"), F.sum("n").alias("frequency")).join(m.entities.select(F.col("id").alias("entity_id"), F.col("label").rlike("^[A-Z]").alias("capital")), "entity_id"),
     "SELECT entity_id, count(*) AS notes, CAST(sum(n) AS BIGINT) AS frequency, any_value(regexp_matches(label, '^[A-Z]')) AS capital FROM mentions JOIN entities ON id = entity_id GROUP BY entity_id")
+query("vec_mmr", lambda m: op.diverse(m.blocks, QUERY, 10))

@@ -151,6 +151,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0])], "id int, vec array<double>")
     got = [(r.id, r.distance) for r in vectors.nearest(df, [1.0, 0.0], 4).collect()]
     assert got[0] == (1, 0.0) and got[1:] == [(2, 1.0), (3, 1.0), (4, 1.0)]
+    like = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.7, 0.7])], "id int, vec array<double>")
+    assert [r.id for r in vectors.diverse(like, [1.0, 0.1], 2).orderBy("place").collect()] == [2, 3]
+    assert vectors.diverse(like.limit(0), [1.0, 0.1], 2).count() == 0
     chunks = vectors.chunks(notes(spark, [("a", "x. " * 500), ("b", ""), ("c", None)]), "content").collect()
     assert {r.id for r in chunks} == {"a"} and max(len(r.chunk) for r in chunks) <= 1024
     assert "".join(r.chunk for r in sorted(chunks, key=lambda r: r.place)).count("x") == 500
