@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialize, partitions, shared_dir
+from .common import materialize, shared_dir, sized_partitions
 
 BLOCK_BYTES = 4 << 20
 WHITE_BYTES = [0x20, *range(0x09, 0x0E)]
@@ -138,7 +138,7 @@ def build_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     made = rows.mapInArrow(run, schema).write.option("path", path).option("compression", "zstd")
-    made.bucketBy(partitions(spark), "block").saveAsTable(name)
+    made.bucketBy(sized_partitions(docs), "block").saveAsTable(name)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.table(name)

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separator of words; bytes.split() splits on the same six bytes.
 WHITE = r"[\x20\x09-\x0D]+"
 
+PARTITION_BYTES = 128 << 20
+#: Spark's own limit for buckets.
+MOST_PARTITIONS = 100_000
+#: Sizes above this mean that the optimiser knows none.
+UNKNOWN_SIZE = 1 << 60
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +47,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized_partitions(df: DataFrame, times: float = 1.0) -> int:
+    """As many partitions as the session deals out, and no fewer than one for each PARTITION_BYTES of df (times
+    what it grows by), so that a partition's size is bounded whatever the setting; at most MOST_PARTITIONS."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * times
+    least = partitions(df.sparkSession)
+    return least if size > UNKNOWN_SIZE else max(least, min(MOST_PARTITIONS, int(size // PARTITION_BYTES)))
+
+
 def id_text(values: list) -> list[bytes]:
     """Texts of an Arrow column as UTF-8 bytes, null as empty."""
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in values]

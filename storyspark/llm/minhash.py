@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, partitions, table
+from .common import WHITE, sized_partitions, table
 
 KMER = 3
 BINS = 64
@@ -122,7 +122,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     # the block of a null id comes after every other
     block = F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 60)).cast("bigint"))
     keys = next_keys(rows.select(block.alias("key")).distinct())
-    rows = rows.withColumn("block", block).repartition(partitions(rows.sparkSession), "block")
+    rows = rows.withColumn("block", block).repartition(sized_partitions(rows), "block")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
     rows = rows.select(
         "*", F.lead("text").over(order).alias("later_text"), F.lead("own").over(order).alias("later"), F.row_number().over(order).alias("rank")

@@ -10,7 +10,7 @@ from .minhash import op3_document_fingerprints
 from .packing import op8_best_fit_packing
 from .pieces import op4_sentencepiece
 from .simhash import op1_simhash_near_dedup
-from .substrings import op10_substring_dedup
+from .substrings import ORACLE_OP10, op10_substring_dedup
 from .tokencounts import op2_token_counts
 
 QUERIES = {
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op7_exact_dedup": ORACLE_OP7}
+ORACLE_SQL = {"op7_exact_dedup": ORACLE_OP7, "op10_substring_dedup": ORACLE_OP10}

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_text, materialize, partitions, table, without_dropped
+from .common import connected_components, id_text, materialize, sized_partitions, table, without_dropped
 
 SEED = 42
 BLOCK = 1 << 16
@@ -120,8 +120,9 @@ def linked_pairs(fps: DataFrame, bits: int = 2, bucket_limit: int = 1024) -> Dat
     hub_pairs, which is exact at any size. No link between different fingerprints is lost. A bucket's
     rows are distinct fingerprints: copies, however many, are one row.
     """
-    spark = fps.sparkSession
-    index = variants(fps.repartition(partitions(spark), "fp"), bits).repartition(partitions(spark), "place", "rest")
+    # a fingerprint's 64 rows take some 256 times its own bytes
+    n = sized_partitions(fps, 256)
+    index = variants(fps.repartition(n, "fp"), bits).repartition(n, "place", "rest")
     bucket = Window.partitionBy("place", "rest")
     shared = materialize(index.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets")
     bounded = shared.where(F.col("n") <= bucket_limit).groupBy("place", "rest").agg(F.collect_list("fp").alias("members"))

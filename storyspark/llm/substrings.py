@@ -181,7 +181,8 @@ def _span_digests(blocks: DataFrame, homes: DataFrame, spans: DataFrame, k: int)
 
 def _verified(blocks: DataFrame, paths: DataFrame, k: int) -> DataFrame:
     """The paths whose source has the same words. One that has not (edges that differ may share a hash)
-    is taken apart, and each of its edges is verified alone."""
+    is taken apart, and each of its edges is verified alone; an edge whose source then proves false stays
+    in its document, which with 64-bit hashes takes a collision."""
     homes = blocks.select("block", F.posexplode("doc_ids").alias("local", "doc_id")).where("doc_id IS NOT NULL")
 
     def at_source(rows: DataFrame) -> DataFrame:
@@ -299,3 +300,15 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP10 = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+spans AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT gram, min(doc_id) AS source FROM spans GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM spans JOIN firsts USING (gram) WHERE source < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS t
+         FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
