@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from .common import materialize, shared_dir, sized_partitions
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 WHITE_BYTES = [0x20, *range(0x09, 0x0E)]
 MULTIPLIER = 0x9E3779B97F4A7C15
 WORD = (1 << 64) - 1
@@ -73,7 +73,7 @@ class Words:
             return
         begin = self.starts[0]
         spans = np.diff(np.append(self.starts, len(raw)))
-        place = np.arange(begin, len(raw)) - np.repeat(self.starts, spans)
+        place = np.arange(begin, len(raw), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), spans)
         lengths = self.ends - self.starts
         place = np.minimum(place, lengths.max())
         terms = _byte_table(fold)[raw[begin:]] * _powers(int(lengths.max()) + 1)[place]
