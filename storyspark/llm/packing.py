@@ -48,8 +48,8 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Every document's pieces of at most capacity tokens, the end token included: doc_id, piece, start,
-    length, ids_crc32 (and ids), with the task (part) that cut it and its rank there among equal lengths."""
+    """Every document's pieces of at most capacity tokens, the end token included, of which only the first
+    may be shorter where there are more than one: doc_id, piece, start, length, ids_crc32 (and ids), with the task (part) that cut it and its rank there among equal lengths."""
 
     def run(batches):
         encode, ranks, part = Encoder(), Counter(), TaskContext.get().partitionId()
@@ -57,8 +57,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) ->
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), END], dtype="<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    own = ids[at : at + capacity]
+                head = len(ids) % capacity
+                for k, at in enumerate([0] * (head > 0) + [*range(head, len(ids), capacity)]):
+                    own = ids[at : at + capacity if at or not head else head]
                     rows.append((doc_id, k, at, len(own), zlib.crc32(own.tobytes()), part, ranks[len(own)], own.astype(np.int32) if keep_ids else None))
                     ranks[len(own)] += 1
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8

@@ -131,3 +131,18 @@ def test_packing_rows(spark):
             at += length
         assert at <= 1024
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_only_the_first_piece_is_shorter(spark):
+    texts = ["the " * 3000, "x" * 5000, "the", "the " * 1022 + "the", None]
+    encode, docs = packing.Encoder(), defaultdict(list)
+    for r in packing.pack(frame(spark, texts)).collect():
+        docs[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in enumerate(texts):
+        want = np.array([*encode(t or ""), packing.END], "<u4")
+        head, rows = len(want) % 1024, []
+        for a, b in zip([0, *range(head or 1024, len(want), 1024)], [*range(head or 1024, len(want) + 1, 1024)], strict=True):
+            rows.append((len(rows), a, b - a, zlib.crc32(want[a:b].tobytes())))
+        assert sorted(docs[i]) == rows
+    assert len(docs[0]) > 1 and docs[0] and min(docs[0])[2] < 1024
+    assert len([*encode(texts[3]), packing.END]) == 1024 and len(docs[3]) == 1
