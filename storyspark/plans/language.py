@@ -100,7 +100,7 @@ query("nlp_select_best", lambda m: best_per_key(cast(m).withColumn("rank", op.be
 
 
 def sample(m):
-    return m.documents.where("lang = 'en' AND doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return m.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
 
 
 query("nlp_tokenize", lambda m: sample(m).select("id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{Nd}'-]+|\p{P}"), F.lit(0))).alias("n")), r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nd}''-]+|\p{P}')) AS INT) AS n FROM documents WHERE lang = 'en' AND doc_id % 4 = 0")
@@ -127,7 +127,7 @@ query("nlp_scan", lambda m: op.event_rows(sample(m), "t").groupBy("id").agg(F.co
 
 
 def beside(m, frame, pick):
-    rows = op.phrase_rows(sample(m).where("id < 200"), "t")
+    rows = op.phrase_rows(sample(m), "t")
     w = Window.partitionBy("id").orderBy("place").rowsBetween(*frame)
     return rows.withColumn("near", pick(F.when(F.col("kind") == "NP", F.col("head")), ignorenulls=True).over(w)).where("kind = 'VP'").select("id", "place", "near")
 
@@ -196,7 +196,7 @@ def resolved(m):
 
 query("nlp_resolve", resolved, """SELECT asked, coalesce((SELECT min(id) FROM entities WHERE lower(label) = asked), (SELECT min(entity_id) FROM aliases WHERE lower(alias) = asked)) AS id
        FROM (SELECT DISTINCT lower(alias) AS asked FROM aliases WHERE entity_id < 'p2' UNION SELECT DISTINCT lower(label) FROM entities WHERE kind = 'PROMO')""")
-query("nlp_cst", lambda m: op.phrase_rows(sample(m).where("id < 200"), "t").select("id", F.concat(F.lit("phrase:"), "kind").alias("kind"), "place", "end").unionByName(sample(m).where("id < 200").select("id", F.lit("text").alias("kind"), F.lit(0).alias("place"), F.length("t").alias("end"))).orderBy("id", "place", F.desc("end")))
+query("nlp_cst", lambda m: op.phrase_rows(sample(m), "t").select("id", F.concat(F.lit("phrase:"), "kind").alias("kind"), "place", "end").unionByName(sample(m).select("id", F.lit("text").alias("kind"), F.lit(0).alias("place"), F.length("t").alias("end"))).orderBy("id", "place", F.desc("end")))
 query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences(F.regexp_replace("t", "[^ -~\n]", ""))).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(regexp_replace(text, '[^ -~
 ]', '', 'g'), '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents WHERE lang = 'en' AND doc_id % 4 = 0""")
 query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en' AND doc_id % 4 = 0)")
