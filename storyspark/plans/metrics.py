@@ -10,7 +10,7 @@ from .registry import query
 
 # the text in plain ASCII, so that both dialects agree on what a word character is
 def docs(m):
-    return m.documents.where("lang = 'en' AND doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^ -~\n]", "").alias("t"))
+    return m.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^ -~\n]", "").alias("t"))
 
 
 D = "SELECT doc_id AS id, regexp_replace(text, '[^ -~\n]', '', 'g') AS t FROM documents WHERE lang = 'en' AND doc_id % 2 = 1"
@@ -59,7 +59,7 @@ query("met_analyze", lambda m: op.text_metrics(docs(m), "t").select("id", "words
 
 def ranges(m):
     """Numbers of the first and last token of each sentence; the tail without an end mark is one too."""
-    tokens = docs(m).where("id < 200").select("id", F.posexplode(F.regexp_extract_all("t", F.lit("[A-Za-z0-9'-]+|[.!?]"), 0)).alias("i", "w"))
+    tokens = docs(m).select("id", F.posexplode(F.regexp_extract_all("t", F.lit("[A-Za-z0-9'-]+|[.!?]"), 0)).alias("i", "w"))
     before = F.coalesce(F.sum(F.col("w").rlike("^[.!?]$").cast("int")).over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return tokens.withColumn("sentence", before).groupBy("id", "sentence").agg(F.min("i").alias("first"), F.max("i").alias("last"))
 

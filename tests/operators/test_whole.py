@@ -15,6 +15,10 @@ CUT = re.compile(
     r" AND doc_id % (?:4 = 0|2 = 1)| WHERE doc_id % [23] = 0| WHERE item_id < 20|\s+WHERE id < (?:50|200|400|3000)(?=\W|$)| WHERE e\.id < 2000| AND id < 20(?=\W|$)"
 )
 SAMPLED = "nlp_tokenize nlp_sentences nlp_paragraphs".split()
+METRICS = (
+    "met_words met_sentences met_paragraphs met_syllables met_length_hist met_consecutive met_variety met_flow_insights met_reading_level met_stddev "
+    "met_flow_len met_text met_analyze met_sentence_ranges win_adjacent"
+).split()
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +42,7 @@ def same(spark, duck, name, sql):
     assert got == sorted((tuple(plain(r[i]) for i in place) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", SAMPLED)
+@pytest.mark.parametrize("name", SAMPLED + METRICS)
 def test_whole_table(spark, duck, name):
     same(spark, duck, name, CUT.sub("", ORACLE_SQL[name]))
 
