@@ -16,7 +16,7 @@ MARKED = """SELECT id, folder_id, narrative_id, 'See [[' || title || '|the ' ||
 
 
 def marked(m):
-    n = m.notes.where("id < 400")
+    n = m.notes
     text = F.concat(
         F.lit("See [["), "title", F.lit("|the "), "folder_id", F.lit("]] and <<"), "title", F.lit(">> [CHARACTER|Hero "), F.col("id").cast("string"), F.lit("] -[KNOWS]-> [PLACE:Town"), F.col("id").cast("string"), F.lit("] #tag-"), "folder_id", F.lit(" &#38; @user_"), "narrative_id"
     )
@@ -82,11 +82,11 @@ query("nlp_dict_lookup", lambda m: op.surfaces(m.entities.withColumn("kind", F.l
 
 def words_of(m):
     """A dictionary of the benchmark's first words, as entities."""
-    return m.benchmark.where("item_id < 20").select(F.col("item_id").cast("string").alias("id"), F.array_join(F.slice(F.split(op.canonical("text"), " "), 1, 2), " ").alias("surface")).withColumn("words", F.lit(2))
+    return m.benchmark.select(F.col("item_id").cast("string").alias("id"), F.array_join(F.slice(F.split(op.canonical("text"), " "), 1, 2), " ").alias("surface")).withColumn("words", F.lit(2))
 
 
 def scanned(m):
-    docs = m.documents.where("doc_id % 2 = 0").select("doc_id", "text")
+    docs = m.documents.select("doc_id", "text")
     return op.dictionary_scan(docs, words_of(m), "text", longest=2)
 
 
@@ -139,7 +139,7 @@ query("nlp_project", lambda m: op.event_rows(sample(m), "t").where("subject <> '
 query("nlp_recipient", lambda m: op.phrase_rows(sample(m), "t").where("kind = 'PP' AND lower(head) = 'to'").select("id", F.regexp_extract("value", r"(\p{Lu}\w*)$", 1).alias("recipient")).where("recipient <> ''"))
 query(
     "nlp_canon_token",
-    lambda m: m.documents.where("doc_id % 3 = 0").select(F.explode(F.split("text", r"[ \n\t]+")).alias("w")).distinct().select("w", op.name_key("w").alias("key")),
+    lambda m: m.documents.select(F.explode(F.split("text", r"[ \n\t]+")).alias("w")).distinct().select("w", op.name_key("w").alias("key")),
     r"""SELECT w, CASE WHEN regexp_matches(o, '\p{L}') AND length(o) >= 2 THEN lower(o) END AS key FROM (SELECT w, CASE WHEN length(b) > 2 AND ends_with(lower(b), '''s') THEN left(b, length(b) - 2) ELSE b END AS o FROM
         (SELECT w, regexp_replace(translate(w, '’', ''''), '^[^\p{L}\p{Nd}''-]+|[^\p{L}\p{Nd}''-]+$', '', 'g') AS b FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \n\t]+')) AS w FROM documents WHERE doc_id % 3 = 0)))""",
 )
@@ -167,7 +167,7 @@ query("nlp_gender", lambda m: m.spark.createDataFrame([(a, b) for a in GENDERS f
 def mentioned(m):
     """Episodes read as mentions: errors are pronouns, the rest name their target, whose gender follows its number."""
     n = F.col("id") % 200
-    return m.episodes.where("id < 3000").select(
+    return m.episodes.select(
         "scope_id", F.col("id").alias("place"), F.when(F.col("action") != "error", F.col("target_id")).alias("entity"),
         F.when(F.col("action") == "error", None).when(n % 3 == 0, "male").when(n % 3 == 1, "female").otherwise("neutral").alias("gender"),
         F.when(F.col("action") == "error", F.when(F.col("id") % 2 == 0, "he").otherwise("it")).otherwise(F.col("target_id")).alias("word"),

@@ -19,6 +19,10 @@ METRICS = (
     "met_words met_sentences met_paragraphs met_syllables met_length_hist met_consecutive met_variety met_flow_insights met_reading_level met_stddev "
     "met_flow_len met_text met_analyze met_sentence_ranges win_adjacent"
 ).split()
+SUBSETS = (
+    "nlp_dict_scan nlp_dict_scan_info nlp_implicit nlp_canon_token nlp_coref nlp_wikilink nlp_backlink nlp_entity_tag nlp_triple nlp_mention nlp_tag "
+    "nlp_pattern_async nlp_pattern_sync nlp_pattern_registry"
+).split()
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +46,7 @@ def same(spark, duck, name, sql):
     assert got == sorted((tuple(plain(r[i]) for i in place) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", SAMPLED + METRICS)
+@pytest.mark.parametrize("name", SAMPLED + METRICS + SUBSETS)
 def test_whole_table(spark, duck, name):
     same(spark, duck, name, CUT.sub("", ORACLE_SQL[name]))
 
