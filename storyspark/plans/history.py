@@ -92,7 +92,7 @@ query("ep_range", lambda m: m.episodes.where(F.col("ts").between(T, T + 3_600_00
 query("ep_payload", lambda m: records.json_has(m.episodes, "payload", "$.k", "42").select("id", "payload"), "SELECT id, payload FROM episodes WHERE json_extract_string(payload, '$.k') = '42'")
 query(
     "tmp_as_of_events",
-    lambda m: as_of_join(m.episodes.where("id < 2000").select("id", F.col("note_id").alias("note"), (F.col("note_id") * 1000 + 150).alias("at")), m.note_versions.select(F.col("id").alias("note"), "version", "valid_from", "valid_to"), "note", "at").select("id", "version"),
+    lambda m: as_of_join(m.episodes.select("id", F.col("note_id").alias("note"), (F.col("note_id") * 1000 + 150).alias("at")), m.note_versions.select(F.col("id").alias("note"), "version", "valid_from", "valid_to"), "note", "at").select("id", "version"),
     "SELECT e.id, v.version FROM episodes e LEFT JOIN note_versions v ON v.id = e.note_id AND valid_from <= e.note_id * 1000 + 150 AND (valid_to IS NULL OR valid_to > e.note_id * 1000 + 150) WHERE e.id < 2000",
 )
 
