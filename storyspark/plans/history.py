@@ -120,7 +120,7 @@ query("mut_memory", lambda m: m.memories.select("id", "memory_type").unionByName
     "SELECT id, memory_type, thread_id FROM memories JOIN memory_threads ON memory_id = id UNION ALL SELECT 'm-new', 'fact', 't1'")
 query("mut_message", lambda m: m.messages.select("thread_id", "created_at").unionByName(df(m, [("t3", 10**9)], "thread_id string, created_at bigint")).groupBy("thread_id").agg(F.max("created_at").alias("updated_at"), F.count(F.lit(1)).alias("n")),
     "SELECT thread_id, max(created_at) AS updated_at, count(*) AS n FROM (SELECT thread_id, created_at FROM messages UNION ALL SELECT 't3', 1000000000) GROUP BY thread_id")
-query("mut_append_chunk", lambda m: m.messages.groupBy("thread_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "content"))), lambda x: F.substring(x["content"], 1, 20)), "").alias("content")),
+query("mut_append_chunk", lambda m: m.messages.groupBy("thread_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "content"))), lambda x: x["content"]), "").alias("content")),
     "SELECT thread_id, string_agg(substr(content, 1, 20), '' ORDER BY created_at) AS content FROM messages GROUP BY thread_id")
 query("mut_cascade_thread", lambda m: op.deleted(m.messages, df(m, [("t3",), ("t5",)], "thread_id string"), "thread_id").select("id").unionByName(op.deleted(m.memory_threads, df(m, [("t3",), ("t5",)], "thread_id string"), "thread_id").select(F.col("memory_id").alias("id"))),
     "SELECT id FROM messages WHERE thread_id NOT IN ('t3', 't5') UNION ALL SELECT memory_id FROM memory_threads WHERE thread_id NOT IN ('t3', 't5')")

@@ -58,3 +58,7 @@ def test_language_reads_every_english_document(spark, duck):
     assert {r.id for r in QUERIES["nlp_cst"](spark, FOLDER).select("id").distinct().collect()} == ids
     for name in ("nlp_prev_np", "nlp_next_np"):
         assert QUERIES[name](spark, FOLDER).where("id >= 200 AND id % 4 > 0").count() > 0
+
+
+def test_whole_messages_are_appended(spark, duck):
+    same(spark, duck, "mut_append_chunk", ORACLE_SQL["mut_append_chunk"].replace("substr(content, 1, 20)", "content"))
