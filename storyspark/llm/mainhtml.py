@@ -34,6 +34,8 @@ FRAME_WORDS = re.compile(
     r"|advert|cookie|newsletter|subscri[bp]|sidebar|breadcrumb|footer|masthead|navbar|navigation|pagination|popup|disqus|comment(?!ar|at)"
 )
 BODY_WORDS = re.compile(r"(?:^|[^a-z])(?:article\w*|post|entry|story|content|main|body|text)(?:$|[^a-z])")
+#: What may stand in a head; any other element, or text, ends one that is open.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SPACE = re.compile(r"\s+")
 HEADING = re.compile("h[1-6]")
 #: A tag that the end of the page cuts off.
@@ -150,6 +152,8 @@ class BlockParser(HTMLParser):
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD:
+            self._end_head()
         if tag in BLOCKS:
             self._flush()
         if tag in VOID:
@@ -161,6 +165,8 @@ class BlockParser(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD:
+            self._end_head()
         if tag in BLOCKS:
             self._flush()
         self._break(tag)
@@ -179,6 +185,11 @@ class BlockParser(HTMLParser):
             if self.open[k][0] in BLOCKS:
                 return
 
+    def _end_head(self) -> None:
+        """A head whose end tag is left out ends here, unless an element inside it is open."""
+        if self.open and self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+
     def _close(self, k: int) -> None:
         self.links -= sum(t == "a" for t, _ in self.open[k:])
         del self.open[k:]
@@ -194,6 +205,8 @@ class BlockParser(HTMLParser):
                 return  # an inline end tag does not reach out of its block
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head()
         if data and not any(k == "silent" for _, k in self.open):
             self.parts.append(data)
             if self.links:

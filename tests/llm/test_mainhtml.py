@@ -52,3 +52,11 @@ def test_rows_and_odd_pages(spark):
     assert got[5].text.startswith("cut off &") and got[6].text == "ends" and got[8].text == ("plain words " * 12).strip()
     assert got[9].text == got[10].text == WANT and got[11].text == "deep" and got[12].text.count("\n") == 19999
     assert mainhtml.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_head_left_open():
+    """HTML lets </head> be left out; the body, or an element that can't stand in a head, ends it."""
+    line = ("word " * 40).strip()
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><style>p{}</style><noscript><p>no</p></noscript><body>"):
+        assert main_text(f"{start}<article><p>{line}</p></article>", TREE) == line, start
+    assert main_text(f"<head><title>T</title>\n{line}", TREE) == line
