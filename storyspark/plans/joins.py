@@ -16,7 +16,7 @@ query(
 query(
     "join_note_tags",
     lambda m: m.notes.join(m.note_tags, F.col("id") == F.col("note_id")).select("id", "tag"),
-    "SELECT id, tag FROM notes JOIN note_tags ON note_id = id WHERE id < 50",
+    "SELECT id, tag FROM notes JOIN note_tags ON note_id = id",
 )
 query(
     "join_notes_in_world",

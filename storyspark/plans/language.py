@@ -12,7 +12,7 @@ from ..operators.records import best_per_key
 from .registry import query
 
 MARKED = """SELECT id, folder_id, narrative_id, 'See [[' || title || '|the ' || folder_id || ']] and <<' || title || '>> [CHARACTER|Hero ' || id || '] -[KNOWS]-> [PLACE:Town' || id || '] #tag-' || folder_id || ' &#38; @user_' || narrative_id AS t
-            FROM notes WHERE id < 400"""
+            FROM notes"""
 
 
 def marked(m):
@@ -90,8 +90,8 @@ def scanned(m):
     return op.dictionary_scan(docs, words_of(m), "text", longest=2)
 
 
-SCANNED = f"""SELECT d.doc_id, CAST(d.i - 1 AS INT) AS place, s.id FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, string_split({CANON.format('text')}, ' ') AS w FROM documents WHERE doc_id % 2 = 0))) d
-              JOIN (SELECT CAST(item_id AS VARCHAR) AS id, array_to_string(string_split({CANON.format('text')}, ' ')[1:2], ' ') AS surface FROM benchmark WHERE item_id < 20) s ON s.surface = d.gram"""
+SCANNED = f"""SELECT d.doc_id, CAST(d.i - 1 AS INT) AS place, s.id FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, string_split({CANON.format('text')}, ' ') AS w FROM documents))) d
+              JOIN (SELECT CAST(item_id AS VARCHAR) AS id, array_to_string(string_split({CANON.format('text')}, ' ')[1:2], ' ') AS surface FROM benchmark) s ON s.surface = d.gram"""
 query("nlp_dict_scan", lambda m: scanned(m).select("doc_id", "place", "id"), SCANNED)
 query("nlp_dict_scan_info", lambda m: scanned(m).join(m.benchmark.select(F.col("item_id").cast("string").alias("id"), F.length("text").alias("size")), "id").select("doc_id", "id", "size"), f"SELECT doc_id, x.id, CAST(length(text) AS INT) AS size FROM ({SCANNED}) x JOIN benchmark ON CAST(item_id AS VARCHAR) = x.id")
 query("nlp_implicit", lambda m: scanned(m).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), f"SELECT doc_id, count(*) AS n, min(place) AS first FROM ({SCANNED}) GROUP BY doc_id")
@@ -103,7 +103,7 @@ def sample(m):
     return m.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
 
 
-query("nlp_tokenize", lambda m: sample(m).select("id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{Nd}'-]+|\p{P}"), F.lit(0))).alias("n")), r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nd}''-]+|\p{P}')) AS INT) AS n FROM documents WHERE lang = 'en' AND doc_id % 4 = 0")
+query("nlp_tokenize", lambda m: sample(m).select("id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{Nd}'-]+|\p{P}"), F.lit(0))).alias("n")), r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nd}''-]+|\p{P}')) AS INT) AS n FROM documents WHERE lang = 'en'")
 query("nlp_pos_base", lambda m: op.exploded(sample(m), "t", lambda t: [{"tag": op.baseline(x.group())} for x in op.TOKEN.finditer(t)], "tag:string").groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
 query("nlp_pos_tag", lambda m: op.exploded(sample(m), "t", lambda t: [{"tag": c} for c in op.tagged([x.group() for x in op.TOKEN.finditer(t)])], "tag:string").groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
 query("nlp_chunks", lambda m: op.phrase_rows(sample(m), "t").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
@@ -141,7 +141,7 @@ query(
     "nlp_canon_token",
     lambda m: m.documents.select(F.explode(F.split("text", r"[ \n\t]+")).alias("w")).distinct().select("w", op.name_key("w").alias("key")),
     r"""SELECT w, CASE WHEN regexp_matches(o, '\p{L}') AND length(o) >= 2 THEN lower(o) END AS key FROM (SELECT w, CASE WHEN length(b) > 2 AND ends_with(lower(b), '''s') THEN left(b, length(b) - 2) ELSE b END AS o FROM
-        (SELECT w, regexp_replace(translate(w, '’', ''''), '^[^\p{L}\p{Nd}''-]+|[^\p{L}\p{Nd}''-]+$', '', 'g') AS b FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \n\t]+')) AS w FROM documents WHERE doc_id % 3 = 0)))""",
+        (SELECT w, regexp_replace(translate(w, '’', ''''), '^[^\p{L}\p{Nd}''-]+|[^\p{L}\p{Nd}''-]+$', '', 'g') AS b FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \n\t]+')) AS w FROM documents)))""",
 )
 query(
     "nlp_discover",
@@ -177,7 +177,7 @@ def mentioned(m):
 query(
     "nlp_coref",
     lambda m: op.references(mentioned(m), "scope_id", "place", "entity", "gender", "word").select("scope_id", "place", "entity"),
-    """WITH x AS (SELECT scope_id, id, action = 'error' AS pro, target_id AS e, CASE id % 200 % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'neutral' END AS g, CASE WHEN id % 2 = 0 THEN 'male' ELSE 'neutral' END AS want FROM episodes WHERE id < 3000),
+    """WITH x AS (SELECT scope_id, id, action = 'error' AS pro, target_id AS e, CASE id % 200 % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'neutral' END AS g, CASE WHEN id % 2 = 0 THEN 'male' ELSE 'neutral' END AS want FROM episodes),
        seen AS (SELECT p.scope_id, p.id, n.e, any_value(n.g) AS g, any_value(p.want) AS want, max(n.id) AS last FROM x p JOIN x n ON n.scope_id = p.scope_id AND n.id < p.id AND NOT n.pro WHERE p.pro GROUP BY p.scope_id, p.id, n.e),
        ranked AS (SELECT *, row_number() OVER (PARTITION BY scope_id, id ORDER BY last DESC) AS rn FROM seen)
        SELECT p.scope_id, CAST(p.id AS INT) AS place, (SELECT arg_max(r.e, r.last) FROM ranked r WHERE r.scope_id = p.scope_id AND r.id = p.id AND r.rn <= 10 AND r.g = r.want) AS entity FROM x p WHERE p.pro""",
@@ -197,9 +197,8 @@ def resolved(m):
 query("nlp_resolve", resolved, """SELECT asked, coalesce((SELECT min(id) FROM entities WHERE lower(label) = asked), (SELECT min(entity_id) FROM aliases WHERE lower(alias) = asked)) AS id
        FROM (SELECT DISTINCT lower(alias) AS asked FROM aliases WHERE entity_id < 'p2' UNION SELECT DISTINCT lower(label) FROM entities WHERE kind = 'PROMO')""")
 query("nlp_cst", lambda m: op.phrase_rows(sample(m), "t").select("id", F.concat(F.lit("phrase:"), "kind").alias("kind"), "place", "end").unionByName(sample(m).select("id", F.lit("text").alias("kind"), F.lit(0).alias("place"), F.length("t").alias("end"))).orderBy("id", "place", F.desc("end")))
-query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences(F.regexp_replace("t", "[^ -~\n]", ""))).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(regexp_replace(text, '[^ -~
-]', '', 'g'), '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents WHERE lang = 'en' AND doc_id % 4 = 0""")
-query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en' AND doc_id % 4 = 0)")
+query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences("t")).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(text, '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents WHERE lang = 'en'""")
+query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en')")
 query("nlp_validate_rel", lambda m: m.edges.join(m.entities.select(F.col("id").alias("source_id"), F.lit(True).alias("s")), "source_id", "left").join(m.entities.select(F.col("id").alias("target_id"), F.lit(True).alias("t")), "target_id", "left").select("id", (F.col("s").isNotNull() & F.col("t").isNotNull() & (F.col("weight") <= 500)).alias("valid")),
     "SELECT id, source_id IN (SELECT id FROM entities) AND target_id IN (SELECT id FROM entities) AND weight <= 500 AS valid FROM edges")
 query("nlp_adjust_conf", lambda m: m.edges.select("id", F.round(op.adjusted(F.col("confidence"), F.col("confidence") > 0.92, (F.col("created_at") / 86_400_000).cast("bigint") % 300), 6).alias("v")),

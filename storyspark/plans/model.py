@@ -61,7 +61,7 @@ MODEL = {
     "messages": """
         SELECT 't' || conv_id || '-' || turn AS id, 't' || conv_id AS thread_id, role, text AS content, conv_id * 100 + turn AS created_at FROM conversations""",
     "memories": """
-        SELECT 'm' || conv_id || '-' || turn AS id, substring(text, 1, 40) AS content,
+        SELECT 'm' || conv_id || '-' || turn AS id, text AS content,
                CASE turn % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' ELSE 'event' END AS memory_type, role AS source_role,
                'p' || (conv_id % 200) AS entity_id, conv_id * 100 + turn AS created_at FROM conversations WHERE role <> 'system'""",
     "memory_threads": """
@@ -100,9 +100,9 @@ MODEL = {
                CAST(extract(month FROM o_orderdate) AS int) - 1 AS m, CAST(extract(day FROM o_orderdate) AS int) - 1 AS d, o_orderpriority AS name FROM orders""",
     "chapters": "SELECT n_nationkey AS id, n_regionkey AS act, n_name AS title, n_nationkey * 10 AS rank_no FROM nation",
     "spans": """
-        SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 100 AS note_id, CAST(l_quantity AS int) * 7 + l_linenumber AS from_pos,
+        SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_orderkey / 32) AS bigint) AS note_id, CAST(l_quantity AS int) * 7 + l_linenumber AS from_pos,
                CAST(l_quantity AS int) * 7 + l_linenumber + CAST(l_discount * 100 AS int) + 1 AS to_pos, l_linestatus AS origin, 'p' || l_partkey AS entity_id
-        FROM lineitem WHERE l_orderkey % 10 = 3""",
+        FROM lineitem""",
 }
 
 _USED = {name: [t for t in [*SOURCES, *MODEL] if t != name and re.search(rf"(?:FROM|JOIN)\s+{t}\b", text)] for name, text in MODEL.items()}

@@ -140,7 +140,7 @@ def docs_with(m, gram):
 WITH_GRAM = "SELECT id FROM (" + POSTED + ") WHERE gram = '{}'"
 query("qg_postings_ops", lambda m: docs_with(m, "ion").intersect(docs_with(m, "wit")), f"{WITH_GRAM.format('ion')} INTERSECT {WITH_GRAM.format('wit')}")
 query("qg_postings_or", lambda m: docs_with(m, "ion").union(docs_with(m, "wit")).distinct(), f"{WITH_GRAM.format('ion')} UNION {WITH_GRAM.format('wit')}")
-query("qg_payload", lambda m: posted(m).where("gram = 'the'").select("id", "tf", "mask"), f"SELECT id, tf, mask FROM ({POSTED}) WHERE gram = 'the' AND id < 20")
+query("qg_payload", lambda m: posted(m).where("gram = 'the'").select("id", "tf", "mask"), f"SELECT id, tf, mask FROM ({POSTED}) WHERE gram = 'the'")
 query("set_intersect", lambda m: m.note_tags.where("tag = 'lang-en'").select("note_id").intersect(m.note_tags.where("tag = 'toxic'").select("note_id")), "SELECT note_id FROM note_tags WHERE tag = 'lang-en' INTERSECT SELECT note_id FROM note_tags WHERE tag = 'toxic'")
 query("set_union", lambda m: m.edges.select("source_id").union(m.edges.select("target_id")).distinct(), "SELECT source_id FROM edges UNION SELECT target_id FROM edges")
 query("set_union_sorted", lambda m: m.note_tags.where("tag = 'toxic'").select("note_id").union(m.note_tags.where("tag = 'src-src4'").select("note_id")).distinct().orderBy("note_id"), "SELECT note_id FROM note_tags WHERE tag = 'toxic' UNION SELECT note_id FROM note_tags WHERE tag = 'src-src4'")

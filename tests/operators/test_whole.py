@@ -1,64 +1,29 @@
-"""Queries whose registered SQL reads part of a table: over the whole of it, against that SQL without the cut."""
-
-import re
+"""Queries over documents read every English one, whatever its id."""
 
 import duckdb
 import pytest
 
-from storyspark.plans import language
-from storyspark.plans.model import SOURCES, Model
-from storyspark.plans.registry import ORACLE_SQL, QUERIES
-from tests.operators.test_registered import plain
+from storyspark.plans import language, metrics
+from storyspark.plans.model import Model
+from storyspark.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-CUT = re.compile(
-    r" AND doc_id % (?:4 = 0|2 = 1)| WHERE doc_id % [23] = 0| WHERE item_id < 20|\s+WHERE id < (?:50|200|400|3000)(?=\W|$)| WHERE e\.id < 2000| AND id < 20(?=\W|$)"
-)
-SAMPLED = "nlp_tokenize nlp_sentences nlp_paragraphs".split()
-METRICS = (
-    "met_words met_sentences met_paragraphs met_syllables met_length_hist met_consecutive met_variety met_flow_insights met_reading_level met_stddev "
-    "met_flow_len met_text met_analyze met_sentence_ranges win_adjacent"
-).split()
-SUBSETS = (
-    "nlp_dict_scan nlp_dict_scan_info nlp_implicit nlp_canon_token nlp_coref nlp_wikilink nlp_backlink nlp_entity_tag nlp_triple nlp_mention nlp_tag "
-    "nlp_pattern_async nlp_pattern_sync nlp_pattern_registry"
-).split()
-BOUNDED = "join_note_tags tmp_as_of_events qg_payload".split()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for t in SOURCES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    return con
-
-
-def rows_of(spark, name):
-    df = QUERIES[name](spark, FOLDER)
-    columns = sorted(df.columns)
-    return columns, sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-
-
-def same(spark, duck, name, sql):
-    columns, got = rows_of(spark, name)
-    want = duck.sql(sql)
-    place = [want.columns.index(c) for c in columns]
-    assert got == sorted((tuple(plain(r[i]) for i in place) for r in want.fetchall()), key=repr)
-
-
-@pytest.mark.parametrize("name", SAMPLED + METRICS + SUBSETS + BOUNDED)
-def test_whole_table(spark, duck, name):
-    same(spark, duck, name, CUT.sub("", ORACLE_SQL[name]))
+def english():
+    return {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{FOLDER}/documents.parquet' WHERE lang = 'en'").fetchall()}
 
 
-def test_language_reads_every_english_document(spark, duck):
-    ids = {r[0] for r in duck.sql("SELECT doc_id FROM documents WHERE lang = 'en'").fetchall()}
-    assert {r.id for r in language.sample(Model(spark, FOLDER)).select("id").collect()} == ids
-    assert {r.id for r in QUERIES["nlp_cst"](spark, FOLDER).select("id").distinct().collect()} == ids
+def test_language_reads_every_english_document(spark, english):
+    for rows in (language.sample, metrics.docs):
+        assert {r.id for r in rows(Model(spark, FOLDER)).select("id").collect()} == english
+    assert {r.id for r in QUERIES["nlp_cst"](spark, FOLDER).select("id").distinct().collect()} == english
     for name in ("nlp_prev_np", "nlp_next_np"):
         assert QUERIES[name](spark, FOLDER).where("id >= 200 AND id % 4 > 0").count() > 0
 
 
-def test_whole_messages_are_appended(spark, duck):
-    same(spark, duck, "mut_append_chunk", ORACLE_SQL["mut_append_chunk"].replace("substr(content, 1, 20)", "content"))
+def test_spans_hold_every_line(spark):
+    m = Model(spark, FOLDER)
+    assert m.spans.count() == m.lineitem.count()
+    assert m.memories.where("length(content) > 40").count() > 0
