@@ -1,10 +1,12 @@
 """Blocks of whole documents and questions that blocks put to shards.
 
 Operators that compare everything with everything read a corpus as blocks of a few megabytes of text.
-A block asks each of its distinct keys once, sorted into shards by the key's hash; a shard answers all
-blocks at once; the answers meet the blocks again through a bucketed join that moves no text. A key that
-fills a third of the corpus thus costs one entry a block, and neither side ever holds more than one
-block or one shard.
+A block asks each of its distinct keys once, sorted into shards by the key's hash. What the blocks ask of
+a shard is gathered in two steps, first within groups of GROUP blocks and then over the groups, into the
+shard's state, a row of a table in the shared folder. The blocks' questions then meet the state and are
+answered, and the answers meet the blocks through a bucketed join that moves no text. A key that fills a
+third of the corpus costs one entry a block and then one a group; a shard that is asked more than
+ASKED_BYTES because of such a key is answered in parts that each meet a copy of its state.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialize, shared_dir, sized_partitions
+from .common import TIDY, materialize, shared_dir, sized_partitions, written_at
 
 BLOCK_BYTES = 2 << 20
+#: Blocks whose questions to one shard are gathered at once.
+GROUP = 1 << 12
+#: Questions that one task answers at once.
+ASKED_BYTES = 64 << 20
 WHITE_BYTES = [0x20, *range(0x09, 0x0E)]
 MULTIPLIER = 0x9E3779B97F4A7C15
 WORD = (1 << 64) - 1
@@ -84,15 +90,44 @@ class Words:
         return b" ".join(self.data[self.starts[a] : self.ends[b - 1]].split()) if b > a else b""
 
 
-def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive words."""
+def rolled(hashes: np.ndarray, k: int, multiplier: int = MULTIPLIER) -> np.ndarray:
+    """Hash of every k consecutive words; another odd multiplier gives an independent hash."""
     n = max(0, len(hashes) - k + 1)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out += hashes[j : j + n] * np.uint64(pow(MULTIPLIER, j + 1, 1 << 64))
+        out += hashes[j : j + n] * np.uint64(pow(multiplier, j + 1, 1 << 64))
     return mix(out)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of x by significance, so that small numbers compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(data, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind), at + n * size
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned integers, each as narrow as its largest value allows."""
+    parts = []
+    for x in columns:
+        width = next(k for k in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * k)
+        parts.append(np.array([len(x), width], "<i8").tobytes() + planes(x.astype(f"<u{width}")))
+    return b"".join(parts)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width = np.frombuffer(data, "<i8", 2, at).tolist()
+        column, at = unplanes(data, f"<u{width}", n, at + 16)
+        out.append(column.astype(np.uint64))
+    return out
+
+
 def build_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, doc_ids, texts and extra (the other columns, as an array of structs), written as a table in
     the shared folder that is bucketed by block. A block holds whole documents, one at least."""
@@ -138,13 +173,12 @@ def build_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     made = rows.mapInArrow(run, schema).write.option("path", path).option("compression", "zstd")
+    spark.conf.set(TIDY, "true")
     made.bucketBy(sized_partitions(docs), "block").saveAsTable(name)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {name}")
-    return out
+    return written_at(out, path)
 
 
 def encoded(texts: list) -> list[bytes]:
@@ -180,30 +214,49 @@ def questions(block: int, parts: list[tuple[int, bytes]]) -> dict:
 ASKED = "shard int, block bigint, payload binary"
 
 
-def answers(asked: DataFrame, work: Callable[[list[bytes]], tuple[list[bytes], int, int]], name: str) -> tuple[DataFrame, int, int]:
-    """work(payloads of one shard) gives a reply to each and two numbers. Result: block and its replies
-    (shard, reply), written to the shared folder; and the sums of those numbers over all shards."""
-
-    def run(group: pa.Table) -> pa.Table:
-        payloads = group.column("payload").to_pylist()
-        replies, x, y = work(payloads)
-        shard = group.column("shard")[0].as_py()
-        n = len(payloads)
-        return pa.table(
-            {
-                "block": pa.array([*group.column("block").to_pylist(), None], pa.int64()),
-                "shard": pa.array([shard] * (n + 1), pa.int32()),
-                "reply": pa.array([*replies, None], pa.binary()),
-                "x": pa.array([0] * n + [x], pa.int64()),
-                "y": pa.array([0] * n + [y], pa.int64()),
-            }
-        )
-
-    made = asked.groupBy("shard").applyInArrow(run, "block bigint, shard int, reply binary, x bigint, y bigint")
+def gathered(asked: DataFrame, blocks: int, combine: Callable[[list[bytes]], bytes], merge: Callable[[list[bytes], int], tuple[bytes, int, int]], name: str) -> DataFrame:
+    """shard, state, x, y, asked: combine joins the payloads of one group of blocks into one, merge those of a
+    shard's groups (and its number) into its state and two numbers; asked is the size of the questions.
+    Written to the shared folder."""
+
+    def join(t: pa.Table) -> pa.Table:
+        payloads = t.column("payload").to_pylist()
+        return pa.table({"shard": t.column("shard").slice(0, 1), "payload": pa.array([combine(payloads)], pa.binary()), "asked": pa.array([sum(map(len, payloads)) + 64 * len(payloads)], pa.int64())})
+
+    def unite(t: pa.Table) -> pa.Table:
+        shard = t.column("shard")[0].as_py()
+        state, x, y = merge(t.column("payload").to_pylist(), shard)
+        size = sum(t.column("asked").to_pylist())
+        return pa.table({"shard": pa.array([shard], pa.int32()), "state": pa.array([state], pa.binary()), **{n: pa.array([v], pa.int64()) for n, v in (("x", x), ("y", y), ("asked", size))}})
+
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-max(1, blocks) // GROUP))).alias("group")
+    joined = asked.select("shard", group, "payload").groupBy("shard", "group").applyInArrow(join, "shard int, payload binary, asked bigint")
+    return materialize(joined.groupBy("shard").applyInArrow(unite, "shard int, state binary, x bigint, y bigint, asked bigint"), name)
+
+
+def answered(asked: DataFrame, states: DataFrame, answer: Callable[[bytes, list[bytes]], list[bytes]], name: str) -> DataFrame:
+    """block and its replies (shard, reply): answer(state, payloads) replies to each payload that asks the
+    state's shard; a shard without a state does not reply. What is broadcast has one row for each ASKED_BYTES of questions at most."""
+    parts = F.ceil(F.col("asked") / ASKED_BYTES)
+    hot = states.where(parts > 1).select("shard", parts.alias("parts"))
+    part = F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt_out = asked.join(F.broadcast(hot), "shard", "left").select("shard", part, "block", "payload")
+    held = states.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "state")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):  # nothing asked, or nothing known
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["block", "shard", "reply"])
+        replies = answer(right.column("state")[0].as_py(), left.column("payload").to_pylist())
+        return pa.table([left.column("block"), left.column("shard"), pa.chunked_array([pa.array(replies, pa.binary())])], ["block", "shard", "reply"])
+
+    made = dealt_out.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(run, "block bigint, shard int, reply binary")
     made = materialize(made, name)
-    sums = made.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    replies = made.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
-    return replies, sums[0], sums[1]
+    return made.groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
+
+
+def totals(states: DataFrame) -> tuple[int, int]:
+    """Sums of x and y over all shards."""
+    return tuple(states.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first())
 
 
 def by_shard(replies: list | None) -> dict[int, bytes]:

@@ -22,25 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shuffle files go when the execution that wrote them ends: what is read again is in written tables.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in
+    tests; on a cluster the executors would not see it, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="storyspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    """df, known to be the table at path, which goes when the driver's JVM ends if discard() is not called before."""
+    place, files = _file_system(df.sparkSession, path)
+    files.deleteOnExit(place)
+    df._written = path
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: this cuts the lineage, survives lost
-    executors and keeps expensive steps from running twice. The files go when the driver's JVM ends."""
+    executors and keeps expensive steps from running twice."""
     spark = df.sparkSession
+    spark.conf.set(TIDY, "true")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        place, files = _file_system(df.sparkSession, df._written)
+        files.delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -90,5 +115,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        links = materialize(small.where("u <> v").distinct(), "links")
+        before, links = links, materialize(small.where("u <> v").distinct(), "links")
+        discard(before, large)
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -1,137 +1,209 @@
 """Language-model scores from an Elias-Fano n-gram trie with quantised smoothed probabilities.
 
-The model is a word bigram with Dirichlet smoothing: after a known word v,
-p(w|v) = n(v,w) / (c(v) + prior) + prior / (c(v) + prior) * p1(w), where p1 is the add-0.1 unigram.
-The first part is what the trie holds. Its levels are the contexts, the pointers to their successors and
-the successors' ids made monotone by each context's base, all three Elias-Fano coded, and one byte per
-successor that names a value of the shard's codebook. A shard builds its trie from the counts of every
-block, maps it into memory from a file, and answers by a successor search relative to the context.
-No count is dropped, and the trie's shards, like the blocks, grow in number and not in size.
+The model is a word trigram with Dirichlet smoothing down to an add-0.1 unigram p1:
+p2(x|w) = n(w,x) / (c(w) + prior2) + prior2 / (c(w) + prior2) * p1(x) after a known word w, and
+p3(x|v,w) = n(v,w,x) / (c(v,w) + prior3) + prior3 / (c(v,w) + prior3) * p2(x|w) after a pair v,w that was seen.
+The trie holds the first parts of both and the weight that p2 gets after each pair. Its levels are the
+contexts, pointers to their successors, the successors' ids made monotone by each context's base, the
+pointers of these pairs to the words that follow them, and those words, all Elias-Fano coded, with one
+byte for each number: its logarithm to a fixed step.
+
+The trie is cut into shards by pair. Blocks of documents count; a shard is built from all counts and
+written to the shared folder; then the tasks that score map the shards' levels into memory and search
+them as they are, without decoding them. No count is dropped, and shards, like blocks, grow in number
+and not in size.
 """
 
 from __future__ import annotations
 
 import mmap
-import tempfile
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ASKED, Words, answers, build_blocks, by_shard, dealt, encoded, mix, over_blocks, questions
-from .common import table
+from .blocks import ASKED, Words, answered, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, totals, unpack
+from .common import discard, materialize, table
 
 END = np.uint64(0x5EED0FE4D0C5E2D5)
-UNKNOWN_ID = 0xFFFFFFFF
+UNKNOWN_ID = np.uint64(0xFFFFFFFFFFFFFFFF)
 ADD = 0.1
-PRIOR = 5.0
+#: Weight of the shorter context, in tokens, after one and after two words.
+PRIORS = (5.0, 2.0)
 HELD_OUT = 10
 #: Tokens of the corpus per shard of the trie.
 SHARD_TOKENS = 1 << 21
-CODES = 255
+#: A number's code is its logarithm in these steps, from 1 for one itself; numbers below the last code take it.
+STEP = 9 / 254
+CODES = np.append(0.0, 10.0 ** (-STEP * np.arange(255)))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Bytes of x by significance, so that small numbers compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def unplanes(data, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
-    return np.ascontiguousarray(raw.T).reshape(-1).view(kind), at + n * size
+def quantised(value: np.ndarray) -> np.ndarray:
+    """Codes of numbers in (0, 1]; 0, the code of nothing, is never among them."""
+    return (np.clip(np.rint(-np.log10(value) / STEP), 0, 254) + 1).astype(np.uint8)
 
 
 class EliasFano:
-    """A non-decreasing sequence: the low bits packed, the high bits in unary."""
+    """A non-decreasing sequence in its coded form: low bits packed, high bits in unary. The unary bits
+    carry the number of ones before every LINE of them, by which any element is found without decoding."""
 
-    STEP = 1 << 15
+    LINE = 512
+    CHUNK = 1 << 15
+    BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    #: Place of the k-th one in a byte.
+    SELECT = np.array([[*np.flatnonzero(b), *[8] * (8 - int(b.sum()))] for b in BYTE], np.int64)
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
-        low = max(0, (top // n).bit_length() - 1) if n else 0
+        low = min(56, max(0, (top // n).bit_length() - 1)) if n else 0
         bits = np.arange(low, dtype=np.uint64)
-        packed = [
-            ((values[i : i + EliasFano.STEP, None] >> bits) & np.uint64(1)).astype(np.uint8).reshape(-1) for i in range(0, n, EliasFano.STEP)
-        ]
-        lows = b"".join(np.packbits(p).tobytes() for p in packed) if low else b""  # STEP is a multiple of 8
-        high = np.zeros((n + (top >> low) + 8) // 8 * 8, np.uint8)
+        step = EliasFano.CHUNK  # a multiple of 8, so chunks end at whole bytes
+        packed = (((values[i : i + step, None] >> bits) & np.uint64(1)).astype(np.uint8).reshape(-1) for i in range(0, n if low else 0, step))
+        lows = b"".join(np.packbits(p, bitorder="little").tobytes() for p in packed)
+        lows += bytes(-len(lows) % 8 + 8)
+        line = EliasFano.LINE
+        high = np.zeros(-(-(n + (top >> low) + 1) // line) * line, np.uint8)
         high[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
-        return np.array([n, low, len(lows), len(high) // 8], "<i8").tobytes() + lows + np.packbits(high).tobytes()
+        ones = np.append(0, np.cumsum(high.reshape(-1, line).sum(1, dtype=np.int64))).astype("<i8")
+        head = np.array([n, low, len(lows), len(ones)], "<i8")
+        return head.tobytes() + lows + ones.tobytes() + np.packbits(high, bitorder="little").tobytes()
 
-    @staticmethod
-    def decode(data, at: int = 0) -> tuple[np.ndarray, int]:
-        """The sequence that begins at byte `at` of data, and where it ends."""
-        n, low, n_low, n_high = np.frombuffer(data, "<i8", 4, at).tolist()
+    def __init__(self, data, at: int = 0):
+        self.n, self.low, n_low, n_ones = np.frombuffer(data, "<i8", 4, at).tolist()
         at += 32
-        high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, n_high, at + n_low)))[:n] - np.arange(n)
-        values = high.astype(np.uint64) << np.uint64(low)
-        weights = np.uint64(1) << np.arange(low, dtype=np.uint64)
-        width = EliasFano.STEP * low // 8
-        for k, i in enumerate(range(0, n if low else 0, EliasFano.STEP)):
-            m = min(EliasFano.STEP, n - i)
-            raw = np.frombuffer(data, np.uint8, min(width, n_low - k * width), at + k * width)
-            values[i : i + m] |= (np.unpackbits(raw)[: m * low].reshape(m, low) * weights).sum(1, dtype=np.uint64)
-        return values, at + n_low + n_high
+        self.lows = np.frombuffer(data, np.uint8, n_low, at)
+        self.ones = np.frombuffer(data, "<i8", n_ones, at + n_low)
+        at += n_low + 8 * n_ones
+        self.zeros = np.arange(n_ones, dtype=np.int64) * self.LINE - self.ones
+        self.high = np.frombuffer(data, np.uint8, (n_ones - 1) * self.LINE // 8, at)
+        self.end = at + len(self.high)
+
+    def _select(self, rank: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Place of the rank-th one (flip 0) or zero (flip 255) among the unary bits."""
+        line = np.searchsorted(before, rank, side="right") - 1
+        rest = rank - before[line]
+        size = self.LINE // 64
+        words = self.high.view("<u8").reshape(-1, size)[line] ^ np.uint64(0xFFFFFFFFFFFFFFFF if flip else 0)
+        run = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = (run <= rest[:, None]).sum(1)
+        every = np.arange(len(rank))
+        rest = rest - np.where(word > 0, run[every, word - 1], 0)
+        own = np.ascontiguousarray(words[every, word]).view(np.uint8).reshape(-1, 8)
+        run = np.cumsum(np.bitwise_count(own), axis=1, dtype=np.int64)
+        byte = (run <= rest[:, None]).sum(1)
+        rest = rest - np.where(byte > 0, run[every, byte - 1], 0)
+        return line * self.LINE + word * 64 + byte * 8 + self.SELECT[own[every, byte], rest]
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        if not self.low:
+            return np.zeros(len(i), np.uint64)
+        bit = i * self.low
+        raw = self.lows[(bit >> 3)[:, None] + np.arange(8)]
+        return raw.view("<u8").reshape(-1) >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low) - 1)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        high = self._select(i, self.ones, 0) - i
+        return high.astype(np.uint64) << np.uint64(self.low) | self._lows(i)
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first element that is x or more: n where there is none. Elements with the same high
+        bits follow each other, so the search begins behind the zero that ends the bits before."""
+        high = (x >> np.uint64(self.low)).astype(np.int64)
+        last = len(self.high) * 8 - self.n  # so many zeros there are
+        at = np.full(len(x), self.n, np.int64)
+        inside = np.flatnonzero(high < last)
+        begin = np.zeros(len(inside), np.int64)
+        later = high[inside] > 0
+        begin[later] = self._select(high[inside[later]] - 1, self.zeros, 255) + 1 - high[inside[later]]
+        at[inside] = begin
+        # walk over the elements of the same high bits that are too small; they end at the next zero
+        place, going = begin + high[inside], inside
+        wanted = x[inside] & np.uint64((1 << self.low) - 1)
+        while len(going):
+            one = (self.high[np.minimum(place >> 3, len(self.high) - 1)] >> (place & 7).astype(np.uint8) & 1).astype(bool) & (place < len(self.high) * 8)
+            small = np.flatnonzero(one)
+            small = small[self._lows(at[going[small]]) < wanted[small]]
+            going, place, wanted = going[small], place[small] + 1, wanted[small]
+            at[going] += 1
+        return at
 
 
 class Trie:
-    """Bigram levels in one memory-mapped file without a name, so nothing stays behind."""
+    """One shard of the model in its coded form: contexts, pairs and triples."""
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, value: np.ndarray):
-        """v, w: ids sorted by (v, w); value: what is known of each pair, quantised here."""
+    @staticmethod
+    def encode(v: np.ndarray, w: np.ndarray, pair_value: np.ndarray, weight: np.ndarray, degree: np.ndarray, x: np.ndarray, triple_value: np.ndarray) -> bytes:
+        """v, w: pairs sorted by (v, w), with what is known of each and the weight after it; degree: triples of
+        each pair; x: their last words, sorted within the pair, with what is known of each."""
         first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(v)) - 1 if len(first) else first
-        base = np.zeros(len(first) + 1, np.uint64)
-        base[1:] = np.cumsum(w[last].astype(np.uint64) + np.uint64(1))
-        degree = np.diff(np.append(first, len(v)))
-        successors = w.astype(np.uint64) + np.repeat(base[:-1], degree)
-        self.codebook, codes = quantised(value)
-        with tempfile.TemporaryFile() as file:
-            for level in (v[first], np.append(first, len(v)), successors):
-                file.write(EliasFano.encode(level))
-            file.write(codes.tobytes())
-            file.flush()
-            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        self.contexts, at = EliasFano.decode(self.map)
-        self.pointers, at = EliasFano.decode(self.map, at)
-        self.successors, at = EliasFano.decode(self.map, at)
-        self.codes = np.frombuffer(self.map, np.uint8, len(v), at)
-
-    def find(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Code of each pair (v, w); 0 where the trie has none."""
-        out = np.zeros(len(v), np.uint8)
-        if not len(self.contexts):
-            return out
-        at = np.minimum(np.searchsorted(self.contexts, v), len(self.contexts) - 1)
-        known = np.flatnonzero(self.contexts[at] == v)
-        at = at[known]
-        begin, end = self.pointers[at].astype(np.int64), self.pointers[at + 1].astype(np.int64)
-        before = np.where(begin > 0, self.successors[begin - 1] + np.uint64(1), np.uint64(0))  # the context's base
-        wanted = w[known].astype(np.uint64) + before
-        place = np.searchsorted(self.successors, wanted)
-        hit = place < end
-        hit[hit] = self.successors[place[hit]] == wanted[hit]
-        out[known[hit]] = self.codes[place[hit]]
+        pairs = np.append(first, len(v))
+        triples = np.append(0, np.cumsum(degree))
+        levels = (v[first], pairs, Trie._monotone(w, pairs), triples, Trie._monotone(x, triples))
+        return b"".join([*map(EliasFano.encode, levels), quantised(pair_value).tobytes(), quantised(weight).tobytes(), quantised(triple_value).tobytes()])
+
+    @staticmethod
+    def _monotone(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """ids, sorted within each context, plus the context's base: one more than all before it."""
+        full = np.flatnonzero(np.diff(cuts))
+        base = np.zeros(len(full), np.uint64)
+        if len(full):
+            base[1:] = np.cumsum(ids[cuts[full[1:]] - 1] + np.uint64(1))
+        return ids + np.repeat(base, np.diff(cuts)[full])
+
+    def __init__(self, data: bytes):
+        self.map = mmap.mmap(-1, max(1, len(data)))  # anonymous: nothing is left on a machine's disk
+        self.map[: len(data)] = data
+        at, self.levels = 0, []
+        for _ in range(5):
+            self.levels.append(EliasFano(self.map, at))
+            at = self.levels[-1].end
+        self.contexts, self.pair_pointers, self.pairs, self.triple_pointers, self.triples = self.levels
+        self.pair_codes = np.frombuffer(self.map, np.uint8, self.pairs.n, at)
+        self.weights = np.frombuffer(self.map, np.uint8, self.pairs.n, at + self.pairs.n)
+        self.triple_codes = np.frombuffer(self.map, np.uint8, self.triples.n, at + 2 * self.pairs.n)
+
+    @staticmethod
+    def _below(level: EliasFano, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Place of each id among the successors begin to end of its context (which); -1 where it is not one."""
+        base = np.zeros(len(begin), np.uint64)
+        inner = np.flatnonzero(begin > 0)
+        base[inner] = level[begin[inner] - 1] + np.uint64(1)
+        wanted = ids + base[which]
+        at = level.successor(wanted)
+        hit = np.flatnonzero(at < end[which])
+        hit = hit[level[at[hit]] == wanted[hit]]
+        out = np.full(len(ids), -1, np.int64)
+        out[hit] = at[hit]
         return out
 
+    def find_pairs(self, v: np.ndarray, which: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Place of each pair (v[which], w), -1 where the trie has none."""
+        out = np.full(len(w), -1, np.int64)
+        if not self.pairs.n or not len(w):
+            return out
+        at = self.contexts.successor(v)
+        known = at < self.contexts.n
+        known[known] = self.contexts[at[known]] == v[known]
+        at = np.where(known, at, 0)
+        begin, end = self.pair_pointers[at].astype(np.int64), self.pair_pointers[at + 1].astype(np.int64)
+        own = np.flatnonzero(known[which])
+        out[own] = self._below(self.pairs, begin, end, w[own], which[own])
+        return out
 
-def quantised(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most CODES levels of the logarithms (themselves, if so few; else half evenly spaced, half
-    quantiles), and each value's code from 1: the nearest level."""
-    logs = np.log10(value).astype(np.float32) if len(value) else np.zeros(0, np.float32)
-    levels = np.unique(logs)
-    if len(levels) > CODES:
-        even = np.linspace(levels[0], levels[-1], 128)
-        levels = np.unique(np.append(even, np.quantile(logs, np.linspace(0, 1, CODES - 128))).astype(np.float32))
-    if not len(levels):
-        return levels, np.zeros(0, np.uint8)
-    middle = (levels[1:] + levels[:-1]) / 2
-    return levels, (np.searchsorted(middle, logs) + 1).astype(np.uint8)
+    def find_triples(self, pair: np.ndarray, which: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Place of each triple (pair[which], x), pairs by their place; -1 where the trie has none."""
+        out = np.full(len(x), -1, np.int64)
+        own = np.flatnonzero(pair[which] >= 0)
+        if not self.triples.n or not len(own):
+            return out
+        at = np.maximum(pair, 0)
+        begin, end = self.triple_pointers[at].astype(np.int64), self.triple_pointers[at + 1].astype(np.int64)
+        out[own] = self._below(self.triples, begin, end, x[own], which[own])
+        return out
 
 
 class Tokens:
@@ -149,6 +221,8 @@ class Tokens:
         self.end = int(np.searchsorted(self.kinds, END)) if n else 0
         self.before = np.roll(self.kind, 1)
         self.before[begin] = self.end  # a document begins after an end
+        self.inner = np.ones(len(self.doc), bool)
+        self.inner[begin] = False
         rest = [None if i is None else zlib.crc32(str(i).encode()) % HELD_OUT for i in row["doc_ids"]]
         self.held_out = np.array([r == 0 for r in rest], bool)
         self.trained = np.array([r is not None and r != 0 for r in rest], bool)[self.doc]
@@ -157,122 +231,230 @@ class Tokens:
 def _ask_words(shards: int):
     def work(row):
         t = Tokens(row)
-        n = np.bincount(t.kind[t.trained], minlength=len(t.kinds)).astype("<u4")
+        n = np.bincount(t.kind[t.trained], minlength=len(t.kinds)).astype(np.uint64)
         order, cuts = dealt(t.kinds, shards)
         kinds, n = t.kinds[order], n[order]
-        yield questions(row["block"], [(s, planes(kinds[a:b]) + planes(n[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+        yield questions(row["block"], [(s, pack(kinds[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
 
     return work
 
 
-def _answer_words(shards: int):
-    """To each word its id (or UNKNOWN_ID) and training count; sums: known words, training tokens."""
-
-    def work(payloads):
-        kinds, n = [], []
-        for p in payloads:
-            k, at = unplanes(p, "<u8", len(p) // 12, 0)
-            kinds.append(k)
-            n.append(unplanes(p, "<u4", len(p) // 12, at)[0])
-        distinct, index = np.unique(np.concatenate(kinds), return_inverse=True)
-        count = np.bincount(index, weights=np.concatenate(n)).astype("<u8")
-        known = count > 0
-        shard = int((mix(distinct[:1]) >> np.uint64(32))[0]) * shards >> 32
-        ids = np.full(len(distinct), UNKNOWN_ID, np.uint64)
-        ids[known] = np.arange(known.sum(), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
-        if known.any() and int(ids[known].max()) >= UNKNOWN_ID:
-            raise OverflowError("more words than 32-bit ids")
-        ids = ids.astype("<u4")
-        cuts = np.cumsum([len(k) for k in kinds])[:-1]
-        return [planes(ids[i]) + planes(count[i]) for i in np.split(index, cuts)], int(known.sum()), int(count.sum())
+def _add(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of payloads (word, count) with the sums of their counts."""
+    kinds, n = (np.concatenate(c) for c in zip(*map(unpack, payloads), strict=True))
+    order = np.argsort(kinds, kind="stable")
+    kinds, n = kinds[order], n[order]
+    first = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(kinds) else np.zeros(0, np.int64)
+    return kinds[first], np.add.reduceat(n, first) if len(kinds) else n
 
-    return work
+
+def _join_words(payloads: list[bytes]) -> bytes:
+    return pack(*_add(payloads))
+
+
+def _count_words(shards: int):
+    """Words, their ids and training counts; sums: known words, training tokens. Frequent words have small
+    ids, and an id is a rank in its shard times the number of shards: 64 bits, whatever the corpus."""
+
+    def merge(payloads, shard):
+        kinds, count = _add(payloads)
+        known = np.flatnonzero(count > 0)
+        ranked = known[np.argsort(-count[known].astype(np.int64), kind="stable")]
+        ids = np.zeros(len(kinds), np.uint64)
+        ids[ranked] = np.arange(len(ranked), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard) + np.uint64(1)
+        return pack(kinds, ids, count), len(known), int(count.sum())
+
+    return merge
+
+
+def _tell_words(state: bytes, payloads: list[bytes]) -> list[bytes]:
+    """To each word its id, 0 for one that training has not seen, and its training count."""
+    kinds, ids, count = unpack(state)
+    out = []
+    for p in payloads:
+        at = np.searchsorted(kinds, unpack(p)[0])
+        out.append(pack(ids[at], count[at]))
+    return out
 
 
 class Known(Tokens):
-    """Tokens with the ids and training counts of their words."""
+    """Tokens with the ids and training counts of their words, and the distinct pairs and triples of known words."""
 
     def __init__(self, row: dict, shards: int):
         super().__init__(row)
-        self.ids = np.full(len(self.kinds), UNKNOWN_ID, np.uint64)
+        self.ids = np.zeros(len(self.kinds), np.uint64)
         self.count = np.zeros(len(self.kinds), np.uint64)
         order, cuts = dealt(self.kinds, shards)
         for s, reply in by_shard(row["words"]).items():
             own = order[cuts[s] : cuts[s + 1]]
-            ids, at = unplanes(reply, "<u4", len(own), 0)
-            self.ids[own] = ids
-            self.count[own] = unplanes(reply, "<u8", len(own), at)[0]
+            self.ids[own], self.count[own] = unpack(reply)
+        kinds = np.uint64(max(1, len(self.kinds)))
         known = self.count > 0
         self.both = np.flatnonzero(known[self.kind] & known[self.before])
-        pair = self.ids[self.before[self.both]] << np.uint64(32) | self.ids[self.kind[self.both]]
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.contexts = np.zeros(len(self.pairs), np.uint64)
-        self.contexts[self.pair] = self.count[self.before[self.both]]
+        pairs, pair = np.unique(self.before[self.both].astype(np.uint64) * kinds + self.kind[self.both].astype(np.uint64), return_inverse=True)
+        v, w = (pairs // kinds).astype(np.int64), (pairs % kinds).astype(np.int64)
+        # pairs in the order of their ids, which is the same in every block
+        order = np.lexsort((self.ids[w], self.ids[v]))
+        self.v, self.w = v[order], w[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair = rank[pair]
+        of = np.full(len(self.kind), -1, np.int64)
+        of[self.both] = self.pair
+        context = np.roll(of, 1)
+        self.third = np.flatnonzero(self.inner & (context >= 0) & known[self.kind])
+        triples, triple = np.unique(context[self.third].astype(np.uint64) * kinds + self.kind[self.third].astype(np.uint64), return_inverse=True)
+        context_of, x = (triples // kinds).astype(np.int64), (triples % kinds).astype(np.int64)
+        order = np.lexsort((self.ids[x], context_of))
+        self.context, self.x = context_of[order], x[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.triple = rank[triple]
+        self.after = context  # of each token the pair before it, -1 for none
+        self.degree = np.bincount(self.context, minlength=len(self.v))
+
+    def dealt(self, shards: int):
+        """For each shard its pairs, in order, and their triples (indexes of both)."""
+        v, w = self.ids[self.v], self.ids[self.w]
+        order, cuts = dealt(v * np.uint64(0xD6E8FEB86659FD93) + w, shards)
+        begin = np.cumsum(self.degree) - self.degree
+        for s, (a, b) in enumerate(zip(cuts.tolist(), cuts.tolist()[1:], strict=False)):
+            if b > a:
+                own = order[a:b]
+                size = self.degree[own]
+                yield s, own, np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _grouped(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of equal values."""
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(v)))
 
 
-def _ask_pairs(shards: int):
-    """Distinct pairs of known words: context ids, their counts and degrees, successor ids, pair counts."""
+def _steps(v: np.ndarray) -> np.ndarray:
+    return np.diff(v, prepend=v.dtype.type(0))
+
+
+def _ask_grams(shards: int, counts: bool):
+    """Distinct pairs and triples of known words: contexts (as steps) and how many pairs each has, second
+    words, how many triples each pair has, third words. With counts, those of training follow, with the
+    contexts' own; grams that training has not seen are left out then."""
 
     def work(row):
         t = Known(row, shards)
-        n = np.bincount(t.pair[t.trained[t.both]], minlength=len(t.pairs))
-        order, cuts = dealt(t.pairs, shards)
+        pair_n = np.bincount(t.pair[t.trained[t.both]], minlength=len(t.v)) if counts else None
+        triple_n = np.bincount(t.triple[t.trained[t.third]], minlength=len(t.x)) if counts else None
         parts = []
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                own = order[a:b]
-                v, w = t.pairs[own] >> np.uint64(32), t.pairs[own] & np.uint64(UNKNOWN_ID)
-                first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-                degree = np.diff(np.append(first, len(own)))
-                head = np.array([len(first), len(own)], "<i8").tobytes()
-                body = (v[first].astype("<u4"), t.contexts[own][first], degree.astype("<u4"), w.astype("<u4"), n[own].astype("<u4"))
-                parts.append((s, head + b"".join(map(planes, body))))
+        for s, own, triples in t.dealt(shards):
+            degree = t.degree[own]
+            if counts:
+                kept = triple_n[triples] > 0
+                where = np.repeat(np.arange(len(own)), degree)[kept]
+                triples, degree = triples[kept], np.bincount(where, minlength=len(own))
+                seen = pair_n[own] > 0
+                own, degree = own[seen], degree[seen]
+                if not len(own):
+                    continue
+            first, size = _grouped(t.v[own])
+            contexts = t.v[own][first]
+            body = [_steps(t.ids[contexts]), size, t.ids[t.w[own]], degree, t.ids[t.x[triples]]]
+            if counts:
+                body += [t.count[contexts], pair_n[own], triple_n[triples]]
+            parts.append((s, zlib.compress(pack(*body), 1)))
         yield questions(row["block"], parts)
 
     return work
 
 
-def _answer_pairs(prior: float):
-    def work(payloads):
-        pairs, counts, contexts = [], [], []
-        for p in payloads:
-            m, n = np.frombuffer(p, "<i8", 2).tolist()
-            v, at = unplanes(p, "<u4", m, 16)
-            c, at = unplanes(p, "<u8", m, at)
-            degree, at = unplanes(p, "<u4", m, at)
-            w, at = unplanes(p, "<u4", n, at)
-            counts.append(unplanes(p, "<u4", n, at)[0])
-            pairs.append(np.repeat(v.astype(np.uint64) << np.uint64(32), degree) | w)
-            contexts.append(np.repeat(c, degree))
-        sizes = [len(x) for x in pairs]
-        pairs, contexts = np.concatenate(pairs), np.concatenate(contexts)
-        distinct, where, index = np.unique(pairs, return_index=True, return_inverse=True)
-        n = np.bincount(index, weights=np.concatenate(counts))
-        seen = n > 0
-        v, w = distinct[seen] >> np.uint64(32), distinct[seen] & np.uint64(UNKNOWN_ID)
-        trie = Trie(v, w, n[seen] / (contexts[where][seen].astype(float) + prior))
-        codes = np.split(trie.find(distinct >> np.uint64(32), distinct & np.uint64(UNKNOWN_ID))[index], np.cumsum(sizes)[:-1])
-        book = np.zeros(CODES, "<f4")
-        book[: len(trie.codebook)] = trie.codebook
-        return [book.tobytes() + c.tobytes() for c in codes], int(seen.sum()), 0
-
-    return work
-
-
-def _scores(shards: int, n_train: int, n_known: int, prior: float):
+def _join_grams(payloads: list[bytes]) -> bytes:
+    """The sums of payloads with counts, in the same form."""
+    columns = [[] for _ in range(7)]
+    for p in payloads:
+        steps, size, w, degree, x, context, n, m = unpack(zlib.decompress(p))
+        v = np.cumsum(steps)
+        own = (np.repeat(v, size.astype(np.int64)), w, n, np.repeat(context, size.astype(np.int64)))
+        d = degree.astype(np.int64)
+        for c, values in zip(columns, (*own, np.repeat(own[0], d), np.repeat(w, d), np.stack([x, m], 1)), strict=True):
+            c.append(values)
+    v, w, n, context, tv, tw, xm = (np.concatenate(c) for c in columns)
+    order = np.lexsort((w, v))
+    v, w, n, context = v[order], w[order], n[order], context[order]
+    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))) if len(v) else np.zeros(0, np.int64)
+    n, v, w, context = np.add.reduceat(n, first) if len(first) else n, v[first], w[first], context[first]
+    x, m = xm[:, 0], xm[:, 1]
+    order = np.lexsort((x, tw, tv))
+    tv, tw, x, m = tv[order], tw[order], x[order], m[order]
+    last = (tv[1:] != tv[:-1]) | (tw[1:] != tw[:-1])
+    first = np.flatnonzero(np.append(True, last | (x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    m = np.add.reduceat(m, first) if len(first) else m
+    tv, tw, x = tv[first], tw[first], x[first]
+    # triples stand in the order of their pairs
+    begins = np.flatnonzero(np.append(True, (tv[1:] != tv[:-1]) | (tw[1:] != tw[:-1]))) if len(tv) else np.zeros(0, np.int64)
+    degree = np.zeros(len(v), np.int64)
+    pair_at = _match(v, w, tv[begins], tw[begins])
+    degree[pair_at] = np.diff(np.append(begins, len(tv)))
+    first, size = _grouped(v)
+    return zlib.compress(pack(_steps(v[first]), size, w, degree, x, context[first], n, m), 1)
+
+
+def _match(v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) among the pairs (v, w); both are sorted, and all are there."""
+    order = np.lexsort((np.append(np.zeros(len(v), np.int8), np.ones(len(a), np.int8)), np.append(w, b), np.append(v, a)))
+    asked = order >= len(v)
+    return (np.cumsum(~asked) - 1)[asked]
+
+
+def _build_trie(priors: tuple[float, float]):
+    def merge(payloads, shard):
+        steps, size, w, degree, x, context, n, m = unpack(zlib.decompress(_join_grams(payloads)))
+        size, degree = size.astype(np.int64), degree.astype(np.int64)
+        v = np.repeat(np.cumsum(steps), size)
+        pair_value = n / (np.repeat(context, size).astype(float) + priors[0])
+        after = np.append(0, np.cumsum(m))
+        end = np.cumsum(degree)
+        total = (after[end] - after[end - degree]).astype(float)
+        state = Trie.encode(v, w, pair_value, priors[1] / (total + priors[1]), degree, x, m / (np.repeat(total, degree) + priors[1]))
+        return state, len(v), len(x)
+
+    return merge
+
+
+def _search_trie(state: bytes, payloads: list[bytes]) -> list[bytes]:
+    """To each pair the codes of what is known of it and of the weight after it, then those of the triples."""
+    trie, out = Trie(state), []
+    for p in payloads:
+        steps, size, w, degree, x = unpack(zlib.decompress(p))
+        size, degree = size.astype(np.int64), degree.astype(np.int64)
+        pair = trie.find_pairs(np.cumsum(steps), np.repeat(np.arange(len(size)), size), w)
+        triple = trie.find_triples(pair, np.repeat(np.arange(len(w)), degree), x)
+        codes = [np.where(at >= 0, c[np.maximum(at, 0)] if len(c) else np.uint8(0), np.uint8(0)) for at, c in ((pair, trie.pair_codes), (pair, trie.weights), (triple, trie.triple_codes))]
+        out.append(zlib.compress(np.concatenate(codes).tobytes(), 1))
+    return out
+
+
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _scores(shards: int, n_train: int, n_known: int, priors: tuple[float, float]):
     def work(row):
         t = Known(row, shards)
         docs = len(row["doc_ids"])
-        level = np.zeros(len(t.pairs))
-        order, cuts = dealt(t.pairs, shards)
-        for s, reply in by_shard(row["pairs"]).items():
-            book = np.append(0.0, 10.0 ** np.frombuffer(reply, "<f4", CODES).astype(float))
-            level[order[cuts[s] : cuts[s + 1]]] = book[np.frombuffer(reply, np.uint8, offset=4 * CODES)]
+        pair, weight, triple = np.zeros(len(t.v)), np.zeros(len(t.v)), np.zeros(len(t.x))
+        replies = by_shard(row["grams"])
+        for s, own, triples in t.dealt(shards):
+            if s in replies:
+                codes = CODES[np.frombuffer(zlib.decompress(replies[s]), np.uint8)]
+                n = len(own)
+                pair[own], weight[own], triple[triples] = codes[:n], codes[n : 2 * n], codes[2 * n :]
         unigram = (t.count.astype(float) + ADD) / (n_train + ADD * (n_known + 1))
         p1 = unigram[t.kind]
         context = t.count[t.before].astype(float)
-        p = np.where(context > 0, prior / (context + prior) * p1, p1)
-        p[t.both] += level[t.pair]
+        p = np.where(context > 0, priors[0] / (context + priors[0]) * p1, p1)
+        p[t.both] += pair[t.pair]
+        # after a pair that was seen its weight goes to p so far, else p stays
+        after = np.where(t.inner & (t.after >= 0), np.append(weight, 0.0)[t.after], 0.0)
+        p = np.where(after > 0, after * p, p)
+        p[t.third] += triple[t.triple]
         total = lambda x: np.bincount(t.doc, weights=x, minlength=docs)
         yield {
             "doc_id": row["doc_ids"],
@@ -287,22 +469,27 @@ def _scores(shards: int, n_train: int, n_known: int, prior: float):
     return work
 
 
-def score_texts(docs: DataFrame, prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, priors: tuple[float, float] = PRIORS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learned from every row whose crc32(doc_id as text) mod HELD_OUT is not 0. Null, empty and blank texts
     are one end token; rows that repeat are learned from as often as they stand there; a row with a null
     doc_id is scored, but neither held out nor learned from; other columns are ignored; an empty table
-    gives no rows; without any training token every token has probability one."""
+    gives no rows; without any training token every token has probability one. A worker holds one
+    block, which is one text where that is longer than a block."""
     blocks = build_blocks(docs.select("doc_id", "text"))
-    size = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.sum("n")).first()[0] or 0
+    size, n = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, int(-(-size // (6 * shard_tokens))))
-    words, n_known, n_train = answers(over_blocks(blocks, _ask_words(shards), ASKED), _answer_words(shards), "words")
+    asked = materialize(over_blocks(blocks, _ask_words(shards), ASKED), "asked")
+    counted = gathered(asked, n, _join_words, _count_words(shards), "vocabulary")
+    n_known, n_train = totals(counted)
+    words = answered(asked, counted, _tell_words, "words")
     known = blocks.join(words.withColumnRenamed("replies", "words"), "block", "left")
-    pairs, _, _ = answers(over_blocks(known, _ask_pairs(shards), ASKED), _answer_pairs(prior), "pairs")
-    known = known.join(pairs.withColumnRenamed("replies", "pairs"), "block", "left")
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return over_blocks(known, _scores(shards, n_train, n_known, prior), schema)
+    trie = gathered(over_blocks(known, _ask_grams(shards, True), ASKED), n, _join_grams, _build_trie(priors), "trie")
+    grams = answered(over_blocks(known, _ask_grams(shards, False), ASKED), trie, _search_trie, "grams")
+    discard(asked, counted, trie)
+    known = known.join(grams.withColumnRenamed("replies", "grams"), "block", "left")
+    return over_blocks(known, _scores(shards, n_train, n_known, priors), SCORES)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

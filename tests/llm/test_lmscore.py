@@ -29,21 +29,27 @@ def corpus(seed=1, n=160):
     return data + data[:5]
 
 
-def brute(data, prior):
+def brute(data, priors):
     part = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 10
     train = [tokens(t) for i, t in data if part(i)]
     c = Counter(w for t in train for w in t)
     pairs = Counter((a, b) for t in train for a, b in zip([None, *t], t))
+    triples = Counter(x for t in train for x in zip([None, *t], t, t[1:]))
+    after = Counter(x[:2] for x in triples.elements())
     n, v = sum(c.values()), len(c)
     out = []
     for i, t in data:
         own = tokens(t)
         p1 = [(c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in own]
-        p = [
-            pairs[a, b] / (c[a] + prior) + prior / (c[a] + prior) * q if c[a] else q
-            for a, b, q in zip([None, *own], own, p1)
-        ]
-        out.append((i, part(i) == 0, len(own), sum(c[w] > 0 for w in own), n, sum(map(math.log10, p1)), sum(map(math.log10, p))))
+        score, before = 0.0, [(None, None), *((a, b) for a, b in zip([None, *own], own))]
+        for k, (w, q) in enumerate(zip(own, p1)):
+            a, b = before[k]
+            if c[b]:
+                q = pairs[b, w] / (c[b] + priors[0]) + priors[0] / (c[b] + priors[0]) * q
+            if k and after[a, b]:
+                q = triples[a, b, w] / (after[a, b] + priors[1]) + priors[1] / (after[a, b] + priors[1]) * q
+            score += math.log10(q)
+        out.append((i, part(i) == 0, len(own), sum(c[w] > 0 for w in own), n, sum(map(math.log10, p1)), score))
     return out
 
 
@@ -52,7 +58,7 @@ def test_scores_match_brute_force(spark, size, monkeypatch):
     monkeypatch.setattr(lmscore, "build_blocks", lambda docs: blocks.build_blocks(docs, size))
     data = corpus()
     got = sorted(map(tuple, lmscore.score_texts(frame(spark, data).repartition(3), shard_tokens=500).collect()), key=lambda r: (r[0] or -1, r[1:]))
-    want = sorted(brute(data, lmscore.PRIOR), key=lambda r: (r[0] or -1, r[1:]))
+    want = sorted(brute(data, lmscore.PRIORS), key=lambda r: (r[0] or -1, r[1:]))
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
@@ -68,24 +74,89 @@ def test_empty_and_untrained(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_elias_fano_round_trip():
+def test_scores_do_not_depend_on_shards(spark):
+    data = corpus(4)
+    one, many = (sorted(map(tuple, lmscore.score_texts(frame(spark, data), shard_tokens=n).collect()), key=repr) for n in (300, 1 << 21))
+    for a, b in zip(one, many):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
+def test_scores_come_from_the_trie(spark, monkeypatch):
+    """Without what the trie knows nothing but the unigram is left."""
+    data = corpus(5, 60)
+    monkeypatch.setattr(lmscore, "_search_trie", lambda state, payloads: [zlib.compress(bytes(len(zlib.decompress(p)))) for p in lmscore_replies(state, payloads)])
+    lmscore_replies = _search
+    for r in lmscore.score_texts(frame(spark, data)).collect():
+        assert r.score <= r.base_score + 1e-9
+
+
+_search = lmscore._search_trie
+
+
+def test_shards_asked_by_very_many_are_answered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ASKED_BYTES", 3000)
+    monkeypatch.setattr(blocks, "GROUP", 4)
+    monkeypatch.setattr(lmscore, "build_blocks", lambda docs: blocks.build_blocks(docs, 600))
+    data = corpus(6)
+    got = sorted(map(tuple, lmscore.score_texts(frame(spark, data).repartition(3)).collect()), key=lambda r: (r[0] or -1, r[1:]))
+    want = sorted(brute(data, lmscore.PRIORS), key=lambda r: (r[0] or -1, r[1:]))
+    assert [a[:5] for a in got] == [b[:5] for b in want]
+    assert all(a[6] == pytest.approx(b[6], abs=0.02 * b[2]) for a, b in zip(got, want))
+
+
+def test_elias_fano_without_decoding():
     rng = np.random.default_rng(2)
-    for n, top in ((0, 1), (1, 1), (5, 3), (1000, 50), (70000, 1 << 40), (33000, 33000)):
+    for n, top in ((0, 1), (1, 1), (1, 1 << 50), (5, 3), (1000, 50), (70000, 1 << 40), (33000, 33000), (3000, 1 << 20)):
         values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
         data = b"xx" + lmscore.EliasFano.encode(values) + b"yy"
-        got, at = lmscore.EliasFano.decode(data, 2)
-        assert (got == values).all() and data[at:] == b"yy"
+        level = lmscore.EliasFano(data, 2)
+        assert level.n == n and data[level.end :] == b"yy"
+        at = rng.permutation(n)
+        assert (level[at] == values[at]).all()
+        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, top + 2, 2000).astype(np.uint64), np.array([0, top, 2 * top], np.uint64)])
+        assert (level.successor(asked) == np.searchsorted(values, asked)).all()
 
 
 def test_trie_finds_what_it_holds_and_nothing_else():
     rng = np.random.default_rng(3)
-    keys = np.unique(rng.integers(0, 300, 4000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 500, 4000).astype(np.uint64))
-    value = rng.random(len(keys)) * 0.999 + 1e-3
-    v, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    trie = lmscore.Trie(v, w, value)
-    every = np.arange(320 * 520, dtype=np.uint64)
-    a, b = every // np.uint64(520), every % np.uint64(520)
-    code = trie.find(a, b)
-    assert ((code > 0) == np.isin(a << np.uint64(32) | b, keys)).all()
-    near = 10.0 ** trie.codebook[trie.find(v, w).astype(int) - 1]
-    assert np.abs(np.log10(near) - np.log10(value)).max() < 0.03
+    grams = np.unique(rng.integers([1, 1, 1], [60, 80, 100], (20000, 3)), axis=0).astype(np.uint64)
+    pairs, degree = np.unique(grams[:, :2], axis=0, return_counts=True)
+    pair_value, weight, value = rng.random(len(pairs)) * 0.999 + 1e-3, rng.random(len(pairs)) * 0.9 + 0.1, rng.random(len(grams)) * 0.999 + 1e-3
+    data = lmscore.Trie.encode(pairs[:, 0], pairs[:, 1], pair_value, weight, degree, grams[:, 2], value)
+    trie = lmscore.Trie(data)
+    v = np.arange(70, dtype=np.uint64)
+    which, w = np.repeat(np.arange(70), 90), np.tile(np.arange(90, dtype=np.uint64), 70)
+    at = trie.find_pairs(v, which, w)
+    index = {tuple(p): k for k, p in enumerate(pairs.tolist())}
+    assert at.tolist() == [index.get((int(v[i]), int(j)), -1) for i, j in zip(which, w)]
+    x = np.tile(np.arange(110, dtype=np.uint64), len(at))
+    place = trie.find_triples(at, np.repeat(np.arange(len(at)), 110), x)
+    index = {tuple(g): k for k, g in enumerate(grams.tolist())}
+    assert place.tolist() == [index.get((int(v[i]), int(j), k), -1) for i, j in zip(which, w) for k in range(110)]
+    for codes, true in ((trie.pair_codes, pair_value), (trie.weights, weight), (trie.triple_codes, value)):
+        assert np.abs(np.log10(lmscore.CODES[codes]) - np.log10(true)).max() <= lmscore.STEP / 2 + 1e-9
+
+
+def test_trie_is_compact_in_memory():
+    """A shard of two million tokens: bytes for each n-gram, and no level decoded beside the map."""
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 400_000), 200_000).astype(np.uint64)
+    grams = np.unique(np.stack([ids[:-2], ids[1:-1], ids[2:]], 1), axis=0)
+    pairs, degree = np.unique(grams[:, :2], axis=0, return_counts=True)
+    half = lambda n: np.full(n, 0.5)
+    data = lmscore.Trie.encode(pairs[:, 0], pairs[:, 1], half(len(pairs)), half(len(pairs)), degree, grams[:, 2], half(len(grams)))
+    assert len(data) < 6 * (len(grams) + len(pairs))
+    trie = lmscore.Trie(data)
+    for level in trie.levels:  # all but the counts of ones and zeros per line are views of the map
+        assert not level.lows.flags.owndata and not level.high.flags.owndata and not level.ones.flags.owndata
+        assert level.zeros.nbytes <= len(data) / 10
+
+
+def test_numbers_and_ids_beyond_32_bits():
+    big = np.array([0, 1, 1 << 33, (1 << 60) + 5], np.uint64)
+    small = np.array([3, 2, 1], np.uint64)
+    assert all((a == b).all() for a, b in zip(blocks.unpack(blocks.pack(big, small, big[:0])), (big, small, big[:0])))
+    v, w, x = np.array([1 << 34, 1 << 35], np.uint64), np.array([7, 1 << 36], np.uint64), np.array([1 << 37, 5], np.uint64)
+    trie = lmscore.Trie(lmscore.Trie.encode(v, w, np.ones(2), np.ones(2), np.array([1, 1]), x, np.ones(2)))
+    at = trie.find_pairs(v, np.array([0, 1, 1]), np.array([7, 1 << 36, 7], np.uint64))
+    assert at.tolist() == [0, 1, -1] and trie.find_triples(at, np.array([0, 1, 2]), np.array([1 << 37, 5, 5], np.uint64)).tolist() == [0, 1, -1]
