@@ -3,29 +3,36 @@
 Every k-mer of words is an edge between the two (k-1)-mers it overlaps. Only edges that may repeat are
 gathered: each is represented by the smallest hash among the shorter word sequences inside it, equal edges
 share that representative, and one seen in a single document settles all its edges at once. A repeated
-edge takes as its source the place of its first occurrence in the document with the smallest id. Edges
-that follow one another both in a document and in its source meet in a node without a branch between the
-two, and compact into one path; equal paths of many documents are one row in the joins that bring in the
-source's words, by which every path is verified before anything is removed.
+edge takes as its source the place of its first occurrence in the document with the smallest id.
+
+The repeated edges make the graph. Its nodes' degrees are a grouped count; edges that meet in a node with
+one edge in and one out are joined, within a document by their places and across documents by pointer
+doubling, into paths without a branch. A document's run of repeated edges is verified path by path: the
+words of each path's part are digested where its source stands, once for all documents that hold it, and
+only what has the same words is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import ASKED, Words, answers, build_blocks, by_shard, dealt, encoded, over_blocks, questions, rolled
-from .common import materialize, table
+from .blocks import ASKED, Words, answered, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, rolled, unpack
+from .common import discard, materialize, table
 
 K = 13
 #: Words of the corpus per shard of edges.
 SHARD_WORDS = 1 << 21
-SOURCE = np.dtype([("edge", "<u8"), ("doc", "<i8"), ("place", "<i4")])
+#: An edge is known by two independent hashes, 128 bits; n counts the blocks that hold it, up to 2.
+SOURCE = np.dtype([("edge", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("n", "u1")])
+#: Multiplier of the second hash.
+OTHER = 0xC2B2AE3D27D4EB4F
 
 
 class Edges:
@@ -42,6 +49,7 @@ class Edges:
         self.doc = ids[self.local]
         self.place = (self.at - w.first[self.local]).astype(np.int32)
         self.edge = rolled(w.hashes, k)[self.at]
+        self.check = rolled(w.hashes, k, OTHER)[self.at]
         inner = max(1, 2 * k // 5)
         least = rolled(w.hashes, inner)
         for _ in range(k - inner):
@@ -59,40 +67,75 @@ class Edges:
     def firsts(self, own: np.ndarray) -> np.ndarray:
         """First occurrence (smallest document, then place) of each distinct edge among those chosen."""
         found = np.zeros(len(own), SOURCE)
-        found["edge"], found["doc"], found["place"] = self.edge[own], self.doc[own], self.place[own]
+        found["edge"], found["check"], found["doc"], found["place"], found["n"] = self.edge[own], self.check[own], self.doc[own], self.place[own], 1
         return first_of_each(found)
 
-
     def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Indexes of the edges that stand in the block more than once or are among those of elsewhere."""
+        """Indexes of the edges that stand in the block more than once or are among those of elsewhere
+        (by the first hash alone)."""
         order = np.argsort(self.edge)
         edge = self.edge[order]
         same = edge[1:] == edge[:-1]
         chosen = np.append(same, False) | np.append(False, same) if len(edge) else np.zeros(0, bool)
-        chosen[np.searchsorted(edge, np.unique(elsewhere))] = True  # each of them stands in the block
+        chosen |= np.isin(edge, elsewhere)
         return np.sort(order[chosen])
 
 
 def first_of_each(found: np.ndarray) -> np.ndarray:
-    found = found[np.lexsort((found["place"], found["doc"], found["edge"]))]
-    return found[np.append(True, found["edge"][1:] != found["edge"][:-1])] if len(found) else found
+    """The first row of each edge, with the sum of the rows' n, up to 2; sorted by edge."""
+    found = found[np.lexsort((found["place"], found["doc"], found["check"], found["edge"]))]
+    if not len(found):
+        return found
+    first = np.flatnonzero(np.append(True, (found["edge"][1:] != found["edge"][:-1]) | (found["check"][1:] != found["check"][:-1])))
+    n = np.minimum(np.add.reduceat(found["n"].astype(np.int64), first), 2)
+    out = found[first]
+    out["n"] = n
+    return out
+
+
+def places_of(sources: np.ndarray, edge: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Index of each edge among sources (sorted, distinct); -1 where it is not there."""
+    n = len(sources)
+    if not n:
+        return np.full(len(edge), -1, np.int64)
+    order = np.lexsort((np.append(np.zeros(n, np.int8), np.ones(len(edge), np.int8)), np.append(sources["check"], check), np.append(sources["edge"], edge)))
+    asked = order >= n
+    at = np.empty(len(edge), np.int64)
+    at[order[asked] - n] = (np.cumsum(~asked) - 1)[asked]
+    hit = at >= 0
+    hit[hit] = (sources["edge"][at[hit]] == edge[hit]) & (sources["check"][at[hit]] == check[hit])
+    return np.where(hit, at, -1)
+
+
+def _dealt_out(row: dict, keys: np.ndarray, shards: int, payload) -> dict:
+    order, cuts = dealt(keys, shards)
+    return questions(row["block"], [(s, payload(order[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
 
 
 def _ask_representatives(k: int, shards: int):
     def work(row):
         distinct = np.unique(Edges(row, k).least)
-        order, cuts = dealt(distinct, shards)
-        yield questions(row["block"], [(s, distinct[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+        yield _dealt_out(row, distinct, shards, lambda own: pack(distinct[own], np.ones(len(own), np.uint64)))
 
     return work
 
 
-def _answer_representatives(payloads: list[bytes]):
+def _join_representatives(payloads: list[bytes]) -> bytes:
+    """Distinct representatives and in how many blocks each stands, up to 2."""
+    kinds, n = (np.concatenate(c) for c in zip(*map(unpack, payloads), strict=True))
+    distinct, index = np.unique(kinds, return_inverse=True)
+    return pack(distinct, np.minimum(np.bincount(index, weights=n, minlength=len(distinct)), 2).astype(np.uint64))
+
+
+def _shared_representatives(payloads: list[bytes], shard: int) -> tuple[bytes, int, int]:
+    kinds, n = unpack(_join_representatives(payloads))
+    return pack(kinds[n > 1]), int((n > 1).sum()), 0
+
+
+def _tell_shared(state: bytes, payloads: list[bytes]) -> list[bytes]:
     """One bit for each representative: whether another block has it too."""
-    own = [np.frombuffer(p, "<u8") for p in payloads]
-    _, index, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    shared = np.split(n[index] > 1, np.cumsum([len(x) for x in own])[:-1])
-    return [np.packbits(x).tobytes() for x in shared], 0, 0
+    (shared,) = unpack(state)
+    return [np.packbits(np.isin(unpack(p)[0], shared)).tobytes() for p in payloads]
 
 
 def _ask_sources(k: int, shards: int):
@@ -104,32 +147,38 @@ def _ask_sources(k: int, shards: int):
             a, b = cuts[s], cuts[s + 1]
             within[order[a:b]] |= np.unpackbits(np.frombuffer(reply, np.uint8), count=b - a).astype(bool)
         firsts = edges.firsts(np.flatnonzero(within[index]) if len(index) else index)
-        order, cuts = dealt(firsts["edge"], shards)
-        yield questions(row["block"], [(s, firsts[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+        yield _dealt_out(row, firsts["edge"], shards, lambda own: firsts[own].tobytes())
 
     return work
 
 
-def _answer_sources(payloads: list[bytes]):
-    """For each block the edges whose source lies in another block's document, with that source."""
-    own = [np.frombuffer(p, SOURCE) for p in payloads]
-    firsts = first_of_each(np.concatenate(own))
-    replies = []
-    for x in own:
-        source = firsts[np.searchsorted(firsts["edge"], x["edge"])]
-        replies.append(source[source["doc"] < x["doc"]].tobytes())
-    return replies, len(firsts), 0
+def _join_sources(payloads: list[bytes]) -> bytes:
+    return first_of_each(np.concatenate([np.frombuffer(p, SOURCE) for p in payloads])).tobytes()
 
 
-PATHS = "block bigint, local int, doc_id bigint, place int, n int, source bigint, source_place int, digest binary"
+def _shared_sources(payloads: list[bytes], shard: int) -> tuple[bytes, int, int]:
+    firsts = np.frombuffer(_join_sources(payloads), SOURCE)
+    return firsts[firsts["n"] > 1].tobytes(), 0, 0
 
 
-def _digest(words: Words, a: int, n: int, k: int) -> bytes:
-    return hashlib.blake2b(words.span(a, a + n + k - 1), digest_size=16).digest()
+def _tell_sources(state: bytes, payloads: list[bytes]) -> list[bytes]:
+    """To each block the sources of those of its edges that another block has too."""
+    sources = np.frombuffer(state, SOURCE)
+    out = []
+    for p in payloads:
+        own = np.frombuffer(p, SOURCE)
+        at = places_of(sources, own["edge"], own["check"])
+        out.append(sources[at[at >= 0]].tobytes())
+    return out
 
 
-def _paths(k: int):
-    """Compacted paths of each document whose edges have a source in a document with a smaller id."""
+FOUND = "kind int, block bigint, local int, doc_id bigint, place int, n int, source bigint, source_place int, tail bigint, head bigint"
+EDGE, RUN = 0, 1
+
+
+def _find(k: int):
+    """Two kinds of rows: the repeated edges whose source stands in the block, with their nodes; and runs
+    of edges of a document that have their sources one behind the other in a document with a smaller id."""
 
     def work(row):
         edges = Edges(row, k)
@@ -138,99 +187,155 @@ def _paths(k: int):
         if not len(own):
             return
         sources = first_of_each(np.concatenate([edges.firsts(own), replies]))
-        source = sources[np.searchsorted(sources["edge"], edges.edge[own])]
+        index = places_of(sources, edges.edge[own], edges.check[own])
+        source = sources[index]
         later = source["doc"] < edges.doc[own]
+        shared = np.zeros(len(sources), bool)
+        shared[index[later]] = True
+        there = places_of(sources, replies["edge"], replies["check"])
+        shared[there] = True
+        here = np.flatnonzero((source["doc"] == edges.doc[own]) & (source["place"] == edges.place[own]) & shared[index])
+        here = own[here[np.unique(index[here], return_index=True)[1]]]
+        node = rolled(edges.words.hashes, k - 1)
         source, own = source[later], own[later]
-        if not len(own):
-            return
         at, local = edges.at[own], edges.local[own]
         cut = (np.diff(at) != 1) | (np.diff(local) != 0) | (np.diff(source["doc"]) != 0) | (np.diff(source["place"]) != 1)
-        first = np.append(0, np.flatnonzero(cut) + 1)
+        first = np.append(0, np.flatnonzero(cut) + 1) if len(own) else own
         n = np.diff(np.append(first, len(own)))
+        e, r = len(here), len(first)
+        none = lambda m: np.zeros(m, np.int64)
         yield {
-            "block": np.full(len(first), row["block"]),
-            "local": local[first].astype(np.int32),
-            "doc_id": edges.doc[own][first],
-            "place": edges.place[own][first],
-            "n": n.astype(np.int32),
-            "source": source["doc"][first],
-            "source_place": source["place"][first],
-            "digest": [_digest(edges.words, a, m, k) for a, m in zip(at[first].tolist(), n.tolist(), strict=True)],
+            "kind": np.repeat(np.array([EDGE, RUN], np.int32), [e, r]),
+            "block": np.full(e + r, row["block"]),
+            "local": np.append(edges.local[here], local[first]).astype(np.int32),
+            "doc_id": np.append(edges.doc[here], edges.doc[own][first]),
+            "place": np.append(edges.place[here], edges.place[own][first]).astype(np.int32),
+            "n": np.append(np.ones(e), n).astype(np.int32),
+            "source": np.append(none(e), source["doc"][first]),
+            "source_place": np.append(none(e), source["place"][first]).astype(np.int32),
+            "tail": np.append(node[edges.at[here]].view(np.int64), none(r)),
+            "head": np.append(node[edges.at[here] + 1].view(np.int64), none(r)),
         }
 
     return work
 
 
-def _span_digests(blocks: DataFrame, homes: DataFrame, spans: DataFrame, k: int) -> DataFrame:
-    """doc_id, place, n and the digest of those words, read from the documents themselves."""
-    asked = spans.distinct().join(homes, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "local", "place", "n")).alias("spans"))
+def compacted(edges: DataFrame) -> DataFrame:
+    """Paths without a branch of the graph with these edges (doc_id, place: where the edge stands; tail, head:
+    its nodes). Rows are pieces: doc_id, place, n (edges that follow each other there), and path_doc,
+    path_place (the first piece of the path that the piece belongs to; a ring's least).
+
+    Edges that meet in a node with one edge in and one out belong to one path. In a document they are found
+    by place; pieces of different documents are joined where one's last node is the other's first, and every
+    round of pointer doubling halves what is left of the way to the path's beginning."""
+    ends = edges.select(F.col("tail").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
+        edges.select(F.col("head").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+    )
+    through = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i = 1 AND o = 1").select(F.col("node").alias("tail"), F.lit(True).alias("inner"))
+    marked = edges.join(through, "tail", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    order = Window.partitionBy("doc_id").orderBy("place")
+    begins = ~(F.col("inner") & F.coalesce(F.lag("place").over(order) == F.col("place") - 1, F.lit(False)))
+    numbered = marked.withColumn("begins", begins.cast("int")).withColumn("piece", F.sum("begins").over(order))
+    at = F.struct("doc_id", "place").alias("id")
+    pieces = numbered.groupBy("doc_id", "piece").agg(
+        F.min("place").alias("place"), F.count(F.lit(1)).cast("int").alias("n"),
+        F.min_by("tail", "place").alias("tail"), F.min_by("inner", "place").alias("inner"), F.max_by("head", "place").alias("head"),
+    )
+    pieces = materialize(pieces.drop("piece"), "pieces")
+    before = pieces.select(F.col("head").alias("tail"), at.alias("up"))
+    state = materialize(pieces.where("inner").select("tail", at).join(before, "tail").select("id", "up", F.least("id", "up").alias("least")), "ways")
+    links = state.count()
+    for _ in range(links.bit_length() + 1 if links else 0):
+        # who has no row of their own begins a path; a way that never ends is a ring
+        beyond = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("least").alias("next_least"))
+        step = state.join(beyond, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.least("least", F.coalesce("next_least", "least")).alias("least"))
+        last, state = state, materialize(step, "ways")
+        discard(last)
+    begin = state.join(state.select(F.col("id").alias("up"), F.lit(True).alias("ring")), "up", "left_outer").select("id", F.when(F.col("ring"), F.col("least")).otherwise(F.col("up")).alias("path"))
+    named = pieces.withColumn("id", F.struct("doc_id", "place")).join(begin, "id", "left").withColumn("path", F.coalesce("path", "id"))
+    return named.select("doc_id", "place", "n", F.col("path.doc_id").alias("path_doc"), F.col("path.place").alias("path_place"))
+
+
+def _digest(words: Words, a: int, n: int, k: int) -> bytes:
+    return hashlib.blake2b(words.span(a, a + n + k - 1), digest_size=16).digest()
+
+
+def _source_digests(blocks: DataFrame, spans: DataFrame, pieces: DataFrame, k: int) -> DataFrame:
+    """source, source_place, n of every span, with the sizes of its parts (a part ends where a path's piece
+    begins) and the digests of their words, read where the source stands."""
+    homes = blocks.select("block", F.posexplode("doc_ids").alias("local", "source")).where("source IS NOT NULL")
+    cuts = pieces.groupBy(F.col("doc_id").alias("source")).agg(F.sort_array(F.collect_set("place")).alias("cuts"))
+    own = spans.groupBy("source").agg(F.collect_set(F.struct("source_place", "n")).alias("spans"))
+    asked = own.join(cuts, "source", "left").join(homes, "source").groupBy("block").agg(F.collect_list(F.struct("source", "local", "spans", "cuts")).alias("asked"))
 
     def work(row):
         words = Words(encoded(row["texts"]))
-        ask = [s for s in row["spans"] if s["place"] + s["n"] + k - 1 <= words.counts[s["local"]]]
-        yield {
-            "doc_id": [s["doc_id"] for s in ask],
-            "place": [s["place"] for s in ask],
-            "n": [s["n"] for s in ask],
-            "digest": [_digest(words, int(words.first[s["local"]]) + s["place"], s["n"], k) for s in ask],
-        }
+        out = {"source": [], "source_place": [], "n": [], "sizes": [], "digests": []}
+        for doc in row["asked"]:
+            first, cuts = int(words.first[doc["local"]]), doc["cuts"] or []
+            known: dict[tuple[int, int], bytes] = {}
+            for span in doc["spans"]:
+                place, n = span["source_place"], span["n"]
+                if place + n + k - 1 > words.counts[doc["local"]]:
+                    continue  # the words stand in another row with this doc_id
+                edge = [place, *cuts[bisect_right(cuts, place) : bisect_left(cuts, place + n)], place + n]
+                parts = list(zip(edge, edge[1:], strict=False))
+                for a, b in parts:
+                    if (a, b) not in known:
+                        known[a, b] = _digest(words, first + a, b - a, k)
+                for c, v in zip(out.values(), (doc["source"], place, n, [b - a for a, b in parts], [known[p] for p in parts]), strict=True):
+                    c.append(v)
+        yield out
 
-    found = over_blocks(blocks.select("block", "texts").join(asked, "block"), work, "doc_id bigint, place int, n int, digest binary")
+    found = over_blocks(blocks.select("block", "texts").join(asked, "block"), work, "source bigint, source_place int, n int, sizes array<int>, digests array<binary>")
     return found.distinct()
 
 
-def _verified(blocks: DataFrame, paths: DataFrame, k: int) -> DataFrame:
-    """The paths whose source has the same words. One that has not (edges that differ may share a hash)
-    is taken apart, and each of its edges is verified alone; an edge whose source then proves false stays
-    in its document, which with 64-bit hashes takes a collision."""
-    homes = blocks.select("block", F.posexplode("doc_ids").alias("local", "doc_id")).where("doc_id IS NOT NULL")
-
-    def at_source(rows: DataFrame) -> DataFrame:
-        wanted = rows.select(F.col("source").alias("doc_id"), F.col("source_place").alias("place"), "n")
-        there = _span_digests(blocks, homes, wanted, k)
-        there = there.select(F.col("doc_id").alias("source"), F.col("place").alias("source_place"), "n", F.col("digest").alias("there"))
-        return rows.join(there, ["source", "source_place", "n"], "left")
-
-    checked = materialize(at_source(paths).withColumn("same", F.coalesce(F.col("digest") == F.col("there"), F.lit(False))), "paths")
-    same = checked.where("same").select("block", "local", "place", "n").distinct()
-    failed = checked.groupBy("block", "local", "doc_id", "place", "n", "source", "source_place").agg(F.max("same").alias("same")).where("not same")
-    if failed.isEmpty():
-        return same
-    single = failed.select(
-        "block", "local", "doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), "place", "source", "source_place"
-    ).select("block", "local", "doc_id", (F.col("place") + F.col("j")).alias("place"), F.lit(1).alias("n"), "source", (F.col("source_place") + F.col("j")).alias("source_place"))
-    here = _span_digests(blocks, homes, single.select("doc_id", "place", "n"), k)
-    alone = at_source(single.join(here, ["doc_id", "place", "n"])).where("digest = there")
-    return same.unionByName(alone.select("block", "local", "place", "n")).distinct()
-
-
-def repeated_paths(docs: DataFrame, k: int = K, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The blocks of docs, and the verified paths: block, local (document in the block), place, n (edges)."""
+def repeated_paths(docs: DataFrame, k: int = K, shard_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The blocks of docs, and for each block with repeats its spans: the places (local, place) at which a
+    run of n edges stands that has a source, and the sizes and digests of the run's parts there."""
     blocks = build_blocks(docs)
-    text = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.sum("n")).first()[0] or 0
-    shards = max(1, int(-(-text // (6 * shard_words))))
+    text, count = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, int(-(-text // (6 * (shard_words or SHARD_WORDS)))))
     plain = blocks.select("block", "doc_ids", "texts")
-    shared, _, _ = answers(over_blocks(plain, _ask_representatives(k, shards), ASKED), _answer_representatives, "representatives")
-    sources, _, _ = answers(over_blocks(plain.join(shared, "block", "left"), _ask_sources(k, shards), ASKED), _answer_sources, "sources")
-    paths = materialize(over_blocks(plain.join(sources, "block", "left"), _paths(k), PATHS), "found")
-    return blocks, _verified(plain, paths, k)
+    asked = materialize(over_blocks(plain, _ask_representatives(k, shards), ASKED), "asked")
+    state = gathered(asked, count, _join_representatives, _shared_representatives, "representatives")
+    shared = answered(asked, state, _tell_shared, "shared")
+    discard(asked, state)
+    asked = materialize(over_blocks(plain.join(shared, "block", "left"), _ask_sources(k, shards), ASKED), "asked")
+    state = gathered(asked, count, _join_sources, _shared_sources, "sources")
+    sources = answered(asked, state, _tell_sources, "told")
+    discard(asked, state)
+    found = materialize(over_blocks(plain.join(sources, "block", "left"), _find(k), FOUND), "found")
+    pieces = materialize(compacted(found.where(F.col("kind") == EDGE).select("doc_id", "place", "tail", "head").distinct()), "paths")
+    runs = found.where(F.col("kind") == RUN).groupBy("block", "source", "source_place", "n").agg(F.collect_list(F.struct("local", "place")).alias("at"))
+    runs = materialize(runs, "runs")
+    digests = materialize(_source_digests(plain, runs.select("source", "source_place", "n").distinct(), pieces, k), "digests")
+    spans = runs.join(digests, ["source", "source_place", "n"]).groupBy("block").agg(F.collect_list(F.struct("at", "sizes", "digests")).alias("spans"))
+    return blocks, materialize(spans, "spans")
+
+
+def verified(words: Words, spans: list, k: int):
+    """local, place and n of every part of the block's runs that has its source's words."""
+    for span in spans or ():
+        for at in span["at"]:
+            place = at["place"]
+            for n, digest in zip(span["sizes"], span["digests"], strict=True):
+                if _digest(words, int(words.first[at["local"]]) + place, n, k) == digest:
+                    yield at["local"], place, n
+                place += n
 
 
 def covered(words: Words, spans: list, k: int) -> np.ndarray:
-    """Which words of the block a path covers."""
+    """Which words of the block a verified path covers."""
     change = np.zeros(len(words.starts) + 1, np.int64)
-    for s in spans or ():
-        a = int(words.first[s["local"]]) + s["place"]
+    for local, place, n in verified(words, spans, k):
+        a = int(words.first[local]) + place
         change[a] += 1
-        change[a + s["n"] + k - 1] -= 1
+        change[a + n + k - 1] -= 1
     return np.cumsum(change)[:-1] > 0
 
 
-def _with_paths(blocks: DataFrame, paths: DataFrame) -> DataFrame:
-    spans = paths.groupBy("block").agg(F.collect_list(F.struct("local", "place", "n")).alias("spans"))
-    return blocks.join(spans, "block", "left")
-
-
 def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row.
 
@@ -238,7 +343,7 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     doc_id. Null, empty and blank texts have no words; rows that repeat a doc_id are one document in
     comparisons and give a row each; a row with a null doc_id neither loses words nor makes others lose
     any; other columns are ignored; an empty table gives no rows."""
-    blocks, paths = repeated_paths(docs.select("doc_id", "text"), k)
+    blocks, spans = repeated_paths(docs.select("doc_id", "text"), k)
 
     def work(row):
         words = Words(encoded(row["texts"]))
@@ -252,7 +357,7 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
             kept.append(hashlib.sha256(b" ".join(own)).hexdigest())
         yield {"doc_id": row["doc_ids"], "n_words": words.counts.astype(np.int64), "n_removed": removed.astype(np.int64), "kept_sha256": kept}
 
-    rows = _with_paths(blocks, paths).select("block", "doc_ids", "texts", "spans")
+    rows = blocks.join(spans, "block", "left").select("block", "doc_ids", "texts", "spans")
     return over_blocks(rows, work, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
@@ -266,7 +371,7 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     if not others:
         docs = docs.withColumn("n_chars", F.length("text"))
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    blocks, paths = repeated_paths(docs, k)
+    blocks, spans = repeated_paths(docs, k)
 
     def work(row):
         words = Words(encoded(row["texts"]))
@@ -294,7 +399,7 @@ def cut_repeats(docs: DataFrame, k: int = K) -> DataFrame:
         yield out
 
     schema = StructType([docs.schema[c] if c not in ("doc_id", "text") else StructType.fromDDL({"doc_id": "doc_id bigint", "text": "text string"}[c])[0] for c in docs.columns])
-    rows = _with_paths(blocks, paths).select("block", "doc_ids", "texts", "extra", "spans")
+    rows = blocks.join(spans, "block", "left").select("block", "doc_ids", "texts", "extra", "spans")
     return over_blocks(rows, work, schema).select(*(others and docs.columns or ["doc_id", "text"]))
 
 

@@ -52,6 +52,8 @@ def corpus(seed=3):
 @pytest.mark.parametrize("k", [3, 13])
 def test_matches_brute_force(spark, k, monkeypatch):
     monkeypatch.setattr(substrings, "build_blocks", lambda docs: blocks.build_blocks(docs, 2000))
+    monkeypatch.setattr(blocks, "ASKED_BYTES", 3000)
+    monkeypatch.setattr(blocks, "GROUP", 4)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 1000)
     data = corpus()
     got = [tuple(r) for r in substrings.remove_repeats(frame(spark, data).repartition(3), k).collect()]
@@ -59,17 +61,74 @@ def test_matches_brute_force(spark, k, monkeypatch):
 
 
 def test_hash_collisions_are_found_and_undone(spark, monkeypatch):
-    """With 12-bit edge hashes most matches are false; verification must leave none of them standing."""
+    """With 12 bits of the first hash most matches of it are false; the second hash and the words tell them apart."""
     data = [(i, t) for i, t in corpus(5) if i is not None]
     true = substrings.rolled
 
-    def weak(hashes, k):
-        return true(hashes, k) & np.uint64(0xFFF) if k == 13 else true(hashes, k)
+    def weak(hashes, k, *multiplier):
+        return true(hashes, k, *multiplier) & np.uint64(0xFFF) if k == 13 and not multiplier else true(hashes, k, *multiplier)
 
     monkeypatch.setattr(substrings, "rolled", weak)
+    got = [tuple(r) for r in substrings.remove_repeats(frame(spark, data)).collect()]
+    assert sorted(got) == sorted(slow(data, 13))
+
+
+def test_words_decide_where_both_hashes_collide(spark, monkeypatch):
+    """Verification leaves no false match standing."""
+    data = [(i, t) for i, t in corpus(5) if i is not None]
+    true = substrings.rolled
+    monkeypatch.setattr(substrings, "rolled", lambda hashes, k, *m: true(hashes, k, *m) & np.uint64(0x3F) if k == 13 else true(hashes, k, *m))
     removed = {r[0]: r[2] for r in slow(data, 13)}
-    got = substrings.remove_repeats(frame(spark, data)).collect()
-    assert all(r.n_removed <= removed[r.doc_id] for r in got)
+    assert all(r.n_removed <= removed[r.doc_id] for r in substrings.remove_repeats(frame(spark, data)).collect())
+
+
+def slow_paths(edges):
+    """Path (its first edge, or a ring's least) of every edge (doc, place, tail, head)."""
+    into, out = {}, {}
+    for e in edges:
+        out.setdefault(e[2], []).append(e)
+        into.setdefault(e[3], []).append(e)
+    path = {}
+    for e in edges:
+        seen, at = [e], e
+        while len(into.get(at[2], ())) == 1 and len(out[at[2]]) == 1 and into[at[2]][0] != e:
+            at = into[at[2]][0]
+            seen.append(at)
+        ring = len(into.get(at[2], ())) == 1 and len(out[at[2]]) == 1
+        path[e[:2]] = "ring" if ring else at[:2]
+    return path
+
+
+def test_paths_without_a_branch_are_compacted(spark):
+    rng = random.Random(9)
+    edges, node = [], 100
+    for doc in range(12):  # chains within a document, with branches between some
+        for place in range(rng.randint(2, 30)):
+            edges.append((doc, place, node, node + 1))
+            node += 1
+        if doc % 3:
+            node += 1  # the next document goes on where this one ended, but for each third
+        if doc % 4 == 0:
+            edges.append((doc, 900, node - 2, rng.randint(100, node)))
+    edges += [(50, 0, 9000, 9001), (51, 7, 9001, 9002), (52, 3, 9002, 9003), (49, 1, 9003, 9004), (53, 0, 9004, 9005)]  # one path through five documents
+    edges += [(60, 0, 9100, 9101), (61, 0, 9101, 9102), (62, 0, 9102, 9100)]  # a ring
+    rows = substrings.compacted(spark.createDataFrame(edges, "doc_id bigint, place int, tail bigint, head bigint")).collect()
+    assert sum(r.n for r in rows) == len(edges) and len(rows) < len(edges) / 2
+    want = slow_paths(edges)
+    for r in rows:
+        for place in range(r.place, r.place + r.n):
+            assert want[r.doc_id, place] in ("ring", (r.path_doc, r.path_place))
+    assert {(r.path_doc, r.path_place) for r in rows if 49 <= r.doc_id < 54} == {(50, 0)}
+    assert {(r.path_doc, r.path_place) for r in rows if r.doc_id >= 60} == {(60, 0)}
+
+
+def test_repeats_are_fewer_paths_than_edges(spark, monkeypatch):
+    seen = []
+    true = substrings.compacted
+    monkeypatch.setattr(substrings, "compacted", lambda edges: seen.append((edges.count(), true(edges))) or seen[-1][1])
+    substrings.remove_repeats(frame(spark, [(i, t) for i, t in corpus(5) if i is not None])).collect()
+    ((edges, paths),) = seen
+    assert 0 < paths.count() < edges / 3
 
 
 def test_empty_table(spark):
