@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import TIDY, materialize, shared_dir, sized_partitions, written_at
+from .common import MOST_PARTITIONS, TIDY, materialize, partitions, shared_dir, sized_partitions, written_at
 
 BLOCK_BYTES = 2 << 20
 #: Blocks whose questions to one shard are gathered at once.
@@ -214,7 +214,12 @@ def questions(block: int, parts: list[tuple[int, bytes]]) -> dict:
 ASKED = "shard int, block bigint, payload binary"
 
 
-def gathered(asked: DataFrame, blocks: int, combine: Callable[[list[bytes]], bytes], merge: Callable[[list[bytes], int], tuple[bytes, int, int]], name: str) -> DataFrame:
+def _tasks(df: DataFrame, shards: int) -> int:
+    """Shards take much longer than their bytes suggest, so each may have a task."""
+    return max(partitions(df.sparkSession), min(MOST_PARTITIONS, shards))
+
+
+def gathered(asked: DataFrame, blocks: int, shards: int, combine: Callable[[list[bytes]], bytes], merge: Callable[[list[bytes], int], tuple[bytes, int, int]], name: str) -> DataFrame:
     """shard, state, x, y, asked: combine joins the payloads of one group of blocks into one, merge those of a
     shard's groups (and its number) into its state and two numbers; asked is the size of the questions.
     Written to the shared folder."""
@@ -230,11 +235,12 @@ def gathered(asked: DataFrame, blocks: int, combine: Callable[[list[bytes]], byt
         return pa.table({"shard": pa.array([shard], pa.int32()), "state": pa.array([state], pa.binary()), **{n: pa.array([v], pa.int64()) for n, v in (("x", x), ("y", y), ("asked", size))}})
 
     group = F.pmod(F.xxhash64("block"), F.lit(-(-max(1, blocks) // GROUP))).alias("group")
-    joined = asked.select("shard", group, "payload").groupBy("shard", "group").applyInArrow(join, "shard int, payload binary, asked bigint")
-    return materialize(joined.groupBy("shard").applyInArrow(unite, "shard int, state binary, x bigint, y bigint, asked bigint"), name)
+    n = _tasks(asked, shards)
+    joined = asked.select("shard", group, "payload").repartition(n, "shard", "group").groupBy("shard", "group").applyInArrow(join, "shard int, payload binary, asked bigint")
+    return materialize(joined.repartition(n, "shard").groupBy("shard").applyInArrow(unite, "shard int, state binary, x bigint, y bigint, asked bigint"), name)
 
 
-def answered(asked: DataFrame, states: DataFrame, answer: Callable[[bytes, list[bytes]], list[bytes]], name: str) -> DataFrame:
+def answered(asked: DataFrame, states: DataFrame, shards: int, answer: Callable[[bytes, list[bytes]], list[bytes]], name: str) -> DataFrame:
     """block and its replies (shard, reply): answer(state, payloads) replies to each payload that asks the
     state's shard; a shard without a state does not reply. What is broadcast has one row for each ASKED_BYTES of questions at most."""
     parts = F.ceil(F.col("asked") / ASKED_BYTES)
@@ -249,6 +255,8 @@ def answered(asked: DataFrame, states: DataFrame, answer: Callable[[bytes, list[
         replies = answer(right.column("state")[0].as_py(), left.column("payload").to_pylist())
         return pa.table([left.column("block"), left.column("shard"), pa.chunked_array([pa.array(replies, pa.binary())])], ["block", "shard", "reply"])
 
+    n = _tasks(asked, shards)
+    dealt_out, held = (df.repartition(n, "shard", "part") for df in (dealt_out, held))
     made = dealt_out.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(run, "block bigint, shard int, reply binary")
     made = materialize(made, name)
     return made.groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))

@@ -27,13 +27,13 @@ from .blocks import ASKED, Words, answered, build_blocks, by_shard, dealt, encod
 from .common import discard, materialize, table
 
 END = np.uint64(0x5EED0FE4D0C5E2D5)
-UNKNOWN_ID = np.uint64(0xFFFFFFFFFFFFFFFF)
 ADD = 0.1
 #: Weight of the shorter context, in tokens, after one and after two words.
 PRIORS = (5.0, 2.0)
 HELD_OUT = 10
 #: Tokens of the corpus per shard of the trie.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
+ALL = 0xFFFFFFFFFFFFFFFF
 #: A number's code is its logarithm in these steps, from 1 for one itself; numbers below the last code take it.
 STEP = 9 / 254
 CODES = np.append(0.0, 10.0 ** (-STEP * np.arange(255)))
@@ -45,14 +45,14 @@ def quantised(value: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence in its coded form: low bits packed, high bits in unary. The unary bits
-    carry the number of ones before every LINE of them, by which any element is found without decoding."""
+    """A non-decreasing sequence in its coded form: low bits packed, high bits in unary. Each word of 64
+    unary bits has the number of ones before it, by which any element is found without decoding."""
 
-    LINE = 512
+    LINE = 64
     CHUNK = 1 << 15
-    BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    #: Place of the k-th one in a byte.
-    SELECT = np.array([[*np.flatnonzero(b), *[8] * (8 - int(b.sum()))] for b in BYTE], np.int64)
+    #: Place of the k-th one in a byte, and what adds up or spreads the bytes of a word.
+    SELECT = np.array([[*(k for k in range(8) if b >> k & 1), *[8] * (8 - b.bit_count())] for b in range(256)], np.int64)
+    BYTES, TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -75,61 +75,62 @@ class EliasFano:
     def __init__(self, data, at: int = 0):
         self.n, self.low, n_low, n_ones = np.frombuffer(data, "<i8", 4, at).tolist()
         at += 32
-        self.lows = np.frombuffer(data, np.uint8, n_low, at)
+        # eight bytes from any byte on
+        self.lows = np.ndarray((n_low - 7,), "<u8", data, at, (1,))
         self.ones = np.frombuffer(data, "<i8", n_ones, at + n_low)
-        at += n_low + 8 * n_ones
         self.zeros = np.arange(n_ones, dtype=np.int64) * self.LINE - self.ones
-        self.high = np.frombuffer(data, np.uint8, (n_ones - 1) * self.LINE // 8, at)
-        self.end = at + len(self.high)
+        at += n_low + 8 * n_ones
+        self.high = np.frombuffer(data, "<u8", n_ones - 1, at)
+        self.end = at + 8 * (n_ones - 1)
 
     def _select(self, rank: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Place of the rank-th one (flip 0) or zero (flip 255) among the unary bits."""
+        """Place of the rank-th one (flip 0) or zero (flip all ones) among the unary bits."""
         line = np.searchsorted(before, rank, side="right") - 1
-        rest = rank - before[line]
-        size = self.LINE // 64
-        words = self.high.view("<u8").reshape(-1, size)[line] ^ np.uint64(0xFFFFFFFFFFFFFFFF if flip else 0)
-        run = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (run <= rest[:, None]).sum(1)
-        every = np.arange(len(rank))
-        rest = rest - np.where(word > 0, run[every, word - 1], 0)
-        own = np.ascontiguousarray(words[every, word]).view(np.uint8).reshape(-1, 8)
-        run = np.cumsum(np.bitwise_count(own), axis=1, dtype=np.int64)
-        byte = (run <= rest[:, None]).sum(1)
-        rest = rest - np.where(byte > 0, run[every, byte - 1], 0)
-        return line * self.LINE + word * 64 + byte * 8 + self.SELECT[own[every, byte], rest]
+        word = self.high[line] ^ np.uint64(flip)
+        rest = (rank - before[line]).astype(np.uint64)
+        # ones in each byte, then in all bytes up to it
+        pair = word - (word >> np.uint64(1) & np.uint64(0x5555555555555555))
+        four = (pair & np.uint64(0x3333333333333333)) + (pair >> np.uint64(2) & np.uint64(0x3333333333333333))
+        sums = (four + (four >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * self.BYTES
+        passed = np.bitwise_count((rest * self.BYTES | self.TOPS) - sums & self.TOPS)
+        shift = passed.astype(np.uint64) * np.uint64(8)
+        rest -= (sums << np.uint64(8)) >> shift & np.uint64(255)
+        return line * self.LINE + shift.astype(np.int64) + self.SELECT[word >> shift & np.uint64(255), rest]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low
-        raw = self.lows[(bit >> 3)[:, None] + np.arange(8)]
-        return raw.view("<u8").reshape(-1) >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low) - 1)
+        return self.lows[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         high = self._select(i, self.ones, 0) - i
         return high.astype(np.uint64) << np.uint64(self.low) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element that is x or more: n where there is none. Elements with the same high
-        bits follow each other, so the search begins behind the zero that ends the bits before."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first element that is x or more (n where there is none), and whether it is x. Elements
+        with the same high bits stand between two zeros; among them the low bits are bisected."""
         high = (x >> np.uint64(self.low)).astype(np.int64)
-        last = len(self.high) * 8 - self.n  # so many zeros there are
         at = np.full(len(x), self.n, np.int64)
-        inside = np.flatnonzero(high < last)
+        inside = np.flatnonzero(high < len(self.high) * self.LINE - self.n)  # so many zeros there are
+        high = high[inside]
+        end = self._select(high, self.zeros, ALL) - high
         begin = np.zeros(len(inside), np.int64)
-        later = high[inside] > 0
-        begin[later] = self._select(high[inside[later]] - 1, self.zeros, 255) + 1 - high[inside[later]]
-        at[inside] = begin
-        # walk over the elements of the same high bits that are too small; they end at the next zero
-        place, going = begin + high[inside], inside
-        wanted = x[inside] & np.uint64((1 << self.low) - 1)
+        later = np.flatnonzero(high > 0)
+        begin[later] = self._select(high[later] - 1, self.zeros, ALL) + 1 - high[later]
+        going, low, top, wanted = np.flatnonzero(begin < end), begin, end.copy(), x[inside] & np.uint64((1 << self.low) - 1)
         while len(going):
-            one = (self.high[np.minimum(place >> 3, len(self.high) - 1)] >> (place & 7).astype(np.uint8) & 1).astype(bool) & (place < len(self.high) * 8)
-            small = np.flatnonzero(one)
-            small = small[self._lows(at[going[small]]) < wanted[small]]
-            going, place, wanted = going[small], place[small] + 1, wanted[small]
-            at[going] += 1
-        return at
+            middle = (low[going] + top[going]) >> 1
+            less = self._lows(middle) < wanted[going]
+            low[going[less]] = middle[less] + 1
+            top[going[~less]] = middle[~less]
+            going = going[low[going] < top[going]]
+        at[inside] = low
+        same = np.flatnonzero(low < end)
+        same = same[self._lows(low[same]) == wanted[same]]
+        equal = np.zeros(len(x), bool)
+        equal[inside[same]] = True
+        return at, equal
 
 
 class Trie:
@@ -173,9 +174,8 @@ class Trie:
         inner = np.flatnonzero(begin > 0)
         base[inner] = level[begin[inner] - 1] + np.uint64(1)
         wanted = ids + base[which]
-        at = level.successor(wanted)
-        hit = np.flatnonzero(at < end[which])
-        hit = hit[level[at[hit]] == wanted[hit]]
+        at, hit = level.successor(wanted)
+        hit &= at < end[which]
         out = np.full(len(ids), -1, np.int64)
         out[hit] = at[hit]
         return out
@@ -185,9 +185,7 @@ class Trie:
         out = np.full(len(w), -1, np.int64)
         if not self.pairs.n or not len(w):
             return out
-        at = self.contexts.successor(v)
-        known = at < self.contexts.n
-        known[known] = self.contexts[at[known]] == v[known]
+        at, known = self.contexts.successor(v)
         at = np.where(known, at, 0)
         begin, end = self.pair_pointers[at].astype(np.int64), self.pair_pointers[at + 1].astype(np.int64)
         own = np.flatnonzero(known[which])
@@ -481,12 +479,12 @@ def score_texts(docs: DataFrame, priors: tuple[float, float] = PRIORS, shard_tok
     size, n = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, int(-(-size // (6 * shard_tokens))))
     asked = materialize(over_blocks(blocks, _ask_words(shards), ASKED), "asked")
-    counted = gathered(asked, n, _join_words, _count_words(shards), "vocabulary")
+    counted = gathered(asked, n, shards, _join_words, _count_words(shards), "vocabulary")
     n_known, n_train = totals(counted)
-    words = answered(asked, counted, _tell_words, "words")
+    words = answered(asked, counted, shards, _tell_words, "words")
     known = blocks.join(words.withColumnRenamed("replies", "words"), "block", "left")
-    trie = gathered(over_blocks(known, _ask_grams(shards, True), ASKED), n, _join_grams, _build_trie(priors), "trie")
-    grams = answered(over_blocks(known, _ask_grams(shards, False), ASKED), trie, _search_trie, "grams")
+    trie = gathered(over_blocks(known, _ask_grams(shards, True), ASKED), n, shards, _join_grams, _build_trie(priors), "trie")
+    grams = answered(over_blocks(known, _ask_grams(shards, False), ASKED), trie, shards, _search_trie, "grams")
     discard(asked, counted, trie)
     known = known.join(grams.withColumnRenamed("replies", "grams"), "block", "left")
     return over_blocks(known, _scores(shards, n_train, n_known, priors), SCORES)

@@ -299,12 +299,12 @@ def repeated_paths(docs: DataFrame, k: int = K, shard_words: int | None = None)
     shards = max(1, int(-(-text // (6 * (shard_words or SHARD_WORDS)))))
     plain = blocks.select("block", "doc_ids", "texts")
     asked = materialize(over_blocks(plain, _ask_representatives(k, shards), ASKED), "asked")
-    state = gathered(asked, count, _join_representatives, _shared_representatives, "representatives")
-    shared = answered(asked, state, _tell_shared, "shared")
+    state = gathered(asked, count, shards, _join_representatives, _shared_representatives, "representatives")
+    shared = answered(asked, state, shards, _tell_shared, "shared")
     discard(asked, state)
     asked = materialize(over_blocks(plain.join(shared, "block", "left"), _ask_sources(k, shards), ASKED), "asked")
-    state = gathered(asked, count, _join_sources, _shared_sources, "sources")
-    sources = answered(asked, state, _tell_sources, "told")
+    state = gathered(asked, count, shards, _join_sources, _shared_sources, "sources")
+    sources = answered(asked, state, shards, _tell_sources, "told")
     discard(asked, state)
     found = materialize(over_blocks(plain.join(sources, "block", "left"), _find(k), FOUND), "found")
     pieces = materialize(compacted(found.where(F.col("kind") == EDGE).select("doc_id", "place", "tail", "head").distinct()), "paths")
