@@ -170,15 +170,7 @@ def build_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         from pyspark.sql.types import ArrayType
 
         schema = schema.add("extra", ArrayType(extra, False))
-    name = f"blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    made = rows.mapInArrow(run, schema).write.option("path", path).option("compression", "zstd")
-    spark.conf.set(TIDY, "true")
-    made.bucketBy(sized_partitions(docs), "block").saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # noqa: B018  resolved before the name goes; the files stay
-    spark.sql(f"DROP TABLE {name}")
-    return written_at(out, path)
+    return _bucketed(rows.mapInArrow(run, schema), sized_partitions(docs), "block")
 
 
 def encoded(texts: list) -> list[bytes]:
@@ -214,15 +206,35 @@ def questions(block: int, parts: list[tuple[int, bytes]]) -> dict:
 ASKED = "shard int, block bigint, payload binary"
 
 
-def _tasks(df: DataFrame, shards: int) -> int:
-    """Shards take much longer than their bytes suggest, so each may have a task."""
-    return max(partitions(df.sparkSession), min(MOST_PARTITIONS, shards))
+def _bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by keys: what is grouped by them moves no more."""
+    spark = df.sparkSession
+    name = f"{keys[0]}s_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    spark.conf.set(TIDY, "true")
+    df.write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return written_at(out, path)
 
 
-def gathered(asked: DataFrame, blocks: int, shards: int, combine: Callable[[list[bytes]], bytes], merge: Callable[[list[bytes], int], tuple[bytes, int, int]], name: str) -> DataFrame:
+def ask(blocks: DataFrame, work: Callable[[dict], Iterator[dict]], count: int, shards: int) -> DataFrame:
+    """shard, group, block, payload: what each of the (count) blocks asks of each shard, in the shared folder.
+    Shards take longer than their bytes suggest, so each may have a task."""
+    groups = -(-max(1, count) // GROUP)
+    n = max(partitions(blocks.sparkSession), min(MOST_PARTITIONS, shards))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group")
+    asked = over_blocks(blocks, work, ASKED).select("shard", group, "block", "payload")
+    asked = _bucketed(asked.repartition(n, "shard", "group"), n, "shard", "group")
+    asked._groups, asked._tasks = groups, n
+    return asked
+
+
+def gathered(asked: DataFrame, combine: Callable[[list[bytes]], bytes], merge: Callable[[list[bytes], int], tuple[bytes, int, int]], name: str) -> DataFrame:
     """shard, state, x, y, asked: combine joins the payloads of one group of blocks into one, merge those of a
     shard's groups (and its number) into its state and two numbers; asked is the size of the questions.
-    Written to the shared folder."""
+    A lone group's payloads are merged at once. Written to the shared folder."""
 
     def join(t: pa.Table) -> pa.Table:
         payloads = t.column("payload").to_pylist()
@@ -230,24 +242,22 @@ def gathered(asked: DataFrame, blocks: int, shards: int, combine: Callable[[list
 
     def unite(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        state, x, y = merge(t.column("payload").to_pylist(), shard)
-        size = sum(t.column("asked").to_pylist())
+        payloads = t.column("payload").to_pylist()
+        state, x, y = merge(payloads, shard)
+        size = sum(t.column("asked").to_pylist()) if "asked" in t.column_names else sum(map(len, payloads)) + 64 * len(payloads)
         return pa.table({"shard": pa.array([shard], pa.int32()), "state": pa.array([state], pa.binary()), **{n: pa.array([v], pa.int64()) for n, v in (("x", x), ("y", y), ("asked", size))}})
 
-    group = F.pmod(F.xxhash64("block"), F.lit(-(-max(1, blocks) // GROUP))).alias("group")
-    n = _tasks(asked, shards)
-    joined = asked.select("shard", group, "payload").repartition(n, "shard", "group").groupBy("shard", "group").applyInArrow(join, "shard int, payload binary, asked bigint")
-    return materialize(joined.repartition(n, "shard").groupBy("shard").applyInArrow(unite, "shard int, state binary, x bigint, y bigint, asked bigint"), name)
+    rows, united = asked.select("shard", "group", "payload"), "shard int, state binary, x bigint, y bigint, asked bigint"
+    if asked._groups == 1:
+        return materialize(rows.groupBy("shard", "group").applyInArrow(unite, united), name)
+    joined = rows.groupBy("shard", "group").applyInArrow(join, "shard int, payload binary, asked bigint")
+    return materialize(joined.repartition(asked._tasks, "shard").groupBy("shard").applyInArrow(unite, united), name)
 
 
-def answered(asked: DataFrame, states: DataFrame, shards: int, answer: Callable[[bytes, list[bytes]], list[bytes]], name: str) -> DataFrame:
+def answered(asked: DataFrame, states: DataFrame, answer: Callable[[bytes, list[bytes]], list[bytes]], name: str) -> DataFrame:
     """block and its replies (shard, reply): answer(state, payloads) replies to each payload that asks the
-    state's shard; a shard without a state does not reply. What is broadcast has one row for each ASKED_BYTES of questions at most."""
-    parts = F.ceil(F.col("asked") / ASKED_BYTES)
-    hot = states.where(parts > 1).select("shard", parts.alias("parts"))
-    part = F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1))).alias("part")
-    dealt_out = asked.join(F.broadcast(hot), "shard", "left").select("shard", part, "block", "payload")
-    held = states.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "state")
+    state's shard; a shard without a state does not reply. What is broadcast has one row for each
+    ASKED_BYTES of questions at most."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):  # nothing asked, or nothing known
@@ -255,9 +265,15 @@ def answered(asked: DataFrame, states: DataFrame, shards: int, answer: Callable[
         replies = answer(right.column("state")[0].as_py(), left.column("payload").to_pylist())
         return pa.table([left.column("block"), left.column("shard"), pa.chunked_array([pa.array(replies, pa.binary())])], ["block", "shard", "reply"])
 
-    n = _tasks(asked, shards)
-    dealt_out, held = (df.repartition(n, "shard", "part") for df in (dealt_out, held))
-    made = dealt_out.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(run, "block bigint, shard int, reply binary")
+    if asked._groups == 1:
+        questions_, held = asked, states.select("shard", F.lit(0).alias("group"), "state")
+    else:
+        parts = F.ceil(F.col("asked") / ASKED_BYTES)
+        hot = F.broadcast(states.where(parts > 1).select("shard", parts.alias("parts")))
+        part = F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1))).alias("group")
+        questions_ = asked.drop("group").join(hot, "shard", "left").select("shard", part, "block", "payload").repartition(asked._tasks, "shard", "group")
+        held = states.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("group"), "state")
+    made = questions_.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(run, "block bigint, shard int, reply binary")
     made = materialize(made, name)
     return made.groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
 

@@ -23,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ASKED, Words, answered, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, totals, unpack
-from .common import discard, materialize, table
+from .blocks import Words, answered, ask, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, totals, unpack
+from .common import discard, table
 
 END = np.uint64(0x5EED0FE4D0C5E2D5)
 ADD = 0.1
@@ -276,7 +276,8 @@ def _tell_words(state: bytes, payloads: list[bytes]) -> list[bytes]:
 
 
 class Known(Tokens):
-    """Tokens with the ids and training counts of their words, and the distinct pairs and triples of known words."""
+    """Tokens with the ids and training counts of their words, and the distinct pairs (v, w) and triples
+    (context, x) of known words in the order of their ids."""
 
     def __init__(self, row: dict, shards: int):
         super().__init__(row)
@@ -286,30 +287,24 @@ class Known(Tokens):
         for s, reply in by_shard(row["words"]).items():
             own = order[cuts[s] : cuts[s + 1]]
             self.ids[own], self.count[own] = unpack(reply)
-        kinds = np.uint64(max(1, len(self.kinds)))
+        # kinds in the order of ids, which is the same in every block
+        order = np.argsort(self.ids, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.count = self.ids[order], self.count[order]
+        self.kind, self.before = place[self.kind], place[self.before]
+        kinds = max(1, len(order))
         known = self.count > 0
         self.both = np.flatnonzero(known[self.kind] & known[self.before])
-        pairs, pair = np.unique(self.before[self.both].astype(np.uint64) * kinds + self.kind[self.both].astype(np.uint64), return_inverse=True)
-        v, w = (pairs // kinds).astype(np.int64), (pairs % kinds).astype(np.int64)
-        # pairs in the order of their ids, which is the same in every block
-        order = np.lexsort((self.ids[w], self.ids[v]))
-        self.v, self.w = v[order], w[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pair = rank[pair]
+        pairs, self.pair = np.unique(self.before[self.both] * kinds + self.kind[self.both], return_inverse=True)
+        self.v, self.w = pairs // kinds, pairs % kinds
         of = np.full(len(self.kind), -1, np.int64)
         of[self.both] = self.pair
-        context = np.roll(of, 1)
-        self.third = np.flatnonzero(self.inner & (context >= 0) & known[self.kind])
-        triples, triple = np.unique(context[self.third].astype(np.uint64) * kinds + self.kind[self.third].astype(np.uint64), return_inverse=True)
-        context_of, x = (triples // kinds).astype(np.int64), (triples % kinds).astype(np.int64)
-        order = np.lexsort((self.ids[x], context_of))
-        self.context, self.x = context_of[order], x[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.triple = rank[triple]
-        self.after = context  # of each token the pair before it, -1 for none
-        self.degree = np.bincount(self.context, minlength=len(self.v))
+        self.after = np.roll(of, 1)  # of each token but a document's first the pair before it, -1 for none
+        self.third = np.flatnonzero(self.inner & (self.after >= 0) & known[self.kind])
+        triples, self.triple = np.unique(self.after[self.third] * kinds + self.kind[self.third], return_inverse=True)
+        context, self.x = triples // kinds, triples % kinds
+        self.degree = np.bincount(context, minlength=len(self.v))
 
     def dealt(self, shards: int):
         """For each shard its pairs, in order, and their triples (indexes of both)."""
@@ -333,31 +328,19 @@ def _steps(v: np.ndarray) -> np.ndarray:
     return np.diff(v, prepend=v.dtype.type(0))
 
 
-def _ask_grams(shards: int, counts: bool):
+def _ask_grams(shards: int):
     """Distinct pairs and triples of known words: contexts (as steps) and how many pairs each has, second
-    words, how many triples each pair has, third words. With counts, those of training follow, with the
-    contexts' own; grams that training has not seen are left out then."""
+    words, how many triples each pair has, third words; then the counts of training, of contexts and both."""
 
     def work(row):
         t = Known(row, shards)
-        pair_n = np.bincount(t.pair[t.trained[t.both]], minlength=len(t.v)) if counts else None
-        triple_n = np.bincount(t.triple[t.trained[t.third]], minlength=len(t.x)) if counts else None
+        pair_n = np.bincount(t.pair[t.trained[t.both]], minlength=len(t.v))
+        triple_n = np.bincount(t.triple[t.trained[t.third]], minlength=len(t.x))
         parts = []
         for s, own, triples in t.dealt(shards):
-            degree = t.degree[own]
-            if counts:
-                kept = triple_n[triples] > 0
-                where = np.repeat(np.arange(len(own)), degree)[kept]
-                triples, degree = triples[kept], np.bincount(where, minlength=len(own))
-                seen = pair_n[own] > 0
-                own, degree = own[seen], degree[seen]
-                if not len(own):
-                    continue
             first, size = _grouped(t.v[own])
             contexts = t.v[own][first]
-            body = [_steps(t.ids[contexts]), size, t.ids[t.w[own]], degree, t.ids[t.x[triples]]]
-            if counts:
-                body += [t.count[contexts], pair_n[own], triple_n[triples]]
+            body = (_steps(t.ids[contexts]), size, t.ids[t.w[own]], t.degree[own], t.ids[t.x[triples]], t.count[contexts], pair_n[own], triple_n[triples])
             parts.append((s, zlib.compress(pack(*body), 1)))
         yield questions(row["block"], parts)
 
@@ -365,7 +348,7 @@ def _ask_grams(shards: int, counts: bool):
 
 
 def _join_grams(payloads: list[bytes]) -> bytes:
-    """The sums of payloads with counts, in the same form."""
+    """The sums of payloads, in the same form."""
     columns = [[] for _ in range(7)]
     for p in payloads:
         steps, size, w, degree, x, context, n, m = unpack(zlib.decompress(p))
@@ -406,8 +389,12 @@ def _build_trie(priors: tuple[float, float]):
     def merge(payloads, shard):
         steps, size, w, degree, x, context, n, m = unpack(zlib.decompress(_join_grams(payloads)))
         size, degree = size.astype(np.int64), degree.astype(np.int64)
-        v = np.repeat(np.cumsum(steps), size)
-        pair_value = n / (np.repeat(context, size).astype(float) + priors[0])
+        v, context = np.repeat(np.cumsum(steps), size), np.repeat(context, size)
+        # what training has not seen is not in the trie
+        of = np.repeat(np.arange(len(w)), degree)[m > 0]
+        x, m, degree = x[m > 0], m[m > 0], np.bincount(of, minlength=len(w))
+        v, w, context, degree, n = (c[n > 0] for c in (v, w, context, degree, n))
+        pair_value = n / (context.astype(float) + priors[0])
         after = np.append(0, np.cumsum(m))
         end = np.cumsum(degree)
         total = (after[end] - after[end - degree]).astype(float)
@@ -421,7 +408,7 @@ def _search_trie(state: bytes, payloads: list[bytes]) -> list[bytes]:
     """To each pair the codes of what is known of it and of the weight after it, then those of the triples."""
     trie, out = Trie(state), []
     for p in payloads:
-        steps, size, w, degree, x = unpack(zlib.decompress(p))
+        steps, size, w, degree, x, *_ = unpack(zlib.decompress(p))
         size, degree = size.astype(np.int64), degree.astype(np.int64)
         pair = trie.find_pairs(np.cumsum(steps), np.repeat(np.arange(len(size)), size), w)
         triple = trie.find_triples(pair, np.repeat(np.arange(len(w)), degree), x)
@@ -478,14 +465,16 @@ def score_texts(docs: DataFrame, priors: tuple[float, float] = PRIORS, shard_tok
     blocks = build_blocks(docs.select("doc_id", "text"))
     size, n = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, int(-(-size // (6 * shard_tokens))))
-    asked = materialize(over_blocks(blocks, _ask_words(shards), ASKED), "asked")
-    counted = gathered(asked, n, shards, _join_words, _count_words(shards), "vocabulary")
+    asked = ask(blocks, _ask_words(shards), n, shards)
+    counted = gathered(asked, _join_words, _count_words(shards), "vocabulary")
     n_known, n_train = totals(counted)
-    words = answered(asked, counted, shards, _tell_words, "words")
+    words = answered(asked, counted, _tell_words, "words")
+    discard(asked, counted)
     known = blocks.join(words.withColumnRenamed("replies", "words"), "block", "left")
-    trie = gathered(over_blocks(known, _ask_grams(shards, True), ASKED), n, shards, _join_grams, _build_trie(priors), "trie")
-    grams = answered(over_blocks(known, _ask_grams(shards, False), ASKED), trie, shards, _search_trie, "grams")
-    discard(asked, counted, trie)
+    asked = ask(known, _ask_grams(shards), n, shards)
+    trie = gathered(asked, _join_grams, _build_trie(priors), "trie")
+    grams = answered(asked, trie, _search_trie, "grams")
+    discard(asked, trie)
     known = known.join(grams.withColumnRenamed("replies", "grams"), "block", "left")
     return over_blocks(known, _scores(shards, n_train, n_known, priors), SCORES)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import ASKED, Words, answered, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, rolled, unpack
+from .blocks import Words, answered, ask, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, rolled, unpack
 from .common import discard, materialize, table
 
 K = 13
@@ -83,28 +83,31 @@ class Edges:
 
 def first_of_each(found: np.ndarray) -> np.ndarray:
     """The first row of each edge, with the sum of the rows' n, up to 2; sorted by edge."""
-    found = found[np.lexsort((found["place"], found["doc"], found["check"], found["edge"]))]
     if not len(found):
         return found
-    first = np.flatnonzero(np.append(True, (found["edge"][1:] != found["edge"][:-1]) | (found["check"][1:] != found["check"][:-1])))
-    n = np.minimum(np.add.reduceat(found["n"].astype(np.int64), first), 2)
-    out = found[first]
-    out["n"] = n
+    order = np.lexsort((found["place"], found["doc"]))
+    order = order[np.lexsort((found["check"][order], found["edge"][order]))]
+    edge, check = found["edge"][order], found["check"][order]
+    first = np.flatnonzero(np.append(True, (edge[1:] != edge[:-1]) | (check[1:] != check[:-1])))
+    out = found[order[first]]
+    out["n"] = np.minimum(np.add.reduceat(found["n"][order].astype(np.int64), first), 2)
     return out
 
 
 def places_of(sources: np.ndarray, edge: np.ndarray, check: np.ndarray) -> np.ndarray:
     """Index of each edge among sources (sorted, distinct); -1 where it is not there."""
-    n = len(sources)
-    if not n:
-        return np.full(len(edge), -1, np.int64)
-    order = np.lexsort((np.append(np.zeros(n, np.int8), np.ones(len(edge), np.int8)), np.append(sources["check"], check), np.append(sources["edge"], edge)))
-    asked = order >= n
-    at = np.empty(len(edge), np.int64)
-    at[order[asked] - n] = (np.cumsum(~asked) - 1)[asked]
-    hit = at >= 0
-    hit[hit] = (sources["edge"][at[hit]] == edge[hit]) & (sources["check"][at[hit]] == check[hit])
-    return np.where(hit, at, -1)
+    out = np.full(len(edge), -1, np.int64)
+    known, checks = np.ascontiguousarray(sources["edge"]), np.ascontiguousarray(sources["check"])
+    at, going = np.searchsorted(known, edge), np.arange(len(edge))
+    while len(going):  # a second round only where first hashes collide
+        inside = at < len(known)
+        going, at = going[inside], at[inside]
+        same = known[at] == edge[going]
+        going, at = going[same], at[same]
+        hit = checks[at] == check[going]
+        out[going[hit]] = at[hit]
+        going, at = going[~hit], at[~hit] + 1
+    return out
 
 
 def _dealt_out(row: dict, keys: np.ndarray, shards: int, payload) -> dict:
@@ -135,7 +138,12 @@ def _shared_representatives(payloads: list[bytes], shard: int) -> tuple[bytes, i
 def _tell_shared(state: bytes, payloads: list[bytes]) -> list[bytes]:
     """One bit for each representative: whether another block has it too."""
     (shared,) = unpack(state)
-    return [np.packbits(np.isin(unpack(p)[0], shared)).tobytes() for p in payloads]
+    own = [unpack(p)[0] for p in payloads]
+    every = np.concatenate(own)
+    at = np.searchsorted(shared, every)
+    hit = at < len(shared)
+    hit[hit] = shared[at[hit]] == every[hit]
+    return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum([len(x) for x in own])[:-1])]
 
 
 def _ask_sources(k: int, shards: int):
@@ -164,12 +172,10 @@ def _shared_sources(payloads: list[bytes], shard: int) -> tuple[bytes, int, int]
 def _tell_sources(state: bytes, payloads: list[bytes]) -> list[bytes]:
     """To each block the sources of those of its edges that another block has too."""
     sources = np.frombuffer(state, SOURCE)
-    out = []
-    for p in payloads:
-        own = np.frombuffer(p, SOURCE)
-        at = places_of(sources, own["edge"], own["check"])
-        out.append(sources[at[at >= 0]].tobytes())
-    return out
+    own = [np.frombuffer(p, SOURCE) for p in payloads]
+    every = np.concatenate(own)
+    at = np.split(places_of(sources, every["edge"], every["check"]), np.cumsum([len(x) for x in own])[:-1])
+    return [sources[x[x >= 0]].tobytes() for x in at]
 
 
 FOUND = "kind int, block bigint, local int, doc_id bigint, place int, n int, source bigint, source_place int, tail bigint, head bigint"
@@ -298,13 +304,13 @@ def repeated_paths(docs: DataFrame, k: int = K, shard_words: int | None = None)
     text, count = blocks.select(F.expr("aggregate(texts, 0L, (s, t) -> s + coalesce(length(t), 0L))").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, int(-(-text // (6 * (shard_words or SHARD_WORDS)))))
     plain = blocks.select("block", "doc_ids", "texts")
-    asked = materialize(over_blocks(plain, _ask_representatives(k, shards), ASKED), "asked")
-    state = gathered(asked, count, shards, _join_representatives, _shared_representatives, "representatives")
-    shared = answered(asked, state, shards, _tell_shared, "shared")
+    asked = ask(plain, _ask_representatives(k, shards), count, shards)
+    state = gathered(asked, _join_representatives, _shared_representatives, "representatives")
+    shared = answered(asked, state, _tell_shared, "shared")
     discard(asked, state)
-    asked = materialize(over_blocks(plain.join(shared, "block", "left"), _ask_sources(k, shards), ASKED), "asked")
-    state = gathered(asked, count, shards, _join_sources, _shared_sources, "sources")
-    sources = answered(asked, state, shards, _tell_sources, "told")
+    asked = ask(plain.join(shared, "block", "left"), _ask_sources(k, shards), count, shards)
+    state = gathered(asked, _join_sources, _shared_sources, "sources")
+    sources = answered(asked, state, _tell_sources, "told")
     discard(asked, state)
     found = materialize(over_blocks(plain.join(sources, "block", "left"), _find(k), FOUND), "found")
     pieces = materialize(compacted(found.where(F.col("kind") == EDGE).select("doc_id", "place", "tail", "head").distinct()), "paths")
