@@ -1,8 +1,8 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks. Each is described by its words and link density, those of the
-blocks before and after it, and what kind of element holds it; a decision tree, grown from the small
-labelled table below, tells content from boilerplate.
+blocks before and after it, and by what kind of element holds it; a decision tree, grown from the blocks of
+the small labelled pages below, tells content from boilerplate.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ BLOCKS = frozenset(
 )
 FRAME = frozenset("nav header footer aside form menu dialog search button select textarea fieldset option label".split())
 BODY = frozenset("article main".split())
-#: Words of class, id and role that name a page's frame, or what is not the article's own text.
+#: Names (class, id, role) of what is not the article's own text, and of what is.
 FRAME_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adsense|banner|sponsor\w*|promo\w*|consent|gdpr|notices?|modal|overlay|sign-?up|log-?in|search|nav\d*|menu|side|aside|"
-    r"widget|foot|header|topbar|toolbar|related|recommend\w*|share|sharing|social|repl(?:y|ies)|respond|discussion|pager|tags?|copyright|legal|"
-    r"complementary|contentinfo|alert\w*|skip-?link|sr-only|hidden|form)(?:$|[^a-z])"
-    r"|advert|cookie|newsletter|subscri[bp]|sidebar|breadcrumb|footer|masthead|navbar|navigation|pagination|popup|disqus|comment(?!ar|at)"
+    r"(?:^|[^a-z])(?:ads?|banner|sponsor\w*|promo\w*|consent|notices?|modal|sign-?up|log-?in|search|nav\d*|menu|widget|foot|header|related|"
+    r"shar(?:e|ing)|social|repl(?:y|ies)|tags?)(?:$|[^a-z])"
+    r"|advert|cookie|newsletter|subscri[bp]|sidebar|breadcrumb|footer|navigation|pagination|popup|comment(?!ar|at)"
 )
 BODY_WORDS = re.compile(r"(?:^|[^a-z])(?:article\w*|post|entry|story|content|main|body|text)(?:$|[^a-z])")
 #: What may stand in a head; any other element, or text, ends one that is open.
@@ -41,35 +40,38 @@ HEADING = re.compile("h[1-6]")
 #: A tag that the end of the page cuts off.
 UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_frame", "in_body", "heading")
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_frame", "named", "in_body", "outside", "heading")
 
-# The labelled table: blocks of invented pages, read by hand. Columns as in FEATURES, then 1 for content.
-# fmt: off
+# The labelled pages: invented, read by hand. {n} stands for n words, {n/m} for n of which the first m are a
+# link. The digits are the labels of a page's blocks in order, 1 for content.
 LABELLED = (
-    # paragraphs of an article, long and short, first, inner and last
-    (85, 0.00, 9, 0.0, 64, 0.0, 0, 1, 0, 1), (64, 0.02, 85, 0.0, 3, 0.0, 0, 1, 0, 1), (3, 0.00, 64, 0.0, 41, 0.1, 0, 1, 0, 1),
-    (1, 0.00, 41, 0.1, 12, 0.0, 0, 1, 0, 1), (12, 0.00, 1, 0.0, 6, 1.0, 0, 1, 0, 1), (2, 1.00, 30, 0.0, 25, 0.0, 0, 1, 0, 1),
-    (41, 0.15, 3, 0.0, 1, 0.0, 0, 1, 0, 1), (150, 0.00, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (7, 0.00, 1, 1.0, 90, 0.0, 0, 1, 0, 1),
-    (1, 0.00, 5, 0.0, 1, 1.0, 0, 1, 0, 1), (2, 0.00, 1, 1.0, 2, 1.0, 0, 1, 0, 1), (1, 1.00, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
-    (3, 0.00, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 0.50, 9, 1.0, 9, 1.0, 0, 1, 0, 1), (6, 1.00, 38, 0.0, 8, 1.0, 0, 1, 0, 1),
-    (2, 0.00, 3, 1.0, 0, 0.0, 0, 1, 0, 1), (1, 0.00, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (5, 1.00, 0, 0.0, 40, 0.0, 0, 1, 0, 1),
-    # headings of an article
-    (9, 0.00, 1, 1.0, 85, 0.0, 0, 1, 1, 1), (4, 0.00, 60, 0.0, 33, 0.0, 0, 1, 1, 1), (8, 0.00, 6, 0.0, 8, 0.0, 0, 1, 1, 1),
-    # menus, headers, footers, sidebars, notices, adverts and forms by the element or class that holds them
-    (1, 1.00, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (2, 1.00, 1, 1.0, 2, 1.0, 1, 0, 0, 0), (8, 0.00, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (14, 0.00, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (25, 0.10, 14, 0.0, 9, 0.0, 1, 0, 0, 0), (60, 0.00, 30, 0.0, 2, 0.0, 1, 0, 0, 0),
-    (5, 0.00, 60, 0.0, 12, 1.0, 1, 0, 1, 0), (3, 0.00, 5, 0.0, 1, 0.0, 1, 1, 0, 0), (40, 0.00, 55, 0.0, 35, 0.0, 1, 1, 0, 0),
-    (6, 1.00, 70, 0.0, 6, 1.0, 1, 1, 0, 0), (90, 0.00, 3, 0.0, 4, 0.0, 1, 1, 0, 0),
-    # pages without an article element: long or dense runs of text are content, lone lines and links are not
-    (45, 0.00, 6, 0.0, 52, 0.0, 0, 0, 0, 1), (52, 0.05, 45, 0.0, 38, 0.0, 0, 0, 0, 1), (38, 0.00, 52, 0.0, 3, 0.0, 0, 0, 0, 1),
-    (14, 0.00, 45, 0.0, 52, 0.0, 0, 0, 0, 1), (12, 0.00, 38, 0.0, 16, 0.0, 0, 0, 0, 1), (11, 0.00, 0, 0.0, 24, 0.0, 0, 0, 0, 1),
-    (6, 0.00, 2, 1.0, 45, 0.0, 0, 0, 1, 1), (5, 0.00, 50, 0.0, 40, 0.0, 0, 0, 1, 1), (4, 0.00, 60, 0.0, 48, 0.0, 0, 0, 0, 1),
-    (2, 1.00, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (9, 1.00, 38, 0.0, 8, 1.0, 0, 0, 0, 0), (30, 0.90, 4, 1.0, 28, 0.9, 0, 0, 0, 0),
-    (3, 0.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 0.00, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (3, 0.00, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
-    (2, 1.00, 0, 0.0, 40, 0.0, 0, 0, 0, 0), (6, 1.00, 0, 0.0, 60, 0.0, 0, 0, 0, 0), (3, 1.00, 45, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (5, 0.80, 50, 0.0, 40, 0.0, 0, 0, 0, 0), (4, 0.00, 9, 1.0, 9, 1.0, 0, 0, 1, 0), (18, 0.60, 20, 0.7, 3, 1.0, 0, 0, 0, 0),
+    # an article with menu, advert and footer; its paragraphs are long and short
+    ("<nav><ul><li>{1/1}<li>{1/1}<li>{2/2}</ul></nav><div class=ad>{9}</div><article><h1>{7}</h1><p>{85}<p>{64/2}<p>{3}<p>{41/6}<p>{1}<p>{12}</article><footer>{8}</footer>", "0000" "1111111" "0"),
+    ("<nav>{5/5}</nav><div>{11}</div><article><h1>{9}</h1><p>{6}<p>{2}<p>{1}</article><div>{14/3}</div><footer>{12/2}</footer>", "00" "1111" "00"),
+    # what an article holds besides its text: a menu of links, tools, asides, forms, readers
+    ("<article><h1>{6}</h1><p>{30}<nav><ul><li>{3/3}<li>{2/2}<li>{4/4}<li>{3/3}</ul></nav><p>{25/5}<p>{6/6}<p>{28}<div class=share>{2/2}</div><aside>{25}</aside><form><label>{2}</label></form><p>{40}<section id=comments><p>{60}<p>{8}</section></article>", "11" "0000" "111" "000" "1" "00"),
+    ("<article><p>{22}<div class=menu><p>{2/2}<p>{3/3}<p>{2/2}</div><p>{31/3}<p>{8/8}<p>{17/7}<ul><li>{2/2}<li>{4/1}<li>{3/3}</ul></article><aside><p>{35}<p>{4/4}</aside>", "1" "000" "111111" "00"),
+    ("<article><p>{18}<p>{5/5}<p>{3/1}<p>{2/2}<p>{44}<div class=related>{30}<p>{4/4}</div></article><div class=newsletter>{40}</div>", "11111" "00" "0"),
+    # short articles
+    ("<header>{3}</header><main><h1>{8}</h1><p>{1}<p>{2}<p>{1}</main><footer>{20}</footer>", "0" "1111" "0"),
+    ("<article><p>{3}</article>", "1"), ("<article><h1>{4}</h1><p>{150}</article><div>{40}</div>", "11" "0"), ("<article><p>{2/2}</article>", "1"),
+    ("<nav>{3/3}</nav><article><h1>{5}</h1><p>{30}<p>{9}</article>", "0" "111"), ("<div>{2/2}</div><div>{4/4}</div><article><h2>{4}</h2><p>{2}</article><footer>{2/2}</footer>", "00" "11" "0"),
+    ("<header>{2/2}<p>{6}</header><main><p>{4}<p>{19}<p>{3/3}<p>{5}<p>{1}</main><nav>{2/2}</nav>", "00" "11111" "0"),
+    # short lines of an article behind links that are none of it
+    ("<article><p>{40}<div class=share>{1/1}</div><ul><li>{2}<li>{2}</ul><nav>{3/3}</nav><p>{1}<p>{6}<aside>{5/5}</aside><p>{3}<aside>{30/30}</aside><h3>{2}</h3><p>{21}</article>", "1" "0" "11" "0" "11" "0" "1" "0" "11"),
+    ("<nav>{25/25}</nav><article><h1>{1}</h1><p>{2}<div class=related>{22/22}</div><p>{5}<div class=social>{2/2}</div><p>{3}</article>", "0" "11" "0" "1" "0" "1"),
+    ("<div>{3/3}</div><h1>{8}</h1><p>{49}<p>{22}<p>{2/2}", "0" "111" "0"), ("<div>{2/2}</div><h2>{5}</h2><div>{64}</div><div>{30}</div>", "0" "111"),
+    # names instead of elements
+    ("<div id=header>{4}</div><div id=content><h2>{5}</h2><p>{50}<p>{4}<p>{33}<div class=ads>{16}</div><p>{9}</div><div id=sidebar><h3>{2}</h3><p>{30}<p>{25/4}</div><div class=cookie-notice>{25}</div>", "0" "1111" "0" "1" "000" "0"),
+    ("<div class=menu><a>{1}</a> <a>{2}</a></div><div class=post><p>{12}<p>{70}</div><div class=comments><p>{45}</div>", "01" "10"),
+    # neither elements nor names: long or dense runs of text are content, lone lines and links are not
+    ("<div>{1/1}</div><div>{1/1}</div><div>{2/2}</div><div>{45}</div><div>{52/3}</div><div>{38}</div><div>{14}</div><div>{16}</div><div>{2/2}</div><div>{3/3}</div><div>{3}</div>", "000" "11111" "000"),
+    ("<h1>{6}</h1><p>{45}<p>{5}<p>{50}<p>{3/3}", "1111" "0"), ("<p>{2/2}<p>{3}<p>{2/2}<p>{3}", "0000"), ("<p>{150}", "1"), ("<p>{24}", "1"), ("<p>{3}", "0"),
+    ("<div>{9/9}</div><div>{8/8}</div><div>{30/27}</div><h3>{4}</h3><div>{28/25}</div><div>{9/9}</div>", "000000"),
+    ("<div>{5/5}</div><div>{40}</div><div>{4}</div><div>{48}</div><div>{11}</div><div>{24/2}</div><div>{5/4}</div><div>{3}</div>", "0" "11111" "00"),
+    ("<div>{4/4}<p>{6}</div><h2>{7}</h2><p>{33}<p>{18}<h2>{3}</h2><p>{61/5}<div>{18/11}</div><div>{3/3}</div>", "00" "11111" "00"),
 )
-# fmt: on
+PLACEHOLDER = re.compile(r"\{(\d+)(?:/(\d+))?\}")
 
 
 class Tree:
@@ -105,12 +107,13 @@ class Tree:
 
 
 class Block:
-    __slots__ = ("frame", "body", "heading", "linked", "text", "words")
+    __slots__ = ("body", "frame", "heading", "linked", "named", "text", "words")
 
-    def __init__(self, text: str, linked: int, frame: bool, body: bool, heading: bool):
+    def __init__(self, text: str, linked: int, kinds: set[str], heading: bool):
         self.text, self.words = text, len(text.split())
         self.linked = min(1.0, linked / max(1, self.words))
-        self.frame, self.body, self.heading = frame, body, heading
+        self.frame, self.named, self.body = ("frame" in kinds, "named" in kinds, "body" in kinds)
+        self.heading = heading
 
 
 class BlockParser(HTMLParser):
@@ -122,7 +125,7 @@ class BlockParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, str]] = []  # (element, kind): kind is silent, frame, body or ""
+        self.open: list[tuple[str, str]] = []  # (element, kind): kind is silent, frame, named, body or ""
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
@@ -140,15 +143,14 @@ class BlockParser(HTMLParser):
         if tag in ("html", "body") or HEADING.fullmatch(tag):
             return ""
         if FRAME_WORDS.search(named):
-            return "frame"
+            return "named"
         return "body" if tag in BODY or BODY_WORDS.search(named) else ""
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            kinds = [k for _, k in self.open]
             heading = any(HEADING.fullmatch(t) for t, _ in self.open)
-            self.blocks.append(Block(text, self.linked, "frame" in kinds, "body" in kinds, heading))
+            self.blocks.append(Block(text, self.linked, {k for _, k in self.open}, heading))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -222,15 +224,31 @@ def text_blocks(page: str) -> list[Block]:
 
 
 def describe(blocks: list[Block]) -> list[tuple]:
-    """A row of FEATURES for each block; beyond either end there is an empty block."""
+    """A row of FEATURES for each block; beyond either end there is an empty block. A block is outside if it
+    is not in the body that the page has."""
     size = [0, *(b.words for b in blocks), 0]
     links = [0.0, *(b.linked for b in blocks), 0.0]
+    bodied = any(b.body and not b.frame and not b.named for b in blocks)
     return [
-        (b.words, b.linked, size[i], links[i], size[i + 2], links[i + 2], int(b.frame), int(b.body), int(b.heading))
+        (b.words, b.linked, size[i], links[i], size[i + 2], links[i + 2], int(b.frame), int(b.named), int(b.body), int(bodied and not b.body), int(b.heading))
         for i, b in enumerate(blocks)
     ]
 
 
+def labelled_rows(pages: tuple = LABELLED) -> list[tuple]:
+    """A row of FEATURES and the label of every block of labelled pages."""
+
+    def fill(m: re.Match) -> str:
+        n, linked = int(m[1]), int(m[2] or 0)
+        return f"<a href=x>{'link ' * linked}</a>" * (linked > 0) + " word" * (n - linked)
+
+    rows = []
+    for page, labels in pages:
+        own = describe(text_blocks(PLACEHOLDER.sub(fill, page)))
+        rows += [(*row, int(label)) for row, label in zip(own, labels, strict=True)]
+    return rows
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     blocks = text_blocks(page or "")
     return "\n".join(b.text for b, row in zip(blocks, describe(blocks), strict=True) if tree.predict(row))
@@ -243,7 +261,7 @@ def extract(pages: DataFrame) -> DataFrame:
     read as far as it goes."""
 
     def run(batches):
-        tree = Tree(list(LABELLED))
+        tree = Tree(labelled_rows())
         for b in batches:
             texts = [main_text(x.as_py(), tree) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays(
