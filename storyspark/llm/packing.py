@@ -73,47 +73,74 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) ->
     return rows.mapInArrow(run, schema + ", ids array<int>" * keep_ids)
 
 
-def reduce_dominated(count: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fix small sets of lengths that dominate every other set with their largest member, and take them
-    out of count. Result: (lengths of one bin, number of such bins).
-
-    A pair that fills the bin dominates. For a largest length w: alone, if nothing else fits beside it;
-    with the largest partner p that fits, if any two lengths that fit beside w sum to p at most and no
-    three fit (each such set could be exchanged for p without needing more bins)."""
-    fixed = []
-
-    def fix(lengths: tuple[int, ...]) -> None:
-        times = min(count[w] // n for w, n in Counter(lengths).items())
-        fixed.append((lengths, times))
-        for w in lengths:
-            count[w] -= times
-
-    for w in sorted(count, reverse=True):
-        if w == capacity and count[w]:
-            fix((w,))
-        elif capacity > w >= capacity - w and min(count[w], count[capacity - w]) >= 1 + (2 * w == capacity):
-            fix((w, capacity - w))
-    while left := sorted(w for w in count if count[w] > 0):
-        w = left[-1]
-        room = capacity - w
-        count[w] -= 1
-        rest = [x for x in left if count[x] > 0 and x <= room]
-        smallest = sorted(x for x in rest for _ in range(min(3, count[x])))[:3]
-        pair = 0
-        for x in rest:
+def _fills(count: Counter, rest: list[int], room: int, most: int) -> bool:
+    """Whether lengths of rest, as often as count has them, add up to more than most and at most room."""
+    sums, wanted = 1, (1 << room + 1) - (1 << most + 1)
+    for x in rest:
+        n, step = min(count[x], room // x), 1
+        while n:
+            step = min(step, n)
+            sums |= sums << x * step
+            n, step = n - step, 2 * step
+        sums &= (1 << room + 1) - 1
+        if sums & wanted:
+            return True
+    return False
+
+
+def dominating(count: Counter, w: int, capacity: int) -> tuple[int, ...] | None:
+    """A set of w and up to two more lengths that dominates every other set that holds w: whatever else
+    could stand beside w can be exchanged for it without needing more bins. None where there is none such.
+
+    Alone, if nothing fits beside w. With the largest partner a, if nothing that fits adds up to more. With
+    a and the largest b that fits beside both, if three never fit beside w and of any two that fit the
+    smaller is no larger than b, or both have room in a's place."""
+    room = capacity - w
+    count[w] -= 1
+    try:
+        rest = sorted(x for x in count if count[x] > 0 and x <= room)
+        if not rest:
+            return (w,)
+        a = rest[-1]
+        if a == room or not _fills(count, rest, room, a):
+            return (w, a)
+        smallest = [x for x in rest[:3] for _ in range(min(3, count[x]))][:3]
+        if len(smallest) == 3 and sum(smallest) <= room:
+            return None
+
+        def partner(x: int) -> int:
+            """The largest length that fits beside w and x; 0 for none."""
             at = bisect_left(rest, room - x + 1) - 1
-            while at >= 0 and rest[at] == x and count[x] < 2:
+            if at >= 0 and rest[at] == x and count[x] < 2:
                 at -= 1
-            if at >= 0:
-                pair = max(pair, x + rest[at])
+            return rest[at] if at >= 0 else 0
+
+        b = partner(a)
+        if not b:
+            return None
+        for i in rest[bisect_left(rest, b + 1) :]:
+            if (h := partner(i)) >= i and h + i > a:
+                return None
+        return (w, a, b)
+    finally:
         count[w] += 1
-        if not rest:
-            fix((w,))
-        elif (len(smallest) < 3 or sum(smallest) > room) and pair <= rest[-1]:
-            fix((w, rest[-1]))
-        else:
-            break
-    return [f for f in fixed if f[1]]
+
+
+def reduce_dominated(count: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fix dominating sets and take them out of count: passes over all lengths, the largest first, as long as
+    a pass fixes any. A set that dominates does so for every copy of it, since what else could stand in its
+    place only gets less. Result: (lengths of one bin, number of such bins)."""
+    fixed = []
+    while True:
+        before = len(fixed)
+        for w in sorted((w for w in count if count[w] > 0), reverse=True):
+            while count[w] > 0 and (own := dominating(count, w, capacity)):
+                times = min(count[x] // n for x, n in Counter(own).items())
+                fixed.append((own, times))
+                for x in own:
+                    count[x] -= times
+        if len(fixed) == before:
+            return fixed
 
 
 def best_fit(count: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
