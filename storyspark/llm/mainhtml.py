@@ -66,7 +66,7 @@ LABELLED = (
     ("<div class=menu><a>{1}</a> <a>{2}</a></div><div class=post><p>{12}<p>{70}</div><div class=comments><p>{45}</div>", "01" "10"),
     # neither elements nor names: long or dense runs of text are content, lone lines and links are not
     ("<div>{1/1}</div><div>{1/1}</div><div>{2/2}</div><div>{45}</div><div>{52/3}</div><div>{38}</div><div>{14}</div><div>{16}</div><div>{2/2}</div><div>{3/3}</div><div>{3}</div>", "000" "11111" "000"),
-    ("<h1>{6}</h1><p>{45}<p>{5}<p>{50}<p>{3/3}", "1111" "0"), ("<p>{2/2}<p>{3}<p>{2/2}<p>{3}", "0000"), ("<p>{150}", "1"), ("<p>{24}", "1"), ("<p>{3}", "0"),
+    ("<h1>{6}</h1><p>{45}<p>{5}<p>{50}<p>{3/3}", "1111" "0"), ("<p>{2/2}<p>{3}<p>{2/2}<p>{3}", "0000"), ("<p>{2/2}<p>{5}<p>{3/3}<p>{4}<p>{2/2}<p>{6}<p>{4/4}", "0000000"), ("<p>{150}", "1"), ("<p>{24}", "1"), ("<p>{3}", "0"),
     ("<div>{9/9}</div><div>{8/8}</div><div>{30/27}</div><h3>{4}</h3><div>{28/25}</div><div>{9/9}</div>", "000000"),
     ("<div>{5/5}</div><div>{40}</div><div>{4}</div><div>{48}</div><div>{11}</div><div>{24/2}</div><div>{5/4}</div><div>{3}</div>", "0" "11111" "00"),
     ("<div>{4/4}<p>{6}</div><h2>{7}</h2><p>{33}<p>{18}<h2>{3}</h2><p>{61/5}<div>{18/11}</div><div>{3/3}</div>", "00" "11111" "00"),
