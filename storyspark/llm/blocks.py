@@ -248,8 +248,9 @@ def gathered(asked: DataFrame, combine: Callable[[list[bytes]], bytes], merge: C
         return pa.table({"shard": pa.array([shard], pa.int32()), "state": pa.array([state], pa.binary()), **{n: pa.array([v], pa.int64()) for n, v in (("x", x), ("y", y), ("asked", size))}})
 
     rows, united = asked.select("shard", "group", "payload"), "shard int, state binary, x bigint, y bigint, asked bigint"
-    if asked._groups == 1:
-        return materialize(rows.groupBy("shard", "group").applyInArrow(unite, united), name)
+    if asked._groups == 1:  # the states lie where their questions do
+        made = rows.groupBy("shard", "group").applyInArrow(unite, united)
+        return _bucketed(made.select(F.lit(0).alias("group"), "*"), asked._tasks, "shard", "group")
     joined = rows.groupBy("shard", "group").applyInArrow(join, "shard int, payload binary, asked bigint")
     return materialize(joined.repartition(asked._tasks, "shard").groupBy("shard").applyInArrow(unite, united), name)
 
@@ -266,7 +267,7 @@ def answered(asked: DataFrame, states: DataFrame, answer: Callable[[bytes, list[
         return pa.table([left.column("block"), left.column("shard"), pa.chunked_array([pa.array(replies, pa.binary())])], ["block", "shard", "reply"])
 
     if asked._groups == 1:
-        questions_, held = asked, states.select("shard", F.lit(0).alias("group"), "state")
+        questions_, held = asked, states.select("shard", "group", "state")
     else:
         parts = F.ceil(F.col("asked") / ASKED_BYTES)
         hot = F.broadcast(states.where(parts > 1).select("shard", parts.alias("parts")))
@@ -275,7 +276,9 @@ def answered(asked: DataFrame, states: DataFrame, answer: Callable[[bytes, list[
         held = states.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("group"), "state")
     made = questions_.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(run, "block bigint, shard int, reply binary")
     made = materialize(made, name)
-    return made.groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
+    out = made.groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
+    out._written = made._written
+    return out
 
 
 def totals(states: DataFrame) -> tuple[int, int]:

@@ -57,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     spark.conf.set(TIDY, "true")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return written_at(spark.read.schema(df.schema).parquet(path), path)
 
 

@@ -3,10 +3,10 @@
 The model is a word trigram with Dirichlet smoothing down to an add-0.1 unigram p1:
 p2(x|w) = n(w,x) / (c(w) + prior2) + prior2 / (c(w) + prior2) * p1(x) after a known word w, and
 p3(x|v,w) = n(v,w,x) / (c(v,w) + prior3) + prior3 / (c(v,w) + prior3) * p2(x|w) after a pair v,w that was seen.
-The trie holds the first parts of both and the weight that p2 gets after each pair. Its levels are the
-contexts, pointers to their successors, the successors' ids made monotone by each context's base, the
-pointers of these pairs to the words that follow them, and those words, all Elias-Fano coded, with one
-byte for each number: its logarithm to a fixed step.
+The trie holds the first parts of both. Its levels are the contexts, pointers to their successors, the
+successors' ids made monotone by each context's base, the pointers of these pairs to the words that
+follow them, and those words, all Elias-Fano coded, with one byte for each number: its logarithm to a
+fixed step. The weight of p2 follows from a pair's own number, of which c(v,w) is a multiple.
 
 The trie is cut into shards by pair. Blocks of documents count; a shard is built from all counts and
 written to the shared folder; then the tasks that score map the shards' levels into memory and search
@@ -20,6 +20,7 @@ import mmap
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,14 @@ def quantised(value: np.ndarray) -> np.ndarray:
     return (np.clip(np.rint(-np.log10(value) / STEP), 0, 254) + 1).astype(np.uint8)
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class EliasFano:
     """A non-decreasing sequence in its coded form: low bits packed, high bits in unary. Each word of 64
     unary bits has the number of ones before it, by which any element is found without decoding."""
@@ -137,14 +146,13 @@ class Trie:
     """One shard of the model in its coded form: contexts, pairs and triples."""
 
     @staticmethod
-    def encode(v: np.ndarray, w: np.ndarray, pair_value: np.ndarray, weight: np.ndarray, degree: np.ndarray, x: np.ndarray, triple_value: np.ndarray) -> bytes:
-        """v, w: pairs sorted by (v, w), with what is known of each and the weight after it; degree: triples of
-        each pair; x: their last words, sorted within the pair, with what is known of each."""
+    def encode(v: np.ndarray, w: np.ndarray, pair_value: np.ndarray, degree: np.ndarray, x: np.ndarray, triple_value: np.ndarray) -> bytes:
+        """v, w: pairs sorted by (v, w), with what is known of each; degree: triples of each pair; x: their last words, sorted within the pair, with what is known of each."""
         first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
         pairs = np.append(first, len(v))
         triples = np.append(0, np.cumsum(degree))
         levels = (v[first], pairs, Trie._monotone(w, pairs), triples, Trie._monotone(x, triples))
-        return b"".join([*map(EliasFano.encode, levels), quantised(pair_value).tobytes(), quantised(weight).tobytes(), quantised(triple_value).tobytes()])
+        return b"".join([*map(EliasFano.encode, levels), quantised(pair_value).tobytes(), quantised(triple_value).tobytes()])
 
     @staticmethod
     def _monotone(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -164,8 +172,7 @@ class Trie:
             at = self.levels[-1].end
         self.contexts, self.pair_pointers, self.pairs, self.triple_pointers, self.triples = self.levels
         self.pair_codes = np.frombuffer(self.map, np.uint8, self.pairs.n, at)
-        self.weights = np.frombuffer(self.map, np.uint8, self.pairs.n, at + self.pairs.n)
-        self.triple_codes = np.frombuffer(self.map, np.uint8, self.triples.n, at + 2 * self.pairs.n)
+        self.triple_codes = np.frombuffer(self.map, np.uint8, self.triples.n, at + self.pairs.n)
 
     @staticmethod
     def _below(level: EliasFano, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -341,7 +348,7 @@ def _ask_grams(shards: int):
             first, size = _grouped(t.v[own])
             contexts = t.v[own][first]
             body = (_steps(t.ids[contexts]), size, t.ids[t.w[own]], t.degree[own], t.ids[t.x[triples]], t.count[contexts], pair_n[own], triple_n[triples])
-            parts.append((s, zlib.compress(pack(*body), 1)))
+            parts.append((s, squeeze(pack(*body))))
         yield questions(row["block"], parts)
 
     return work
@@ -351,7 +358,7 @@ def _join_grams(payloads: list[bytes]) -> bytes:
     """The sums of payloads, in the same form."""
     columns = [[] for _ in range(7)]
     for p in payloads:
-        steps, size, w, degree, x, context, n, m = unpack(zlib.decompress(p))
+        steps, size, w, degree, x, context, n, m = unpack(unsqueeze(p))
         v = np.cumsum(steps)
         own = (np.repeat(v, size.astype(np.int64)), w, n, np.repeat(context, size.astype(np.int64)))
         d = degree.astype(np.int64)
@@ -375,7 +382,7 @@ def _join_grams(payloads: list[bytes]) -> bytes:
     pair_at = _match(v, w, tv[begins], tw[begins])
     degree[pair_at] = np.diff(np.append(begins, len(tv)))
     first, size = _grouped(v)
-    return zlib.compress(pack(_steps(v[first]), size, w, degree, x, context[first], n, m), 1)
+    return squeeze(pack(_steps(v[first]), size, w, degree, x, context[first], n, m))
 
 
 def _match(v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -387,7 +394,7 @@ def _match(v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
 
 def _build_trie(priors: tuple[float, float]):
     def merge(payloads, shard):
-        steps, size, w, degree, x, context, n, m = unpack(zlib.decompress(_join_grams(payloads)))
+        steps, size, w, degree, x, context, n, m = unpack(unsqueeze(_join_grams(payloads)))
         size, degree = size.astype(np.int64), degree.astype(np.int64)
         v, context = np.repeat(np.cumsum(steps), size), np.repeat(context, size)
         # what training has not seen is not in the trie
@@ -398,22 +405,22 @@ def _build_trie(priors: tuple[float, float]):
         after = np.append(0, np.cumsum(m))
         end = np.cumsum(degree)
         total = (after[end] - after[end - degree]).astype(float)
-        state = Trie.encode(v, w, pair_value, priors[1] / (total + priors[1]), degree, x, m / (np.repeat(total, degree) + priors[1]))
+        state = Trie.encode(v, w, pair_value, degree, x, m / (np.repeat(total, degree) + priors[1]))
         return state, len(v), len(x)
 
     return merge
 
 
 def _search_trie(state: bytes, payloads: list[bytes]) -> list[bytes]:
-    """To each pair the codes of what is known of it and of the weight after it, then those of the triples."""
+    """To each pair the code of what is known of it, then those of the triples."""
     trie, out = Trie(state), []
     for p in payloads:
-        steps, size, w, degree, x, *_ = unpack(zlib.decompress(p))
+        steps, size, w, degree, x, *_ = unpack(unsqueeze(p))
         size, degree = size.astype(np.int64), degree.astype(np.int64)
         pair = trie.find_pairs(np.cumsum(steps), np.repeat(np.arange(len(size)), size), w)
         triple = trie.find_triples(pair, np.repeat(np.arange(len(w)), degree), x)
-        codes = [np.where(at >= 0, c[np.maximum(at, 0)] if len(c) else np.uint8(0), np.uint8(0)) for at, c in ((pair, trie.pair_codes), (pair, trie.weights), (triple, trie.triple_codes))]
-        out.append(zlib.compress(np.concatenate(codes).tobytes(), 1))
+        codes = [np.where(at >= 0, c[np.maximum(at, 0)] if len(c) else np.uint8(0), np.uint8(0)) for at, c in ((pair, trie.pair_codes), (triple, trie.triple_codes))]
+        out.append(squeeze(np.concatenate(codes).tobytes()))
     return out
 
 
@@ -424,13 +431,15 @@ def _scores(shards: int, n_train: int, n_known: int, priors: tuple[float, float]
     def work(row):
         t = Known(row, shards)
         docs = len(row["doc_ids"])
-        pair, weight, triple = np.zeros(len(t.v)), np.zeros(len(t.v)), np.zeros(len(t.x))
+        pair, triple = np.zeros(len(t.v)), np.zeros(len(t.x))
         replies = by_shard(row["grams"])
         for s, own, triples in t.dealt(shards):
             if s in replies:
-                codes = CODES[np.frombuffer(zlib.decompress(replies[s]), np.uint8)]
-                n = len(own)
-                pair[own], weight[own], triple[triples] = codes[:n], codes[n : 2 * n], codes[2 * n :]
+                codes = CODES[np.frombuffer(unsqueeze(replies[s]), np.uint8)]
+                pair[own], triple[triples] = codes[: len(own)], codes[len(own) :]
+        # a pair's training count, and from it the weight of the shorter context after the pair
+        seen = pair * (t.count[t.v].astype(float) + priors[0])
+        weight = np.where(pair > 0, priors[1] / (np.maximum(np.rint(seen), 1) + priors[1]), 0.0)
         unigram = (t.count.astype(float) + ADD) / (n_train + ADD * (n_known + 1))
         p1 = unigram[t.kind]
         context = t.count[t.before].astype(float)

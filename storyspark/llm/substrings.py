@@ -146,15 +146,20 @@ def _tell_shared(state: bytes, payloads: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum([len(x) for x in own])[:-1])]
 
 
+def _candidates(row: dict, k: int, shards: int) -> tuple[Edges, np.ndarray]:
+    """The block's edges, and the first of each of those whose representative stands in two documents."""
+    edges = Edges(row, k)
+    distinct, within, index = edges.representatives()
+    order, cuts = dealt(distinct, shards)
+    for s, reply in by_shard(row["shared"]).items():
+        a, b = cuts[s], cuts[s + 1]
+        within[order[a:b]] |= np.unpackbits(np.frombuffer(reply, np.uint8), count=b - a).astype(bool)
+    return edges, edges.firsts(np.flatnonzero(within[index]) if len(index) else index)
+
+
 def _ask_sources(k: int, shards: int):
     def work(row):
-        edges = Edges(row, k)
-        distinct, within, index = edges.representatives()
-        order, cuts = dealt(distinct, shards)
-        for s, reply in by_shard(row["replies"]).items():
-            a, b = cuts[s], cuts[s + 1]
-            within[order[a:b]] |= np.unpackbits(np.frombuffer(reply, np.uint8), count=b - a).astype(bool)
-        firsts = edges.firsts(np.flatnonzero(within[index]) if len(index) else index)
+        _, firsts = _candidates(row, k, shards)
         yield _dealt_out(row, firsts["edge"], shards, lambda own: firsts[own].tobytes())
 
     return work
@@ -170,25 +175,44 @@ def _shared_sources(payloads: list[bytes], shard: int) -> tuple[bytes, int, int]
 
 
 def _tell_sources(state: bytes, payloads: list[bytes]) -> list[bytes]:
-    """To each block the sources of those of its edges that another block has too."""
+    """To each block which of its edges another block has too, and the documents and places of their sources."""
     sources = np.frombuffer(state, SOURCE)
     own = [np.frombuffer(p, SOURCE) for p in payloads]
     every = np.concatenate(own)
-    at = np.split(places_of(sources, every["edge"], every["check"]), np.cumsum([len(x) for x in own])[:-1])
-    return [sources[x[x >= 0]].tobytes() for x in at]
+    out = []
+    for at in np.split(places_of(sources, every["edge"], every["check"]), np.cumsum([len(x) for x in own])[:-1]):
+        found = sources[at[at >= 0]]
+        out.append(pack((at >= 0).astype(np.uint64), found["doc"].astype(np.uint64), found["place"].astype(np.uint64)))
+    return out
+
 
+FOUND = "kind int, block bigint, local int, doc_id bigint, place int, n int, source bigint, source_place int, nodes array<bigint>"
+SOURCES, RUN = 0, 1
 
-FOUND = "kind int, block bigint, local int, doc_id bigint, place int, n int, source bigint, source_place int, tail bigint, head bigint"
-EDGE, RUN = 0, 1
 
+def _breaks(*steps: tuple[np.ndarray, int]) -> np.ndarray:
+    """Where a run begins: each of the columns grows by its step within a run."""
+    n = len(steps[0][0])
+    cut = np.zeros(max(0, n - 1), bool)
+    for column, step in steps:
+        cut |= np.diff(column) != step
+    return np.append(0, np.flatnonzero(cut) + 1) if n else np.zeros(0, np.int64)
 
-def _find(k: int):
-    """Two kinds of rows: the repeated edges whose source stands in the block, with their nodes; and runs
+
+def _find(k: int, shards: int):
+    """Two kinds of rows: runs of repeated edges whose sources stand in the block, with their nodes; and runs
     of edges of a document that have their sources one behind the other in a document with a smaller id."""
 
     def work(row):
-        edges = Edges(row, k)
-        replies = np.concatenate([np.zeros(0, SOURCE), *(np.frombuffer(r, SOURCE) for r in by_shard(row["replies"]).values())])
+        edges, asked = _candidates(row, k, shards)
+        order, cuts = dealt(asked["edge"], shards)
+        replies = [np.zeros(0, SOURCE)]
+        for s, reply in by_shard(row["told"]).items():
+            mask, doc, place = unpack(reply)
+            told = asked[order[cuts[s] : cuts[s + 1]]][mask.astype(bool)]
+            told["doc"], told["place"] = doc.astype(np.int64), place.astype(np.int32)
+            replies.append(told)
+        replies = np.concatenate(replies)
         own = edges.repeated(replies["edge"])
         if not len(own):
             return
@@ -198,37 +222,52 @@ def _find(k: int):
         later = source["doc"] < edges.doc[own]
         shared = np.zeros(len(sources), bool)
         shared[index[later]] = True
-        there = places_of(sources, replies["edge"], replies["check"])
-        shared[there] = True
+        shared[places_of(sources, replies["edge"], replies["check"])] = True
         here = np.flatnonzero((source["doc"] == edges.doc[own]) & (source["place"] == edges.place[own]) & shared[index])
-        here = own[here[np.unique(index[here], return_index=True)[1]]]
-        node = rolled(edges.words.hashes, k - 1)
+        here = np.sort(own[here[np.unique(index[here], return_index=True)[1]]])
+        first = _breaks((edges.at[here], 1), (edges.local[here], 0))
+        length = np.diff(np.append(first, len(here)))
+        starts = edges.at[here][first]
+        offsets = np.append(0, np.cumsum(length + 1))
+        node = rolled(edges.words.hashes, k - 1)[np.repeat(starts - offsets[:-1], length + 1) + np.arange(offsets[-1])]
+        begins = here[first]
         source, own = source[later], own[later]
-        at, local = edges.at[own], edges.local[own]
-        cut = (np.diff(at) != 1) | (np.diff(local) != 0) | (np.diff(source["doc"]) != 0) | (np.diff(source["place"]) != 1)
-        first = np.append(0, np.flatnonzero(cut) + 1) if len(own) else own
+        first = _breaks((edges.at[own], 1), (edges.local[own], 0), (source["doc"], 0), (source["place"], 1))
         n = np.diff(np.append(first, len(own)))
-        e, r = len(here), len(first)
-        none = lambda m: np.zeros(m, np.int64)
+        e, r, runs = len(begins), len(first), own[first]
+        none = np.zeros(e, np.int64)
         yield {
-            "kind": np.repeat(np.array([EDGE, RUN], np.int32), [e, r]),
+            "kind": np.repeat(np.array([SOURCES, RUN], np.int32), [e, r]),
             "block": np.full(e + r, row["block"]),
-            "local": np.append(edges.local[here], local[first]).astype(np.int32),
-            "doc_id": np.append(edges.doc[here], edges.doc[own][first]),
-            "place": np.append(edges.place[here], edges.place[own][first]).astype(np.int32),
-            "n": np.append(np.ones(e), n).astype(np.int32),
-            "source": np.append(none(e), source["doc"][first]),
-            "source_place": np.append(none(e), source["place"][first]).astype(np.int32),
-            "tail": np.append(node[edges.at[here]].view(np.int64), none(r)),
-            "head": np.append(node[edges.at[here] + 1].view(np.int64), none(r)),
+            "local": np.append(edges.local[begins], edges.local[runs]).astype(np.int32),
+            "doc_id": np.append(edges.doc[begins], edges.doc[runs]),
+            "place": np.append(edges.place[begins], edges.place[runs]).astype(np.int32),
+            "n": np.append(length, n).astype(np.int32),
+            "source": np.append(none, source["doc"][first]),
+            "source_place": np.append(none, source["place"][first]).astype(np.int32),
+            "nodes": pa.ListArray.from_arrays(pa.array(np.append(offsets, np.full(r, offsets[-1])), pa.int32()), pa.array(node.view(np.int64))),
         }
 
     return work
 
 
+def cut_at_branches(runs: DataFrame) -> DataFrame:
+    """Pieces (doc_id, place, n, tail, head) of runs of edges (doc_id, place, nodes), cut at every node that
+    stands in more than one place; no node inside a piece has a branch, for its other edges would stand
+    in another place too."""
+    at = runs.select("doc_id", "place", F.posexplode("nodes").alias("i", "node"))
+    again = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    cuts = at.join(again, "node", "left_semi").groupBy("doc_id", "place").agg(F.collect_set("i").alias("cuts"))
+    bounds = F.array_sort(F.array_union(F.array(F.lit(0), F.size("nodes") - 1), F.coalesce("cuts", F.array().cast("array<int>"))))
+    cut = runs.join(cuts, ["doc_id", "place"], "left").withColumn("bounds", bounds)
+    pieces = F.transform(F.slice("bounds", 2, F.size("bounds")), lambda b, j: F.struct(F.get("bounds", j).alias("a"), b.alias("b")))
+    cut = cut.select("doc_id", "place", "nodes", F.explode(pieces).alias("x"))
+    return cut.select("doc_id", (F.col("place") + F.col("x.a")).alias("place"), (F.col("x.b") - F.col("x.a")).alias("n"), F.get("nodes", "x.a").alias("tail"), F.get("nodes", "x.b").alias("head"))
+
+
 def compacted(edges: DataFrame) -> DataFrame:
-    """Paths without a branch of the graph with these edges (doc_id, place: where the edge stands; tail, head:
-    its nodes). Rows are pieces: doc_id, place, n (edges that follow each other there), and path_doc,
+    """Paths without a branch of the graph with these edges, or pieces of n edges (doc_id, place: where it stands;
+    tail, head: its nodes). Rows are pieces: doc_id, place, n (edges that follow each other there), and path_doc,
     path_place (the first piece of the path that the piece belongs to; a ring's least).
 
     Edges that meet in a node with one edge in and one out belong to one path. In a document they are found
@@ -240,11 +279,11 @@ def compacted(edges: DataFrame) -> DataFrame:
     through = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i = 1 AND o = 1").select(F.col("node").alias("tail"), F.lit(True).alias("inner"))
     marked = edges.join(through, "tail", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
     order = Window.partitionBy("doc_id").orderBy("place")
-    begins = ~(F.col("inner") & F.coalesce(F.lag("place").over(order) == F.col("place") - 1, F.lit(False)))
+    begins = ~(F.col("inner") & F.coalesce(F.lag(F.col("place") + F.col("n")).over(order) == F.col("place"), F.lit(False)))
     numbered = marked.withColumn("begins", begins.cast("int")).withColumn("piece", F.sum("begins").over(order))
     at = F.struct("doc_id", "place").alias("id")
     pieces = numbered.groupBy("doc_id", "piece").agg(
-        F.min("place").alias("place"), F.count(F.lit(1)).cast("int").alias("n"),
+        F.min("place").alias("place"), F.sum("n").cast("int").alias("n"),
         F.min_by("tail", "place").alias("tail"), F.min_by("inner", "place").alias("inner"), F.max_by("head", "place").alias("head"),
     )
     pieces = materialize(pieces.drop("piece"), "pieces")
@@ -308,12 +347,15 @@ def repeated_paths(docs: DataFrame, k: int = K, shard_words: int | None = None)
     state = gathered(asked, _join_representatives, _shared_representatives, "representatives")
     shared = answered(asked, state, _tell_shared, "shared")
     discard(asked, state)
-    asked = ask(plain.join(shared, "block", "left"), _ask_sources(k, shards), count, shards)
+    known = plain.join(shared.withColumnRenamed("replies", "shared"), "block", "left")
+    asked = ask(known, _ask_sources(k, shards), count, shards)
     state = gathered(asked, _join_sources, _shared_sources, "sources")
-    sources = answered(asked, state, _tell_sources, "told")
+    told = answered(asked, state, _tell_sources, "told")
     discard(asked, state)
-    found = materialize(over_blocks(plain.join(sources, "block", "left"), _find(k), FOUND), "found")
-    pieces = materialize(compacted(found.where(F.col("kind") == EDGE).select("doc_id", "place", "tail", "head").distinct()), "paths")
+    found = materialize(over_blocks(known.join(told.withColumnRenamed("replies", "told"), "block", "left"), _find(k, shards), FOUND), "found")
+    discard(shared, told)
+    pieces = materialize(cut_at_branches(found.where(F.col("kind") == SOURCES).select("doc_id", "place", "nodes")), "cut")
+    pieces = materialize(compacted(pieces), "paths")
     runs = found.where(F.col("kind") == RUN).groupBy("block", "source", "source_place", "n").agg(F.collect_list(F.struct("local", "place")).alias("at"))
     runs = materialize(runs, "runs")
     digests = materialize(_source_digests(plain, runs.select("source", "source_place", "n").distinct(), pieces, k), "digests")

@@ -84,7 +84,7 @@ def test_scores_do_not_depend_on_shards(spark):
 def test_scores_come_from_the_trie(spark, monkeypatch):
     """Without what the trie knows nothing but the unigram is left."""
     data = corpus(5, 60)
-    monkeypatch.setattr(lmscore, "_search_trie", lambda state, payloads: [zlib.compress(bytes(len(zlib.decompress(p)))) for p in lmscore_replies(state, payloads)])
+    monkeypatch.setattr(lmscore, "_search_trie", lambda state, payloads: [lmscore.squeeze(bytes(len(lmscore.unsqueeze(p)))) for p in lmscore_replies(state, payloads)])
     lmscore_replies = _search
     for r in lmscore.score_texts(frame(spark, data)).collect():
         assert r.score <= r.base_score + 1e-9
@@ -122,8 +122,8 @@ def test_trie_finds_what_it_holds_and_nothing_else():
     rng = np.random.default_rng(3)
     grams = np.unique(rng.integers([1, 1, 1], [60, 80, 100], (20000, 3)), axis=0).astype(np.uint64)
     pairs, degree = np.unique(grams[:, :2], axis=0, return_counts=True)
-    pair_value, weight, value = rng.random(len(pairs)) * 0.999 + 1e-3, rng.random(len(pairs)) * 0.9 + 0.1, rng.random(len(grams)) * 0.999 + 1e-3
-    data = lmscore.Trie.encode(pairs[:, 0], pairs[:, 1], pair_value, weight, degree, grams[:, 2], value)
+    pair_value, value = rng.random(len(pairs)) * 0.999 + 1e-3, rng.random(len(grams)) * 0.999 + 1e-3
+    data = lmscore.Trie.encode(pairs[:, 0], pairs[:, 1], pair_value, degree, grams[:, 2], value)
     trie = lmscore.Trie(data)
     v = np.arange(70, dtype=np.uint64)
     which, w = np.repeat(np.arange(70), 90), np.tile(np.arange(90, dtype=np.uint64), 70)
@@ -134,7 +134,7 @@ def test_trie_finds_what_it_holds_and_nothing_else():
     place = trie.find_triples(at, np.repeat(np.arange(len(at)), 110), x)
     index = {tuple(g): k for k, g in enumerate(grams.tolist())}
     assert place.tolist() == [index.get((int(v[i]), int(j), k), -1) for i, j in zip(which, w) for k in range(110)]
-    for codes, true in ((trie.pair_codes, pair_value), (trie.weights, weight), (trie.triple_codes, value)):
+    for codes, true in ((trie.pair_codes, pair_value), (trie.triple_codes, value)):
         assert np.abs(np.log10(lmscore.CODES[codes]) - np.log10(true)).max() <= lmscore.STEP / 2 + 1e-9
 
 
@@ -145,7 +145,7 @@ def test_trie_is_compact_in_memory():
     grams = np.unique(np.stack([ids[:-2], ids[1:-1], ids[2:]], 1), axis=0)
     pairs, degree = np.unique(grams[:, :2], axis=0, return_counts=True)
     half = lambda n: np.full(n, 0.5)
-    data = lmscore.Trie.encode(pairs[:, 0], pairs[:, 1], half(len(pairs)), half(len(pairs)), degree, grams[:, 2], half(len(grams)))
+    data = lmscore.Trie.encode(pairs[:, 0], pairs[:, 1], half(len(pairs)), degree, grams[:, 2], half(len(grams)))
     assert len(data) < 6 * (len(grams) + len(pairs))
     trie = lmscore.Trie(data)
     for level in trie.levels:  # all but the counts of ones and zeros per line are views of the map
@@ -158,6 +158,6 @@ def test_numbers_and_ids_beyond_32_bits():
     small = np.array([3, 2, 1], np.uint64)
     assert all((a == b).all() for a, b in zip(blocks.unpack(blocks.pack(big, small, big[:0])), (big, small, big[:0])))
     v, w, x = np.array([1 << 34, 1 << 35], np.uint64), np.array([7, 1 << 36], np.uint64), np.array([1 << 37, 5], np.uint64)
-    trie = lmscore.Trie(lmscore.Trie.encode(v, w, np.ones(2), np.ones(2), np.array([1, 1]), x, np.ones(2)))
+    trie = lmscore.Trie(lmscore.Trie.encode(v, w, np.ones(2), np.array([1, 1]), x, np.ones(2)))
     at = trie.find_pairs(v, np.array([0, 1, 1]), np.array([7, 1 << 36, 7], np.uint64))
     assert at.tolist() == [0, 1, -1] and trie.find_triples(at, np.array([0, 1, 2]), np.array([1 << 37, 5, 5], np.uint64)).tolist() == [0, 1, -1]

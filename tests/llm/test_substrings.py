@@ -112,7 +112,8 @@ def test_paths_without_a_branch_are_compacted(spark):
             edges.append((doc, 900, node - 2, rng.randint(100, node)))
     edges += [(50, 0, 9000, 9001), (51, 7, 9001, 9002), (52, 3, 9002, 9003), (49, 1, 9003, 9004), (53, 0, 9004, 9005)]  # one path through five documents
     edges += [(60, 0, 9100, 9101), (61, 0, 9101, 9102), (62, 0, 9102, 9100)]  # a ring
-    rows = substrings.compacted(spark.createDataFrame(edges, "doc_id bigint, place int, tail bigint, head bigint")).collect()
+    rows = [(d, p, 1, t, h) for d, p, t, h in edges]
+    rows = substrings.compacted(spark.createDataFrame(rows, "doc_id bigint, place int, n int, tail bigint, head bigint")).collect()
     assert sum(r.n for r in rows) == len(edges) and len(rows) < len(edges) / 2
     want = slow_paths(edges)
     for r in rows:
@@ -122,10 +123,16 @@ def test_paths_without_a_branch_are_compacted(spark):
     assert {(r.path_doc, r.path_place) for r in rows if r.doc_id >= 60} == {(60, 0)}
 
 
+def test_runs_are_cut_where_a_node_stands_twice(spark):
+    runs = [(1, 5, [10, 11, 12, 13]), (2, 0, [20, 12, 21]), (3, 3, [7, 7, 8]), (4, 0, [30, 31])]
+    got = substrings.cut_at_branches(spark.createDataFrame(runs, "doc_id bigint, place int, nodes array<bigint>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 2, 10, 12), (1, 7, 1, 12, 13), (2, 0, 1, 20, 12), (2, 1, 1, 12, 21), (3, 3, 1, 7, 7), (3, 4, 1, 7, 8), (4, 0, 1, 30, 31)]
+
+
 def test_repeats_are_fewer_paths_than_edges(spark, monkeypatch):
     seen = []
     true = substrings.compacted
-    monkeypatch.setattr(substrings, "compacted", lambda edges: seen.append((edges.count(), true(edges))) or seen[-1][1])
+    monkeypatch.setattr(substrings, "compacted", lambda cut: seen.append((cut.agg({"n": "sum"}).first()[0], true(cut))) or seen[-1][1])
     substrings.remove_repeats(frame(spark, [(i, t) for i, t in corpus(5) if i is not None])).collect()
     ((edges, paths),) = seen
     assert 0 < paths.count() < edges / 3
