@@ -35,6 +35,8 @@ HELD_OUT = 10
 #: Tokens of the corpus per shard of the trie.
 SHARD_TOKENS = 1 << 20
 ALL = 0xFFFFFFFFFFFFFFFF
+#: Payloads searched at once.
+TOGETHER = 32
 #: A number's code is its logarithm in these steps, from 1 for one itself; numbers below the last code take it.
 STEP = 9 / 254
 CODES = np.append(0.0, 10.0 ** (-STEP * np.arange(255)))
@@ -46,7 +48,7 @@ def quantised(value: np.ndarray) -> np.ndarray:
 
 
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
@@ -355,7 +357,11 @@ def _ask_grams(shards: int):
 
 
 def _join_grams(payloads: list[bytes]) -> bytes:
-    """The sums of payloads, in the same form."""
+    return squeeze(pack(*_sum_grams(payloads)))
+
+
+def _sum_grams(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The sums of payloads, in the same columns."""
     columns = [[] for _ in range(7)]
     for p in payloads:
         steps, size, w, degree, x, context, n, m = unpack(unsqueeze(p))
@@ -382,7 +388,7 @@ def _join_grams(payloads: list[bytes]) -> bytes:
     pair_at = _match(v, w, tv[begins], tw[begins])
     degree[pair_at] = np.diff(np.append(begins, len(tv)))
     first, size = _grouped(v)
-    return squeeze(pack(_steps(v[first]), size, w, degree, x, context[first], n, m))
+    return _steps(v[first]), size, w, degree, x, context[first], n, m
 
 
 def _match(v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -394,7 +400,7 @@ def _match(v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
 
 def _build_trie(priors: tuple[float, float]):
     def merge(payloads, shard):
-        steps, size, w, degree, x, context, n, m = unpack(unsqueeze(_join_grams(payloads)))
+        steps, size, w, degree, x, context, n, m = _sum_grams(payloads)
         size, degree = size.astype(np.int64), degree.astype(np.int64)
         v, context = np.repeat(np.cumsum(steps), size), np.repeat(context, size)
         # what training has not seen is not in the trie
@@ -414,13 +420,19 @@ def _build_trie(priors: tuple[float, float]):
 def _search_trie(state: bytes, payloads: list[bytes]) -> list[bytes]:
     """To each pair the code of what is known of it, then those of the triples."""
     trie, out = Trie(state), []
-    for p in payloads:
-        steps, size, w, degree, x, *_ = unpack(unsqueeze(p))
+    for i in range(0, len(payloads), TOGETHER):
+        columns = [unpack(unsqueeze(p))[:5] for p in payloads[i : i + TOGETHER]]
+        v = np.concatenate([np.cumsum(c[0]) for c in columns])
+        size, w, degree, x = (np.concatenate([c[k] for c in columns]) for k in (1, 2, 3, 4))
         size, degree = size.astype(np.int64), degree.astype(np.int64)
-        pair = trie.find_pairs(np.cumsum(steps), np.repeat(np.arange(len(size)), size), w)
+        pair = trie.find_pairs(v, np.repeat(np.arange(len(size)), size), w)
         triple = trie.find_triples(pair, np.repeat(np.arange(len(w)), degree), x)
-        codes = [np.where(at >= 0, c[np.maximum(at, 0)] if len(c) else np.uint8(0), np.uint8(0)) for at, c in ((pair, trie.pair_codes), (triple, trie.triple_codes))]
-        out.append(squeeze(np.concatenate(codes).tobytes()))
+        codes = []
+        for at, known, k in ((pair, trie.pair_codes, 2), (triple, trie.triple_codes, 4)):
+            own = np.zeros(len(at), np.uint8)
+            own[at >= 0] = known[at[at >= 0]]
+            codes.append(np.split(own, np.cumsum([len(c[k]) for c in columns])[:-1]))
+        out += [squeeze(a.tobytes() + b.tobytes()) for a, b in zip(*codes, strict=True)]
     return out
 
 

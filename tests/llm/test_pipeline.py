@@ -2,7 +2,8 @@ import random
 
 import corpus_pipeline
 from storyspark.llm import packing, simhash
-from tests.llm.test_dedup import slow_components, slow_fingerprint
+from tests.llm.test_dedup import slow_components
+from tests.llm.test_jaccard import alike, slow_shingles
 from tests.llm.test_substrings import slow as slow_substrings
 
 WORDS = {
@@ -45,8 +46,8 @@ def test_stages_match_brute_force(spark, tmp_path):
                 last[t.lower()] = i
             texts = {i: texts[i] for i in last.values()}
         elif name == "simhash_near_dedup":
-            prints = {i: slow_fingerprint(t) for i, t in texts.items()}
-            roots = slow_components(sorted(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+            sets = {i: slow_shingles(t) for i, t in texts.items()}  # five words, a likeness of 0.8
+            roots = slow_components(sorted(texts), lambda a, b: alike(sets[a], sets[b]))
             texts = {i: t for i, t in texts.items() if roots[i] == i}
         else:
             removed = {r[0]: (r[1], r[2]) for r in slow_substrings(list(texts.items()), 13)}
