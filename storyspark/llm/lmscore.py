@@ -35,8 +35,8 @@ HELD_OUT = 10
 #: Tokens of the corpus per shard of the trie.
 SHARD_TOKENS = 1 << 20
 ALL = 0xFFFFFFFFFFFFFFFF
-#: Payloads searched at once.
-TOGETHER = 32
+#: Bytes of payloads searched at once: enough for long arrays, few enough for a processor's cache.
+TOGETHER = 1 << 18
 #: A number's code is its logarithm in these steps, from 1 for one itself; numbers below the last code take it.
 STEP = 9 / 254
 CODES = np.append(0.0, 10.0 ** (-STEP * np.arange(255)))
@@ -420,8 +420,9 @@ def _build_trie(priors: tuple[float, float]):
 def _search_trie(state: bytes, payloads: list[bytes]) -> list[bytes]:
     """To each pair the code of what is known of it, then those of the triples."""
     trie, out = Trie(state), []
-    for i in range(0, len(payloads), TOGETHER):
-        columns = [unpack(unsqueeze(p))[:5] for p in payloads[i : i + TOGETHER]]
+    ends = np.cumsum([len(p) for p in payloads]) // TOGETHER
+    for own in np.split(np.arange(len(payloads)), np.flatnonzero(np.diff(ends)) + 1):
+        columns = [unpack(unsqueeze(payloads[i]))[:5] for i in own]
         v = np.concatenate([np.cumsum(c[0]) for c in columns])
         size, w, degree, x = (np.concatenate([c[k] for c in columns]) for k in (1, 2, 3, 4))
         size, degree = size.astype(np.int64), degree.astype(np.int64)
@@ -429,9 +430,9 @@ def _search_trie(state: bytes, payloads: list[bytes]) -> list[bytes]:
         triple = trie.find_triples(pair, np.repeat(np.arange(len(w)), degree), x)
         codes = []
         for at, known, k in ((pair, trie.pair_codes, 2), (triple, trie.triple_codes, 4)):
-            own = np.zeros(len(at), np.uint8)
-            own[at >= 0] = known[at[at >= 0]]
-            codes.append(np.split(own, np.cumsum([len(c[k]) for c in columns])[:-1]))
+            found = np.zeros(len(at), np.uint8)
+            found[at >= 0] = known[at[at >= 0]]
+            codes.append(np.split(found, np.cumsum([len(c[k]) for c in columns])[:-1]))
         out += [squeeze(a.tobytes() + b.tobytes()) for a, b in zip(*codes, strict=True)]
     return out
 
