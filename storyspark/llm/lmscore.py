@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import mmap
 import zlib
+from functools import partial
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Words, answered, ask, build_blocks, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, totals, unpack
+from . import blocks as corpus
+from .blocks import Words, answered, ask, by_shard, dealt, encoded, gathered, over_blocks, pack, questions, totals, unpack
 from .common import discard, table
 
 END = np.uint64(0x5EED0FE4D0C5E2D5)
@@ -34,6 +36,9 @@ PRIORS = (5.0, 2.0)
 HELD_OUT = 10
 #: Tokens of the corpus per shard of the trie.
 SHARD_TOKENS = 1 << 20
+#: Text of a block: the more of it, the fewer of its words and n-grams are asked for again by other blocks.
+BLOCK_BYTES = 4 << 20
+build_blocks = partial(corpus.build_blocks, block_bytes=BLOCK_BYTES)
 ALL = 0xFFFFFFFFFFFFFFFF
 #: Bytes of payloads searched at once: enough for long arrays, few enough for a processor's cache.
 TOGETHER = 1 << 18
@@ -280,7 +285,7 @@ def _tell_words(state: bytes, payloads: list[bytes]) -> list[bytes]:
     out = []
     for p in payloads:
         at = np.searchsorted(kinds, unpack(p)[0])
-        out.append(pack(ids[at], count[at]))
+        out.append(squeeze(pack(ids[at], count[at])))
     return out
 
 
@@ -295,7 +300,7 @@ class Known(Tokens):
         order, cuts = dealt(self.kinds, shards)
         for s, reply in by_shard(row["words"]).items():
             own = order[cuts[s] : cuts[s + 1]]
-            self.ids[own], self.count[own] = unpack(reply)
+            self.ids[own], self.count[own] = unpack(unsqueeze(reply))
         # kinds in the order of ids, which is the same in every block
         order = np.argsort(self.ids, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -337,9 +342,20 @@ def _steps(v: np.ndarray) -> np.ndarray:
     return np.diff(v, prepend=v.dtype.type(0))
 
 
+def _swings(v: np.ndarray) -> np.ndarray:
+    """Steps up and down, the small ones of either kind as small numbers."""
+    step = _steps(v.astype(np.int64))
+    return (step << 1 ^ step >> 63).astype(np.uint64)
+
+
+def _unswung(swings: np.ndarray) -> np.ndarray:
+    return np.cumsum((swings >> np.uint64(1)).astype(np.int64) ^ -(swings & np.uint64(1)).astype(np.int64)).astype(np.uint64)
+
+
 def _ask_grams(shards: int):
     """Distinct pairs and triples of known words: contexts (as steps) and how many pairs each has, second
-    words, how many triples each pair has, third words; then the counts of training, of contexts and both."""
+    words, how many triples each pair has, third words; then the counts of training, of contexts (as steps:
+    contexts of about the same id are about as frequent) and both."""
 
     def work(row):
         t = Known(row, shards)
@@ -349,7 +365,7 @@ def _ask_grams(shards: int):
         for s, own, triples in t.dealt(shards):
             first, size = _grouped(t.v[own])
             contexts = t.v[own][first]
-            body = (_steps(t.ids[contexts]), size, t.ids[t.w[own]], t.degree[own], t.ids[t.x[triples]], t.count[contexts], pair_n[own], triple_n[triples])
+            body = (_steps(t.ids[contexts]), size, t.ids[t.w[own]], t.degree[own], t.ids[t.x[triples]], _swings(t.count[contexts]), pair_n[own], triple_n[triples])
             parts.append((s, squeeze(pack(*body))))
         yield questions(row["block"], parts)
 
@@ -360,49 +376,47 @@ def _join_grams(payloads: list[bytes]) -> bytes:
     return squeeze(pack(*_sum_grams(payloads)))
 
 
+def _fused(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A number for each (high, low) that keeps their order: their bits side by side where 64 are enough,
+    else those of their ranks, which are below 2^32."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in (high, low)]
+    if sum(bits) > 64:
+        high, low = (np.unique(c, return_inverse=True)[1].astype(np.uint64) for c in (high, low))
+        bits[1] = int(low.max()).bit_length()
+    return high << np.uint64(bits[1]) | low
+
+
+def _distinct(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct key, in order, a place where it stands and the sum of its n; of each key its number."""
+    kinds, own = np.unique(keys, return_inverse=True)
+    at = np.zeros(len(kinds), np.int64)
+    at[own] = np.arange(len(keys))
+    return at, np.bincount(own, weights=n, minlength=len(kinds)).astype(np.uint64), own
+
+
 def _sum_grams(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """The sums of payloads, in the same columns."""
     columns = [[] for _ in range(7)]
     for p in payloads:
-        steps, size, w, degree, x, context, n, m = unpack(unsqueeze(p))
-        v = np.cumsum(steps)
-        own = (np.repeat(v, size.astype(np.int64)), w, n, np.repeat(context, size.astype(np.int64)))
-        d = degree.astype(np.int64)
-        for c, values in zip(columns, (*own, np.repeat(own[0], d), np.repeat(w, d), np.stack([x, m], 1)), strict=True):
+        steps, size, *rest = unpack(unsqueeze(p))
+        rest[3] = np.repeat(_unswung(rest[3]), size.astype(np.int64))
+        for c, values in zip(columns, (np.repeat(np.cumsum(steps), size.astype(np.int64)), *rest), strict=True):
             c.append(values)
-    v, w, n, context, tv, tw, xm = (np.concatenate(c) for c in columns)
-    order = np.lexsort((w, v))
-    v, w, n, context = v[order], w[order], n[order], context[order]
-    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))) if len(v) else np.zeros(0, np.int64)
-    n, v, w, context = np.add.reduceat(n, first) if len(first) else n, v[first], w[first], context[first]
-    x, m = xm[:, 0], xm[:, 1]
-    order = np.lexsort((x, tw, tv))
-    tv, tw, x, m = tv[order], tw[order], x[order], m[order]
-    last = (tv[1:] != tv[:-1]) | (tw[1:] != tw[:-1])
-    first = np.flatnonzero(np.append(True, last | (x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-    m = np.add.reduceat(m, first) if len(first) else m
-    tv, tw, x = tv[first], tw[first], x[first]
-    # triples stand in the order of their pairs
-    begins = np.flatnonzero(np.append(True, (tv[1:] != tv[:-1]) | (tw[1:] != tw[:-1]))) if len(tv) else np.zeros(0, np.int64)
-    degree = np.zeros(len(v), np.int64)
-    pair_at = _match(v, w, tv[begins], tw[begins])
-    degree[pair_at] = np.diff(np.append(begins, len(tv)))
+    v, w, degree, x, context, n, m = (np.concatenate(c) for c in columns)
+    at, n, pair = _distinct(_fused(v, w), n)
+    v, w, context = v[at], w[at], context[at]
+    pair = np.repeat(pair, degree.astype(np.int64)).astype(np.uint64)
+    at, m, _ = _distinct(_fused(pair, x), m)
+    degree = np.bincount(pair[at].astype(np.int64), minlength=len(v))
     first, size = _grouped(v)
-    return _steps(v[first]), size, w, degree, x, context[first], n, m
-
-
-def _match(v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the pairs (a, b) among the pairs (v, w); both are sorted, and all are there."""
-    order = np.lexsort((np.append(np.zeros(len(v), np.int8), np.ones(len(a), np.int8)), np.append(w, b), np.append(v, a)))
-    asked = order >= len(v)
-    return (np.cumsum(~asked) - 1)[asked]
+    return _steps(v[first]), size, w, degree, x[at], _swings(context[first]), n, m
 
 
 def _build_trie(priors: tuple[float, float]):
     def merge(payloads, shard):
         steps, size, w, degree, x, context, n, m = _sum_grams(payloads)
         size, degree = size.astype(np.int64), degree.astype(np.int64)
-        v, context = np.repeat(np.cumsum(steps), size), np.repeat(context, size)
+        v, context = np.repeat(np.cumsum(steps), size), np.repeat(_unswung(context), size)
         # what training has not seen is not in the trie
         of = np.repeat(np.arange(len(w)), degree)[m > 0]
         x, m, degree = x[m > 0], m[m > 0], np.bincount(of, minlength=len(w))
