@@ -161,3 +161,21 @@ def test_numbers_and_ids_beyond_32_bits():
     trie = lmscore.Trie(lmscore.Trie.encode(v, w, np.ones(2), np.array([1, 1]), x, np.ones(2)))
     at = trie.find_pairs(v, np.array([0, 1, 1]), np.array([7, 1 << 36, 7], np.uint64))
     assert at.tolist() == [0, 1, -1] and trie.find_triples(at, np.array([0, 1, 2]), np.array([1 << 37, 5, 5], np.uint64)).tolist() == [0, 1, -1]
+
+
+def test_fused_keys_keep_their_order_beyond_64_bits():
+    rng = np.random.default_rng(5)
+    for top in (1 << 20, 1 << 63):
+        high, low = (rng.integers(0, top, 300, dtype=np.uint64)[rng.integers(0, 40, 300)] for _ in range(2))
+        keys = lmscore._fused(high, low)
+        assert np.array_equal(np.argsort(keys, kind="stable"), np.lexsort((low, high)))
+        at, n, own = lmscore._distinct(keys, np.ones(300, np.uint64))
+        want = sorted(Counter(zip(high.tolist(), low.tolist(), strict=True)).items())
+        assert [((int(high[i]), int(low[i])), int(c)) for i, c in zip(at, n, strict=True)] == want
+        assert np.array_equal(keys[at][own], keys)
+    assert len(lmscore._fused(np.zeros(0, np.uint64), np.zeros(0, np.uint64))) == 0
+
+
+def test_steps_up_and_down_come_back():
+    counts = np.array([9, 9, 2, 1 << 40, 0, 1], np.uint64)
+    assert np.array_equal(lmscore._unswung(lmscore._swings(counts)), counts)
