@@ -90,31 +90,25 @@ def found(text, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+MARKS = (("triple", TRIPLE), ("wikilink", WIKILINK), ("backlink", BACKLINK), ("entity", ENTITY_TAG), ("tag", r"#([\w/-]+)"), ("mention", r"@([\w-]+)"))
+MARK = re.compile("|".join(f"(?P<{k}>{p})" for k, p in MARKS))
+
+
+def marks_of(text: str) -> list[dict]:
+    names = [k for k, _ in MARKS]
+    return [{"kind": next(k for k in names if m.group(k) is not None), "place": m.start(), "length": m.end() - m.start(), "value": m.group(0)} for m in MARK.finditer(text)]
+
+
 def markup(docs: DataFrame, text: str, key: str = "id") -> DataFrame:
     """key, kind, place (characters before it), length, value of every piece of markup, in one pass from the
     left: of pieces that begin at one place the first kind of this list, and none inside another."""
-    kinds = (("triple", TRIPLE), ("wikilink", WIKILINK), ("backlink", BACKLINK), ("entity", ENTITY_TAG), ("tag", r"(?<!&)#([\w/-]+)"), ("mention", r"@([\w-]+)"))
-    whole = re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds))
-    names = [k for k, _ in kinds]
-
-    def scan(t: str) -> list[dict]:
-        return [
-            {"kind": next(k for k in names if m.group(k) is not None), "place": m.start(), "length": m.end() - m.start(), "value": m.group(0)}
-            for m in whole.finditer(t)
-        ]
-
-    @F.pandas_udf("array<struct<kind:string,place:int,length:int,value:string>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: scan(t or ""))
-
-    return docs.select(key, F.explode(spans(text)).alias("x")).select(key, "x.*")
+    return exploded(docs, text, marks_of, "kind:string,place:int,length:int,value:string", key)
 
 
 TOKEN = re.compile(r"[^\W_]+(?:['-]+[^\W_]*)*|[^\w\s]|_")
-POS = {w: p for p, words in lx.LEXICON.items() for w in words.split()}
+POS = {w: p for p, words in lx.PARTS_OF_SPEECH for w in words}
 PHRASE = re.compile(r"(?P<PP>ID?J*[NPR]+)|(?P<VP>[XM]A*V?A*|A+V?A*|VA*)|(?P<NP>D?J*[NPR]+)|(?P<CLAUSE>L(?:[XM]A*V?A*|A+V?A*|VA*)(?:D?J*[NPR]+)?)")
-VERB = {stem: pair for pair, stems in lx.VERB_STEMS.items() for stem in stems.split()}
+VERB = {stem: rest for stem, *rest in lx.VERBS}
 
 
 def baseline(word: str, more: dict[str, str] | None = None) -> str:
@@ -150,7 +144,10 @@ def phrases(text: str, more: dict[str, str] | None = None) -> list[dict]:
     """Phrases of a text in order: kind, place, end, head (the last word of a noun phrase, the preposition,
     the verb or else the last word before it could stand), value."""
     tokens = list(TOKEN.finditer(text))
-    letters = tagged([m.group() for m in tokens], more)
+    return phrases_of(text, tokens, tagged([m.group() for m in tokens], more))
+
+
+def phrases_of(text: str, tokens: list[re.Match], letters: str) -> list[dict]:
     out = []
     for m in PHRASE.finditer(letters):
         kind, a, b = m.lastgroup, m.start(), m.end()
@@ -167,14 +164,22 @@ def stem_of(word: str) -> str:
     return next((low[: -len(e)] for e in lx.VERB_ENDINGS if low.endswith(e) and len(low) > len(e) + 2), low)
 
 
-def events_of(text: str, more: dict[str, tuple[str, str]] | None = None) -> list[dict]:
+def events_of(text: str, more: dict[str, tuple[str, ...]] | None = None) -> list[dict]:
     """Events of a text: each verb phrase whose verb is known, with the nearest noun phrases on both sides."""
-    parts, out = phrases(text), []
-    for i, p in enumerate(parts):
-        if p["kind"] == "VP" and (pair := (more or {}).get(stem_of(p["head"])) or VERB.get(stem_of(p["head"]))):
-            before = next((q["head"] for q in reversed(parts[:i]) if q["kind"] == "NP"), "Unknown")
-            after = next((q["head"] for q in parts[i + 1 :] if q["kind"] == "NP"), "Unknown")
-            out.append({"place": p["place"], "verb": p["head"], "event": pair[0], "relation": pair[1], "subject": before, "object": after})
+    return events_between(phrases(text), more)
+
+
+def events_between(parts: list[dict], more: dict[str, tuple[str, ...]] | None = None) -> list[dict]:
+    """The same of phrases in order; more: stems and their (event, relation, what the verb takes), which win."""
+    after, following = [], "Unknown"
+    for p in reversed(parts):
+        after.append(following)
+        following = p["head"] if p["kind"] == "NP" else following
+    out, before = [], "Unknown"
+    for p, next_one in zip(parts, reversed(after), strict=True):
+        if p["kind"] == "VP" and (known := (more or {}).get(stem_of(p["head"])) or VERB.get(stem_of(p["head"]))):
+            out.append({"place": p["place"], "end": p["end"], "verb": p["head"], "event": known[0], "relation": known[1], "subject": before, "object": next_one})
+        before = p["head"] if p["kind"] == "NP" else before
     return out
 
 
@@ -194,7 +199,7 @@ def phrase_rows(docs: DataFrame, text: str, key: str = "id") -> DataFrame:
 
 
 def event_rows(docs: DataFrame, text: str, key: str = "id", verbs: dict | None = None) -> DataFrame:
-    return exploded(docs, text, lambda t: events_of(t, verbs), "place:int,verb:string,event:string,relation:string,subject:string,object:string", key)
+    return exploded(docs, text, lambda t: events_of(t, verbs), "place:int,end:int,verb:string,event:string,relation:string,subject:string,object:string", key)
 
 
 def stem(word) -> Column:
@@ -205,10 +210,10 @@ def stem(word) -> Column:
     return out
 
 
-def verb_table(spark, more: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """stem, event, relation; entries given here take the place of those known."""
-    rows = {s: (s, *pair) for s, pair in VERB.items()} | {r[0]: r for r in more}
-    return spark.createDataFrame(list(rows.values()), "stem string, event string, relation string")
+def verb_table(spark, more: list[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """stem, event, relation, takes (transitive, intransitive, ditransitive); entries given here take the place of those known."""
+    rows = {v[0]: v for v in lx.VERBS} | {v[0]: v for v in more}
+    return spark.createDataFrame(list(rows.values()), "stem string, event string, relation string, takes string")
 
 
 def name_key(token) -> Column:

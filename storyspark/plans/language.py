@@ -33,20 +33,6 @@ listed("nlp_entity_tag", op.ENTITY_TAG, r"\[([A-Za-z_]+)[|:]([^\]|@]+)(?:[|@]([^
 listed("nlp_triple", op.TRIPLE, r"\[([A-Za-z_]+[|:][^\]]+)\]\s*-\[?([A-Za-z_ ]+)\]?->\s*\[([A-Za-z_]+[|:][^\]]+)\]", group=2)
 listed("nlp_mention", op.MENTION, r"@([\p{L}\p{Nd}_-]+)")
 query("nlp_tag", lambda m: marked(m).select("id", F.explode(op.found("t", op.TAG)).alias("value")), rf"SELECT id, unnest(regexp_extract_all(t, '(?:^|[^&])#([\p{{L}}\p{{Nd}}_/-]+)', 1)) AS value FROM ({MARKED})")
-query("nlp_syntax", lambda m: op.markup(marked(m), "t").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
-query("nlp_pattern_async", lambda m: op.markup(marked(m), "t").where("kind IN ('tag', 'mention')").select("id", "kind", "value"), rf"SELECT id, 'tag' AS kind, '#tag-' || folder_id AS value FROM ({MARKED}) UNION ALL SELECT id, 'mention', '@user_' || narrative_id FROM ({MARKED})")
-query("nlp_pattern_sync", lambda m: op.markup(marked(m), "t").where("kind = 'triple'").select("id", F.regexp_extract("value", r"-\[(\w+)\]", 1).alias("relation")), f"SELECT id, 'KNOWS' AS relation FROM ({MARKED})")
-PATTERNS = [("tag", r"#[a-z]+", 2), ("user", r"@[a-z_]+", 1), ("year", r"\b[0-9]{4}\b", 3)]
-query(
-    "nlp_pattern_registry",
-    lambda m: marked(m).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("priority"), F.size(F.regexp_extract_all("t", F.lit(r), F.lit(0))).alias("n")) for n, r, p in PATTERNS])).alias("x")).select("id", "x.*").where("n > 0"),
-    f"SELECT id, name, priority, CAST(n AS INT) AS n FROM (" + " UNION ALL ".join(rf"SELECT id, '{n}' AS name, {p} AS priority, len(regexp_extract_all(t, '{r}')) AS n FROM ({MARKED})" for n, r, p in PATTERNS) + ") WHERE n > 0",
-)
-query(
-    "nlp_patterns_default",
-    lambda m: m.notes.select("id", F.explode(F.regexp_extract_all("content", F.lit(r"\b(?:then|before|after|when|until)\b"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")),
-    r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '\b(?:then|before|after|when|until)\b')) AS w FROM notes) GROUP BY w",
-)
 CANON = r"trim(regexp_replace(translate(lower({}), '‘’–—', '''''--'), '[^\p{{L}}\p{{Nd}}''\-·._/#&]+', ' ', 'g'))"
 query("nlp_canonical", lambda m: m.notes.select("id", op.canonical("content").alias("t")), f"SELECT id, {CANON.format('content')} AS t FROM notes")
 query(
@@ -104,11 +90,6 @@ def sample(m):
 
 
 query("nlp_tokenize", lambda m: sample(m).select("id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{Nd}'-]+|\p{P}"), F.lit(0))).alias("n")), r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nd}''-]+|\p{P}')) AS INT) AS n FROM documents WHERE lang = 'en'")
-query("nlp_pos_base", lambda m: op.exploded(sample(m), "t", lambda t: [{"tag": op.baseline(x.group())} for x in op.TOKEN.finditer(t)], "tag:string").groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
-query("nlp_pos_tag", lambda m: op.exploded(sample(m), "t", lambda t: [{"tag": c} for c in op.tagged([x.group() for x in op.TOKEN.finditer(t)])], "tag:string").groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
-query("nlp_chunks", lambda m: op.phrase_rows(sample(m), "t").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
-for name, kind in (("nlp_np", "NP"), ("nlp_vp", "VP"), ("nlp_pp", "PP"), ("nlp_adjp", "ADJP"), ("nlp_clause", "CLAUSE")):
-    query(name, lambda m, kind=kind: op.phrase_rows(sample(m), "t").where(F.col("kind") == kind).select("id", "place", "end", "head"))
 LOW = "lower(w)"
 STEM = "CASE " + " ".join(f"WHEN ends_with({LOW}, '{e}') AND length({LOW}) > {len(e) + 2} THEN left({LOW}, length({LOW}) - {len(e)})" for e in lx.VERB_ENDINGS) + f" ELSE {LOW} END"
 WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en'"
@@ -119,24 +100,11 @@ def distinct_words(m):
 
 
 query("nlp_stem", lambda m: distinct_words(m).select("w", op.stem("w").alias("stem")), f"SELECT w, {STEM} AS stem FROM ({WORDS})")
-VERBS = ", ".join(f"('{s}', '{e}', '{r}')" for s, (e, r) in op.VERB.items())
-query("nlp_verb_lookup", lambda m: distinct_words(m).select("w", op.stem("w").alias("stem")).join(F.broadcast(op.verb_table(m.spark)), "stem").select("w", "event", "relation"), f"SELECT w, event, relation FROM (SELECT w, {STEM} AS stem FROM ({WORDS})) JOIN (VALUES {VERBS}) v(s, event, relation) ON s = stem")
-query("nlp_verb_add", lambda m: op.verb_table(m.spark, [("thth", "MEET", "GREETS"), ("is", "STATE", "EQUALS")]).where("stem IN ('thth', 'is', 'was')"), "SELECT * FROM (VALUES ('thth', 'MEET', 'GREETS'), ('is', 'STATE', 'EQUALS'), ('was', 'STATE', 'IS')) v(stem, event, relation)")
-query("nlp_events", lambda m: op.event_rows(sample(m), "t").groupBy("event", "relation").agg(F.count(F.lit(1)).alias("n")))
-query("nlp_scan", lambda m: op.event_rows(sample(m), "t").groupBy("id").agg(F.count(F.lit(1)).alias("events")).join(op.phrase_rows(sample(m), "t").groupBy("id").agg(F.count(F.lit(1)).alias("phrases")), "id", "full"))
-
-
-def beside(m, frame, pick):
-    rows = op.phrase_rows(sample(m), "t")
-    w = Window.partitionBy("id").orderBy("place").rowsBetween(*frame)
-    return rows.withColumn("near", pick(F.when(F.col("kind") == "NP", F.col("head")), ignorenulls=True).over(w)).where("kind = 'VP'").select("id", "place", "near")
+VERBS = ", ".join(f"('{s}', '{e}', '{r}', '{k}')" for s, e, r, k in lx.VERBS)
+query("nlp_verb_lookup", lambda m: distinct_words(m).select("w", op.stem("w").alias("stem")).join(F.broadcast(op.verb_table(m.spark)), "stem").select("w", "event", "relation", "takes"), f"SELECT w, event, relation, takes FROM (SELECT w, {STEM} AS stem FROM ({WORDS})) JOIN (VALUES {VERBS}) v(s, event, relation, takes) ON s = stem")
+query("nlp_verb_add", lambda m: op.verb_table(m.spark, [("thth", "MEET", "GREETS", "transitive"), ("is", "STATE", "EQUALS", "intransitive")]).where("stem IN ('thth', 'is', 'was')"), "SELECT * FROM (VALUES ('thth', 'MEET', 'GREETS', 'transitive'), ('is', 'STATE', 'EQUALS', 'intransitive'), ('was', 'STATE', 'IS', 'transitive')) v(stem, event, relation, takes)")
 
 
-query("nlp_prev_np", lambda m: beside(m, (Window.unboundedPreceding, -1), F.last))
-query("nlp_next_np", lambda m: beside(m, (1, Window.unboundedFollowing), F.first))
-query("nlp_svo", lambda m: op.event_rows(sample(m), "t").where("subject <> 'Unknown' AND object <> 'Unknown'").groupBy("subject", "relation", "object").agg(F.count(F.lit(1)).alias("n")))
-query("nlp_project", lambda m: op.event_rows(sample(m), "t").where("subject <> 'Unknown'").select(F.lower("subject").alias("source"), "relation", F.lower("object").alias("target")).distinct())
-query("nlp_recipient", lambda m: op.phrase_rows(sample(m), "t").where("kind = 'PP' AND lower(head) = 'to'").select("id", F.regexp_extract("value", r"(\p{Lu}\w*)$", 1).alias("recipient")).where("recipient <> ''"))
 query(
     "nlp_canon_token",
     lambda m: m.documents.select(F.explode(F.split("text", r"[ \n\t]+")).alias("w")).distinct().select("w", op.name_key("w").alias("key")),
@@ -196,7 +164,6 @@ def resolved(m):
 
 query("nlp_resolve", resolved, """SELECT asked, coalesce((SELECT min(id) FROM entities WHERE lower(label) = asked), (SELECT min(entity_id) FROM aliases WHERE lower(alias) = asked)) AS id
        FROM (SELECT DISTINCT lower(alias) AS asked FROM aliases WHERE entity_id < 'p2' UNION SELECT DISTINCT lower(label) FROM entities WHERE kind = 'PROMO')""")
-query("nlp_cst", lambda m: op.phrase_rows(sample(m), "t").select("id", F.concat(F.lit("phrase:"), "kind").alias("kind"), "place", "end").unionByName(sample(m).select("id", F.lit("text").alias("kind"), F.lit(0).alias("place"), F.length("t").alias("end"))).orderBy("id", "place", F.desc("end")))
 query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences("t")).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(text, '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents WHERE lang = 'en'""")
 query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en')")
 query("nlp_validate_rel", lambda m: m.edges.join(m.entities.select(F.col("id").alias("source_id"), F.lit(True).alias("s")), "source_id", "left").join(m.entities.select(F.col("id").alias("target_id"), F.lit(True).alias("t")), "target_id", "left").select("id", (F.col("s").isNotNull() & F.col("t").isNotNull() & (F.col("weight") <= 500)).alias("valid")),

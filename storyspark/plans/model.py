@@ -21,6 +21,16 @@ MODEL = {
                v.version = 1 + d.doc_id % 3 AS is_current
         FROM documents d JOIN (VALUES (1), (2), (3)) AS v(version) ON v.version <= 1 + d.doc_id % 3""",
     "notes": "SELECT * FROM note_versions WHERE is_current",
+    "tales": """
+        SELECT id, narrative_id, CASE id % 6
+          WHEN 0 THEN '[CHARACTER|Hero ' || id || '] ->KNOWS-> [PLACE|Town ' || (id % 17) || ']'
+          WHEN 1 THEN '[CHARACTER|Hero ' || id || '|{age: ' || (id % 80) || '}] (guards) [ITEM|Ring ' || (id % 5) || '] near [PLACE:CITY|Town ' || (id % 17) || ']'
+          WHEN 2 THEN '[PLACE|Town ' || (id % 17) || '] <-LEFT<- [CHARACTER|Hero ' || id || '] [EVENT|Fall] <- [EVENT|War]'
+          WHEN 3 THEN '[CHARACTER|Hero ' || id || '->LOVES->Dame ' || (id % 7) || '] and [[Hero ' || id || ']] -> <<Book|shown>>'
+          WHEN 4 THEN '[[Hero ' || id || ']] (LIKES) <-> [[Town ' || (id % 17) || ']] <- <<Note ' || id || '>>'
+          ELSE '[CHARACTER:KNIGHT|Hero ' || id || '] -> [PLACE|Town ' || (id % 17) || '] [CHARACTER|A] -> [CHARACTER|B]' END
+          || '. ' || (id % 12) || ' days later, The following morning, #tag' || folder_id || ' @user_' || narrative_id || ' left two weeks ago; yesterday. Meanwhile [[' || title || '|seen]] and <<'
+          || folder_id || '>>. The ring was sent to Rome, and nobody would help him. ' || content AS t FROM notes""",
     "folders": """
         SELECT 'r' || r_regionkey AS id, r_name AS name, CAST(NULL AS varchar(40)) AS parent_id, 'w0' AS world_id, r_regionkey * 1000 AS ord,
                CASE WHEN r_regionkey % 2 = 0 THEN 'nar' || r_regionkey END AS narrative_id, '{"level": "region"}' AS meta FROM region
