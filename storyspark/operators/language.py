@@ -53,21 +53,41 @@ def surfaces(entities: DataFrame, aliases: DataFrame, key: str = "id") -> DataFr
     return rows.withColumn("words", F.size(F.split("surface", " ")))
 
 
-def dictionary_scan(docs: DataFrame, forms: DataFrame, text: str, key: str = "doc_id", longest: int = 4) -> DataFrame:
-    """key, place, words, surface, id of every occurrence of a surface form, overlapping ones too: the
-    canonical words' n-grams up to `longest` words, joined on equality, so the cost is that of the texts."""
-    words = F.filter(F.split(canonical(text), " "), lambda w: w != "")
-    rows = docs.select(key, words.alias("_w"))
-    grams = None
-    for n in range(1, longest + 1):
-        each = F.when(F.size("_w") >= n, _grams("_w", n))
-        one = rows.select(key, F.lit(n).alias("words"), F.posexplode(each).alias("place", "surface"))
-        grams = one if grams is None else grams.unionByName(one)
-    return grams.join(forms.where(F.col("words") <= longest), ["surface", "words"])
+#: Words of a phrase that a text is searched for; longer phrases are compared where these occur.
+HEAD_WORDS = 4
+#: A dictionary is broadcast up to this size, as the optimiser estimates it; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it is known to be no larger than limit."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
+def dictionary_scan(docs: DataFrame, forms: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """key, place, words, surface, id of every occurrence of a surface form (canonical, of any number of words),
+    overlapping ones too. forms: surface, words, and what else it has.
+
+    A text's runs of as many words as the dictionary's forms begin with (HEAD_WORDS at most) meet the forms' beginnings
+    on equality, so the cost is that of the texts, however long the forms are; forms of more words are then compared
+    with the text of the documents that hold their beginning."""
+    heads = forms.withColumn("_n", F.least("words", F.lit(HEAD_WORDS))).withColumn("_head", F.array_join(F.slice(F.split("surface", " "), F.lit(1), F.col("_n")), " "))
+    lengths = sorted((r["_n"], r["most"]) for r in heads.groupBy("_n").agg(F.max("words").alias("most")).collect())  # HEAD_WORDS rows at most
+    words = docs.select(key, F.filter(F.split(canonical(text), " "), lambda w: w != "").alias("_w"))
+    runs = [F.when(F.size("_w") >= n, _grams("_w", n)) for n, _ in lengths] or [F.array().cast("array<struct<_n:int,place:int,_head:string>>")]
+    grams = words.select(key, F.explode(F.flatten(F.array_compact(F.array(*runs)))).alias("x")).select(key, "x.*")
+    found = grams.join(small(heads), ["_head", "_n"]).drop("_head", "_n")
+    if not lengths or lengths[-1][1] <= HEAD_WORDS:
+        return found
+    longer = found.where(F.col("words") > HEAD_WORDS).join(words, key)
+    longer = longer.where(F.array_join(F.slice("_w", F.col("place") + 1, F.col("words")), " ") == F.col("surface")).drop("_w")
+    return found.where(F.col("words") <= HEAD_WORDS).unionByName(longer)
 
 
 def _grams(words: str, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("_n"), (i - 1).alias("place"), F.array_join(F.slice(words, i, n), " ").alias("_head")))
 
 
 def best_kind(kind) -> Column:

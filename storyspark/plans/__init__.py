@@ -1,3 +1,3 @@
 """Registered queries over the story model; importing this package registers them all."""
 
-from . import aggregates, graphs, history, joins, language, metrics, patterns, phrases, ranking, records, scalars, search, stores, streams, vectors  # noqa: F401
+from . import aggregates, discovery, graphs, history, joins, language, metrics, patterns, phrases, ranking, records, scalars, search, stores, streams, vectors  # noqa: F401

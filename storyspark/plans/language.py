@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..operators import language as op
-from ..operators import metrics
+from ..operators import grounding, metrics, resolver
 from ..operators.records import best_per_key
 from .registry import query
 
@@ -66,21 +66,24 @@ query("nlp_dict_compile", lambda m: op.surfaces(m.entities.withColumn("kind", F.
 query("nlp_dict_lookup", lambda m: op.surfaces(m.entities.withColumn("kind", F.lit("ITEM")), m.aliases).where("surface = 'brand 17 1' OR surface = 'brand#17 1'").select("surface", "id"), f"SELECT DISTINCT surface, id FROM ({FORMS}) WHERE surface IN ('brand 17 1', 'brand#17 1')")
 
 
-def words_of(m):
-    """A dictionary of the benchmark's first words, as entities."""
-    return m.benchmark.select(F.col("item_id").cast("string").alias("id"), F.array_join(F.slice(F.split(op.canonical("text"), " "), 1, 2), " ").alias("surface")).withColumn("words", F.lit(2))
+def phrases_of(m):
+    """A dictionary of the benchmark: every item whole, its first word and its first three words, as entities."""
+    w = F.filter(F.split(op.canonical("text"), " "), lambda x: x != "")
+    rows = m.benchmark.select(F.col("item_id").cast("string").alias("id"), w.alias("w"))
+    forms = rows.select("id", F.explode(F.array_distinct(F.array(F.col("w"), F.slice("w", 1, 1), F.slice("w", 1, 3)))).alias("w")).where(F.size("w") > 0)
+    return forms.select("id", F.array_join("w", " ").alias("surface"), F.size("w").alias("words"))
 
 
 def scanned(m):
-    docs = m.documents.select("doc_id", "text")
-    return op.dictionary_scan(docs, words_of(m), "text", longest=2)
+    return op.dictionary_scan(m.documents.select("doc_id", "text"), phrases_of(m), "text")
 
 
-SCANNED = f"""SELECT d.doc_id, CAST(d.i - 1 AS INT) AS place, s.id FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, string_split({CANON.format('text')}, ' ') AS w FROM documents))) d
-              JOIN (SELECT CAST(item_id AS VARCHAR) AS id, array_to_string(string_split({CANON.format('text')}, ' ')[1:2], ' ') AS surface FROM benchmark) s ON s.surface = d.gram"""
-query("nlp_dict_scan", lambda m: scanned(m).select("doc_id", "place", "id"), SCANNED)
-query("nlp_dict_scan_info", lambda m: scanned(m).join(m.benchmark.select(F.col("item_id").cast("string").alias("id"), F.length("text").alias("size")), "id").select("doc_id", "id", "size"), f"SELECT doc_id, x.id, CAST(length(text) AS INT) AS size FROM ({SCANNED}) x JOIN benchmark ON CAST(item_id AS VARCHAR) = x.id")
-query("nlp_implicit", lambda m: scanned(m).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")), f"SELECT doc_id, count(*) AS n, min(place) AS first FROM ({SCANNED}) GROUP BY doc_id")
+WORDED = f"list_filter(string_split({CANON.format('text')}, ' '), lambda x: x <> '')"
+SCANNED = f"""SELECT d.doc_id, CAST(d.i - 1 AS INT) AS place, CAST(len(s.w) AS INT) AS words, s.id FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS first FROM (SELECT doc_id, {WORDED} AS w FROM documents)) d
+              JOIN (SELECT DISTINCT id, unnest([w, w[1:1], w[1:3]]) AS w FROM (SELECT CAST(item_id AS VARCHAR) AS id, {WORDED} AS w FROM benchmark) WHERE len(w) > 0) s ON s.w[1] = d.first AND d.w[d.i:d.i + len(s.w) - 1] = s.w"""
+query("nlp_dict_scan", lambda m: scanned(m).select("doc_id", "place", "words", "id"), SCANNED)
+query("nlp_dict_scan_info", lambda m: scanned(m).join(m.benchmark.select(F.col("item_id").cast("string").alias("id"), F.length("text").alias("size")), "id").select("doc_id", "place", "words", "id", "size"), f"SELECT doc_id, place, words, x.id, CAST(length(text) AS INT) AS size FROM ({SCANNED}) x JOIN benchmark ON CAST(item_id AS VARCHAR) = x.id")
+query("nlp_implicit", lambda m: scanned(m).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("words").alias("longest")), f"SELECT doc_id, count(*) AS n, min(place) AS first, max(words) AS longest FROM ({SCANNED}) GROUP BY doc_id")
 RANK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.KIND_PRIORITY.items())
 query("nlp_select_best", lambda m: best_per_key(cast(m).withColumn("rank", op.best_kind("kind")), ["subtype"], F.desc("rank"), "id").select("subtype", "id", "rank"), f"SELECT subtype, id, rank FROM (SELECT subtype, id, CASE {KINDS} {RANK} ELSE 0 END AS rank, row_number() OVER (PARTITION BY subtype ORDER BY CASE {KINDS} {RANK} ELSE 0 END DESC, id) AS rn FROM entities) WHERE rn = 1")
 
@@ -111,18 +114,6 @@ query(
     r"""SELECT w, CASE WHEN regexp_matches(o, '\p{L}') AND length(o) >= 2 THEN lower(o) END AS key FROM (SELECT w, CASE WHEN length(b) > 2 AND ends_with(lower(b), '''s') THEN left(b, length(b) - 2) ELSE b END AS o FROM
         (SELECT w, regexp_replace(translate(w, '’', ''''), '^[^\p{L}\p{Nd}''-]+|[^\p{L}\p{Nd}''-]+$', '', 'g') AS b FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \n\t]+')) AS w FROM documents)))""",
 )
-query(
-    "nlp_discover",
-    lambda m: m.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z]+"), F.lit(0))).alias("w")).groupBy(op.name_key("w").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.when(F.col("n") >= 2, "promoted").otherwise("watching")),
-    "SELECT lower(w) AS name, count(*) AS n, CASE WHEN count(*) >= 2 THEN 'promoted' ELSE 'watching' END AS status FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][A-Za-z]+')) AS w FROM documents) GROUP BY 1",
-)
-
-
-def triples(m):
-    return op.event_rows(sample(m), "t").where("subject rlike '^[A-Z]' AND object rlike '^[A-Z]'")
-
-
-query("nlp_discover_virus", lambda m: triples(m).withColumn("kind", op.inferred_kind(F.lit("CHARACTER"), F.col("event"))).groupBy(F.lower("object").alias("name")).agg(F.min_by("kind", F.struct("id", "place")).alias("kind"), F.count(F.lit(1)).alias("n")))
 query("nlp_infer_once", lambda m: m.episodes.withColumn("kind", op.inferred_kind(F.lit("character"), F.when(F.col("action") == "error", "BATTLE").when(F.col("action") == "view", "TRAVEL").otherwise("X"))).groupBy("target_id").agg(F.min_by("kind", F.struct("ts", "id")).alias("kind")),
     "SELECT target_id, arg_min(CASE action WHEN 'error' THEN 'CHARACTER' WHEN 'view' THEN 'PLACE' ELSE 'OTHER' END, (ts, id)) AS kind FROM episodes GROUP BY target_id")
 query("nlp_infer_kind", lambda m: cast(m).select("id", op.inferred_kind("kind", F.lit("BATTLE")).alias("battle"), op.inferred_kind("kind", F.lit("TRAVEL")).alias("travel")),
@@ -155,19 +146,45 @@ query("nlp_push_mention", lambda m: best_per_key(m.episodes.groupBy("scope_id",
 
 
 def resolved(m):
-    """Exact name, then alias, then nothing."""
-    asked = m.aliases.where("entity_id < 'p2'").select(F.lower("alias").alias("asked")).unionByName(m.entities.where("kind = 'PROMO'").select(F.lower("label").alias("asked"))).distinct()
-    name = m.entities.groupBy(F.lower("label").alias("asked")).agg(F.min("id").alias("a"))
-    other = m.aliases.groupBy(F.lower("alias").alias("asked")).agg(F.min("entity_id").alias("b"))
-    return asked.join(name, "asked", "left").join(other, "asked", "left").select("asked", F.coalesce("a", "b").alias("id"))
+    n = F.substring("id", 2, 9).cast("int")
+    people = m.entities.withColumn("gender", F.when(n % 3 == 0, "female").when(n % 3 == 1, "male").otherwise("neutral"))
+    return resolver.resolve(m.told, people, m.aliases, "scope_id").select("scope_id", "place", "text", "entity", "how", F.round("score", 6).alias("score"))
 
 
-query("nlp_resolve", resolved, """SELECT asked, coalesce((SELECT min(id) FROM entities WHERE lower(label) = asked), (SELECT min(entity_id) FROM aliases WHERE lower(alias) = asked)) AS id
-       FROM (SELECT DISTINCT lower(alias) AS asked FROM aliases WHERE entity_id < 'p2' UNION SELECT DISTINCT lower(label) FROM entities WHERE kind = 'PROMO')""")
+ASKED = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+query(
+    "nlp_resolve",
+    resolved,
+    f"""WITH size AS (SELECT count(*) AS n, avg(len(string_split(label, ' '))) AS name_mean, (SELECT count(*) FROM aliases) / count(*) AS alias_mean FROM entities),
+        named AS (SELECT id, unnest({ASKED.format("label")}) AS word, len(string_split(label, ' ')) AS length FROM entities),
+        called AS (SELECT entity_id AS id, word, count(*) AS tf FROM (SELECT entity_id, unnest(string_split_regex(lower(alias), '\\s+')) AS word FROM aliases) GROUP BY ALL),
+        held AS (SELECT id, word, coalesce(10 / (0.5 + 0.5 * length / name_mean), 0) + coalesce(5 * tf / (0.5 + 0.5 * 10 / alias_mean), 0) AS star FROM named FULL JOIN called USING (id, word), size),
+        rare AS (SELECT word, ln(1 + greatest(0, (n - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM held, size GROUP BY word, n),
+        posting AS (SELECT id, word, 0.5 * idf * 2.2 * star / (1.2 + star) AS value FROM held JOIN rare USING (word)),
+        asked AS (SELECT DISTINCT lower(text) AS asked FROM told WHERE lower(text) NOT IN ('it', 'she')),
+        score AS (SELECT asked, id, round(sum(value), 9) AS score FROM (SELECT asked, unnest({ASKED.format("asked")}) AS word FROM asked) JOIN posting USING (word) GROUP BY ALL HAVING sum(value) > 1),
+        close AS (SELECT asked, arg_min(id, (-score, id)) AS id, max(score) AS score FROM score GROUP BY asked),
+        found AS (SELECT asked, (SELECT min(id) FROM entities WHERE lower(label) = asked) AS a, (SELECT min(entity_id) FROM aliases WHERE lower(alias) = asked) AS b, close.id AS c, score FROM asked LEFT JOIN close USING (asked)),
+        x AS (SELECT scope_id, place, text, coalesce(a, b, c) AS entity, CASE WHEN a IS NOT NULL THEN 'name' WHEN b IS NOT NULL THEN 'alias' WHEN c IS NOT NULL THEN 'words' END AS how, CASE WHEN a IS NULL AND b IS NULL THEN score END AS score,
+              CASE CAST(substr(coalesce(a, b, c), 2) AS INT) % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'neutral' END AS g, CASE lower(text) WHEN 'it' THEN 'neutral' WHEN 'she' THEN 'female' END AS want FROM told LEFT JOIN found ON asked = lower(text)),
+        seen AS (SELECT p.scope_id, p.place, n.entity, any_value(n.g) AS g, any_value(p.want) AS want, max(n.place) AS last FROM x p JOIN x n ON n.scope_id = p.scope_id AND n.place < p.place AND n.entity IS NOT NULL WHERE p.want IS NOT NULL GROUP BY ALL),
+        late AS (SELECT *, row_number() OVER (PARTITION BY scope_id, place ORDER BY last DESC) AS rn FROM seen),
+        said AS (SELECT scope_id, place, arg_max(entity, last) AS entity FROM late WHERE rn <= 10 AND g = want GROUP BY ALL)
+        SELECT x.scope_id, x.place, text, coalesce(said.entity, x.entity) AS entity, CASE WHEN said.entity IS NOT NULL THEN 'pronoun' ELSE how END AS how, round(score, 6) AS score FROM x LEFT JOIN said ON said.scope_id = x.scope_id AND said.place = x.place AND want IS NOT NULL""",
+)
 query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences("t")).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(text, '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents WHERE lang = 'en'""")
 query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en')")
-query("nlp_validate_rel", lambda m: m.edges.join(m.entities.select(F.col("id").alias("source_id"), F.lit(True).alias("s")), "source_id", "left").join(m.entities.select(F.col("id").alias("target_id"), F.lit(True).alias("t")), "target_id", "left").select("id", (F.col("s").isNotNull() & F.col("t").isNotNull() & (F.col("weight") <= 500)).alias("valid")),
-    "SELECT id, source_id IN (SELECT id FROM entities) AND target_id IN (SELECT id FROM entities) AND weight <= 500 AS valid FROM edges")
+AT = "list_filter(list_transform(range(1, len(p)), lambda i: CAST(list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * length({0}) AS INT)), lambda x: length({0}) > 0)"
+query(
+    "nlp_validate_rel",
+    lambda m: grounding.grounded(m.claims.select("id", F.col("id").alias("note_id"), "subject", "object"), m.claims.select("id", F.col("t").alias("text"))).select("id", "subject_at", "object_at", "valid", F.array_join("issues", "; ").alias("issues")),
+    f"""WITH low AS (SELECT id, lower(subject) AS s, lower(object) AS o, lower(t) AS t FROM claims),
+        found AS (SELECT id, (SELECT {AT.format("s")} FROM (SELECT string_split(t, s) AS p)) AS a, (SELECT {AT.format("o")} FROM (SELECT string_split(t, o) AS p)) AS b FROM low),
+        pair AS (SELECT id, arg_min({{'a': x, 'b': y}}, (abs(x - y), least(x, y))) AS z FROM (SELECT id, unnest(a) AS x, b FROM found), unnest(b) AS v(y) GROUP BY id)
+        SELECT id, coalesce(z.a, a[1]) AS subject_at, coalesce(z.b, b[1]) AS object_at, len(a) > 0 AND len(b) > 0 AND coalesce(abs(z.a - z.b), 0) <= 500 AS valid,
+               array_to_string(list_filter([CASE WHEN len(a) = 0 THEN 'subject not found' END, CASE WHEN len(b) = 0 THEN 'object not found' END, CASE WHEN abs(z.a - z.b) > 500 THEN 'too far apart' END], lambda x: x IS NOT NULL), '; ') AS issues
+        FROM found LEFT JOIN pair USING (id)""",
+)
 query("nlp_adjust_conf", lambda m: m.edges.select("id", F.round(op.adjusted(F.col("confidence"), F.col("confidence") > 0.92, (F.col("created_at") / 86_400_000).cast("bigint") % 300), 6).alias("v")),
     "SELECT id, round(CASE WHEN confidence > 0.92 THEN least(1.0, confidence + 0.1 + CASE WHEN created_at // 86400000 % 300 < 100 THEN 0.1 WHEN created_at // 86400000 % 300 < 200 THEN 0.05 ELSE 0 END) ELSE confidence * 0.3 END, 6) AS v FROM edges")
 CAUSES = "SELECT id, 'The ' || subtype || ' caused the ' || kind || '. Rain stopped the ' || subtype AS t FROM entities WHERE mentions > 20"

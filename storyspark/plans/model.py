@@ -65,6 +65,16 @@ MODEL = {
     "episodes": """
         SELECT event_id AS id, 'u' || user_id AS scope_id, event_id % 1000 AS note_id, @MS(ts) AS ts, event_type AS action,
                'p' || (event_id % 200) AS target_id, props AS payload, value, 'nar' || (user_id % 5) AS narrative_id FROM events""",
+    "told": """
+        SELECT 'u' || user_id AS scope_id, CAST(event_id AS int) AS place, CASE event_id % 7 WHEN 0 THEN upper(p_name) || ' ' || p_partkey WHEN 1 THEN lower(p_brand) || ' ' || p_partkey
+               WHEN 2 THEN split_part(p_name, ' ', 1) || ' ' || p_partkey WHEN 3 THEN 'the  old ' || p_name WHEN 4 THEN 'nobody ' || event_id % 3 WHEN 5 THEN 'It' ELSE 'she' END AS text
+        FROM events JOIN part ON p_partkey = 1 + event_id % 200""",
+    "claims": """
+        SELECT e.id, 'the ' || source_id || '.' AS subject, 'old ' || target_id AS object, CASE WHEN weight % 4 = 0 THEN '' ELSE 'The ' || upper(source_id) || '. said: ' END || content
+               || CASE WHEN (weight + e.created_at / 86400000) % 3 < 1 THEN '' ELSE ' to the old ' || target_id || ' there. The ' || source_id || '.' END AS t FROM edges e JOIN notes n ON n.id = e.source_note""",
+    "rumours": """
+        SELECT id, upper(source_id) || CASE rel_type WHEN 'AF' THEN ' attacks ' WHEN 'NO' THEN ' visits ' WHEN 'RF' THEN ' hears ' ELSE ' helps ' END || upper(target_id) || '. Then They give ' || upper(target_id) || 'x.' AS t
+        FROM edges""",
     "threads": """
         SELECT 't' || conv_id AS id, 'w' || (conv_id % 3) AS world_id, 'nar' || (conv_id % 5) AS narrative_id, min(conv_id) * 100 AS created_at,
                max(conv_id * 100 + turn) AS updated_at FROM conversations GROUP BY conv_id""",
