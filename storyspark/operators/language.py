@@ -110,7 +110,7 @@ def found(text, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-MARKS = (("triple", TRIPLE), ("wikilink", WIKILINK), ("backlink", BACKLINK), ("entity", ENTITY_TAG), ("tag", r"#([\w/-]+)"), ("mention", r"@([\w-]+)"))
+MARKS = (("triple", TRIPLE), ("wikilink", WIKILINK), ("backlink", BACKLINK), ("entity", ENTITY_TAG), ("tag", r"(?<!&)#([\w/-]+)"), ("mention", r"@([\w-]+)"))
 MARK = re.compile("|".join(f"(?P<{k}>{p})" for k, p in MARKS))
 
 

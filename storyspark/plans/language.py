@@ -89,10 +89,10 @@ query("nlp_select_best", lambda m: best_per_key(cast(m).withColumn("rank", op.be
 
 
 def sample(m):
-    return m.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return m.documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
 
 
-query("nlp_tokenize", lambda m: sample(m).select("id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{Nd}'-]+|\p{P}"), F.lit(0))).alias("n")), r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nd}''-]+|\p{P}')) AS INT) AS n FROM documents WHERE lang = 'en'")
+query("nlp_tokenize", lambda m: sample(m).select("id", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{Nd}'-]+|\p{P}"), F.lit(0))).alias("n")), r"SELECT doc_id AS id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nd}''-]+|\p{P}')) AS INT) AS n FROM documents")
 LOW = "lower(w)"
 STEM = "CASE " + " ".join(f"WHEN ends_with({LOW}, '{e}') AND length({LOW}) > {len(e) + 2} THEN left({LOW}, length({LOW}) - {len(e)})" for e in lx.VERB_ENDINGS) + f" ELSE {LOW} END"
 WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en'"
@@ -172,8 +172,8 @@ query(
         said AS (SELECT scope_id, place, arg_max(entity, last) AS entity FROM late WHERE rn <= 10 AND g = want GROUP BY ALL)
         SELECT x.scope_id, x.place, text, coalesce(said.entity, x.entity) AS entity, CASE WHEN said.entity IS NOT NULL THEN 'pronoun' ELSE how END AS how, round(score, 6) AS score FROM x LEFT JOIN said ON said.scope_id = x.scope_id AND said.place = x.place AND want IS NOT NULL""",
 )
-query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences("t")).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(text, '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents WHERE lang = 'en'""")
-query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en')")
+query("nlp_sentences", lambda m: sample(m).select("id", F.size(metrics.sentences("t")).alias("n")), r"""SELECT doc_id AS id, CAST(len(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split_regex(coalesce(text, ''), '[.!?]+')], lambda x: x <> '')) AS INT) AS n FROM documents""")
+query("nlp_paragraphs", lambda m: sample(m).select("id", F.posexplode(F.split("t", "\n")).alias("i", "p")).select("id", "i", F.length("p").alias("n")), "SELECT id, CAST(unnest(range(len(p))) AS INT) AS i, CAST(length(unnest(p)) AS INT) AS n FROM (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)")
 AT = "list_filter(list_transform(range(1, len(p)), lambda i: CAST(list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * length({0}) AS INT)), lambda x: length({0}) > 0)"
 query(
     "nlp_validate_rel",

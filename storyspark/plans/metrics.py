@@ -1,4 +1,4 @@
-"""Registered document metrics over English documents."""
+"""Registered document metrics over all documents; syllables and reading levels, whose rules are English, over the English ones."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ from .registry import query
 
 
 def docs(m):
-    return m.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return m.documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
 
 
-D = "SELECT doc_id AS id, text AS t FROM documents WHERE lang = 'en'"
+def english(m):
+    return m.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+
+
+D = "SELECT doc_id AS id, coalesce(text, '') AS t FROM documents"
+ENGLISH = f"{D} WHERE lang = 'en'"
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 W = r"list_filter(string_split_regex(regexp_replace({}, '[^0-9A-Za-z_\s''-]', ' ', 'g'), '\s+'), lambda x: x <> '')"
 S = f"list_filter([{TRIM.format('x')} FOR x IN string_split_regex(t, '[.!?]+')], lambda x: x <> '')"
@@ -26,20 +31,24 @@ SENT = f"SELECT id, i, len({W.format('s')}) AS n FROM (SELECT id, unnest(s) AS s
 query("met_words", lambda m: docs(m).select("id", F.size(op.words("t")).alias("n")), f"SELECT id, CAST(len({W.format('t')}) AS INT) AS n FROM ({D})")
 query("met_sentences", lambda m: docs(m).select("id", F.posexplode(op.sentences("t")).alias("i", "s")), f"SELECT id, CAST(unnest(range(len(s))) AS INT) AS i, unnest(s) AS s FROM (SELECT id, {S} AS s FROM ({D}))")
 query("met_paragraphs", lambda m: docs(m).select("id", F.size(op.paragraphs("t")).alias("n")), f"SELECT id, CAST(len({P}) AS INT) AS n FROM ({D})")
-query("met_syllables", lambda m: docs(m).select(F.explode(op.words("t")).alias("w")).distinct().select("w", op.syllables("w").alias("n")), f"SELECT w, CAST({SYL} AS INT) AS n FROM (SELECT DISTINCT unnest({W.format('t')}) AS w FROM ({D}))")
+query("met_syllables", lambda m: english(m).select(F.explode(op.words("t")).alias("w")).distinct().select("w", op.syllables("w").alias("n")), f"SELECT w, CAST({SYL} AS INT) AS n FROM (SELECT DISTINCT unnest({W.format('t')}) AS w FROM ({ENGLISH}))")
 query("met_length_hist", lambda m: docs(m).select(F.explode(op.sentence_lengths("t")).alias("n")).groupBy(op.range_of(F.col("n")).alias("range")).agg(F.count(F.lit(1)).alias("sentences")), f"SELECT {RANGE} AS range, count(*) AS sentences FROM ({SENT}) GROUP BY 1")
 ISLANDS = f"""SELECT id, i, row_number() OVER (PARTITION BY id, g ORDER BY i) AS run FROM (SELECT *, sum(CASE WHEN abs(n - p) <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS g FROM (SELECT *, lag(n) OVER (PARTITION BY id ORDER BY i) AS p FROM ({SENT})))"""
 query("met_consecutive", lambda m: docs(m).select("id", op.runs(op.sentence_lengths("t"))["hits"].alias("n")), f"SELECT d.id, CAST(coalesce(n, 0) AS INT) AS n FROM ({D}) d LEFT JOIN (SELECT id, count_if(run >= 3) AS n FROM ({ISLANDS}) GROUP BY id) r ON r.id = d.id")
 VARIETY = f"""SELECT id, CASE WHEN count(*) <= 1 THEN 0 ELSE CAST(floor(round(sum(-(c / t) * log2(c / t)) / log2(count(*)) * 100, 9) + 0.5) AS INT) END AS v, CAST(max(t) AS INT) AS sentences FROM (SELECT *, sum(c) OVER (PARTITION BY id) AS t FROM (SELECT id, {RANGE} AS r, count(*) AS c FROM ({SENT}) GROUP BY ALL)) GROUP BY id"""
 query("met_variety", lambda m: op.text_metrics(docs(m), "t").where("sentences > 0").select("id", F.col("variety").alias("v"), "sentences"), VARIETY)
 query("met_flow_insights", lambda m: op.text_metrics(docs(m), "t").where("sentences > 0").select("id", "monotony", "consecutive"), f"SELECT id, max(run) >= 5 AS monotony, CAST(count_if(run >= 3) AS INT) AS consecutive FROM ({ISLANDS}) GROUP BY id")
-BASE = f"SELECT id, {W.format('t')} AS w, {LEN} AS l FROM ({D})"
-NUMBERS = f"SELECT id, len(w) AS words, len(l) AS sentences, CAST(coalesce(list_sum([{SYL} FOR w IN w]), 0) AS BIGINT) AS syllables FROM ({BASE})"
+def numbers(source):
+    base = f"SELECT id, {W.format('t')} AS w, {LEN} AS l FROM ({source})"
+    return f"SELECT id, len(w) AS words, len(l) AS sentences, CAST(coalesce(list_sum([{SYL} FOR w IN w]), 0) AS BIGINT) AS syllables FROM ({base})"
+
+
+NUMBERS = numbers(D)
 GRADE = "0.39 * words / sentences + 11.8 * syllables / words - 15.59"
 query(
     "met_reading_level",
-    lambda m: op.text_metrics(docs(m), "t").select("id", "reading_level"),
-    f"SELECT id, CASE WHEN words = 0 OR sentences = 0 THEN 'N/A' " + " ".join(f"WHEN {GRADE} < {b} THEN '{n}'" for b, n in op.LEVELS[:-1]) + f" ELSE '{op.LEVELS[-1][1]}' END AS reading_level FROM ({NUMBERS})",
+    lambda m: op.text_metrics(english(m), "t").select("id", "reading_level"),
+    f"SELECT id, CASE WHEN words = 0 OR sentences = 0 THEN 'N/A' " + " ".join(f"WHEN {GRADE} < {b} THEN '{n}'" for b, n in op.LEVELS[:-1]) + f" ELSE '{op.LEVELS[-1][1]}' END AS reading_level FROM ({numbers(ENGLISH)})",
 )
 query("met_stddev", lambda m: op.text_metrics(docs(m), "t").where("sentences > 0").select("id", F.round("deviation", 3).alias("v")), f"SELECT id, round(stddev_pop(n), 3) AS v FROM ({SENT}) GROUP BY id")
 query(

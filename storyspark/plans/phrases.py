@@ -90,7 +90,8 @@ def scanned(m):
     return whole.select("id", F.explode(rows).alias("x")).select("id", "x.*")
 
 
-MARKS = "|".join(f"({p})" for _, p in op.MARKS)
+#: No & stands before a # in tales, and SQL's expressions can't look behind.
+MARKS = "|".join(f"({p})" for _, p in op.MARKS).replace("(?<!&)", "")
 GROUP = [1 + sum(op.re.compile(p).groups + 1 for _, p in op.MARKS[:k]) for k in range(len(op.MARKS))]
 ENTITY = r"^\[([A-Za-z_]+)[|:]([^\]|@]+)"
 GENDERS = ", ".join(f"('{w}', '{g}')" for g, words in lx.PRONOUNS.items() for w in words.split())
