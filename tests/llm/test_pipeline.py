@@ -45,7 +45,7 @@ def test_stages_match_brute_force(spark, tmp_path):
             for i, t in sorted(texts.items()):
                 last[t.lower()] = i
             texts = {i: texts[i] for i in last.values()}
-        elif name == "simhash_near_dedup":
+        elif name == "minhash_near_dedup":
             sets = {i: slow_shingles(t) for i, t in texts.items()}  # five words, a likeness of 0.8
             roots = slow_components(sorted(texts), lambda a, b: alike(sets[a], sets[b]))
             texts = {i: t for i, t in texts.items() if roots[i] == i}
