@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def dot(a, b) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
@@ -61,21 +63,72 @@ def kmeans(df: DataFrame, k: int, iterations: int = 20, seed: int = 42, key: str
     return model.transform(rows).select(key, F.col("prediction").alias("cluster")), [c.tolist() for c in model.clusterCenters()]
 
 
-def cluster_tree(df: DataFrame, largest: int, levels: int = 6, key: str = "id", v: str = "vec") -> DataFrame:
-    """level, node, parent of a tree: rows are clustered into ceil(n / (largest / 2)) groups, their centres
-    again, until a level has no more than largest nodes. Each level shrinks at least by half."""
-    spark = df.sparkSession
-    out, level, rows = None, 0, df.select(F.col(key).cast("string").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("vec"))
+def group_means(df: DataFrame, group: str, v: str) -> DataFrame:
+    """group, n, mean of the vectors (of one length) of each group. A task sends one sum a group, however many rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = df.schema[group].dataType.simpleString()
+
+    def sums(batches):
+        held: dict = {}
+        for b in batches:
+            names, codes = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            x = np.stack(b.column(1).to_numpy(zero_copy_only=False)) if len(b) else np.zeros((0, 1))
+            total = np.zeros((len(names), x.shape[1]))
+            np.add.at(total, codes, x)
+            for g, s, n in zip(names.tolist(), total, np.bincount(codes, minlength=len(names)).tolist(), strict=True):
+                s0, n0 = held.get(g, (0.0, 0))
+                held[g] = (s0 + s, n0 + n)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([n for _, n in held.values()], pa.int64()), pa.array([s for s, _ in held.values()], pa.list_(pa.float64()))], ["group", "n", "sum"])
+
+    parts = df.select(group, F.transform(v, lambda x: x.cast("double"))).mapInArrow(sums, f"group {kind}, n bigint, sum array<double>")
+    each = parts.select("group", "n", F.posexplode("sum").alias("i", "x")).groupBy("group", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    return each.groupBy("group").agg(F.max("n").alias("n"), whole.alias("sum")).select(F.col("group").alias(group), "n", F.transform("sum", lambda x: x / F.col("n")).alias("mean"))
+
+
+def _halved(rows: DataFrame, largest: int) -> DataFrame:
+    """rows (id, vec, part) with the parts of more than largest rows cut in two, across the line from the part's mean to
+    its farthest row, at the median. A part whose rows can't be told apart so is cut by a hash of the id."""
+    means = group_means(rows, "part", "vec").where(F.col("n") > largest)
+    met = rows.join(means, "part", "left")
+    far = F.max_by("vec", F.struct(F.when(F.col("mean").isNotNull(), -cosine("vec", "mean")), "id"))
+    ends = met.where("mean IS NOT NULL").groupBy("part").agg(far.alias("far"))
+    line = F.zip_with("far", "mean", lambda a, b: a - b)
+    placed = met.join(ends, "part", "left").select("id", "vec", "part", "n", F.when(F.col("far").isNotNull(), F.round(dot("vec", line), 9)).alias("place"), F.xxhash64("id").alias("luck"))
+    placed = written(placed, "placed")
+    middle = placed.where("place IS NOT NULL").groupBy("part").agg(F.percentile_approx("place", 0.5, 100_000).alias("cut"), F.percentile_approx("luck", 0.5, 100_000).alias("other"))
+    low = placed.join(middle, "part").groupBy("part").agg(F.first("cut").alias("cut"), F.first("other").alias("other"), F.sum((F.col("place") <= F.col("cut")).cast("int")).alias("low"), F.count(F.lit(1)).alias("all"))
+    fair = F.col("low").between(F.col("all") / 3, F.col("all") * 2 / 3)
+    side = F.when(F.when(fair, F.col("place") <= F.col("cut")).otherwise(F.col("luck") <= F.col("other")), "0").otherwise("1")
+    return placed.join(low, "part", "left").select("id", "vec", F.when(F.col("place").isNotNull(), F.concat("part", side)).otherwise(F.col("part")).alias("part"))
+
+
+def cluster_tree(df: DataFrame, largest: int, key: str = "id", v: str = "vec") -> DataFrame:
+    """level, node, parent, n (rows under the node at level 0: 1; above: members) of a tree: rows are bisected into groups
+    of at most largest (4 or more), each group's mean is a node of the next level, and so on until a level fits.
+
+    Every node has one parent but those of the last level, and each level has at most half as many nodes as the one
+    below, as no group has fewer than two members. Means and cuts are tables; nothing is gathered on the driver but
+    the number of rows. Ties and equal vectors are cut by a hash of the id, so the result is the same in every run."""
+    if largest < 4:
+        raise ValueError("a group needs room for four rows")
+    rows = written(df.where(F.col(v).isNotNull()).select(F.col(key).cast("string").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("vec"), F.lit(1).cast("bigint").alias("n")), "level0")
+    out, level = None, 0
     while True:
         n = rows.count()
-        if n <= largest or level == levels:
-            top = rows.select(F.lit(level).alias("level"), F.col("id").alias("node"), F.lit(None).cast("string").alias("parent"))
+        if n <= largest:
+            top = rows.select(F.lit(level).alias("level"), F.col("id").alias("node"), F.lit(None).cast("string").alias("parent"), "n")
             return top if out is None else out.unionByName(top)
-        found, centers = kmeans(rows, max(2, -(-n * 2 // largest)))
-        one = found.select(F.lit(level).alias("level"), F.col("id").alias("node"), F.concat(F.lit(f"L{level + 1}-"), F.col("cluster").cast("string")).alias("parent"))
+        parts = written(rows.select("id", "vec", F.lit(f"L{level + 1}-").alias("part")), "parts")
+        while parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > largest).limit(1).count():
+            parts = written(_halved(parts, largest), "parts")
+        one = rows.join(parts.select("id", F.col("part").alias("parent")), "id").select(F.lit(level).alias("level"), F.col("id").alias("node"), "parent", "n")
         out = one if out is None else out.unionByName(one)
         level += 1
-        rows = spark.createDataFrame([(f"L{level}-{i}", c) for i, c in enumerate(centers)], "id string, vec array<double>")
+        rows = written(group_means(parts, "part", "vec").select(F.col("part").alias("id"), F.col("mean").alias("vec"), "n"), f"level{level}")
 
 
 def truncated(v: str, size: int, strict: bool = True) -> Column:

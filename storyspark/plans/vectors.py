@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import vector_index
 from ..operators import vectors as op
 from .registry import query
 
@@ -47,7 +48,32 @@ query(
     + ", ".join(f"({i}, {arr(c)})" for i, c in enumerate(CENTERS))
     + ") v(cluster, c))) WHERE d <= CASE WHEN least < 0.001 THEN 0.101 ELSE least * 1.1 END",
 )
-query("vec_raptor_build", lambda m: op.cluster_tree(m.blocks, 12).groupBy("level").agg(F.count(F.lit(1)).alias("n")))
+query("vec_raptor_build", lambda m: op.cluster_tree(m.blocks, 12).select("level", "node", "parent", "n"))
+
+
+def asked(m):
+    return m.blocks.where("id % 20 = 0").select(F.col("id").alias("query"), "vec")
+
+
+query(
+    "vec_knn_exact",
+    lambda m: vector_index.exact(asked(m), m.blocks, 10).select("query", "id", "distance", "place"),
+    """SELECT query, id, distance, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS place FROM (SELECT a.id AS query, b.id, round(1 - list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), 6) AS distance
+       FROM blocks a JOIN blocks b ON a.id % 20 = 0)) WHERE place <= 10""",
+)
+
+
+def indexed(m):
+    """What the index finds for every twentieth row, how much of it is right, and what share of the rows it read."""
+    index = vector_index.build(m.blocks)
+    probes = index.probes(0.95)
+    found, right = index.search(asked(m), 10, probes), vector_index.exact(asked(m), m.blocks, 10)
+    hits = found.join(right.select("query", "id"), ["query", "id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    recall = right.agg(F.count(F.lit(1)).alias("n")).crossJoin(hits).select((F.col("hits") / F.col("n")).alias("recall"))  # one row each
+    return index.read_share(asked(m), probes).crossJoin(recall).select("queries", F.round("recall", 4).alias("recall"), F.round("share", 4).alias("share"))
+
+
+query("vec_knn_index", indexed)
 knn("vec_flat_search", 10)
 knn("vec_knn", 20)
 knn("vec_knn_768", 15, before="label < 5", where="label < 5")
