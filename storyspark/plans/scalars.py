@@ -44,8 +44,8 @@ def network(m):
 query("graph_pcst", lambda m: steiner.steiner(*network(m)))
 query("graph_pcst_cost", lambda m: steiner.steiner(*network(m)).groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("cost"), 6).alias("cost")))
 query("graph_ipcst", lambda m: steiner.steiner(*network(m), solver=lambda i: steiner.solve(i, beta=3.0, depth=4)).groupBy("component").agg(F.count(F.lit(1)).alias("edges")))
-query("graph_gw", lambda m: steiner.steiner(*network(m), solver=steiner.grown_only))
-query("graph_gw_prune", lambda m: steiner.steiner(*network(m), solver=steiner.grown_only).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+query("graph_gw", lambda m: steiner.steiner(*network(m), solver=steiner.grown_only, reduce=False))
+query("graph_gw_prune", lambda m: steiner.steiner(*network(m), solver=steiner.grown_only, reduce=False).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
 query("graph_mst_steiner", lambda m: steiner.steiner(*network(m), solver=steiner.joined_only).groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("cost"), 6).alias("cost")))
 COST = "round(greatest(0.01, 1.0 - confidence), 2)"
 query(
