@@ -61,6 +61,10 @@ LABELLED = (
     ("<article><p>{40}<div class=share>{1/1}</div><ul><li>{2}<li>{2}</ul><nav>{3/3}</nav><p>{1}<p>{6}<aside>{5/5}</aside><p>{3}<aside>{30/30}</aside><h3>{2}</h3><p>{21}</article>", "1" "0" "11" "0" "11" "0" "1" "0" "11"),
     ("<nav>{25/25}</nav><article><h1>{1}</h1><p>{2}<div class=related>{22/22}</div><p>{5}<div class=social>{2/2}</div><p>{3}</article>", "0" "11" "0" "1" "0" "1"),
     ("<div>{3/3}</div><h1>{8}</h1><p>{49}<p>{22}<p>{2/2}", "0" "111" "0"), ("<div>{2/2}</div><h2>{5}</h2><div>{64}</div><div>{30}</div>", "0" "111"),
+    # wrappers that are named for what they also hold, a form around the page, an article's own header
+    ("<div class=content-sidebar-wrap><nav>{4/4}</nav><article><h1>{6}</h1><p>{70}<p>{4}<p>{35/3}</article><aside>{25}</aside></div><footer>{9}</footer>", "0" "1111" "0" "0"),
+    ("<form><div class=menu>{3/3}</div><div id=content><h2>{4}</h2><p>{60}<p>{12}<div class=comments><p>{30}</div></div><label>{2}</label></form>", "0" "111" "0" "0"),
+    ("<div class=has-sidebar><main><header><h1>{7}</h1><p>{5}</header><p>{45}<p>{3}</main><div id=sidebar><p>{28}</div></div>", "1" "0" "11" "0"),
     # names instead of elements
     ("<div id=header>{4}</div><div id=content><h2>{5}</h2><p>{50}<p>{4}<p>{33}<div class=ads>{16}</div><p>{9}</div><div id=sidebar><h3>{2}</h3><p>{30}<p>{25/4}</div><div class=cookie-notice>{25}</div>", "0" "1111" "0" "1" "000" "0"),
     ("<div class=menu><a>{1}</a> <a>{2}</a></div><div class=post><p>{12}<p>{70}</div><div class=comments><p>{45}</div>", "01" "10"),
@@ -107,28 +111,50 @@ class Tree:
 
 
 class Block:
-    __slots__ = ("body", "frame", "heading", "linked", "named", "text", "words")
+    __slots__ = ("body", "frame", "heading", "held", "linked", "named", "text", "words")
 
-    def __init__(self, text: str, linked: int, kinds: set[str], heading: bool):
+    def __init__(self, text: str, linked: int, held: list[Element], heading: bool):
         self.text, self.words = text, len(text.split())
         self.linked = min(1.0, linked / max(1, self.words))
-        self.frame, self.named, self.body = ("frame" in kinds, "named" in kinds, "body" in kinds)
-        self.heading = heading
+        self.held, self.heading = held, heading
+        for e in held:
+            e.words += self.words
+
+    def settle(self, total: int) -> None:
+        """Say what holds the block, once the page's words are known."""
+        kinds = {e.kind for e in self.held if not e.wraps(total)}
+        self.frame, self.named, self.body = ("frame" in kinds or ("lead" in kinds and not self.heading), "named" in kinds, "body" in kinds)
+
+
+class Element:
+    """An open element: kind is silent, frame, named, body, lead (an article's own header) or empty."""
+
+    __slots__ = ("bodied", "kind", "tag", "within", "words")
+
+    def __init__(self, tag: str, kind: str, within: bool):
+        self.tag, self.kind, self.within = tag, kind, within
+        self.words, self.bodied = 0, False
+
+    def wraps(self, total: int) -> bool:
+        """Whether a name or element that would make it a frame only dresses the page: the body and most words lie in it."""
+        return self.kind in ("frame", "named") and self.bodied and not self.within and 2 * self.words > total
 
 
 class BlockParser(HTMLParser):
     """Flat text blocks of a page. Elements left open end with what holds them; what opens a frame or
-    the body counts for all inside it, however deep."""
+    the body counts for all inside it, however deep, unless it wraps the page's body. In the header of an article its
+    headings are content."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, str]] = []  # (element, kind): kind is silent, frame, named, body or ""
+        self.open: list[Element] = []
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
+        self.bodies = 0
 
     @staticmethod
     def _kind(tag: str, attrs: list) -> str:
@@ -149,8 +175,8 @@ class BlockParser(HTMLParser):
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            heading = any(HEADING.fullmatch(t) for t, _ in self.open)
-            self.blocks.append(Block(text, self.linked, {k for _, k in self.open}, heading))
+            heading = any(HEADING.fullmatch(e.tag) for e in self.open)
+            self.blocks.append(Block(text, self.linked, [e for e in self.open if e.kind], heading))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -163,7 +189,14 @@ class BlockParser(HTMLParser):
             return
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") or HEADING.fullmatch(tag):
             self._end_same(tag)
-        self.open.append((tag, self._kind(tag, attrs)))
+        kind, within = self._kind(tag, attrs), self.bodies > 0
+        if kind == "body":
+            for e in self.open:
+                e.bodied = True
+        if tag == "header" and kind == "frame" and within and not any(e.kind in ("frame", "named") and e.within for e in self.open):
+            kind = "lead"
+        self.open.append(Element(tag, kind, within))
+        self.bodies += kind == "body"
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -181,35 +214,36 @@ class BlockParser(HTMLParser):
     def _end_same(self, tag: str) -> None:
         """An open element of the same sort ends where the next begins, unless another block lies between."""
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 self._close(k)
                 return
-            if self.open[k][0] in BLOCKS:
+            if self.open[k].tag in BLOCKS:
                 return
 
     def _end_head(self) -> None:
         """A head whose end tag is left out ends here, unless an element inside it is open."""
-        if self.open and self.open[-1][0] == "head":
+        if self.open and self.open[-1].tag == "head":
             self._close(len(self.open) - 1)
 
     def _close(self, k: int) -> None:
-        self.links -= sum(t == "a" for t, _ in self.open[k:])
+        self.links -= sum(e.tag == "a" for e in self.open[k:])
+        self.bodies -= sum(e.kind == "body" for e in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 self._close(k)
                 return
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS and tag not in SILENT:
+            if tag not in BLOCKS and self.open[k].tag in BLOCKS and tag not in SILENT:
                 return  # an inline end tag does not reach out of its block
 
     def handle_data(self, data: str) -> None:
         if not data.isspace():
             self._end_head()
-        if data and not any(k == "silent" for _, k in self.open):
+        if data and not any(e.kind == "silent" for e in self.open):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.split())
@@ -220,6 +254,9 @@ def text_blocks(page: str) -> list[Block]:
     parser.feed(UNFINISHED.sub("", page))
     parser.close()
     parser._flush()
+    total = sum(b.words for b in parser.blocks)
+    for b in parser.blocks:
+        b.settle(total)
     return parser.blocks
 
 

@@ -106,3 +106,26 @@ def test_head_left_open():
     for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><style>p{}</style><noscript><p>no</p></noscript><body>"):
         assert main_text(f"{start}<article><p>{line}</p></article>", TREE) == line, start
     assert main_text(f"<head><title>T</title>\n{line}", TREE) == line
+
+
+def test_wrappers_do_not_empty_a_page():
+    line = ("word " * 60).strip()
+    article = f"<article><h1>Title here</h1><p>{line}<p>short</article>"
+    want = f"Title here\n{line}\nshort"
+    side = "<div class=sidebar><p>links and other words</div>"
+    for start, end in (
+        ("<div class=content-sidebar-wrap>", f"{side}</div>"), ("<body class='has-sidebar'><div class=has-sidebar>", f"{side}</div>"), ("<form method=post>", f"{side}</form>"),
+        ("<form><div class='page with-sidebar'>", "</div></form>"), ("<div id=header-footer-wrap><nav><a>x</a></nav>", "<footer>end of it</footer></div>"),
+    ):
+        assert main_text(start + article + end, TREE) == want, start
+        assert main_text(start + article.replace("<article>", "<div id=content>").replace("</article>", "</div>") + end, TREE) == want, start
+    # what holds no body, or few of the words, stays a frame
+    assert main_text(f"<div class=sidebar><p>{line}</div>{article}", TREE) == want
+    assert main_text(f"{article}<section id=comments><article class=comment><p>{line} {line} {line}</article></section>", TREE) == want
+    assert main_text(f"<article><p>{line}<div class=related><div class=content>{line} {line}</div></div></article>", TREE) == line
+
+
+def test_an_articles_own_header():
+    line = ("word " * 40).strip()
+    page = f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By somebody, today</p></header><p>{line}</p><footer>tags</footer></article>"
+    assert main_text(page, TREE) == f"Title\n{line}"
