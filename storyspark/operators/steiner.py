@@ -308,7 +308,9 @@ def reduced(pairs: DataFrame, special: DataFrame) -> tuple[DataFrame, DataFrame]
         one, two = (middle.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_mid")) for c in ("source", "target"))
         marked = left.join(one, "source", "left").join(two, "target", "left").withColumn("runs", F.coalesce("source_mid", F.lit(False)) | F.coalesce("target_mid", F.lit(False)))
         marked = written(marked, "marked")
-        inner = components(marked.where("source_mid AND target_mid").select("source", "target"), "source", "target")
+        between = marked.where("source_mid AND target_mid").select("source", "target")
+        found = between.limit(1).count() > 0
+        inner = components(between, "source", "target") if found else between.select(F.col("source").alias("node"), F.col("source").alias("component"))
         run = marked.where("runs").select("*", F.when(F.col("source_mid"), F.col("source")).otherwise(F.col("target")).alias("mid"))
         run = run.join(inner.select(F.col("node").alias("mid"), "component"), "mid", "left").withColumn("run", F.coalesce("component", "mid"))
         outer = F.flatten(F.collect_list(F.array_compact(F.array(F.when(F.col("source_mid").isNull(), F.col("source")), F.when(F.col("target_mid").isNull(), F.col("target"))))))
