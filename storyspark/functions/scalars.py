@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,36 +21,21 @@ def noisy_or(a: Column, b: Column) -> Column:
     return a + b - a * b
 
 
-def djb2(text: str) -> Column:
-    """The 32-bit hash 33 h + c from 5381, as lower-case hexadecimal."""
+def code_units(text) -> Column:
+    """UTF-16 code units of a text, as numbers."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("bigint"))
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            h = 5381
-            for unit in memoryview(t.encode("utf-16-le")).cast("H"):
-                h = (h * 33 + unit) & 0xFFFFFFFF
-            return f"{h:x}"
 
-        return s.map(lambda t: None if t is None else one(t))
-
-    return run(text)
+def djb2(text: str) -> Column:
+    """The 32-bit hash 33 h + c from 5381, as lower-case hexadecimal."""
+    h = F.aggregate(code_units(text), F.lit(5381).cast("bigint"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.lower(F.hex(h))
 
 
 def hash31(text: str) -> Column:
     """The signed 32-bit hash 31 h + c from 0."""
-
-    @F.pandas_udf("int")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            h = 0
-            for unit in memoryview(t.encode("utf-16-le")).cast("H"):
-                h = (h * 31 + unit) & 0xFFFFFFFF
-            return h - (1 << 32) if h >> 31 else h
-
-        return s.map(lambda t: None if t is None else one(t)).astype("Int32")
-
-    return run(text)
+    h = F.aggregate(code_units(text), F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
 
 
 # Gravity, the sun's mass, the astronomical unit.

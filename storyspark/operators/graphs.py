@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -45,7 +45,7 @@ def merged(edges: DataFrame, manual_origin: str = "manual") -> DataFrame:
     rows = edges.withColumn("rel_type", F.upper("rel_type")).groupBy("source_id", "rel_type", "target_id")
     return rows.agg(
         F.when(F.max((F.col("origin") == manual_origin).cast("int")) == 1, 1.0).otherwise(noisy_or("confidence")).alias("confidence"),
-        F.count_distinct("origin").alias("origins"),
+        F.size(F.collect_set("origin")).cast("bigint").alias("origins"),  # a handful of origins; two distinct counts would triple the rows
         F.count_distinct("note_id").alias("notes"),
         F.array_join(F.sort_array(F.collect_set("origin")), ",").alias("provenance"),
     )
@@ -138,3 +138,11 @@ def distances(edges: DataFrame, start, rounds: int, source: str = "source_id", t
             break
         known = written(known.join(front.select("node"), "node", "left_anti").unionByName(front), "known")
     return known
+
+
+def flattened(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with act_no, the place of their group among the groups, and chapter, their place within it. Groups are ranked
+    among themselves, a row each, and joined back, so that no window holds all rows."""
+    groups = rows.select(group).distinct().withColumn("act_no", F.row_number().over(Window.orderBy(group)))
+    within = rows.withColumn("chapter", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return within.join(groups, group)

@@ -137,6 +137,17 @@ def truncated(v: str, size: int, strict: bool = True) -> Column:
     return F.when(F.size(v) < size, short).otherwise(F.slice(v, 1, size))
 
 
+def encoded(column: str) -> Column:
+    """Little-endian 32-bit floats of a vector, as a blob."""
+    import numpy as np
+
+    @F.pandas_udf("binary")
+    def raw(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return raw(column)
+
+
 def decoded(column: str) -> Column:
     """Little-endian 32-bit floats of a binary column."""
     import numpy as np

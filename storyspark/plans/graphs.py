@@ -55,7 +55,7 @@ query(
 )
 query(
     "rec_flatten_tree",
-    lambda m: m.chapters.withColumn("chapter", F.row_number().over(Window.partitionBy("act").orderBy("id"))).select("id", (F.dense_rank().over(Window.orderBy("act"))).alias("act_no"), "chapter", F.lit(1).alias("level")),
+    lambda m: op.flattened(m.chapters, "act", "id").select("id", "act_no", "chapter", F.lit(1).alias("level")),
     "SELECT id, dense_rank() OVER (ORDER BY act) AS act_no, row_number() OVER (PARTITION BY act ORDER BY id) AS chapter, 1 AS level FROM chapters",
 )
 

@@ -191,11 +191,22 @@ CAUSES = "SELECT id, 'The ' || subtype || ' caused the ' || kind || '. Rain stop
 query("nlp_causal", lambda m: op.causal_links(m.entities.where("mentions > 20").select("id", F.concat(F.lit("The "), F.regexp_replace("subtype", "#", " "), F.lit(" caused the "), "kind", F.lit(". Rain stopped the "), F.regexp_replace("subtype", "#", " ")).alias("t")), "t"),
     "SELECT id, 'TRIGGERS' AS type, lower('the ' || replace(subtype, '#', ' ')) AS cause, lower('the ' || kind) AS effect, CAST(0.7 AS DOUBLE) AS confidence FROM entities WHERE mentions > 20 UNION ALL SELECT id, 'PREVENTS', 'rain', lower('the ' || replace(subtype, '#', ' ')), 0.7 FROM entities WHERE mentions > 20")
 query("nlp_anchor_make", lambda m: m.notes.where("n_chars > 100").select("id", F.substring("content", 41, 20).alias("exact"), F.substring("content", 9, 32).alias("before"), F.substring("content", 61, 32).alias("after")), "SELECT id, substr(content, 41, 20) AS exact, substr(content, 9, 32) AS before, substr(content, 61, 32) AS after FROM notes WHERE n_chars > 100")
-ONCE = "n_chars > 100 AND length(content) - length(replace(content, substring(content, 41, 20), '')) = 20 AND substring(content, 30, 20) <> substring(content, 41, 20)"
-query("nlp_anchor_realign", lambda m: m.notes.where(ONCE).select("id", op.realigned(F.concat(F.lit("New start. "), "content"), F.substring("content", 41, 20), F.lit(40), F.substring("content", 9, 32), F.substring("content", 61, 32)).alias("place")), f"SELECT id, 51 AS place FROM notes WHERE {ONCE}")
+MOVED = "CASE WHEN id % 3 = 0 THEN '' ELSE title || ': ' END || content"
+#: Anchors whose words stand in the text once: where they stand now is where they are found.
+ONCE = f"n_chars > 100 AND length({MOVED}) - length(replace({MOVED}, substring(content, 41, 20), '')) = 20"
+query(
+    "nlp_anchor_realign",
+    lambda m: m.notes.where(ONCE).select("id", op.realigned(F.expr(MOVED), F.substring("content", 41, 20), F.lit(40), F.substring("content", 9, 32), F.substring("content", 61, 32)).alias("place")),
+    f"SELECT id, CAST(instr({MOVED}, substring(content, 41, 20)) - 1 AS INT) AS place FROM notes WHERE {ONCE}",
+)
 query("nlp_anchor_score", lambda m: m.notes.where("n_chars > 60").select("id", F.round(F.size(F.filter(F.zip_with(F.split(F.substring("content", 1, 32), ""), F.split(F.substring("content", 2, 32), ""), lambda a, b: a == b), lambda x: x)) / 32 * 100, 4).alias("score")),
     "SELECT id, round(len([i FOR i IN range(1, 33) IF substr(content, i, 1) = substr(content, i + 1, 1)]) / 32 * 100, 4) AS score FROM notes WHERE n_chars > 60")
-query("nlp_delta", lambda m: m.notes.select("id", op.common_ends(F.concat(F.lit("same "), "title", F.lit(" end")), F.concat(F.lit("same "), "narrative_id", F.lit(" end"))).alias("x")).select("id", (F.col("x.prefix") >= 5).alias("p"), (F.col("x.suffix") >= 4).alias("s")), "SELECT id, true AS p, true AS s FROM notes")
+query(
+    "nlp_delta",
+    lambda m: m.notes.select("id", op.common_ends(F.concat("title", F.lit(" of "), "folder_id"), F.concat("title", F.lit(" or "), "narrative_id", F.lit(" of "), "folder_id")).alias("x")).select("id", "x.prefix", "x.suffix"),
+    """SELECT id, CAST(p AS INT) AS prefix, CAST(len([i FOR i IN range(1, least(length(a), length(b)) - p + 1) IF right(a, i) = right(b, i)]) AS INT) AS suffix
+       FROM (SELECT id, a, b, len([i FOR i IN range(1, least(length(a), length(b)) + 1) IF left(a, i) = left(b, i)]) AS p FROM (SELECT id, title || ' of ' || folder_id AS a, title || ' or ' || narrative_id || ' of ' || folder_id AS b FROM notes))""",
+)
 query("nlp_prose_text", lambda m: m.notes.select("id", F.to_json(F.struct(F.array(F.struct(F.col("title").alias("text")), F.struct(F.col("folder_id").alias("text"))).alias("content"))).alias("j")).select("id", F.array_join(F.from_json("j", "content array<struct<text:string>>")["content"]["text"], " ").alias("t")), "SELECT id, title || ' ' || folder_id AS t FROM notes")
 query("met_flow_sem", lambda m: op.continuity(m.episodes.groupBy("scope_id", F.floor(F.col("ts") / 86_400_000).alias("day")).agg(F.collect_set("action").alias("e")), "scope_id", "day", "e"),
     """WITH RECURSIVE s AS (SELECT scope_id, day, row_number() OVER (PARTITION BY scope_id ORDER BY day) AS i, e FROM (SELECT scope_id, ts // 86400000 AS day, list(DISTINCT action) AS e FROM episodes GROUP BY ALL)),

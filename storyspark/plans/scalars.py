@@ -31,8 +31,10 @@ query("orb_year", lambda m: m.entities.select("id", F.round(op.year_length(mass(
 query("orb_zone", lambda m: m.entities.select("id", op.habitable_zone(mass()).alias("z")).select("id", F.round("z.least", 6).alias("a"), F.round("z.most", 6).alias("b")), "SELECT id, round(sqrt(pow(0.5 + mentions / 50, 3.5)) * 0.95, 6) AS a, round(sqrt(pow(0.5 + mentions / 50, 3.5)) * 1.37, 6) AS b FROM entities")
 query("orb_week", lambda m: m.entities.select("id", op.week_length(F.col("mentions") * 15).alias("w")), "SELECT id, CASE WHEN mentions * 15 < 100 THEN 5 WHEN mentions * 15 < 400 THEN 7 WHEN mentions * 15 < 600 THEN 8 ELSE 10 END AS w FROM entities")
 query("orb_calendar", lambda m: m.entities.select("id", op.orbital_calendar(mass(), distance(), F.lit(20.0)).alias("c")).select("id", "c.days", "c.week", "c.months"), f"SELECT id, days, CASE WHEN days < 100 THEN 5 WHEN days < 400 THEN 7 WHEN days < 600 THEN 8 ELSE 10 END AS week, CASE WHEN days <= 100 THEN 10 ELSE 12 END AS months FROM (SELECT id, CAST(floor({YEAR} * 24 / 20.0) AS BIGINT) AS days FROM entities)")
-query("str_djb2", lambda m: m.entities.select("label", op.djb2("label").alias("h")))
-query("str_hash31", lambda m: m.entities.select("label", op.hash31("label").alias("h")))
+# labels are of the basic plane, where characters are code units
+HASH = "list_reduce(list_prepend(CAST({1} AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(label, '')]), lambda h, c: (h * {0} + c) & 4294967295)"
+query("str_djb2", lambda m: m.entities.select("label", op.djb2("label").alias("h")), f"SELECT label, format('{{:x}}', {HASH.format(33, 5381)}) AS h FROM entities")
+query("str_hash31", lambda m: m.entities.select("label", op.hash31("label").alias("h")), f"SELECT label, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INT) AS h FROM (SELECT label, {HASH.format(31, 0)} AS h FROM entities)")
 
 
 def network(m):

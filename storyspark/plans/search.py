@@ -66,11 +66,11 @@ query(
 query("srt_topk_heap", lambda m: op.search(m.notes, "ander", 10, FIELDS), search_sql("ander", 10))
 
 query("qg_normalize", lambda m: m.notes.select("id", F.lower("content").alias("text")), "SELECT id, lower(content) AS text FROM notes")
-PARSED = ['arya "valyrian steel" needle', '"C.E.O."', 'open "never closed words', '  Two  WORDS ', '""']
+PARSED = ['mara "folded bronze" thorn', '"C.E.O."', 'open "never closed words', '  Two  WORDS ', '""']
 query(
     "qg_parse",
     lambda m: m.spark.createDataFrame([(i, j, c.pattern, c.phrase) for i, q in enumerate(PARSED) for j, c in enumerate(op.parse(q))], "query int, clause int, pattern string, phrase boolean"),
-    """SELECT * FROM (VALUES (0, 0, 'arya', false), (0, 1, 'valyrian steel', true), (0, 2, 'needle', false), (1, 0, 'c.e.o.', true), (2, 0, 'open', false),
+    """SELECT * FROM (VALUES (0, 0, 'mara', false), (0, 1, 'folded bronze', true), (0, 2, 'thorn', false), (1, 0, 'c.e.o.', true), (2, 0, 'open', false),
        (2, 1, 'never closed words', false), (3, 0, 'two', false), (3, 1, 'words', false)) v(query, clause, pattern, phrase)""",
 )
 GRAMS = "SELECT item_id AS id, length(text) AS length, i - 1 AS pos, substr(lower(text), i, 3) AS gram FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark)"

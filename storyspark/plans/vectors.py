@@ -33,7 +33,7 @@ def knn(name, k, before=None, after=None, where="true", having="true", cut=None)
 
 
 query("vec_cosine", lambda m: m.blocks.select("id", F.round(op.cosine("vec", F.array(*map(F.lit, QUERY))), 6).alias("v")), f"SELECT id, round({COS}, 6) AS v FROM blocks")
-query("vec_l2norm", lambda m: m.blocks.select("id", F.round(op.dot(op.unit("vec"), op.unit("vec")), 6).alias("v")), "SELECT id, CAST(1.0 AS DOUBLE) AS v FROM blocks")
+query("vec_l2norm", lambda m: m.blocks.select("id", F.round(op.dot(op.unit("vec"), op.unit("vec")), 6).alias("v")), "SELECT id, round(list_dot_product(u, u), 6) AS v FROM (SELECT id, [x / sqrt(list_dot_product(w, w)) FOR x IN w] AS u FROM (SELECT id, CAST(vec AS DOUBLE[]) AS w FROM blocks))")
 query("vec_distance", lambda m: m.blocks.select("id", F.round(1 - op.cosine("vec", F.array(*map(F.lit, QUERY))), 6).alias("v")), f"SELECT id, {DIST} AS v FROM blocks")
 query(
     "vec_centroid",
@@ -102,8 +102,8 @@ query("vec_truncate_soft", lambda m: m.blocks.select("id", F.size(op.truncated("
 query("vec_validate", lambda m: m.blocks.select("id", (F.size("vec") == 64).alias("valid")), "SELECT id, len(vec) = 64 AS valid FROM blocks")
 query(
     "vec_decode",
-    lambda m: m.blocks.select("id", F.lit(bytes.fromhex("0000803f000000400000c0bf")).alias("raw")).withColumn("v", op.decoded("raw")).select("id", F.element_at("v", 1).cast("double").alias("a"), F.element_at("v", 3).cast("double").alias("c")),
-    "SELECT id, CAST(1.0 AS DOUBLE) AS a, CAST(-1.5 AS DOUBLE) AS c FROM blocks",
+    lambda m: m.blocks.select("id", op.encoded("vec").alias("raw")).withColumn("v", op.decoded("raw")).select("id", F.size("v").alias("n"), F.round(F.element_at("v", 1).cast("double"), 6).alias("a"), F.round(op.dot("v", "v"), 4).alias("square")),
+    "SELECT id, CAST(len(vec) AS INT) AS n, round(CAST(vec[1] AS DOUBLE), 6) AS a, round(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[])), 4) AS square FROM blocks",
 )
 query("vec_chunk", lambda m: op.chunks(m.notes, "content").select("id", "place", F.length("chunk").alias("n")))
 query("vec_mention_evidence", lambda m: m.mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("notes"), F.sum("n").alias("frequency")).join(m.entities.select(F.col("id").alias("entity_id"), F.col("label").rlike("^[A-Z]").alias("capital")), "entity_id"),

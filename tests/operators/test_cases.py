@@ -21,12 +21,12 @@ def test_search_ranks_the_tightest_match_first(spark):
     docs = notes(
         spark,
         [
-            ("doc1", "Arya Stark held Needle firmly. It was Valyrian steel, sharp and light."),
-            ("doc2", "Jon Snow had Longclaw, which was Valyrian steel. Arya watched."),
-            ("doc3", "Needle was small. " + "x " * 300 + "Valyrian steel is rare. " + "y " * 300 + "Arya."),
+            ("doc1", "Mara Holt kept Thorn close. It was folded bronze, thin and keen."),
+            ("doc2", "Tam Reed had Anvil, which was folded bronze. Mara watched."),
+            ("doc3", "Thorn was small. " + "x " * 300 + "Folded bronze is rare. " + "y " * 300 + "Mara."),
         ],
     )
-    got = search.search(docs, 'arya "valyrian steel" needle', 10, ["content"]).collect()
+    got = search.search(docs, 'mara "folded bronze" thorn', 10, ["content"]).collect()
     assert got[0].id == "doc1" and {r.id for r in got} == {"doc1", "doc2", "doc3"}
 
 
@@ -121,18 +121,18 @@ def test_phrases_events_and_markup(spark):
     event = language.events_of("The knight will kill a dragon.")[0]
     assert (event["subject"], event["relation"], event["object"]) == ("knight", "KILLS", "dragon")
     assert language.events_of("") == [] and language.phrases("...") == []
-    docs = notes(spark, [("a", "[[Page|label]] #tag/x @you &#38; [CHARACTER|Luffy] -[KNOWS]-> [PLACE:Town]"), ("b", None)])
+    docs = notes(spark, [("a", "[[Page|label]] #tag/x @you &#38; [CHARACTER|Mara] -[KNOWS]-> [PLACE:Town]"), ("b", None)])
     assert [(r.kind, r.value) for r in language.markup(docs, "content").orderBy("place").collect()] == [
-        ("wikilink", "[[Page|label]]"), ("tag", "#tag/x"), ("mention", "@you"), ("triple", "[CHARACTER|Luffy] -[KNOWS]-> [PLACE:Town]"),
+        ("wikilink", "[[Page|label]]"), ("tag", "#tag/x"), ("mention", "@you"), ("triple", "[CHARACTER|Mara] -[KNOWS]-> [PLACE:Town]"),
     ]
 
 
 def test_names(spark):
-    row = spark.createDataFrame([("Monkey D. Luffy", "CHARACTER"), ("The Straw Hat Pirates", "FACTION"), ("Grand Line", "PLACE"), ("Zoro", "CHARACTER")], "label string, kind string")
+    row = spark.createDataFrame([("Mara T. Holt", "CHARACTER"), ("The Red Sail Pirates", "FACTION"), ("Long Shore", "PLACE"), ("Tam", "CHARACTER")], "label string, kind string")
     got = {r.label: r.a for r in row.select("label", language.auto_aliases("label", F.col("kind")).alias("a")).collect()}
-    assert got["Monkey D. Luffy"] == ["luffy", "monkey luffy", "monkey"] and got["The Straw Hat Pirates"] == ["shp", "straw hat"]
-    assert got["Grand Line"] == ["grand"] and got["Zoro"] == []
-    assert spark.range(1).select(language.name_key(F.lit("“Luffy’s,”")).alias("k")).first().k == "luffy"
+    assert got["Mara T. Holt"] == ["holt", "mara holt", "mara"] and got["The Red Sail Pirates"] == ["rsp", "red sail"]
+    assert got["Long Shore"] == ["long"] and got["Tam"] == []
+    assert spark.range(1).select(language.name_key(F.lit("“Mara’s,”")).alias("k")).first().k == "mara"
 
 
 def test_flow(spark):
