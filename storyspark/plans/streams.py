@@ -75,6 +75,11 @@ query("str_coordinate", lambda m: op.run(events(m).where("event_type = 'signup'"
 query("str_delta_scan", lambda m: op.run(op.changed_only(events(m)), "append", "delta"), "SELECT event_id, user_id, props FROM (SELECT *, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE props IS DISTINCT FROM p")
 query("str_episode_append", lambda m: op.run(events(m).select("event_id", "user_id", "event_type"), "append", "log"), "SELECT event_id, user_id, event_type FROM events")
 query("str_cooc_counter", lambda m: op.run(op.counted(events(m), "user_id", "event_type"), "complete", "pairs").select("user_id", "event_type", "n"), "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
-query("str_om_cursor", lambda m: op.run(op.over_threshold(events(m), 1000.0), "append", "cursor").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+query(
+    "str_om_cursor",
+    lambda m: op.run(op.over_threshold(events(m), 1000.0), "append", "cursor").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 2).alias("total")),
+    """SELECT user_id, CAST(x.n AS BIGINT) AS n, round(x.total, 2) AS total FROM (SELECT user_id, list_reduce(list_prepend({'v': 0.0, 'n': 0, 'total': 0.0}, list({'v': value, 'n': 0, 'total': 0.0} ORDER BY ts, event_id)),
+         lambda s, y: CASE WHEN s.v + y.v >= 1000 THEN {'v': 0.0, 'n': s.n + 1, 'total': s.total + round(s.v + y.v, 4)} ELSE {'v': s.v + y.v, 'n': s.n, 'total': s.total} END) AS x FROM events GROUP BY user_id) WHERE x.n > 0""",
+)
 query("str_chat_chunks", lambda m: op.run(op.joined_text(events(m)), "complete", "chunks"), "SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS content FROM events GROUP BY user_id")
 query("str_live_query", lambda m: op.run(op.counted(events(m), "event_type"), "complete", "live"), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")

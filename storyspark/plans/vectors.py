@@ -105,7 +105,16 @@ query(
     lambda m: m.blocks.select("id", op.encoded("vec").alias("raw")).withColumn("v", op.decoded("raw")).select("id", F.size("v").alias("n"), F.round(F.element_at("v", 1).cast("double"), 6).alias("a"), F.round(op.dot("v", "v"), 4).alias("square")),
     "SELECT id, CAST(len(vec) AS INT) AS n, round(CAST(vec[1] AS DOUBLE), 6) AS a, round(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[])), 4) AS square FROM blocks",
 )
-query("vec_chunk", lambda m: op.chunks(m.notes, "content").select("id", "place", F.length("chunk").alias("n")))
+WINDOW = "substr(t, begun + 513, 512)"
+CUT = rf"""CASE WHEN length(t) - begun <= 1024 THEN length(t) WHEN contains({WINDOW}, chr(10) || chr(10)) THEN begun + 512 + length(regexp_extract({WINDOW}, '(?s)^(.*)\n\n', 1)) + 2
+       WHEN contains({WINDOW}, '. ') THEN begun + 512 + length(regexp_extract({WINDOW}, '(?s)^(.*)\. ', 1)) + 2 ELSE begun + 1024 END"""
+query(
+    "vec_chunk",
+    lambda m: op.chunks(m.notes, "content").select("id", "place", F.length("chunk").alias("n")),
+    rf"""WITH RECURSIVE f(id, t, begun, piece, i) AS (SELECT id, coalesce(content, ''), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 0 FROM notes
+         UNION ALL SELECT id, t, upto, regexp_replace(substr(t, begun + 1, upto - begun), '^\s+|\s+$', '', 'g'), i + 1 FROM (SELECT *, {CUT} AS upto FROM f WHERE begun < length(t)))
+         SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INT) AS place, CAST(length(piece) AS INT) AS n FROM f WHERE piece <> ''""",
+)
 query("vec_mention_evidence", lambda m: m.mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("notes"), F.sum("n").alias("frequency")).join(m.entities.select(F.col("id").alias("entity_id"), F.col("label").rlike("^[A-Z]").alias("capital")), "entity_id"),
     "SELECT entity_id, count(*) AS notes, CAST(sum(n) AS BIGINT) AS frequency, any_value(regexp_matches(label, '^[A-Z]')) AS capital FROM mentions JOIN entities ON id = entity_id GROUP BY entity_id")
 query("vec_mmr", lambda m: op.diverse(m.blocks, QUERY, 10))

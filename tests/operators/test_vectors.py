@@ -86,3 +86,26 @@ def test_near_vectors_stay_together(spark):
     rows = [r for r in vectors.cluster_tree(frame(spark, x), 8).collect() if r["level"] == 0]
     sides = {r["parent"]: {int(q["node"]) // 8 for q in rows if q["parent"] == r["parent"]} for r in rows}
     assert all(len(s) == 1 for s in sides.values())
+
+
+def test_clusters_are_those_of_the_nearest_centre(spark):
+    x = clustered(200, 5)
+    found_, centres = vectors.kmeans(frame(spark, x), 6)
+    u, c = (vector_index.unit_rows(np.asarray(m, np.float64)) for m in (x, centres))
+    like = u @ c.T
+    for r in found_.collect():
+        assert like[r["id"], r["cluster"]] >= like[r["id"]].max() - 1e-6
+    assert len(centres) == 6
+
+
+def test_diverse_picks_against_a_plain_loop(spark):
+    x, query = clustered(300, 6), [1.0, -0.5] * 8
+    got = [r["id"] for r in vectors.diverse(frame(spark, x), query, 8, pool=60).orderBy("place").collect()]
+    u = vector_index.unit_rows(x.astype(np.float64))
+    near = np.round(u @ vector_index.unit_rows(np.array([query]))[0], 6)
+    pool = sorted(range(300), key=lambda i: (-near[i], i))[:60]
+    want = []
+    while len(want) < 8:
+        rest = [i for i in pool if i not in want]
+        want.append(max(rest, key=lambda i: (round(0.5 * near[i] - 0.5 * max((u[i] @ u[j] for j in want), default=0.0), 9), -pool.index(i))))
+    assert got == want
