@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, id_text, materialize, sized_partitions, table, without_dropped
@@ -115,16 +115,17 @@ def hub_pairs(fps: DataFrame, bits: int) -> DataFrame:
 def linked_pairs(fps: DataFrame, bits: int = 2, bucket_limit: int = 1024) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints of column fp whose closure is that of all links.
 
-    The index is dealt out once by (place, rest), and only buckets of two or more go on. One of up to
-    bucket_limit is searched at once in memory; the members of a larger one are linked through
-    hub_pairs, which is exact at any size. No link between different fingerprints is lost. A bucket's
-    rows are distinct fingerprints: copies, however many, are one row.
+    The index is counted by (place, rest), after partial counts, and joined with the buckets of two or
+    more, a join whose large partitions the optimiser can split. A bucket of up to bucket_limit is
+    searched at once in memory; the members of a larger one are linked through hub_pairs, which is exact
+    at any size. No link between different fingerprints is lost. A bucket's rows are distinct
+    fingerprints: copies, however many, are one row.
     """
     # a fingerprint's 64 rows take some 256 times its own bytes
     n = sized_partitions(fps, 256)
-    index = variants(fps.repartition(n, "fp"), bits).repartition(n, "place", "rest")
-    bucket = Window.partitionBy("place", "rest")
-    shared = materialize(index.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets")
+    index = variants(fps.repartition(n, "fp"), bits)
+    size = index.groupBy("place", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(index.join(size, ["place", "rest"]), "buckets")
     bounded = shared.where(F.col("n") <= bucket_limit).groupBy("place", "rest").agg(F.collect_list("fp").alias("members"))
     large = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
     return _forests(bounded, bits).unionByName(hub_pairs(large, bits)).distinct()
