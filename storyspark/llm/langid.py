@@ -197,7 +197,10 @@ def with_language(docs: DataFrame, model: LanguageModel | None, lang: str = "lan
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, learned from docs itself; a null doc_id is not held out."""
+    """doc_id, held_out, lang_pred, score of every row, learned from docs itself; a null doc_id is not held out.
+
+    Rows that repeat are predicted alike; an empty table, or one without labelled rows, gives UNKNOWN and 0 for every
+    row it has; other columns are ignored; texts are read whole, in steps, however long."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = with_language(rows, train(docs, sample_rows))
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -295,7 +295,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row; text is empty where there is none, also for null html.
 
     Rows may repeat; other columns are ignored; an empty table gives no rows; markup that breaks off is
-    read as far as it goes."""
+    read as far as it goes; a page is one value, read whole however long, and its blocks are held at once."""
 
     def run(batches):
         tree = Tree(labelled_rows())

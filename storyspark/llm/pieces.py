@@ -71,7 +71,8 @@ def encode_decode(docs: DataFrame, finish: Callable[[list[int], str], tuple], sc
     """For every row doc_id and what finish(ids, decoded text) makes of the whole text, in columns of schema.
 
     ids hold begin and end; the text is the library's decode(ids). Null text counts as empty (begin and
-    end only, decoded to the empty text). Rows may repeat; other columns are ignored."""
+    end only, decoded to the empty text). Rows may repeat and a null doc_id stays null; an empty table gives no rows;
+    other columns are ignored. A text is one value, read whole however long."""
     model = model or public_model()
 
     def run(batches):

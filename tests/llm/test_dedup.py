@@ -135,3 +135,13 @@ def test_index_forgets_removed_documents(spark):
     rows = cuckoo.digests(frame(spark, [(1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, "c")]))
     index = cuckoo.build_index(rows, rows.where(F.col("doc_id").isin(1, 3)), shard_rows=2)
     assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(2, 1), (5, 2)]
+
+
+def test_null_ids_of_near_duplicates(spark):
+    """A row without a doc_id has a fingerprint, and the component of the rows that it is linked with."""
+    text = "some words that are the same in both of these rows here"
+    rows = simhash.near_duplicates(spark.createDataFrame([(None, text), (4, text), (9, text.upper()), (None, "quite another text of its own with other words")], "doc_id bigint, text string")).collect()
+    assert len(rows) == 4 and {r["component_id"] for r in rows if r["doc_id"]} == {4}
+    assert sorted(str(r["component_id"]) for r in rows if r["doc_id"] is None) == ["4", "None"]
+    kept = simhash.keep_one(spark.createDataFrame([(None, text), (4, text), (9, text)], "doc_id bigint, text string"))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "None"]

@@ -175,3 +175,16 @@ def test_reduction_goes_on_and_fixes_three():
     count = Counter({90: 1, 7: 3, 6: 1, 4: 2, 3: 1, 98: 1, 1: 2, 100: 2})
     fixed = packing.reduce_dominated(count, 100)
     assert ((100,), 2) in fixed and any(len(own) == 3 and own[0] == 98 for own, _ in fixed)
+
+
+def test_null_and_repeated_ids(spark):
+    """A null doc_id stays, and rows of one doc_id with different texts each count."""
+    df = spark.createDataFrame([(None, "one text"), (None, "one text"), (7, "first of seven"), (7, "second, longer, of seven")], "doc_id bigint, text string")
+    made = pieces.encode(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in made) == [(0, "one text")] * 2 + [(7, "first of seven"), (7, "second, longer, of seven")]
+    packed = packing.pack(df, 16).collect()
+    encode = packing.Encoder()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in packed) == sorted((d or 0, len(encode(t)) + 1) for d, t in [(r["doc_id"], r["text"]) for r in made])
+    for place in Counter((r["sequence_id"], r["offset"]) for r in packed).values():
+        assert place == 1
+    assert pieces.encode(df.limit(0)).collect() == [] and packing.pack(df.limit(0)).collect() == []
