@@ -1,5 +1,6 @@
-"""Registered queries of words, tags, phrases, events and the tree of spans. Their SQL splits, tags by a fold over a
-text's words, and finds phrases as runs of tags by one regular expression."""
+"""Registered queries of words, tags, phrases, events and the tree of spans. Their SQL splits, tags a word by the two
+before it (determiners, adjectives and adverbs never change, and a modal does only after these or after `of`), and
+finds phrases as runs of tags by one regular expression."""
 
 from __future__ import annotations
 
@@ -27,10 +28,10 @@ def parsed(source: str) -> str:
     place AS (SELECT id, i, w, lower(w) AS low, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY id ORDER BY i) AS INT) AS b, lag(lower(w), 1, '') OVER (PARTITION BY id ORDER BY i) AS previous FROM piece),
     base AS (SELECT id, i, w, b - length(w) AS a, b, previous, coalesce(k.p, CASE WHEN length(w) = 1 AND NOT regexp_matches(w, '[\p{{L}}\p{{N}}]') THEN 'U' WHEN regexp_matches(w, '^\p{{Lu}}') THEN 'P' {ENDS} ELSE 'N' END) AS base
              FROM place LEFT JOIN (VALUES {PARTS}) k(w2, p) ON k.w2 = low),
-    letters AS (SELECT id, list_reduce(list_prepend({{'s': 'O', 'q': ''}}, list({{'s': base, 'q': previous}} ORDER BY i)), lambda x, y: {{'s': x.s || CASE
-                WHEN right(x.s, 1) IN ('D', 'J', 'A') AND y.s IN ('V', 'X', 'M') THEN 'N' WHEN (right(x.s, 1) = 'M' OR y.q = 'to') AND y.s IN ('N', 'P', 'R') THEN 'V'
-                WHEN y.q = 'of' AND y.s IN ('V', 'X', 'M') THEN 'N' ELSE y.s END, 'q': ''}}).s[2:] AS s FROM base GROUP BY id),
-    token AS (SELECT base.id, i, w, a, b, base, substr(s, CAST(i AS BIGINT), 1) AS tag FROM base JOIN letters ON letters.id = base.id),
+    near_by AS (SELECT *, lag(base, 1, 'O') OVER (PARTITION BY id ORDER BY i) AS p1, lag(base, 2, 'O') OVER (PARTITION BY id ORDER BY i) AS p2, lag(previous, 1, '') OVER (PARTITION BY id ORDER BY i) AS w2 FROM base),
+    token AS (SELECT id, i, w, a, b, base, CASE WHEN p1 IN ('D', 'J', 'A') AND base IN ('V', 'X', 'M') THEN 'N'
+              WHEN ((p1 = 'M' AND p2 NOT IN ('D', 'J', 'A') AND w2 <> 'of') OR previous = 'to') AND base IN ('N', 'P', 'R') THEN 'V' WHEN previous = 'of' AND base IN ('V', 'X', 'M') THEN 'N' ELSE base END AS tag FROM near_by),
+    letters AS (SELECT id, string_agg(tag, '' ORDER BY i) AS s FROM token GROUP BY id),
     run AS (SELECT id, unnest(range(1, len(v) + 1)) AS n, unnest(v) AS own, unnest(p[1:len(v)]) AS gap, unnest(pp) AS pp, unnest(vp) AS vp, unnest(np) AS np FROM (SELECT id, regexp_extract_all(s, '{RUNS}') AS v, string_split_regex(s, '{RUNS}') AS p,
             regexp_extract_all(s, '{RUNS}', 1) AS pp, regexp_extract_all(s, '{RUNS}', 2) AS vp, regexp_extract_all(s, '{RUNS}', 3) AS np FROM letters)),
     span AS (SELECT id, n, own, CASE WHEN pp <> '' THEN 'PP' WHEN vp <> '' THEN 'VP' WHEN np <> '' THEN 'NP' ELSE 'CLAUSE' END AS kind, sum(length(gap) + length(own)) OVER (PARTITION BY id ORDER BY n) AS last FROM run),
