@@ -48,6 +48,7 @@ def test_query_matches_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", NO_SQL)
-def test_query_without_sql_runs(spark, name):
-    df = QUERIES[name](spark, FOLDER)
+def test_query_without_sql_gives_rows(spark, name):
+    # the smallest network has no two prizes that are worth connecting
+    df = QUERIES[name](spark, FOLDER.replace("0.001", "0.01") if name.startswith("graph_") else FOLDER)
     assert len(df.columns) == len(set(df.columns)) and df.count() > 0
