@@ -77,3 +77,23 @@ def test_rows_of_a_tree(spark):
     df = sc.nested(frame(spark), "t")
     assert {r["id"] for r in df.collect()} == {k for k, t in enumerate(TEXTS) if (t or "").strip() or t == "   "}
     assert df.where("level = 'token' AND parent IS NULL").count() == 0
+
+
+def test_workers_hand_rows_on_in_parts(spark, monkeypatch):
+    docs = frame(spark).unionByName(spark.createDataFrame([(99, "Ann saw the old mill. " * 40)], "id int, t string")).coalesce(1)
+    want = {name: rows(sc.rows_of(docs, "t", name), "id", "place") for name in sc.PARTS}
+    monkeypatch.setattr(op, "ROWS", 7)  # far fewer than a text has
+    for name in sc.PARTS:
+        few = sc.rows_of(docs, "t", name)
+        assert rows(few, "id", "place") == want[name] == rows(sc.part(sc.scan(docs, "t", parts=[name]), name), "id", "place")
+        assert "ArrowEvalPython" not in few._jdf.queryExecution().executedPlan().toString()  # a batch's rows at once
+    assert "ArrowEvalPython" not in sc.scan(docs, "t")._jdf.queryExecution().executedPlan().toString()
+    assert sc.rows_of(docs, "t", "phrases", ["place"]).columns == ["id", "place"]
+
+
+def test_leaves_are_the_words_that_stand_directly_in_a_span(spark):
+    whole = sc.nested(frame(spark), "t")
+    leaves = whole.where("level = 'token' AND parent IS NOT NULL").groupBy("id", "parent").count()
+    some = sc.nested(frame(spark), "t", levels=["paragraph", "sentence", "phrase", "mark"])
+    assert rows(some.where("leaves > 0"), "id", "node", "leaves") == rows(leaves, "id", "parent", "count")
+    assert some.count() == whole.where("level <> 'token'").count()
