@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from storyspark.operators import discovery, grounding, resolver
 from storyspark.operators import language as op
 
@@ -131,3 +133,11 @@ def test_a_bump_promotes(spark):
     assert got == {"ann": (1, "watching", None), "bo": (1, "promoted", 0), "cy": (2, "promoted", 1)}
     none = discovery.spread(found, discovery.triples(docs, "t"), seeds.limit(0)).collect()
     assert {r["round"] for r in none} == {None}
+
+
+def test_an_anchor_within_a_run_stands_where_the_run_begins(spark):
+    run = "ab " * 8  # of "ab ab ab ab ab " one occurrence fits in, at several places
+    rows = [(1, "xy: " + run + "end", 7, 4), (2, "no " + run + "end", 3, 3), (3, "ab ab ab ab ab | ab ab ab ab ab ", 17, 17), (4, "gone", 0, None)]
+    docs = spark.createDataFrame([(i, t, at) for i, t, at, _ in rows], "id int, t string, at int")
+    got = docs.select("id", op.realigned(F.col("t"), F.lit("ab ab ab ab ab "), F.col("at"), F.lit("ab "), F.lit("ab "))).collect()
+    assert {r[0]: r[1] for r in got} == {i: want for i, _, _, want in rows}
