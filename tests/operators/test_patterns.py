@@ -91,3 +91,8 @@ def test_resolution_by_label(spark):
     known = spark.createDataFrame([("X ",), ("x",), ("other",)], "label string")
     rows = op.resolved(op.decorated(frame(spark, "[A|x] [[Y]] <<n>> [B|z]"), "t"), known).orderBy("from").collect()
     assert [r["resolved"] for r in rows] == [True, False, True, False]
+
+
+def test_captures_are_trimmed_of_spaces_only(spark):
+    got = spans(spark, "[[ \tmill\n |\u00a0x ]] and # ")
+    assert [c for _, _, c in got] == [{"target": "\tmill\n", "displayText": "\u00a0x"}]
