@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,8 @@ class Aligner:
         self.a_size = np.array([len(x) for x in self.a.bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         # an id with what follows it: , between ids, | after the last A, ; after the last B of a group
-        self.parts = [[f"{i}{after}" for i in range(max(len(self.a_size), len(self.b_size)))] for after in ",|;"]
+        self.ids = max(len(self.a_size), len(self.b_size))
+        self.parts = [f"{i}{after}" for after in ",|;" for i in range(self.ids)]
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
         """Ids of both; none where either doesn't spell a space and the text."""
@@ -112,7 +114,7 @@ class Aligner:
         """For each text n_a, n_b, n_groups, n_links, groups (the written form) and pairs (one number a link)."""
         both = [self.tokens(t) for t in texts]
         n_a, n_b = (np.array([len(x[k]) for x in both], np.int64) for k in (0, 1))
-        a_ids, b_ids = (np.array([i for x in both for i in x[k]], np.int64) for k in (0, 1))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x[k] for x in both), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
         a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])  # texts end to end
         a_starts, b_starts = a_ends - self.a_size[a_ids], b_ends - self.b_size[b_ids]
         at_a, at_b = overlaps(a_starts, a_ends, b_starts, b_ends)
@@ -125,8 +127,7 @@ class Aligner:
         turn = np.append(np.diff(sorted_kind) != 0, np.zeros(min(1, len(group)), bool)) & ~last
         after = np.where(last, 2, np.where(turn, 1, 0))
         ids = np.concatenate([a_ids, b_ids])[order]
-        tables = self.parts
-        written = [tables[k][i] for k, i in zip(after.tolist(), ids.tolist(), strict=True)]
+        written = list(map(self.parts.__getitem__, (after * self.ids + ids).tolist()))
         tokens_to = np.cumsum(n_a + n_b)
         links_to = np.searchsorted(at_a, np.cumsum(n_a))
         groups_to = np.append(np.cumsum(last), 0)
