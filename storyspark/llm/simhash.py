@@ -125,7 +125,8 @@ def linked_pairs(fps: DataFrame, bits: int = 2, bucket_limit: int = 1024) -> Dat
     n = sized_partitions(fps, 256)
     index = variants(fps.repartition(n, "fp"), bits)
     size = index.groupBy("place", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(index.join(size, ["place", "rest"]), "buckets")
+    # 64 rows a fingerprint come from a few bytes in a file: by its estimate the optimiser would broadcast either side
+    shared = materialize(index.hint("merge").join(size, ["place", "rest"]), "buckets")
     bounded = shared.where(F.col("n") <= bucket_limit).groupBy("place", "rest").agg(F.collect_list("fp").alias("members"))
     large = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
     return _forests(bounded, bits).unionByName(hub_pairs(large, bits)).distinct()

@@ -145,3 +145,16 @@ def test_null_ids_of_near_duplicates(spark):
     assert sorted(str(r["component_id"]) for r in rows if r["doc_id"] is None) == ["4", "None"]
     kept = simhash.keep_one(spark.createDataFrame([(None, text), (4, text), (9, text)], "doc_id bigint, text string"))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "None"]
+
+
+def test_index_of_fingerprints_is_never_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name, write=simhash.materialize):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    df = spark.createDataFrame([(x,) for x in (0, 1, 3, 1 << 40)], "fp bigint")
+    assert simhash.linked_pairs(df).count() > 0
+    assert "BroadcastHashJoin" not in plans["buckets"]  # by its file's size the index seems small enough for one
