@@ -22,6 +22,8 @@ SAMPLE_ROWS = 20_000
 MOST_CELLS = 4096
 #: Vectors of a task, and queries of a task, about.
 CHUNK = 1 << 14
+#: Likenesses that a worker holds at a time, about.
+HELD = 1 << 20
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -36,6 +38,23 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def slices(n: int, width: int) -> list[tuple[int, int]]:
+    """(begin, length) of runs of n rows, each held against width others, that keep to HELD likenesses."""
+    step = max(1, HELD // max(1, width))
+    return [(at, min(step, n - at)) for at in range(0, n, step)]
+
+
+def least(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k least of each row (k at most their number), ties to the smaller id, and their values, in order.
+    Only what is no farther than a row's k-th is sorted."""
+    row, place = np.nonzero(far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k])
+    value = far[row, place]
+    order = np.lexsort((ids[place], value, row))
+    first = np.searchsorted(row, np.arange(len(far)))  # row is sorted, before and after
+    best = order[first[:, None] + np.arange(k)]
+    return place[best], value[best]
+
+
 def fit_centres(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Spherical k-means of unit rows; an empty cell takes the row that fits its own worst."""
     rng = np.random.default_rng(seed)
@@ -106,9 +125,10 @@ def build(df: DataFrame, key: str = "id", v: str = "vec", cells: int | None = No
 
     def run(batches):
         for b in batches:
-            x = unit_rows(matrix(b.column(1)))
-            own = (x @ centres.T).argmax(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32())], ["id", "vec", "cell"])
+            for at, n in slices(len(b), len(centres)):
+                some = b.slice(at, n)
+                own = (unit_rows(matrix(some.column(1))) @ centres.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(own, pa.int32())], ["id", "vec", "cell"])
 
     dealt = rows.mapInArrow(run, "id bigint, vec array<float>, cell int")
     # chunk: a cell's rows by hash, as many chunks as its share of all rows asks for
@@ -124,9 +144,11 @@ def _probed(queries: DataFrame, centres: np.ndarray, probes: int, key: str, v: s
 
     def run(batches):
         for b in batches:
-            x = unit_rows(matrix(b.column(1)))
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :count] if len(x) else np.zeros((0, count))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["query", "vec", "cells"])
+            for at, n in slices(len(b), len(centres)):
+                some = b.slice(at, n)
+                near = np.argsort(-(unit_rows(matrix(some.column(1))) @ centres.T), axis=1, kind="stable")[:, :count]
+                cells = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * count, pa.array(near.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*some.columns, cells], ["query", "vec", "cells"])
 
     made = _keyed(queries, key, v, "query").mapInArrow(run, "query bigint, vec array<float>, cells array<int>")
     return made.select("query", "vec", F.explode("cells").alias("cell"))
@@ -144,12 +166,11 @@ def _searched(probes: DataFrame, rows: DataFrame, k: int, key: str) -> DataFrame
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query", "id", "distance"])
         ids, x = right.column("id").to_numpy(), unit_rows(matrix(right.column("vec")))
         out = []
-        for at in range(0, left.num_rows, 512):
-            some = left.slice(at, 512)
-            far = np.round(1 - unit_rows(matrix(some.column("vec"))) @ x.T, 6)
-            keep = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :keep]
-            out.append((np.repeat(some.column("query").to_numpy(), keep), ids[order].ravel(), np.take_along_axis(far, order, 1).ravel()))
+        keep = min(k, len(ids))
+        for at, n in slices(left.num_rows, len(ids)):
+            some = left.slice(at, n)
+            places, far = least(np.round(1 - unit_rows(matrix(some.column("vec"))) @ x.T, 6), ids, keep)
+            out.append((np.repeat(some.column("query").to_numpy(), keep), ids[places].ravel(), far.ravel()))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "id", "distance"])
 
     found = left.groupBy("_cell", "_chunk", "_part").cogroup(right.groupBy("cell", "chunk", "part")).applyInArrow(best, "query bigint, id bigint, distance double")

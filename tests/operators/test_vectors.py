@@ -109,3 +109,13 @@ def test_diverse_picks_against_a_plain_loop(spark):
         rest = [i for i in pool if i not in want]
         want.append(max(rest, key=lambda i: (round(0.5 * near[i] - 0.5 * max((u[i] @ u[j] for j in want), default=0.0), 9), -pool.index(i))))
     assert got == want
+
+
+def test_least_keeps_ties_by_id_and_blocks_are_bounded():
+    rng = np.random.default_rng(3)
+    far, ids = np.round(rng.random((40, 300)), 1), rng.permutation(300)
+    order = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :7]
+    places, values = vector_index.least(far, ids, 7)
+    assert (places == order).all() and (values == np.take_along_axis(far, order, 1)).all()
+    parts = vector_index.slices(10_000, vector_index.MOST_CELLS)
+    assert sum(n for _, n in parts) == 10_000 and max(n for _, n in parts) * vector_index.MOST_CELLS <= vector_index.HELD
