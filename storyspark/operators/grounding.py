@@ -40,9 +40,15 @@ def grounded(relations: DataFrame, notes: DataFrame, note: str = "note_id", subj
     """relations (note, subject, object and others) with subject_at, object_at (of the nearest mentions), valid and issues.
 
     Each relation meets its note's text once, by an equality join on the note. Names are found in any case; a relation
-    whose note is missing, or has no text, grounds nothing. issues (an array, empty where all is well): subject not
-    found, object not found, too far apart."""
-    met = relations.join(notes.select(F.col("id").alias(note), F.lower(F.col(text)).alias("_text")), note, "left").withColumn("_text", F.coalesce("_text", F.lit("")))
+    whose note is missing, or has no text, grounds nothing."""
+    met = relations.join(notes.select(F.col("id").alias(note), F.col(text).alias("_note")), note, "left")
+    return located(met, subject, object, "_note", reach).drop("_note")
+
+
+def located(relations: DataFrame, subject: str = "subject", object: str = "object", text: str = "text", reach: int = REACH) -> DataFrame:
+    """The same of relations that hold their note's text themselves, so that no text is shuffled. issues (an array, empty
+    where all is well): subject not found, object not found, too far apart."""
+    met = relations.withColumn("_text", F.coalesce(F.lower(F.col(text)), F.lit("")))
     found = met.withColumn("_a", places(F.col("_text"), F.lower(F.col(subject)))).withColumn("_b", places(F.col("_text"), F.lower(F.col(object)))).drop("_text")
     pair = found.withColumn("_pair", nearest(F.col("_a"), F.col("_b")))
     far = F.abs(F.col("_pair.a") - F.col("_pair.b")) > reach

@@ -97,3 +97,32 @@ def test_leaves_are_the_words_that_stand_directly_in_a_span(spark):
     some = sc.nested(frame(spark), "t", levels=["paragraph", "sentence", "phrase", "mark"])
     assert rows(some.where("leaves > 0"), "id", "node", "leaves") == rows(leaves, "id", "parent", "count")
     assert some.count() == whole.where("level <> 'token'").count()
+
+
+def test_relations_with_their_text_are_located_in_place(spark):
+    from storyspark.operators import grounding
+
+    rows = spark.createDataFrame([(1, "Ann", "Bob", "ann met bob"), (2, "Ann", "Cy", None)], "id int, subject string, object string, t string")
+    found = grounding.located(rows, text="t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [(r.subject_at, r.object_at, r.valid) for r in found.orderBy("id").collect()] == [(0, 8, True), (None, None, False)]
+
+
+def test_dictionary_is_scanned_once_for_short_and_long_forms(spark, monkeypatch):
+    from storyspark.operators import language
+
+    names = []
+    monkeypatch.setattr(language, "written", lambda df, name, write=language.written: names.append(name) or write(df, name))
+    docs = spark.createDataFrame([(1, "a b c d e f a"), (2, None), (3, "b")], "doc_id int, text string")
+    forms = spark.createDataFrame([("a b c d e f", 6, "x"), ("a", 1, "y"), ("b c", 2, "z"), ("a b c d e g", 6, "v")], "surface string, words int, id string")
+    rows = language.dictionary_scan(docs, forms, "text").select("doc_id", "place", "id").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, "x"), (1, 0, "y"), (1, 1, "z"), (1, 6, "y")]
+    assert names == ["found"]
+
+
+def test_words_of_a_callers_list_are_not_remembered():
+    from storyspark.operators import language
+
+    assert [language.baseline("gorp"), language.baseline("gorp", {"gorp": "V"}), language.baseline("gorp")] == ["N", "V", "N"]
+    assert language._known.cache_info().maxsize
