@@ -126,3 +126,22 @@ def test_words_of_a_callers_list_are_not_remembered():
 
     assert [language.baseline("gorp"), language.baseline("gorp", {"gorp": "V"}), language.baseline("gorp")] == ["N", "V", "N"]
     assert language._known.cache_info().maxsize
+
+
+def test_workers_hand_on_counts_and_asked_kinds_only(spark):
+    text = "Ann must run to the quick run, of run. " * 50
+    words, bounds = op.split(text)
+    letters = op.tagged(words)
+    assert [text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=False)] == words == op.TOKEN.findall(text)
+    assert {r["tag"]: r["n"] for r in op.base_counts(text)} == {c: sum(op.baseline(w) == c for w in words) for c in {op.baseline(w) for w in words}}
+    assert {r["tag"]: (r["n"], r["places"]) for r in op.tag_counts(text)} == {c: (letters.count(c), sum(a for a, x in zip(bounds[::2], letters, strict=False) if x == c)) for c in set(letters)}
+    docs = frame(spark)
+    every = [r for r in rows(op.phrase_rows(docs, "t"), "id", "place", "kind") if r[2] == "NP"]
+    few = op.phrase_rows(docs, "t", kinds={"NP"}, fields=["place", "kind"])
+    assert few.columns == ["id", "place", "kind"] and rows(few, "id", "place", "kind") == every
+
+
+def test_remembered_words_are_bounded():
+    op.tagged([f"w{i}" for i in range(70_000)] + ["x" * 1000])
+    assert len(op.WORDS) <= 1 << 16 and "x" * 1000 not in op.WORDS
+    assert op.tagged(["must", "of", "must", "king", "To", "king", "of", "run"], {"to": "N"}) == op.tagged(["must", "of", "must", "king"]) + "NV" + op.tagged(["of", "run"])
