@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -151,3 +152,50 @@ def test_a_large_component_by_the_heap():
     inst = op.Instance(side * side, edges, [rng.uniform(0, 4) if rng.random() < 0.05 else 0.0 for _ in range(side * side)])
     kept, _ = op.grow(inst)
     assert 0 < inst.price(op.stripped(inst, kept)) < inst.price(kept)
+
+
+def slow_connect(inst, terminals):
+    """Distances from every terminal over the whole graph, then the nearest terminal by turns."""
+    ways = {}
+    for t in terminals:
+        far, by, ready = {t: 0.0}, {}, [(0.0, t)]
+        while ready:
+            d, u = op.heapq.heappop(ready)
+            for e, (a, b, c) in enumerate(inst.edges):
+                for x, y in ((a, b), (b, a)):
+                    if x == u and d == far[u] and d + c < far.get(y, float("inf")) - op.TINY:
+                        far[y], by[y] = d + c, e
+                        op.heapq.heappush(ready, (d + c, y))
+        ways[t] = far, by
+    chosen, joined = set(), []
+    while len(joined) < len(terminals):
+        steps = [(ways[s][0][x], x, s) for s in joined for x in terminals if x not in joined and x in ways[s][0]]
+        if not steps:
+            joined.append(min(t for t in terminals if t not in joined))
+            continue
+        _, x, s = min(steps)
+        joined.append(x)
+        at = x
+        while at != s:
+            e = ways[s][1][at]
+            chosen.add(e)
+            at = sum(inst.edges[e][:2]) - at
+    return chosen
+
+
+def test_terminals_are_joined_by_their_distances():
+    rng = random.Random(21)
+    for _ in range(300):
+        inst = instance(rng, rng.randrange(1, 12), rng.randrange(0, 24))
+        terminals = set(rng.sample(range(inst.n), rng.randrange(inst.n + 1)))
+        assert op.connect(inst, terminals) == slow_connect(inst, terminals), (inst, terminals)
+
+
+def test_thousands_of_terminals_are_joined_in_seconds():
+    """A search of the whole graph from each of them would look at over a billion edges."""
+    rng, side = random.Random(2), 100
+    edges = [(i, i + 1, rng.uniform(0.5, 1.5)) for i in range(side * side) if (i + 1) % side] + [(i, i + side, rng.uniform(0.5, 1.5)) for i in range(side * (side - 1))]
+    terminals = set(rng.sample(range(side * side), 3000))
+    began = time.monotonic()
+    chosen = op.connect(op.Instance(side * side, edges, [0.0] * side**2), terminals)
+    assert time.monotonic() - began < 30 and terminals <= {x for e in chosen for x in edges[e][:2]}
