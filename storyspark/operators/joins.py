@@ -33,11 +33,29 @@ def band_pairs(rows: DataFrame, keys: list[str], item: str, position: str, width
     return left.join(right, [*keys, "_bucket"]).where(near).drop("_bucket").withColumnsRenamed({"x": "a", "y": "b", "px": "pos_a", "py": "pos_b"})
 
 
+def gathered(rows: DataFrame, keys: list[str], item: str, position: str) -> DataFrame:
+    """keys and own, the rows of each key as an array in order of position and item. For keys that hold few rows each
+    (the sentences of an episode): one shuffle of the rows, and their pairs are made in place."""
+    own = F.struct(F.col(position).alias("p"), F.col(item).alias("x"))
+    return rows.dropna(subset=[*keys, item]).groupBy(*keys).agg(F.sort_array(F.collect_list(own)).alias("own")).where(F.size("own") > 1)
+
+
+def few_pairs(rows: DataFrame, keys: list[str], item: str, position: str, width: int) -> DataFrame:
+    """keys, a and b of the pairs of band_pairs, for keys of few rows each."""
+
+    def after(x, i):
+        near = F.filter(F.slice("own", i + 2, F.size("own")), lambda y: (y["p"] - x["p"] <= width - 1) & (x["x"] != y["x"]))
+        return F.transform(near, lambda y: F.struct(F.least(x["x"], y["x"]).alias("a"), F.greatest(x["x"], y["x"]).alias("b")))
+
+    found = gathered(rows, keys, item, position)
+    return found.select(*keys, F.explode(F.flatten(F.transform("own", after))).alias("z")).select(*keys, "z.a", "z.b")
+
+
 def equal_pairs(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """Unordered pairs (a, b), a < b, of distinct items that share every key."""
-    rows = rows.select(*keys, item).distinct()
-    left, right = rows.withColumnRenamed(item, "a"), rows.withColumnRenamed(item, "b")
-    return left.join(right, keys).where("a < b")
+    """Unordered pairs (a, b), a < b, of distinct items that share every key, for keys of few rows each."""
+    own = rows.dropna(subset=[*keys, item]).groupBy(*keys).agg(F.sort_array(F.collect_set(item)).alias("own")).where(F.size("own") > 1)
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return own.select(*keys, F.explode(pairs).alias("z")).select(*keys, "z.a", "z.b")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, how: str, width: int = 64) -> DataFrame:

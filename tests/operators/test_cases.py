@@ -206,3 +206,14 @@ def test_closed_sessions_of_a_stream_equal_the_batch(spark, tmp_path):
     stream = streams.event_stream(spark, f"{tmp_path}/e", "part-*.parquet")
     got = {(r.user_id, r.events) for r in streams.run(streams.sessions(stream), "complete", "s").collect()}
     assert got == {(1, 2), (1, 1), (2, 2)}
+
+
+def test_pairs_of_few_rows_are_those_of_bands_and_joins(spark):
+    rows = [("a", "x", 1), ("a", "y", 1), ("a", "z", 2), ("a", "x", 3), ("a", "x", 1), ("a", None, 2), ("b", "y", 9), ("b", "w", None), (None, "x", 1), (None, "y", 1), ("c", "q", 5), ("c", "p", 6)]
+    df = spark.createDataFrame(rows, "k string, x string, p int")
+    few = joins.few_pairs(df, ["k"], "x", "p", 2)
+    assert sorted(map(tuple, few.collect())) == sorted((r.k, r.a, r.b) for r in joins.band_pairs(df, ["k"], "x", "p", 2).collect())
+    equal = joins.equal_pairs(df, ["k"], "x")
+    assert sorted(map(tuple, equal.collect())) == [("a", "x", "y"), ("a", "x", "z"), ("a", "y", "z"), ("b", "w", "y"), ("c", "p", "q")]
+    for made in (few, equal):  # the rows meet no copy of themselves
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
