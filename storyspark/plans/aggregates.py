@@ -82,8 +82,7 @@ query(
 
 
 def sentence_pairs(m):
-    pairs = joins.band_pairs(m.sentence_mentions, ["episode_id", "note_id"], "entity_id", "sentence_index", 2)
-    return pairs.select("episode_id", "note_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return joins.few_pairs(m.sentence_mentions, ["episode_id", "note_id"], "entity_id", "sentence_index", 2)
 
 
 PAIRS = """SELECT x.episode_id, x.note_id, x.entity_id AS a, y.entity_id AS b FROM sentence_mentions x JOIN sentence_mentions y
