@@ -3,8 +3,15 @@ on a bucket or key with a residual predicate, so none becomes a nested loop over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 
 def as_of(history: DataFrame, key: str, at, start: str = "valid_from", end: str = "valid_to", version: str = "version") -> DataFrame:
@@ -33,6 +40,86 @@ def band_pairs(rows: DataFrame, keys: list[str], item: str, position: str, width
     return left.join(right, [*keys, "_bucket"]).where(near).drop("_bucket").withColumnsRenamed({"x": "a", "y": "b", "px": "pos_a", "py": "pos_b"})
 
 
+#: Pairs of rows that a worker compares at a time.
+COMPARED = 1 << 19
+
+
+def band_least(rows: DataFrame, keys: list[str], item: str, position: str, width: int) -> DataFrame:
+    """keys, a, b and distance, the least of the pairs (a, b) of band_pairs; positions are whole numbers.
+
+    The rows are shuffled once, by key, and sorted; a worker compares each with those near it, and no pair is shuffled
+    or sorted by Spark. A worker holds the rows of one key and of one batch, and COMPARED pairs or those of one item of a key."""
+    own = rows.select(*keys, F.col(item).alias("a"), F.col(position).alias("distance")).dropna()
+    shape = StructType([*own.schema.fields[:-1], StructField("b", own.schema["a"].dataType), own.schema["distance"]])
+    arrow, n = to_arrow_schema(shape), len(keys)
+
+    def differs(b: pa.RecordBatch, i: int, c: pa.RecordBatch, j: int) -> bool:
+        return any(b.column(k)[i] != c.column(k)[j] for k in range(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last key so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and not differs(held[0], 0, b, -1):
+                held.append(b)
+                continue
+            cut = int(starts(b.columns[:n])[-1])
+            yield from least_of(pa.Table.from_batches([*held, b.slice(0, cut)]), n, width, arrow)
+            held = [b.slice(cut)]
+        if held:
+            yield from least_of(pa.Table.from_batches(held), n, width, arrow)
+
+    return own.repartition(*keys).sortWithinPartitions(*keys, "distance").mapInArrow(run, shape)
+
+
+def starts(columns: list) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def least_of(rows: pa.Table, n: int, width: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The work of band_least on whole keys (the first n columns), in order of them and of position."""
+    if rows.num_rows < 2:
+        return
+    rows = rows.combine_chunks()
+    columns = [c.chunk(0) for c in rows.columns]
+    first = starts(columns[:n])
+    key = np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
+    place = columns[n + 1].to_numpy().astype(np.int64)
+    names = pc.unique(columns[n])
+    names = names.take(pc.sort_indices(names))
+    code = pc.index_in(columns[n], names).to_numpy().astype(np.int64)
+    # keys lie further apart than width, so one search finds a row's neighbours within its key
+    line = key * (place.max() - place.min() + width) + place
+    low, high = np.searchsorted(line, line - (width - 1)), np.searchsorted(line, line + (width - 1), "right")
+    order = np.lexsort((code, key))
+    new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(code[order]) != 0))
+    group, count = np.cumsum(new) - 1, (high - low)[order]
+    ends = np.cumsum(count)[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
+    bounds, begin, done = np.append(np.flatnonzero(new), len(order)), 0, 0
+    while begin < len(ends):
+        end = max(int(np.searchsorted(ends, done + COMPARED, "right")), begin + 1)
+        at = slice(bounds[begin], bounds[end])
+        own, many = order[at], count[at]
+        i = np.repeat(own, many)
+        j = np.arange(len(i)) + np.repeat(low[own] - (np.cumsum(many) - many), many)
+        after = code[j] > code[i]
+        g, i, j = np.repeat(group[at] - begin, many)[after], i[after], j[after]
+        packed = np.sort((g * len(names) + code[j]) * width + np.abs(place[i] - place[j]))
+        pair = packed // width
+        packed = packed[np.append(True, np.diff(pair) != 0)] if len(packed) else packed
+        pair = packed // width
+        row = order[bounds[begin + pair // len(names)]]
+        made = [*(c.take(pa.array(row)) for c in columns[: n + 1]), names.take(pa.array(pair % len(names))), pa.array(packed % width)]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
+        begin, done = end, int(ends[end - 1])
+
+
 def gathered(rows: DataFrame, keys: list[str], item: str, position: str) -> DataFrame:
     """keys and own, the rows of each key as an array in order of position and item. For keys that hold few rows each
     (the sentences of an episode): one shuffle of the rows, and their pairs are made in place."""

@@ -57,7 +57,7 @@ query(
 )
 query(
     "join_word_window",
-    lambda m: op.band_pairs(m.spans, ["note_id"], "entity_id", "from_pos", 30).groupBy("note_id", "a", "b").agg(F.min(F.abs(F.col("pos_a") - F.col("pos_b"))).alias("distance")),
+    lambda m: op.band_least(m.spans, ["note_id"], "entity_id", "from_pos", 30),
     """SELECT x.note_id, x.entity_id AS a, y.entity_id AS b, min(abs(x.from_pos - y.from_pos)) AS distance FROM spans x JOIN spans y
        ON x.note_id = y.note_id AND x.entity_id < y.entity_id AND abs(x.from_pos - y.from_pos) <= 29 GROUP BY ALL""",
 )
