@@ -141,3 +141,19 @@ def test_an_anchor_within_a_run_stands_where_the_run_begins(spark):
     docs = spark.createDataFrame([(i, t, at) for i, t, at, _ in rows], "id int, t string, at int")
     got = docs.select("id", op.realigned(F.col("t"), F.lit("ab ab ab ab ab "), F.col("at"), F.lit("ab "), F.lit("ab "))).collect()
     assert {r[0]: r[1] for r in got} == {i: want for i, _, _, want in rows}
+
+
+def test_dictionaries_small_and_large(spark, monkeypatch, tmp_path):
+    docs = [(1, "the old red ship of Rome sails, the old red ship sinks"), (2, None), (3, " ,. "), (4, "old"), (5, "the old red ship of rome")]
+    forms = [("the", 1, "a"), ("old red", 2, "b"), ("the old red ship of", 5, "c"), ("the old red ship of rome", 6, "d"), ("old red ship sinks", 4, "e"), ("rome sails", 2, "f")]
+    spark.createDataFrame(forms, F_SCHEMA).write.parquet(f"{tmp_path}/forms")  # a file's size is known
+    df, known = spark.createDataFrame(docs, "doc_id int, text string"), spark.read.parquet(f"{tmp_path}/forms")
+    want = slow_scan([(k, (t or "").replace(",", " ").replace(".", " ")) for k, t in docs], forms)
+    rows = lambda got: sorted((r["doc_id"], r["place"], r["words"], r["surface"], r["id"]) for r in got.collect())
+    monkeypatch.setattr(op, "BROADCAST_BYTES", -1)
+    assert rows(op.dictionary_scan(df, known, "text")) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(op, "written", None)  # a broadcast dictionary needs no table in between, and words are made once
+    got = op.dictionary_scan(df, known, "text")
+    assert rows(got) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(lower(") == 1
