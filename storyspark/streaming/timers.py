@@ -8,6 +8,7 @@ watermark at last, its deadline fires if it has passed. What a key holds is boun
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -109,35 +110,45 @@ def advanced(machine: Machine, rows: list[tuple[int, int, dict]], until: int) ->
     return out
 
 
+#: Keys are dealt to so many groups, each with one state and one call of the worker a batch: a call costs more than a key's rows.
+GROUPS = 1024
+
+
 def timed(stream: DataFrame, key: str, columns: list[str], machine: Callable[[], Machine], schema: str, late: str = "1 hour") -> DataFrame:
     """key and what a machine for each key gives out. stream: key, ts, event_id (which orders equal times) and columns
-    (text or numbers); rows later than the watermark's delay are dropped by Spark."""
+    (text or numbers, as key is); rows later than the watermark's delay are dropped by Spark."""
     kinds = dict(stream.dtypes)
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def work(k, batches: Iterator[pd.DataFrame], held):
-        state = json.loads(held.get[0]) if held.exists else {"rows": [], "machine": {}}
-        own = machine()
-        own.__dict__.update(state["machine"])
-        waiting = [tuple(r) for r in state["rows"]]
+    def work(_, batches: Iterator[pd.DataFrame], held):
+        kept = json.loads(held.get[0]) if held.exists else []
+        waiting = {k: [tuple(r) for r in rows] for k, rows, _ in kept}
+        states = {k: own for k, _, own in kept}
         for b in batches:
-            for at, number, *values in zip(b["_at"].tolist(), b["event_id"].tolist(), *(b[c].tolist() for c in columns), strict=True):
-                waiting.append((at, number, dict(zip(columns, values, strict=True))))
+            for k, at, number, *values in zip(b["_key"].tolist(), b["_at"].tolist(), b["event_id"].tolist(), *(b[c].tolist() for c in columns), strict=True):
+                waiting.setdefault(k, []).append((at, number, dict(zip(columns, values, strict=True))))
         passed = held.getCurrentWatermarkMs() * 1000
-        waiting.sort(key=lambda r: r[:2])
-        ready = [r for r in waiting if r[0] <= passed]
-        waiting = waiting[len(ready) :]
-        out = advanced(own, ready, passed)
-        if not waiting and own.idle():
-            held.remove()
+        out, kept, nearest = [], [], []
+        for k, rows in waiting.items():
+            own = machine()
+            own.__dict__.update(states.get(k, {}))
+            rows.sort(key=lambda r: r[:2])
+            ready = bisect_right(rows, passed, key=lambda r: r[0])
+            out += [(k, *row) for row in advanced(own, rows[:ready], passed)]
+            if ready < len(rows) or not own.idle():
+                kept.append((k, rows[ready:], own.__dict__))
+                nearest += [t for t in (rows[ready][0] if ready < len(rows) else None, own.deadline()) if t is not None]
+        if kept:
+            held.update((json.dumps(kept),))
+            held.setTimeoutTimestamp(max(min(nearest) // 1000 + 1, passed // 1000 + 1))
         else:
-            held.update((json.dumps({"rows": waiting, "machine": own.__dict__}),))
-            nearest = min([t for t in (waiting[0][0] if waiting else None, own.deadline()) if t is not None])
-            held.setTimeoutTimestamp(max(nearest // 1000 + 1, passed // 1000 + 1))
-        yield pd.DataFrame([(k[0], *row) for row in out], columns=[key, *names])
+            held.remove()
+        yield pd.DataFrame(out, columns=["_key", *names])
 
     rows = stream.withColumn("_at", F.unix_micros("ts")).withWatermark("ts", late)
-    return rows.groupBy(key).applyInPandasWithState(work, f"{key} {kinds[key]}, {schema}", "state string", "append", "EventTimeTimeout")
+    rows = rows.withColumn("_key", F.col(key).cast("string")).withColumn("_group", F.pmod(F.hash("_key"), F.lit(GROUPS)))
+    made = rows.groupBy("_group").applyInPandasWithState(work, f"_key string, {schema}", "state string", "append", "EventTimeTimeout")
+    return made.select(F.col("_key").cast(kinds[key]).alias(key), *names)
 
 
 def debounced(stream: DataFrame, key: str, quiet: float = 3.0, longest: float = 10.0, late: str = "1 hour") -> DataFrame:

@@ -66,6 +66,19 @@ def test_debounce_over_files_with_late_rows(spark, tmp_path):
     assert {r["why"] for r in got} == {"quiet", "longest"}
 
 
+def test_many_keys_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "GROUPS", 2)
+    rows = [(k / 7, k, None if k % 31 == 30 else 2**60 + k % 31) for k in range(400)]
+    df = spark.createDataFrame([(at(t), i, u) for t, i, u in rows], "t bigint, event_id bigint, user_id bigint")
+    shown = df.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("p").alias("props"))
+    shown.coalesce(1).write.parquet(f"{tmp_path}/e/a.parquet")
+    got = streams.run(timers.debounced(stream(spark, f"{tmp_path}/e/a.parquet"), "user_id", late="5 seconds"), "append", "debounce").collect()
+    until = (at(rows[-1][0]) // 1000 - 5000) * 1000
+    want = [(u, *x) for u in {u for *_, u in rows} for x in slow_debounce([at(t) for t, _, v in rows if u == v and at(t) <= until], until)]
+    order = lambda x: (str(x[0]), *x[1:])
+    assert sorted(((r["user_id"], r["first"], r["moment"], r["n"], r["why"]) for r in got), key=order) == sorted(want, key=order)
+
+
 def slow_session(rows, until, pause=500_000):
     out, note, held, first, last = [], None, [], None, None
     for t, kind, own, entity in [*rows, (until, "stop", None, None)]:
