@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import language as op
 from .ranking import idf, normal_tf
 from .search import saturate
@@ -56,12 +57,15 @@ def _first(df: DataFrame, text: Column, key: str, name: str) -> DataFrame:
 def likely(asked: DataFrame, postings: DataFrame, least: float = LEAST) -> DataFrame:
     """asked, id, score: for each text the entity of the highest score over least, ties to the smaller id."""
     each = asked.select("asked", F.explode(F.array_distinct(words(F.col("asked")))).alias("word"))
-    known = postings.select("word", "most").distinct()
+    heard = postings.join(each.select("word").distinct(), "word", "left_semi")
+    known = heard.groupBy("word").agg(F.max("most").alias("most"))
     weighed = each.join(known, "word")
     rest = Window.partitionBy("asked").orderBy("most", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strong = weighed.withColumn("reach", F.sum("most").over(rest)).where(F.col("reach") > least)
-    pairs = strong.join(postings.select("word", "id"), "word").select("asked", "id").distinct()
-    own = postings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias("values"))
+    # entities that are alike in all words asked for have equal scores: the smallest id stands for them
+    alike = heard.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("word", "value"))).alias("held")).groupBy("held").agg(F.min("id").alias("id"))
+    own = written(alike.select("id", F.map_from_entries("held").alias("values")), "alike")
+    pairs = strong.join(own.select("id", F.explode(F.map_keys("values")).alias("word")), "word").select("asked", "id").distinct()
     score = F.aggregate(F.array_distinct(words(F.col("asked"))), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at("values", w), F.lit(0.0)))
     scored = pairs.join(own, "id").select("asked", "id", F.round(score, 9).alias("score")).where(F.col("score") > least)
     return scored.groupBy("asked").agg(F.min(F.struct((-F.col("score")).alias("down"), "id")).alias("x")).select("asked", F.col("x.id").alias("id"), (-F.col("x.down")).alias("score"))

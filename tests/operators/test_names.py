@@ -157,3 +157,21 @@ def test_dictionaries_small_and_large(spark, monkeypatch, tmp_path):
     got = op.dictionary_scan(df, known, "text")
     assert rows(got) == want
     assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(lower(") == 1
+
+
+def test_alike_entities_are_one_candidate(spark, monkeypatch):
+    entities = spark.createDataFrame([(f"p{k:03}", f"{'red' if k % 2 else 'old'} bolt {k}") for k in range(200)], "id string, label string")
+    aliases = spark.createDataFrame([("p007", "crimson pin"), ("p009", "crimson pin")], "entity_id string, alias string")
+    postings = resolver.index(entities, aliases)
+    asked = spark.createDataFrame([("the red bolt",), ("bolt 42 red",), ("crimson",), ("nobody",)], "asked string")
+    value = {(r["id"], r["word"]): r["value"] for r in postings.collect()}
+    want = {}
+    for (text,) in asked.collect():
+        scores = [(-round(sum(value.get((i, w), 0.0) for w in text.split()), 9), i) for i in sorted({i for i, _ in value})]
+        if -min(scores)[0] > 0.5:
+            want[text] = (min(scores)[1], -min(scores)[0])
+    held = []
+    monkeypatch.setattr(resolver, "written", lambda df, name, keep=resolver.written: held.append(df.count()) or keep(df, name))
+    got = {r["asked"]: (r["id"], r["score"]) for r in resolver.likely(asked, postings, 0.5).collect()}
+    assert got == want and set(want) >= {"bolt 42 red", "the red bolt"}
+    assert held and held[0] <= 5  # red bolts, old bolts, 42, and those with the alias
