@@ -29,11 +29,18 @@ def _capital(word: Column) -> Column:
     return word.rlike(r"^\p{Lu}")
 
 
+def _made(rows: DataFrame, *made: str) -> DataFrame:
+    """rows, whose columns made are not made again by the filters on them: those stay above this step, where otherwise
+    they would go down to every word, each with its own copies of a name's expressions."""
+    return rows.select(*[c for c in rows.columns if c not in made], F.inline_outer(F.array(F.struct(*made))))
+
+
 def candidates(docs: DataFrame, text: str) -> DataFrame:
     """name, n, display (the form met most often, the first by its letters of equal ones) of every capitalised word."""
-    words = docs.select(F.explode(F.filter(_words(F.col(text)), _capital)).alias("w"))
-    forms = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("name", op.name_key("w"))
-    named = forms.where(F.col("name").isNotNull() & ~F.col("name").isin(STOP_WORDS))
+    # outer, or Spark's own filter on the words would make them again
+    words = docs.select(F.explode_outer(_words(F.col(text))).alias("w"))
+    forms = words.where(_capital(F.col("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("name", op.name_key("w"))
+    named = _made(forms, "name").where(F.col("name").isNotNull() & ~F.col("name").isin(STOP_WORDS))
     return named.groupBy("name").agg(F.sum("n").alias("n"), F.max_by("w", F.struct("n", "w")).alias("display"))
 
 
@@ -41,12 +48,14 @@ def triples(docs: DataFrame, text: str, key: str = "id", verbs: DataFrame | None
     """source, event, target, key, place of every three consecutive words whose second is a known verb and whose third
     is capitalised. verbs: stem, event (the table of verbs by default), some hundreds of rows."""
     spark = docs.sparkSession
-    w = _words(F.col(text))
-    three = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(i.alias("place"), F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("v"), F.get("_w", i + 2).alias("b")))
-    rows = docs.select(key, w.alias("_w")).where(F.size("_w") >= 3).select(key, F.explode(F.filter(three, lambda x: _capital(x["b"]))).alias("x"))
+    # outer and without a filter on the words before, or Spark would make a text's words again for each word
+    words = docs.select(key, _words(F.col(text)).alias("_w")).select(key, "_w", F.posexplode_outer("_w").alias("place", "a"))
+    rows = words.select(key, "place", "a", F.get("_w", F.col("place") + 1).alias("v"), F.get("_w", F.col("place") + 2).alias("b")).where(_capital(F.col("b")))
     known = (verbs if verbs is not None else op.verb_table(spark)).select("stem", "event")
-    met = rows.select(key, "x.place", op.name_key("x.a").alias("source"), op.stem(F.regexp_replace("x.v", r"[._]+$", "")).alias("stem"), op.name_key("x.b").alias("target")).where("source IS NOT NULL AND target IS NOT NULL")
-    return met.join(F.broadcast(known), "stem").select("source", "event", "target", key, "place")  # one row a verb
+    stemmed = _made(rows.withColumn("stem", op.stem(F.regexp_replace("v", r"[._]+$", ""))), "stem")
+    met = stemmed.join(F.broadcast(known), "stem")  # one row a verb
+    named = met.select("event", key, "place", op.name_key("a").alias("source"), op.name_key("b").alias("target"))
+    return _made(named, "source", "target").where("source IS NOT NULL AND target IS NOT NULL").select("source", "event", "target", key, "place")
 
 
 def spread(found: DataFrame, edges: DataFrame, seeds: DataFrame, key: str = "id", threshold: int = THRESHOLD) -> DataFrame:

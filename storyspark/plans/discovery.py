@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..operators import discovery as op
+from ..sources.shared import written
 from .language import STEM, VERBS
 from .registry import query
 
@@ -37,7 +38,8 @@ SEEN = 4
 
 def discovered(m):
     seeds = m.spark.createDataFrame(SEEDS, "name string, kind string")
-    return op.spread(op.candidates(m.rumours, "t"), op.triples(m.rumours, "t"), seeds, threshold=SEEN)
+    told = written(m.rumours, "rumours")  # once for both
+    return op.spread(op.candidates(told, "t"), op.triples(told, "t"), seeds, threshold=SEEN)
 
 
 TELLS = "CASE " + " ".join(f"WHEN k = '{kind}' AND event IN ({', '.join(repr(n) for n in names.split())}) THEN '{to}'" for kind, table in lx.INFERRED.items() for names, to in table.items()) + " END"

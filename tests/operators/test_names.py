@@ -175,3 +175,13 @@ def test_alike_entities_are_one_candidate(spark, monkeypatch):
     got = {r["asked"]: (r["id"], r["score"]) for r in resolver.likely(asked, postings, 0.5).collect()}
     assert got == want and set(want) >= {"bolt 42 red", "the red bolt"}
     assert held and held[0] <= 5  # red bolts, old bolts, 42, and those with the alias
+
+
+def test_filters_on_names_make_no_name_again(spark):
+    """A word's name and stem are made once, above all filters; a filter would make them again from the word, many times."""
+    docs = spark.createDataFrame([(1, "Brakk's attacks Suna.' Then 's visits Tor"), (2, None), (3, "It helps"), (4, "")], "id int, t string")
+    for made in (discovery.triples(docs, "t"), discovery.candidates(docs, "t")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [line for line in plan if "Filter" in line and "regexp_replace(" in line]
+    got = {(r["source"], r["event"], r["target"], r["id"], r["place"]) for r in discovery.triples(docs, "t").collect()}
+    assert got == {("'s", "TRAVEL", "tor", 1, 4), ("brakk", "BATTLE", "suna.'", 1, 0)}
