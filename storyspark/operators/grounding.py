@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,31 +10,62 @@ from pyspark.sql import functions as F
 REACH = 500
 
 
-def places(text: Column, word: Column) -> Column:
-    """Where word occurs in text, from the left without overlap, as an array of characters before it; empty for an
-    empty or null word. Case counts: give both in lower case where it shouldn't."""
-    pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
-    size = F.length(word)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, lambda s, p: F.struct((s["at"] + F.length(p) + size).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(p))).alias("out")))
-    return F.when((size > 0) & (F.size(pieces) > 1), walked["out"]).otherwise(F.array().cast("array<int>"))
+def _places(text: str, word: str | None) -> list[int]:
+    """Where word occurs in text, from the left without overlap, as characters before it; empty for an empty or null
+    word. Case counts: give both in lower case where it shouldn't."""
+    out = []
+    at = text.find(word) if word else -1
+    while at >= 0:
+        out.append(at)
+        at = text.find(word, at + len(word))
+    return out
+
+
+def _closest(a: list[int], b: list[int]) -> tuple[int, int] | None:
+    """The closest places of two sorted lists, the earliest of equal ones; None where one is empty. In the order of both
+    together the closest pair stands side by side."""
+    best, gap, i, j = None, 0, 0, 0
+    while i < len(a) and j < len(b):
+        apart = abs(a[i] - b[j])
+        if best is None or apart < gap:
+            best, gap = (a[i], b[j]), apart
+        if a[i] <= b[j]:
+            i += 1
+        else:
+            j += 1
+    return best
 
 
 def nearest(a: Column, b: Column) -> Column:
-    """struct(a, b) of the closest places of two sorted arrays, the earliest of equal ones; null where one is empty.
-    In the order of both together the closest pair stands side by side."""
-    both = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("at"), F.lit(0).alias("side"))), F.transform(b, lambda x: F.struct(x.alias("at"), F.lit(1).alias("side")))))
-    pair = "struct<gap:int,a:int,b:int>"
-    start = F.struct(F.lit(None).cast("struct<at:int,side:int>").alias("last"), F.lit(None).cast(pair).alias("best"))
+    """struct(a, b) of the closest places of two sorted arrays (see _closest)."""
+
+    @F.arrow_udf("struct<a:int,b:int>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        found = [_closest(p or [], q or []) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+        return pa.array([f and {"a": f[0], "b": f[1]} for f in found], pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    return run(a, b)
+
+
+def ends(text: Column, subject: Column, object: Column) -> Column:
+    """struct(subject_at, object_at, apart): the nearest mentions of two names in a text, or the first mention of one where
+    the other has none; how far apart they are. One call for each text: expressions on arrays of places would make those
+    again wherever they are named."""
+    fields = ("subject_at", "object_at", "apart")
 
-    def step(s, x):
-        met = (s["last"]["side"] != x["side"]) & (s["best"].isNull() | (x["at"] - s["last"]["at"] < s["best"]["gap"]))
-        first = s["last"]["side"] == 0
-        found = F.struct((x["at"] - s["last"]["at"]).alias("gap"), F.when(first, s["last"]["at"]).otherwise(x["at"]).alias("a"), F.when(first, x["at"]).otherwise(s["last"]["at"]).alias("b"))
-        return F.struct(x.alias("last"), F.when(met, found.cast(pair)).otherwise(s["best"]).alias("best"))
+    @F.arrow_udf(",".join(f"{f}:int" for f in fields))
+    def run(t: pa.Array, s: pa.Array, o: pa.Array) -> pa.Array:
+        out: tuple[list, list, list] = ([], [], [])
+        for x, y, z in zip(t, s, o, strict=True):
+            x = x.as_py() or ""
+            a, b = _places(x, y.as_py()), _places(x, z.as_py())
+            pair = _closest(a, b)
+            p, q = pair or (a[0] if a else None, b[0] if b else None)
+            for c, v in zip(out, (p, q, abs(p - q) if pair else None), strict=True):
+                c.append(v)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in out], list(fields))
 
-    best = F.aggregate(both, start, step, lambda s: s["best"])
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.struct(best["a"].alias("a"), best["b"].alias("b")))
+    return run(text, subject, object)
 
 
 def grounded(relations: DataFrame, notes: DataFrame, note: str = "note_id", subject: str = "subject", object: str = "object", text: str = "text", reach: int = REACH) -> DataFrame:
@@ -48,11 +80,8 @@ def grounded(relations: DataFrame, notes: DataFrame, note: str = "note_id", subj
 def located(relations: DataFrame, subject: str = "subject", object: str = "object", text: str = "text", reach: int = REACH) -> DataFrame:
     """The same of relations that hold their note's text themselves, so that no text is shuffled. issues (an array, empty
     where all is well): subject not found, object not found, too far apart."""
-    met = relations.withColumn("_text", F.coalesce(F.lower(F.col(text)), F.lit("")))
-    found = met.withColumn("_a", places(F.col("_text"), F.lower(F.col(subject)))).withColumn("_b", places(F.col("_text"), F.lower(F.col(object)))).drop("_text")
-    pair = found.withColumn("_pair", nearest(F.col("_a"), F.col("_b")))
-    far = F.abs(F.col("_pair.a") - F.col("_pair.b")) > reach
-    issues = F.array_compact(F.array(F.when(F.size("_a") == 0, "subject not found"), F.when(F.size("_b") == 0, "object not found"), F.when(far, "too far apart")))
-    first = lambda c: F.get(c, F.lit(0))
-    out = pair.withColumn("subject_at", F.coalesce("_pair.a", first("_a"))).withColumn("object_at", F.coalesce("_pair.b", first("_b"))).withColumn("issues", issues)
-    return out.withColumn("valid", F.size("issues") == 0).drop("_a", "_b", "_pair")
+    found = relations.withColumn("_x", ends(F.lower(F.col(text)), F.lower(F.col(subject)), F.lower(F.col(object))))
+    found = found.withColumn("subject_at", F.col("_x.subject_at")).withColumn("object_at", F.col("_x.object_at"))
+    missing = [F.when(F.col(f"_x.{c}_at").isNull(), f"{c} not found") for c in ("subject", "object")]
+    issues = F.array_compact(F.array(*missing, F.when(F.col("_x.apart") > reach, "too far apart")))
+    return found.withColumn("issues", issues).withColumn("valid", F.size("issues") == 0).drop("_x")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -185,3 +186,18 @@ def test_filters_on_names_make_no_name_again(spark):
         assert not [line for line in plan if "Filter" in line and "regexp_replace(" in line]
     got = {(r["source"], r["event"], r["target"], r["id"], r["place"]) for r in discovery.triples(docs, "t").collect()}
     assert got == {("'s", "TRAVEL", "tor", 1, 4), ("brakk", "BATTLE", "suna.'", 1, 0)}
+
+
+def test_a_text_is_searched_once(spark):
+    """Each relation's text is lowered and searched in one call, whatever the number of columns that follow from it."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["Ab", "b", "aba", "", None]), rng.choice(["A", "ba", "c"]), rng.choice([None, "".join(rng.choices("aAbB Éé𝄞", k=rng.randrange(30)))])) for i in range(300)]
+    found = grounding.located(spark.createDataFrame(rows, "id int, subject string, object string, t string"), text="t", reach=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("lower(t") == 1
+    got = {r["id"]: (r["subject_at"], r["object_at"], r["valid"], r["issues"]) for r in found.collect()}
+    for i, *names, t in rows:
+        a, b = ([m.start() for m in re.finditer(re.escape(n.lower()), (t or "").lower())] if n else [] for n in names)
+        pair = min(((abs(x - y), min(x, y), x, y) for x in a for y in b), default=None)
+        issues = [f"{w} not found" for w, p in (("subject", a), ("object", b)) if not p] + (["too far apart"] if pair and pair[0] > 3 else [])
+        assert got[i] == (pair[2] if pair else next(iter(a), None), pair[3] if pair else next(iter(b), None), not issues, issues)
