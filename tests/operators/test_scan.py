@@ -145,3 +145,18 @@ def test_remembered_words_are_bounded():
     op.tagged([f"w{i}" for i in range(70_000)] + ["x" * 1000])
     assert len(op.WORDS) <= 1 << 16 and "x" * 1000 not in op.WORDS
     assert op.tagged(["must", "of", "must", "king", "To", "king", "of", "run"], {"to": "N"}) == op.tagged(["must", "of", "must", "king"]) + "NV" + op.tagged(["of", "run"])
+
+
+def test_a_tree_without_words_makes_no_rows_of_them():
+    """Numbers, parents and leaves are those of the tree with words, by a plain search for each span."""
+    rng = random.Random(21)
+    bits = ["The ", "ring was sent. ", "\n\n", "\n", "#tag", "#a'b c", "@user_x's ", "[CHARACTER|Hero] ", "[[A b|c]] ", "<<N|x>>", "! ", "?", "It's-ok", "_", "é𝄞", " [A|b] -[KNOWS]-> [B|c]", "to Rome ", "he would run "]
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=rng.randrange(25)))
+        every = sc.nested_spans(text)
+        few = sc.nested_spans(text, words=False)
+        assert few == [s for s in every if s["level"] != "token"] and [s["node"] for s in every] == list(range(len(every)))
+        for s in every:
+            holds = [p for p in every[: s["node"]] if p["end"] >= s["end"]]
+            assert s["parent"] == (holds[-1]["node"] if holds else None) and s["depth"] == (holds[-1]["depth"] + 1 if holds else 0)
+            assert s["leaves"] == sum(t["level"] == "token" and t["parent"] == s["node"] for t in every)
